@@ -29,7 +29,7 @@ from .common import small_batches
 
 #: How this vocabulary parts a text, for any text and for one within U+0000 to U+00FF, where the
 #: letters, numbers and spaces of Unicode are spelled out. ASCII and Latin-1 texts are most of many corpora and are far faster so.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ANY_TEXT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 L1, N1, S1 = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN_TEXT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{L1}]+| ?[{N1}]+| ?[^{S1}{L1}{N1}]+|[{S1}]+(?![^{S1}])|[{S1}]+")
