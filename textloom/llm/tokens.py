@@ -70,42 +70,64 @@ class Vocabulary:
         self.of_byte = np.zeros(256, np.int32)
         for c, b in byte_alphabet().items():
             self.of_byte[b] = ids[c]
+        single = np.full(len(ids) + len(spec.get("added_tokens") or ()) + 1, -1, np.int64)
+        single[self.of_byte] = np.arange(256)
+        self.byte_ranks, self.byte_made = np.full(65536, NONE, np.int32), np.zeros(65536, np.int32)
+        a, b = single[self.keys >> 32], single[self.keys & 0xFFFFFFFF]
+        both = (a >= 0) & (b >= 0)
+        self.byte_ranks[a[both] << 8 | b[both]], self.byte_made[a[both] << 8 | b[both]] = self.ranks[both], self.made[both]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or () if t.get("special")}
         self.special_text = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair, NONE if it has none, and the symbol that it makes."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE), self.made[at]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols that survive of each word: all of them in order, and how many each word has."""
+        """The symbols that survive of each word: all of them in order, and how many each word has.
+
+        Ranks are looked up once for each pair: at first from a table of pairs of bytes, later where a merge made a new neighbour.
+        """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), lengths)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ids, owner = self.of_byte[raw], np.repeat(np.arange(len(words)), lengths)
+        pair = raw.astype(np.int64) << 8
+        pair[:-1] |= raw[1:]
+        rank, made = self.byte_ranks[pair], self.byte_made[pair]
+        rank[np.cumsum(lengths[lengths > 0]) - 1] = NONE
         survived, ended = np.zeros(len(words), np.int64), []
         while len(ids):
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            key = ids[:-1].astype(np.int64) << 32 | ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.full(len(ids), NONE, np.int32)
-            ranked = (self.keys[at] == key) & (owner[1:] == owner[:-1])
-            rank[:-1][ranked] = self.ranks[at[ranked]]
             size = np.diff(np.r_[first, len(ids)])
-            lowest = np.repeat(np.minimum.reduceat(rank, first), size)
-            over = lowest == NONE
-            if over.any():
-                own = owner[over]
-                ended.append((own, ids[over]))
-                np.add.at(survived, owner[first[over[first]]], size[over[first]])
-                ids, owner, rank, lowest, at = ids[~over], owner[~over], rank[~over], lowest[~over], np.r_[at, 0][~over]
+            least = np.minimum.reduceat(rank, first)
+            if (least == NONE).any():
+                over = np.repeat(least == NONE, size)
+                ended.append((owner[over], ids[over]))
+                survived[owner[first[least == NONE]]] = size[least == NONE]
+                ids, owner, rank, made = ids[~over], owner[~over], rank[~over], made[~over]
+                size, least = size[least != NONE], least[least != NONE]
                 if not len(ids):
                     break
-            hit = rank == lowest
-            if (hit[1:] & hit[:-1]).any():  # a pair of equal symbols in a run of them: every second place, from the left
-                place = np.arange(len(hit))
-                begins = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], place, 0))
-                hit &= (place - begins) % 2 == 0
-            places = np.flatnonzero(hit)
-            ids[places] = self.made[at[places]]
+            places = np.flatnonzero(rank == np.repeat(least, size))
+            beside = np.flatnonzero(places[1:] == places[:-1] + 1)
+            if len(beside):  # a pair of equal symbols in a run of them: every second place, from the left
+                nth = np.arange(len(places))
+                run = np.maximum.accumulate(np.where(np.r_[True, places[1:] != places[:-1] + 1], nth, 0))
+                places = places[(nth - run) % 2 == 0]
+            ids[places] = made[places]
             stay = np.ones(len(ids), bool)
             stay[places + 1] = False
-            ids, owner = ids[stay], owner[stay]
+            now = places - np.arange(len(places))  # where they are when the right halves have gone
+            ids, owner, rank, made = ids[stay], owner[stay], rank[stay], made[stay]
+            near = np.zeros(len(ids), bool)  # of the pairs there are now, those with a new symbol
+            near[now], near[now[now > 0] - 1] = True, True
+            anew = np.flatnonzero(near)
+            rank[anew] = NONE
+            anew = anew[anew < len(ids) - 1]
+            anew = anew[owner[anew] == owner[anew + 1]]
+            rank[anew], made[anew] = self.look_up(ids[anew], ids[anew + 1])
         if not ended:
             return np.empty(0, np.int32), survived
         own, flat = np.concatenate([o for o, _ in ended]), np.concatenate([f for _, f in ended])
