@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed value: ASCII white space, as a character class of a regular expression.
 WHITE = r"\x20\x09-\x0D"
@@ -39,3 +41,8 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of at most so many rows, so that a batch of long texts stays small in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a column that a lambda names is else computed anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

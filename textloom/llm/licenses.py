@@ -15,13 +15,14 @@ them, so many licence words in one document are no trouble.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what parts words, once letters are in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,11 +70,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), lambda w: w != "")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once: a column that a lambda names is else computed anew for every element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def anchors(templates: tuple[Template, ...]) -> dict[str, list[tuple[int, int]]]:
     """Licence word -> (template, position) wherever it stands."""
     index: dict[str, list[tuple[int, int]]] = {}

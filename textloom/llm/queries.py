@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, quality, simhash, tokens, topk
+from . import langid, licenses, mixing, packing, pii, quality, simhash, tokens, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_license_scan")
 def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digest(table(spark, folder, "documents"))
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(table(spark, folder, "documents"))
