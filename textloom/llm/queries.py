@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, pii, quality, simhash, tokens, topk
+from . import langid, licenses, mixing, packing, pii, quality, simhash, suffixes, tokens, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_pii")
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(table(spark, folder, "documents"))
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.strip(table(spark, folder, "documents")).drop("kept")
