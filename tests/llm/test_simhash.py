@@ -73,3 +73,37 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 150)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 150)}
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingles(t, 5)) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_groups_of_five_words(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts, group = [], []
+    for g in range(40):
+        base = [word() for _ in range(300)]
+        for _ in range(rng.randint(1, 5)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(300)] = word()
+            texts.append(" ".join(copy))
+            group.append(g)
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, sig string")
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] == group[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted({root.index(r) for r in root})
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_near_groups_of_odd_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "a b"), (4, "c"), (5, " ")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0) for r in simhash.drop_near_duplicates(docs).collect())
+    assert got in ([0, 1, 2, 4, 5], [1, 2, 3, 4, 5])

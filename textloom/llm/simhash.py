@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_digest
+from xxhash import xxh3_128_digest, xxh64_digest
 
-from .common import small_batches, written
+from .common import WHITE, small_batches, written
 from .components import components
 
 #: The seed of the hashes of shingles, and the least that a shard has before it is linked the other way.
@@ -203,3 +203,115 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFram
     prints = written(fingerprints(docs, size), "fingerprints")
     found = prints.join(groups_within(prints, radius), "fp", "left")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: Minimum hashes of a set of shingles, of which each pair is a shard key; bits of its wide fingerprint, how many of them may
+#: differ for a pair to be looked at (sets alike by 0.8 differ by 39 on average, their spread is 6), and up to how many a pair
+#: is surely alike (by 0.9 on average).
+MINIMA, WIDE, DIFFER, SURE = 6, 256, 56, 20
+FACTORS = np.random.default_rng(11).integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: str | None, size: int = 5) -> tuple[bytes, list[int]] | None:
+    """The wide fingerprint of the set of shingles and its shard keys; None without words."""
+    own = set(shingles(text, size))
+    if not own:
+        return None
+    raw = np.frombuffer(b"".join([xxh3_128_digest(s, 1) + xxh3_128_digest(s, 2) for s in own]), np.uint8).reshape(-1, WIDE // 8)
+    low = np.ascontiguousarray(raw[:, :8]).view(np.uint64).ravel()
+    minima = []
+    for factor in FACTORS:
+        mixed = low * factor
+        mixed ^= mixed >> np.uint64(29)
+        minima.append((mixed * FACTORS[0]).min())
+    with np.errstate(over="ignore"):
+        keys = [int((a * np.uint64(2 * n + 3) ^ b * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)) for n, (a, b) in enumerate(combinations(minima, 2))]
+    return majority_bits(raw), keys
+
+
+def nearest_before(values: list[int], radius: int, most: int = 2) -> list[list[tuple[int, int]]]:
+    """For each value the nearest ones before it within the radius, as (distance, index)."""
+    tree, first, out = BKTree(), [], []
+    for i, value in enumerate(values):
+        out.append(sorted((d, first[node]) for node, d in tree.within(value, radius))[:most])
+        if tree.add(value) == len(first):
+            first.append(i)
+    return out
+
+
+def _tree_pairs(keyed: DataFrame, radius: int) -> DataFrame:
+    """u, v, d: for each of rows (key, fp, node) the nearest before it in its run, which links all that can be linked in steps;
+    and rows with a key, the leaders (that link to nothing before) of runs that a task holds only in part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, whole in runs(batches):
+            node, fp = own.column(2).to_pylist(), own.column(1).to_pylist()
+            near = nearest_before([int.from_bytes(f, "big") for f in fp], radius)
+            rows = [(None, None, node[i], node[j], d) for i, found in enumerate(near) for d, j in found]
+            if not whole:
+                key = own.column(0)[0].as_py()
+                rows += [(key, fp[i], node[i], node[i], 0) for i, found in enumerate(near) if not found]
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "fp", "u", "v", "d"])
+
+    return written(keyed.mapInArrow(run, "key long, fp binary, u long, v long, d int"), "pairs-of-trees")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of docs (node, text) whose shingle sets are alike by so much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                a, b = set(shingles(a, size)), set(shingles(b, size))
+                ok.append(len(a & b) >= similarity * len(a | b))
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    sides = F.explode(F.array("u", "v"))
+    texts = docs.join(pairs.select("u", "v", sides.alias("node")), "node").groupBy("u", "v")
+    both = texts.agg(F.min(F.struct("node", "text")).alias("a"), F.max(F.struct("node", "text")).alias("b"))
+    return both.select("u", "v", F.col("a.text").alias("a"), F.col("b.text").alias("b")).mapInArrow(run, "u long, v long")
+
+
+def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """node, doc_id, sig, component of every row with words; sig hashes the text, node the id and the text.
+
+    A document is paired with the nearest before it in its shards' trees, and the pairs are compared by their shingles unless
+    their fingerprints are almost equal. A shard that several tasks hold is paired in parts, and then the parts' leaders, in
+    another order.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(t, size) for t in batch.column(3).to_pylist()]
+            at = pa.array([i for i, m in enumerate(made) if m], pa.int64())
+            fp, keys = zip(*(m for m in made if m)) if len(at) else ((), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sig", "node", "fp", "keys"])
+
+    sig = F.xxhash64("text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", sig.alias("sig"), F.xxhash64("doc_id", sig).alias("node"), "text")
+    sketches = written(rows.mapInArrow(run, f"doc_id {id_type}, sig long, node long, fp binary, keys array<long>"), "sketches")
+    classes = written(sketches.groupBy("fp", "keys").agg(F.min("node").alias("class")), "sketch-classes")
+    keyed = classes.select(F.explode("keys").alias("key"), "fp", F.col("class").alias("node"))
+    first = _tree_pairs(keyed.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp"), radius)
+    leaders = first.filter("key IS NOT NULL").select("key", F.reverse(F.hex("fp")).alias("turned"), "fp", F.col("u").alias("node"))
+    second = _tree_pairs(leaders.repartitionByRange("key", "turned").sortWithinPartitions("key", "turned").select("key", "fp", "node"), radius)
+    pairs = first.union(second).filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d"))
+    alike = _alike(rows.select("node", "text"), pairs.filter(F.col("d") > SURE), size, similarity)
+    comps = components(pairs.filter(F.col("d") <= SURE).select("u", "v").union(alike))
+    found = classes.join(comps, F.col("class") == F.col("node"), "left").select("fp", "keys", F.coalesce("component", "class").alias("component"))
+    return sketches.join(found, ["fp", "keys"]).select("node", "doc_id", "sig", "component")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id; documents without words stay."""
+    keepers = near_groups(docs).groupBy("component").agg(F.min(F.struct("doc_id", "sig")).alias("k")).select("k.doc_id", "k.sig")
+    keyed = docs.withColumn("sig_", F.xxhash64("text")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.sig_") == F.col("k.sig"))
+    kept = keyed.join(keepers.alias("k"), same, "left_semi").dropDuplicates(["doc_id", "sig_"]).drop("sig_")
+    wordless = docs.filter(F.col("text").isNull() | ~F.col("text").rlike(f"[^{WHITE}]"))
+    return kept.union(wordless)
