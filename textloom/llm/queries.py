@@ -102,3 +102,10 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_suffix_dedup")
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.strip(table(spark, folder, "documents")).drop("kept")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
