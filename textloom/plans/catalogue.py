@@ -1,4 +1,4 @@
-"""The registered queries over the reference operators."""
+"""The registered queries over the reference operators, each with SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
@@ -7,6 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import classify, globs, secrets
+from ..functions import text as T
+from ..operators import annotations, answers, changes, chunking, corpus, listing, opening, retrieval, state
+from ..operators import vectors as V
+from ..streaming import worker
+from ..sources.models import HashedWords
+from . import sample
+from .sample import CHUNKS_SQL, FILES_SQL, META_SQL, TALKS_SQL, VECTORS_SQL, trimmed
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,20 +36,560 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# search over vectors
+
+PROBE = "q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0)"
+SCORE = "round(list_cosine_similarity(embedding::DOUBLE[], v), 6)"
+
+
+@query("cosine_topk", f"WITH {PROBE} SELECT vec_id AS chunk_id, {SCORE} AS score FROM embeddings, q WHERE len(embedding) = len(v) ORDER BY score DESC, chunk_id LIMIT 10")
+def cosine_topk(spark, folder):
+    return V.search(sample.vectors(spark, folder), sample.probe(spark, folder))
+
+
+FILTERED = retrieval.Search(k=7, index="text", path_prefix="src1", file_glob="src*/*/doc_*[02468].*", doc_types=(" MD", "html"))
+
+
 @query(
-    "cosine_topk",
-    """
-    WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
-         s AS (SELECT vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score
-               FROM embeddings, q WHERE len(embedding) = len(v))
-    SELECT chunk_id, score FROM s ORDER BY score DESC, chunk_id LIMIT 10
-    """,
+    "cosine_topk_filtered",
+    f"""WITH {META_SQL}, {PROBE}
+    SELECT chunk_id, rel_path, doc_type, {SCORE} AS score, snippet FROM vectors JOIN meta USING (chunk_id, index_kind), q
+    WHERE index_kind = 'text' AND starts_with(rel_path, 'src1') AND regexp_matches(rel_path, '^src[^/]*/[^/]*/doc_[^/]*[02468]\\.[^/]*$')
+      AND doc_type IN ('md', 'html') ORDER BY score DESC, chunk_id LIMIT 7""",
 )
-def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = table(spark, folder, "embeddings")
-    probe = vectors.filter("vec_id = 0").select(F.col("embedding").alias("v")).limit(1)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    joined = vectors.crossJoin(F.broadcast(probe)).filter(F.size("embedding") == F.size("v"))
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("v"), F.col("v")))
-    score = F.when(norm > 0, dot(F.col("embedding"), F.col("v")) / norm).otherwise(0.0)
-    return joined.select(F.col("vec_id").alias("chunk_id"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(10)
+def cosine_topk_filtered(spark, folder):
+    hits, _ = retrieval.run(sample.vectors(spark, folder), sample.meta(spark, folder), FILTERED, lambda text, kind: sample.probe(spark, folder))
+    return hits.select("chunk_id", "rel_path", "doc_type", "score", "snippet")
+
+
+@query(
+    "search_both_fused",
+    f"""WITH {META_SQL}, {PROBE},
+    s AS (SELECT chunk_id, index_kind, rel_path, {SCORE} AS score FROM vectors JOIN meta USING (chunk_id, index_kind), q),
+    t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY index_kind ORDER BY score DESC, chunk_id) <= 10),
+    n AS (SELECT chunk_id, rel_path, CASE WHEN max(score) OVER p > min(score) OVER p THEN (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) ELSE 1 END AS score
+          FROM t WINDOW p AS (PARTITION BY index_kind))
+    SELECT chunk_id, rel_path, round(score, 6) AS score FROM n ORDER BY score DESC, chunk_id LIMIT 10""",
+)
+def search_both_fused(spark, folder):
+    hits, _ = retrieval.run(sample.vectors(spark, folder), sample.meta(spark, folder), retrieval.Search(index="both"), lambda text, kind: sample.probe(spark, folder))
+    return hits.select("chunk_id", "rel_path", "score")
+
+
+@query(
+    "cosine_topk_each",
+    """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20),
+    s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q)
+    SELECT query_id, chunk_id, score, row_number() OVER w AS rank FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, chunk_id) QUALIFY rank <= 10""",
+)
+def cosine_topk_each(spark, folder):
+    own = sample.vectors(spark, folder)
+    asked = own.filter("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    return V.search_each(own, asked)
+
+
+@query("dimension_mismatches", "SELECT count(*) FILTER (WHERE len(embedding) <> 3) AS mismatches FROM embeddings")
+def dimension_mismatches(spark, folder):
+    return V.dimension_mismatches(sample.vectors(spark, folder), 3)
+
+
+@query(
+    "route_code_query",
+    r"""WITH s AS (SELECT item_id, lower(text) AS q FROM benchmark UNION ALL SELECT doc_id, lower(coalesce(text, '')) FROM documents)
+    SELECT item_id, regexp_matches(q, '\b(func|class|package|import|return|if|for|while|switch|case)\b')::INT + regexp_matches(q, '[(){}\[\];]')::INT
+           + contains(q, '```')::INT + contains(q, '`')::INT + regexp_matches(q, '\.(js|ts|py|go|java|rb|cpp|c|cs|html|css|json|yaml|yml)\b')::INT >= 2 AS is_code FROM s""",
+)
+def route_code_query(spark, folder):
+    asked = table(spark, folder, "benchmark").select("item_id", "text").union(table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit(""))))
+    return asked.select("item_id", T.is_code_query(F.col("text")).alias("is_code"))
+
+
+# classification, hashes, text
+
+
+@query("classify_doc_type", f"WITH {FILES_SQL} SELECT doc_id, rel_path, doc_type, CASE WHEN doc_type = 'code' THEN 'code' ELSE 'text' END AS index_kind FROM files")
+def classify_doc_type(spark, folder):
+    return sample.files(spark, folder).select("doc_id", "rel_path", "doc_type", classify.index_kind(F.col("doc_type")).alias("index_kind"))
+
+
+@query(
+    "infer_doc_type",
+    f"""WITH {FILES_SQL} SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'md' WHEN 1 THEN 'text' WHEN 2 THEN 'code' WHEN 3 THEN 'code' WHEN 4 THEN 'html' WHEN 6 THEN 'pdf' WHEN 7 THEN 'audio' ELSE 'unknown' END AS opened_type,
+    doc_id % 10 = 7 AS looks_binary FROM files""",
+)
+def infer_doc_type(spark, folder):
+    path = F.col("rel_path")
+    return sample.files(spark, folder).select("doc_id", classify.opened_type(path).alias("opened_type"), classify.looks_binary(path, F.col("content")).alias("looks_binary"))
+
+
+@query("content_hash", "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, sha256(sha256(coalesce(text, '')))[1:8] AS masked FROM documents")
+def content_hash(spark, folder):
+    return sample.files(spark, folder).select("doc_id", "content_hash", T.masked_id(F.col("content_hash")).alias("masked"))
+
+
+@query("normalize_text", r"SELECT doc_id, sha256(regexp_replace(replace(coalesce(text, ''), ' ', chr(13)), '\r\n?', chr(10), 'g')) AS normal_hash FROM documents")
+def normalize_text(spark, folder):
+    content = F.translate(F.col("content"), " ", "\r").cast("binary")
+    return sample.files(spark, folder).select("doc_id", T.sha256(T.normalize(content)).alias("normal_hash"))
+
+
+@query(
+    "text_cuts",
+    f"""WITH {FILES_SQL}, t AS (SELECT doc_id, content AS c, {trimmed('content')} AS t FROM files)
+    SELECT doc_id, t[1:240] AS snippet, CASE WHEN length(c) <= 50 THEN c ELSE c[1:47] || '...' END AS truncated,
+           CASE WHEN length(t) <= 300 THEN t ELSE {trimmed('t[1:300]')} || '...' END AS shown,
+           CASE WHEN t = '' THEN '<empty>' WHEN length(t) <= 64 THEN t ELSE t[1:64] || '…' END AS question, length(c) > 100 AS cut FROM t""",
+)
+def text_cuts(spark, folder):
+    c = F.col("content")
+    return sample.files(spark, folder).select(
+        "doc_id", T.snippet(c).alias("snippet"), T.truncate(c, 50).alias("truncated"), T.truncate_snippet(c, 300).alias("shown"), T.truncate_question(c).alias("question"), T.truncate_flag(c, 100)["truncated"].alias("cut")
+    )
+
+
+SECRET_SQL = r"(?i)token\s*=\s*\x22[0-9a-f]{20,}"
+
+
+@query(
+    "secret_scan_status",
+    f"""WITH {FILES_SQL} SELECT doc_id, CASE WHEN regexp_matches(content, '{SECRET_SQL}') OR regexp_matches(content, 'AKIA[0-9A-Z]{{16}}') OR regexp_matches(content, '(?i)token\\s*[:=]\\s*[A-Za-z0-9_.-]{{20,}}')
+       OR regexp_matches(content, 'sk_[a-z0-9]{{32}}|api_[A-Za-z0-9]{{32}}') THEN 'secret_excluded' ELSE 'ok' END AS status FROM files""",
+)
+def secret_scan_status(spark, folder):
+    found = secrets.has_secret(F.col("content"), (*secrets.PATTERNS, SECRET_SQL))
+    return sample.files(spark, folder).select("doc_id", F.when(found, "secret_excluded").otherwise("ok").alias("status"))
+
+
+@query(
+    "normalized_columns",
+    f"""WITH {FILES_SQL} SELECT doc_id, CASE WHEN status IN ('skipped', 'error') THEN status ELSE 'ok' END AS status,
+       CASE WHEN doc_id % 3 = 0 THEN 'archive_member' ELSE 'filesystem' END AS source_type, CASE WHEN doc_id % 2 = 0 THEN 'code' ELSE 'text' END AS index_kind FROM files""",
+)
+def normalized_columns(spark, folder):
+    source = F.when(F.col("doc_id") % 3 == 0, " Archive_Member").otherwise("?")
+    kind = F.when(F.col("doc_id") % 2 == 0, "CODE ").otherwise(None)
+    return sample.files(spark, folder).select("doc_id", classify.status(F.col("status")).alias("status"), classify.source_type(source).alias("source_type"), classify.kind_of_index(kind).alias("index_kind"))
+
+
+# paths
+
+
+@query("path_exclude_filter", f"WITH {FILES_SQL} SELECT doc_id, rel_path FROM files WHERE NOT regexp_matches(rel_path, '^(.*/)?fr/.*$|^src1[0-3]/[^/]*/doc_[^/]*\\.md$|^(.*/)?[^/]*\\.env$')")
+def path_exclude_filter(spark, folder):
+    excludes = ("**/fr/**", "src1[0-3]/*/doc_*.md", "**/*.env")
+    return sample.files(spark, folder).filter(~globs.any_of(F.col("rel_path"), excludes)).select("doc_id", "rel_path")
+
+
+@query(
+    "gitignore_filter",
+    f"""WITH {FILES_SQL} SELECT doc_id, rel_path,
+       CASE WHEN regexp_matches(rel_path, '^src1/') AND NOT regexp_matches(rel_path, 'doc_[^/]*7\\.mp3$') THEN true
+            WHEN regexp_matches(rel_path, 'doc_[^/]*7\\.mp3$') THEN false WHEN regexp_matches(rel_path, '\\.(bin|mp3)$') THEN true ELSE false END AS ignored FROM files""",
+)
+def gitignore_filter(spark, folder):
+    rules = globs.ignore_rules("# build\n*.bin\n*.mp3\n/src1/**\n!doc_*7.mp3\nnothing/\n")
+    return sample.files(spark, folder).select("doc_id", "rel_path", globs.ignored(F.col("rel_path"), rules).alias("ignored"))
+
+
+@query("glob_filter_search", f"WITH {FILES_SQL} SELECT rel_path FROM files WHERE regexp_matches(rel_path, '^src[^/]/[^/]*/doc_[^/]*\\.md$')")
+def glob_filter_search(spark, folder):
+    return sample.files(spark, folder).filter(F.col("rel_path").rlike(globs.path_match("src?/*/doc_*.md"))).select("rel_path")
+
+
+@query("glob_filter_store", f"WITH {FILES_SQL} SELECT rel_path FROM files WHERE rel_path GLOB 'src[0-4]*/doc_?0.md'")
+def glob_filter_store(spark, folder):
+    return sample.files(spark, folder).filter(F.col("rel_path").rlike(globs.store("src[0-4]*/doc_?0.md"))).select("rel_path")
+
+
+@query("prefix_filters", f"WITH {FILES_SQL} SELECT rel_path, starts_with(rel_path, 'SRC1') AS searched, starts_with(lower(rel_path), 'src1/en/doc_') AS listed, starts_with(rel_path, '.') AS hidden FROM files")
+def prefix_filters(spark, folder):
+    path = F.col("rel_path")
+    return sample.files(spark, folder).select("rel_path", globs.search_prefix(path, "SRC1").alias("searched"), globs.store_prefix(path, "./SRC1/en/doc_").alias("listed"), globs.hidden(path).alias("hidden"))
+
+
+@query("clean_paths", f"WITH {FILES_SQL} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a/' || rel_path WHEN 1 THEN rel_path END AS clean FROM files")
+def clean_paths(spark, folder):
+    raw = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" ./a/b/.././"), "rel_path")).when(F.col("doc_id") % 4 == 1, F.concat("rel_path", F.lit("/"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("/"), "rel_path")).otherwise("a/../../b")
+    return sample.files(spark, folder).select("doc_id", globs.clean_path(raw).alias("clean"))
+
+
+# chunks
+
+
+@query(
+    "chunk_documents",
+    f"WITH {CHUNKS_SQL} SELECT chunk_id, rep_id, ordinal, rel_path, index_kind, sha256(text) AS text_hash, ceil(length(text) / 4.0)::INTEGER AS tokens_est, start_line, end_line FROM chunks",
+)
+def chunk_documents(spark, folder):
+    rows = sample.chunks(spark, folder)
+    return rows.select("chunk_id", "rep_id", "ordinal", "rel_path", "index_kind", "text_hash", "tokens_est", F.col("span.start").alias("start_line"), F.col("span.end").alias("end_line"))
+
+
+@query(
+    "chunk_pages",
+    f"""WITH p AS (SELECT page_id, string_split(replace(html, chr(10), chr(12)), chr(12)) AS parts FROM pages WHERE html IS NOT NULL),
+    u AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS page FROM p), t AS (SELECT page_id, page::INTEGER AS page, {trimmed('part')} AS text FROM u)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY page) - 1)::INTEGER AS ordinal, page, sha256(text) AS text_hash FROM t WHERE text <> ''""",
+)
+def chunk_pages(spark, folder):
+    rows = table(spark, folder, "pages").filter("html IS NOT NULL").select("page_id", F.translate("html", "\n", "\f").alias("text"))
+    return rows.select("page_id", F.inline(chunking.pages(F.col("text")))).select("page_id", "ordinal", "page", T.sha256(F.col("text")).alias("text_hash"))
+
+
+SEGMENTS_SQL = f"""{TALKS_SQL},
+    lines AS (SELECT conv_id, unnest(string_split(body, chr(10))) AS l, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM talks),
+    marks AS (SELECT conv_id, i, (l[2:3]::INT * 60 + l[5:6]::INT) * 1000 AS ms, {trimmed('l[9:]')} AS text FROM lines WHERE l[2:3]::INT <= 59),
+    full_ AS (SELECT conv_id, i, ms, text FROM marks WHERE text <> ''),
+    seg AS (SELECT conv_id, (row_number() OVER w - 1)::INTEGER AS seg, ms AS start_ms, lead(ms) OVER w AS after, text,
+                   greatest(1000, 300 * len(list_filter(string_split_regex(text, '{sample.SPACE_SQL}+'), lambda x: x <> ''))) AS speech FROM full_ WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+    ends AS (SELECT conv_id, seg, start_ms::BIGINT AS start_ms, greatest(CASE WHEN after >= start_ms THEN after ELSE start_ms + speech END, start_ms + 1)::BIGINT AS end_ms, text FROM seg)"""
+
+
+@query("transcript_segments", f"WITH {SEGMENTS_SQL} SELECT conv_id, seg, start_ms, end_ms, sha256(text) AS text_hash FROM ends")
+def transcript_segments(spark, folder):
+    rows = chunking.transcript_segments(sample.talks(spark, folder), "conv_id", "body")
+    return rows.select("conv_id", "seg", "start_ms", "end_ms", T.sha256(F.col("text")).alias("text_hash"))
+
+
+@query(
+    "transcript_chunks",
+    f"""WITH {SEGMENTS_SQL},
+    w AS (SELECT *, length(text) AS n, unnest(range(0, greatest(0, ceil((length(text) - 1200) / 1080.0))::BIGINT + 1)) * 1080 AS s FROM ends),
+    p AS (SELECT conv_id, seg, s, start_ms, end_ms, substring(text, s + 1, 1200) AS part FROM w WHERE {trimmed('substring(text, s + 1, 1200)')} <> '' AND (length(substring(text, s + 1, 1200)) >= 80 OR s + 1200 >= n)),
+    c AS (SELECT *, sum(length(part)) OVER (PARTITION BY conv_id, seg) AS total, sum(length(part)) OVER (PARTITION BY conv_id, seg ORDER BY s) AS upto FROM p),
+    t AS (SELECT conv_id, seg, s, part, (start_ms + (end_ms - start_ms) * (upto - length(part)) // total)::BIGINT AS a, (start_ms + (end_ms - start_ms) * upto // total)::BIGINT AS b FROM c)
+    SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY seg, s) - 1)::INTEGER AS ordinal, a AS start_ms, greatest(b, a + 1) AS end_ms, sha256(part) AS text_hash FROM t""",
+)
+def transcript_chunks(spark, folder):
+    rows = chunking.transcript_chunks(sample.talks(spark, folder), "conv_id", "body")
+    return rows.select("conv_id", "ordinal", "start_ms", "end_ms", T.sha256(F.col("text")).alias("text_hash"))
+
+
+@query(
+    "rendered_segments",
+    """SELECT conv_id, string_agg('[' || lpad((turn * 90 // 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 90 % 60)::VARCHAR, 2, '0') || '] ' || trim(role), chr(10) ORDER BY turn) AS body
+    FROM conversations WHERE turn < 60 GROUP BY conv_id""",
+)
+def rendered_segments(spark, folder):
+    rows = table(spark, folder, "conversations").filter("turn < 60").select("conv_id", (F.col("turn") * 90.0).alias("start"), F.concat(F.lit(" "), "role").alias("text"))
+    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("s")).select("conv_id", chunking.rendered(F.col("s")).alias("body"))
+
+
+# lists, counts, pending work
+
+
+@query("list_files_page", f"WITH {FILES_SQL} SELECT rel_path, doc_type, status, size_bytes FROM files WHERE NOT deleted AND starts_with(rel_path, 'src') AND rel_path GLOB '*doc_*' ORDER BY rel_path LIMIT 25 OFFSET 10")
+def list_files_page(spark, folder):
+    return listing.list_files(sample.files(spark, folder), prefix="SRC", glob="*doc_*", limit=25, offset=10).select("rel_path", "doc_type", "status", "size_bytes")
+
+
+@query("list_visible_total", f"WITH {FILES_SQL} SELECT count(*) AS total FROM files WHERE NOT deleted AND NOT starts_with(rel_path, '.') AND rel_path GLOB '*.md'")
+def list_visible_total(spark, folder):
+    return listing.count_files(sample.files(spark, folder), glob="*.md", with_hidden=False)
+
+
+@query("document_by_path", f"WITH {FILES_SQL} SELECT doc_id, rel_path, doc_type FROM files WHERE rel_path = (SELECT min(rel_path) FROM files)")
+def document_by_path(spark, folder):
+    docs = sample.files(spark, folder)
+    path = docs.agg(F.min("rel_path")).first()[0]
+    return listing.by_path(docs, path).select("doc_id", "rel_path", "doc_type")
+
+
+@query("doc_counts", f"WITH {FILES_SQL} SELECT doc_type, count(*) AS n FROM files WHERE NOT deleted GROUP BY doc_type")
+def doc_counts(spark, folder):
+    return listing.doc_counts(sample.files(spark, folder))
+
+
+@query(
+    "corpus_stats",
+    f"""WITH {CHUNKS_SQL} SELECT (SELECT count(*) FROM files) AS scanned, (SELECT count(*) FROM files WHERE NOT deleted AND status = 'ok') AS indexed,
+       (SELECT count(*) FROM files WHERE NOT deleted AND status = 'skipped') AS skipped, (SELECT count(*) FROM files WHERE deleted) AS deleted, (SELECT count(*) FROM files WHERE NOT deleted AND status = 'error') AS errors,
+       (SELECT count(*) FROM files WHERE NOT deleted) AS total_docs, (SELECT count(*) FROM own) AS representations, (SELECT count(*) FROM chunks) AS chunks_total, (SELECT count(*) FROM chunks WHERE embedding_status = 'ok') AS embedded_ok,
+       (SELECT string_agg(doc_type || '=' || n, ',' ORDER BY doc_type) FROM (SELECT doc_type, count(*) AS n FROM files WHERE NOT deleted GROUP BY doc_type)) AS doc_counts""",
+)
+def corpus_stats(spark, folder):
+    docs = sample.files(spark, folder)
+    reps = corpus.representations(listing.live(docs).withColumn("status", F.lit("ok")))
+    stats = listing.corpus_stats(docs, reps, sample.chunks(spark, folder))
+    return stats.withColumn("doc_counts", F.array_join(F.transform(F.map_entries("doc_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
+
+
+@query(
+    "status_counts",
+    f"""WITH {FILES_SQL} SELECT CASE WHEN deleted THEN 'deleted' WHEN status = 'ok' THEN 'indexed' WHEN status = 'error' THEN 'errors' WHEN status = '' THEN '<empty>' ELSE status END AS status, count(*) AS n, min(rel_path) AS example FROM files GROUP BY 1""",
+)
+def status_counts(spark, folder):
+    return listing.status_counts(sample.files(spark, folder))
+
+
+@query("code_ratio", f"WITH {FILES_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE doc_type = 'code') AS code, count(*) FILTER (WHERE doc_type = 'code') / count(*)::DOUBLE AS code_ratio FROM files WHERE NOT deleted")
+def code_ratio(spark, folder):
+    return listing.code_ratio(sample.files(spark, folder))
+
+
+SPAN_SQL = "'lines:' || start_line || '-' || end_line AS span"
+
+
+@query("first_span", f"WITH {CHUNKS_SQL} SELECT chunk_id, {SPAN_SQL} FROM chunks")
+def first_span(spark, folder):
+    chunks, spans = sample.split(spark, folder)
+    later = spans.withColumn("span_id", F.lit((1 << 63) - 1)).withColumn("start", F.lit(7)).withColumn("end", F.lit(7))
+    return listing.with_span(chunks, spans.union(later)).select("chunk_id", corpus.printed_span(F.col("span")).alias("span"))
+
+
+@query("pending_chunks", f"WITH {CHUNKS_SQL} SELECT chunk_id, ordinal, index_kind, {SPAN_SQL} FROM chunks WHERE embedding_status = 'pending' AND index_kind = 'text' ORDER BY chunk_id LIMIT 32")
+def pending_chunks(spark, folder):
+    return listing.pending(*sample.split(spark, folder), kind="text").select("chunk_id", "ordinal", "index_kind", corpus.printed_span(F.col("span")).alias("span"))
+
+
+@query("embedded_metadata", f"WITH {CHUNKS_SQL} SELECT chunk_id, rel_path, doc_type, {trimmed('text')}[1:240] AS snippet, {SPAN_SQL} FROM chunks WHERE embedding_status = 'ok' ORDER BY chunk_id LIMIT 50 OFFSET 20")
+def embedded_metadata(spark, folder):
+    rows = listing.embedded(*sample.split(spark, folder), limit=50, offset=20)
+    return rows.select("chunk_id", "rel_path", "doc_type", "snippet", corpus.printed_span(F.col("span")).alias("span"))
+
+
+@query(
+    "chunks_by_rep",
+    f"WITH {CHUNKS_SQL} SELECT ordinal, chunk_id FROM chunks WHERE rep_id = (SELECT max(rep_id) FROM chunks WHERE ordinal = (SELECT max(ordinal) FROM chunks))",
+)
+def chunks_by_rep(spark, folder):
+    chunks = sample.chunks(spark, folder)
+    rep = chunks.agg(F.max(F.struct("ordinal", "rep_id")).alias("m")).select("m.rep_id").first()
+    return listing.chunks_of(chunks, rep.rep_id if rep else 0).select("ordinal", "chunk_id")
+
+
+@query(
+    "cache_eviction",
+    f"""WITH {FILES_SQL}, k AS (SELECT rel_path AS name, size_bytes, mtime_unix, (SELECT max(mtime_unix) FROM files) AS now FROM files),
+    r AS (SELECT name, sum(size_bytes) OVER (ORDER BY mtime_unix DESC, name DESC ROWS UNBOUNDED PRECEDING) AS upto FROM k WHERE mtime_unix >= now - 1000000) SELECT name FROM r WHERE upto <= 300000""",
+)
+def cache_eviction(spark, folder):
+    files = sample.files(spark, folder).select(F.col("rel_path").alias("name"), "size_bytes", "mtime_unix")
+    now = files.agg(F.max("mtime_unix")).first()[0] or 0
+    return listing.cache_kept(files, now, ttl_s=1_000_000, max_bytes=300_000).select("name")
+
+
+# changes
+
+
+def _versions(spark, folder):
+    """Stored: documents whose number isn't divisible by 5, with an old hash for every seventh. Found: those not divisible by 3."""
+    docs = sample.files(spark, folder)
+    stored = docs.filter("doc_id % 5 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("content_hash")))
+    return stored, docs.filter("doc_id % 3 <> 0")
+
+
+@query("missing_as_deleted", f"WITH {FILES_SQL} SELECT rel_path FROM files s WHERE doc_id % 5 <> 0 AND NOT deleted AND NOT EXISTS (SELECT 1 FROM files f WHERE f.doc_id % 3 <> 0 AND f.rel_path = s.rel_path)")
+def missing_as_deleted(spark, folder):
+    return changes.missing(*_versions(spark, folder)).select("rel_path")
+
+
+@query(
+    "changed_documents",
+    f"""WITH {FILES_SQL} SELECT f.rel_path, CASE WHEN s.doc_id IS NULL THEN 'add' WHEN s.doc_id % 7 = 0 OR s.status = 'error' OR s.deleted THEN 'update' ELSE 'keep' END AS action
+    FROM files f LEFT JOIN (SELECT * FROM files WHERE doc_id % 5 <> 0) s ON f.rel_path = s.rel_path WHERE f.doc_id % 3 <> 0""",
+)
+def changed_documents(spark, folder):
+    return changes.changed(*_versions(spark, folder)).select("rel_path", "action")
+
+
+@query(
+    "upsert_merge",
+    f"""WITH {FILES_SQL} SELECT rel_path, CASE WHEN doc_id % 3 = 0 AND doc_id % 7 = 0 THEN 'old' ELSE sha256(content) END AS content_hash FROM files WHERE doc_id % 5 <> 0 OR doc_id % 3 <> 0""",
+)
+def upsert_merge(spark, folder):
+    stored, found = _versions(spark, folder)
+    return changes.merge(stored, found, ["rel_path"]).select("rel_path", "content_hash")
+
+
+@query("insert_missing", f"WITH {FILES_SQL} SELECT rel_path, doc_id % 5 <> 0 AS was_there FROM files WHERE doc_id % 5 <> 0 OR doc_id % 3 <> 0")
+def insert_missing(spark, folder):
+    stored, found = (x.select("rel_path", F.lit(w).alias("was_there")) for x, w in zip(_versions(spark, folder), (True, False)))
+    return changes.insert_missing(stored, found, ["rel_path"])
+
+
+@query(
+    "cascade_soft_delete",
+    f"""WITH {CHUNKS_SQL}, g AS (SELECT doc_id FROM files WHERE doc_id % 4 = 1)
+    SELECT 'chunk' AS kind, chunk_id AS id, rep_id IN (SELECT doc_id FROM g) AS deleted FROM chunks
+    UNION ALL SELECT 'rep', doc_id, doc_id IN (SELECT doc_id FROM g) FROM own UNION ALL SELECT 'doc', doc_id, deleted OR doc_id IN (SELECT doc_id FROM g) FROM files""",
+)
+def cascade_soft_delete(spark, folder):
+    docs = sample.files(spark, folder)
+    reps = corpus.representations(listing.live(docs).withColumn("status", F.lit("ok"))).withColumn("rep_id", F.col("doc_id"))
+    d, r, c = changes.tombstone(docs, reps, sample.chunks(spark, folder), docs.filter("doc_id % 4 = 1"))
+    rows = lambda frame, kind, key: frame.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "deleted")
+    return rows(c, "chunk", "chunk_id").union(rows(r, "rep", "rep_id")).union(rows(d, "doc", "doc_id"))
+
+
+@query("drop_tail_chunks", f"WITH {CHUNKS_SQL} SELECT chunk_id, ordinal >= 1 AND rep_id % 2 = 0 AS deleted FROM chunks")
+def drop_tail_chunks(spark, folder):
+    chunks = sample.chunks(spark, folder)
+    lengths = chunks.filter("rep_id % 2 = 0").select("rep_id", F.lit(1).alias("n")).distinct()
+    return changes.drop_tail(chunks, lengths).select("chunk_id", "deleted")
+
+
+@query(
+    "mark_embedding",
+    f"""WITH {CHUNKS_SQL} SELECT chunk_id, CASE chunk_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' ELSE embedding_status END AS embedding_status, CASE WHEN chunk_id % 5 = 1 THEN 'bad' ELSE '' END AS embedding_error FROM chunks""",
+)
+def mark_embedding(spark, folder):
+    chunks = sample.chunks(spark, folder)
+    results = chunks.filter("chunk_id % 5 < 2").select("chunk_id", F.when(F.col("chunk_id") % 5 == 0, "ok").otherwise("error").alias("status"), F.when(F.col("chunk_id") % 5 == 1, "bad").alias("error"))
+    return changes.mark_embedding(chunks, results).select("chunk_id", "embedding_status", "embedding_error")
+
+
+@query(
+    "chunk_reuse_by_hash",
+    f"""WITH {CHUNKS_SQL}, k AS (SELECT index_kind, text, min(chunk_id) AS donor FROM chunks WHERE embedding_status = 'ok' GROUP BY ALL)
+    SELECT c.chunk_id, k.donor FROM chunks c JOIN k ON c.index_kind = k.index_kind AND c.text = k.text WHERE c.embedding_status = 'pending'""",
+)
+def chunk_reuse_by_hash(spark, folder):
+    chunks = sample.chunks(spark, folder)
+    done = chunks.filter("embedding_status = 'ok'")
+    vectors = done.select("index_kind", "chunk_id", F.array(F.col("chunk_id").cast("double")).alias("embedding"))
+    return changes.reusable_vectors(chunks, done, vectors).select("chunk_id", F.get("embedding", F.lit(0)).cast("long").alias("donor"))
+
+
+@query(
+    "archive_retention",
+    f"WITH {FILES_SQL} SELECT rel_path FROM files WHERE NOT deleted AND (starts_with(rel_path, 'src1/') OR starts_with(rel_path, 'src2/en/'))",
+)
+def archive_retention(spark, folder):
+    archives = spark.createDataFrame([("src1",), ("src2/en",), ("src",)], "rel_path string")
+    return changes.archive_members(sample.files(spark, folder), archives).select("rel_path")
+
+
+@query("evict_documents", f"WITH {META_SQL} SELECT chunk_id FROM meta WHERE chunk_id % 6 <> 0")
+def evict_documents(spark, folder):
+    meta = sample.meta(spark, folder)
+    return meta.join(meta.filter("chunk_id % 6 = 0").select("rel_path"), "rel_path", "left_anti").select("chunk_id")
+
+
+# answers
+
+HITS_SQL = f"""{META_SQL}, {PROBE},
+    h AS (SELECT chunk_id, rel_path, snippet, {SCORE} AS score FROM vectors JOIN meta USING (chunk_id, index_kind), q WHERE index_kind = 'text' ORDER BY score DESC, chunk_id LIMIT 10),
+    r AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS n, CASE WHEN snippet = '' THEN '(no snippet)' ELSE snippet END AS shown FROM h)"""
+
+
+def _hits(spark, folder):
+    hits, _ = retrieval.run(sample.vectors(spark, folder), sample.meta(spark, folder), retrieval.Search(index="text"), lambda text, kind: sample.probe(spark, folder))
+    return answers.gathered(hits)
+
+
+@query("fallback_answer", f"WITH {HITS_SQL} SELECT 'Question: why?' || chr(10) || 'Top context:' || chr(10) || string_agg('- ' || rel_path || ': ' || shown, chr(10) ORDER BY n) AS answer FROM r WHERE n <= 5")
+def fallback_answer(spark, folder):
+    return _hits(spark, folder).select(answers.fallback(F.lit("why?"), F.col("hits")).alias("answer"))
+
+
+@query(
+    "rag_prompt",
+    f"""WITH {HITS_SQL}, l AS (SELECT n, '- [' || rel_path || '] ' || shown || chr(10) AS line FROM r WHERE n <= 8), b AS (SELECT n, line, 900 - coalesce(sum(length(line)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM l),
+    c AS (SELECT n, CASE WHEN room <= 0 THEN '' WHEN length(line) <= room THEN line WHEN room <= 3 THEN line[1:room::BIGINT] ELSE line[1:(room - 3)::BIGINT] || '...' END AS part FROM b)
+    SELECT 'Be brief.' || chr(10) || chr(10) || 'Question:' || chr(10) || 'why?' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(part, '' ORDER BY n) AS prompt FROM c""",
+)
+def rag_prompt(spark, folder):
+    return _hits(spark, folder).select(answers.prompt(F.lit("why?"), F.col("hits"), "Be brief. ", 900).alias("prompt"))
+
+
+@query(
+    "ensure_attributions",
+    f"""WITH {HITS_SQL}, a AS (SELECT 'See [' || (SELECT rel_path FROM r WHERE n = 2) || '].' AS answer), m AS (SELECT rel_path, min(n) AS n FROM r GROUP BY rel_path),
+    x AS (SELECT '[' || rel_path || ']' AS tag, n FROM m, a WHERE NOT contains(answer, '[' || rel_path || ']') ORDER BY n LIMIT 5)
+    SELECT answer || chr(10) || chr(10) || 'Sources: ' || (SELECT string_agg(tag, ', ' ORDER BY n) FROM x) AS answer FROM a""",
+)
+def ensure_attributions(spark, folder):
+    hits = _hits(spark, folder)
+    paths = F.transform("hits", lambda h: h["rel_path"])
+    return hits.select(answers.attributed(F.concat(F.lit(" See ["), F.get(paths, F.lit(1)), F.lit("].")), F.concat(paths, paths)).alias("answer"))
+
+
+# opened sources
+
+
+@query(
+    "open_lines",
+    f"""WITH {FILES_SQL}, l AS (SELECT doc_id, string_split(content, chr(10)) AS l FROM files) SELECT doc_id, CASE WHEN len(l) < 2 THEN '' ELSE array_to_string(l[2:4], chr(10)) END AS part, array_to_string(l[1:1], chr(10)) AS first FROM l""",
+)
+def open_lines(spark, folder):
+    c = F.col("content")
+    return sample.files(spark, folder).select("doc_id", T.slice_lines(c, 2, 4).alias("part"), T.slice_lines(c, -3, 0).alias("first"))
+
+
+@query(
+    "open_page",
+    f"""WITH {FILES_SQL}, p AS (SELECT doc_id, replace(content, chr(10) || chr(10), chr(12)) AS c FROM files), s AS (SELECT doc_id, c, string_split(replace(c, chr(10), chr(12)), chr(12)) AS l FROM p)
+    SELECT doc_id, CASE WHEN len(l) = 1 THEN NULL WHEN len(l) < 2 THEN NULL ELSE trim(l[2], chr(10)) END AS second, CASE WHEN len(l) = 1 THEN l[1] ELSE trim(l[1], chr(10)) END AS first FROM s""",
+)
+def open_page(spark, folder):
+    c = F.translate(F.replace(F.col("content"), F.lit("\n\n"), F.lit("\f")), "\n", "\f")
+    return sample.files(spark, folder).select("doc_id", T.slice_page(c, 2).alias("second"), T.slice_page(c, 0).alias("first"))
+
+
+@query(
+    "open_time",
+    f"""WITH {TALKS_SQL}, l AS (SELECT conv_id, unnest(string_split(body, chr(10))) AS l, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM talks)
+    SELECT conv_id, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE l[2:3]::INT * 60 + l[5:6]::INT BETWEEN 14 AND 28), '') AS part FROM l GROUP BY conv_id""",
+)
+def open_time(spark, folder):
+    return sample.talks(spark, folder).select("conv_id", T.slice_time(F.col("body"), 14_000, 28_000).alias("part"))
+
+
+@query(
+    "overlap_chunks",
+    f"""WITH {SEGMENTS_SQL} SELECT conv_id, string_agg({trimmed('text')}[1:240], chr(10) ORDER BY start_ms, seg) AS content FROM ends WHERE start_ms <= 20000 AND end_ms >= 9000 GROUP BY conv_id""",
+)
+def overlap_chunks(spark, folder):
+    rows = chunking.transcript_segments(sample.talks(spark, folder), "conv_id", "body")
+    span = corpus.decoded_span(F.lit("time"), F.col("start_ms").cast("int"), F.col("end_ms").cast("int"))
+    meta = rows.select(F.col("conv_id").alias("rel_path"), F.col("seg").alias("chunk_id"), T.snippet(F.col("text")).alias("snippet"), span.alias("span"))
+    wanted = meta.select("rel_path").distinct().withColumn("from_ms", F.lit(9000)).withColumn("to_ms", F.lit(20000))
+    return opening.times_from_chunks(meta, wanted).select(F.col("rel_path").alias("conv_id"), "content")
+
+
+@query("flatten_json")
+def flatten_json(spark, folder):
+    return table(spark, folder, "events").select("event_id", annotations.flatten_json("props").alias("lines"))
+
+
+# keyed state
+
+
+@query(
+    "session_inactivity",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 24 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS n, epoch(min(ts))::BIGINT AS first_s, epoch(max(ts))::BIGINT AS last_s FROM s GROUP BY ALL""",
+)
+def session_inactivity(spark, folder):
+    rows = state.sessions(table(spark, folder, "events"), "user_id", "ts")
+    seconds = lambda c: F.round(F.unix_micros(F.col(c).cast("timestamp")) / 1e6).cast("long")
+    return rows.select("user_id", "session", "n", seconds("first_ts").alias("first_s"), seconds("last_ts").alias("last_s"))
+
+
+@query("token_bucket")
+def token_bucket(spark, folder):
+    return state.rate_limited(table(spark, folder, "events"), "user_id", "ts", rps=1 / 3600, burst=5, ident="event_id")
+
+
+@query(
+    "idempotent_outcomes",
+    """WITH f AS (SELECT user_id, event_type, min(event_id) AS f FROM events WHERE true GROUP BY ALL) SELECT e.event_id AS call_id, e.user_id || ':' || e.event_type AS key, f AS executed_by, e.event_id <> f AS replayed FROM events e JOIN f USING (user_id, event_type)""",
+)
+def idempotent_outcomes(spark, folder):
+    calls = table(spark, folder, "events").select(F.col("event_id").alias("call_id"), F.concat("user_id", F.lit(":"), "event_type").alias("key"), F.col("event_id").alias("ts"))
+    return state.settled_once(calls)
+
+
+@query("outcomes_pruned", "SELECT event_id AS key FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 500 ORDER BY event_id DESC LIMIT 200")
+def outcomes_pruned(spark, folder):
+    rows = table(spark, folder, "events").select(F.col("event_id").alias("key"), F.col("event_id").alias("ts"))
+    now = rows.agg(F.max("ts")).first()[0] or 0
+    return state.outcomes_kept(rows, now, 500, 200).select("key")
+
+
+@query("embed_pending")
+def embed_pending(spark, folder):
+    chunks = sample.chunks(spark, folder).filter("embedding_status = 'pending'")
+    vectors, _ = worker.embed_batch(chunks, HashedWords)
+    return vectors.select("index_kind", "chunk_id", F.size("embedding").alias("dimension"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
