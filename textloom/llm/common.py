@@ -46,3 +46,17 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once: a column that a lambda names is else computed anew for every element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def marked(keys: DataFrame, key: str, words: int = 1 << 17) -> DataFrame:
+    """A bitmap (word, bits) of the hashed long keys: at most so many rows, whatever the keys, so it may be broadcast.
+
+    A key's bit may be set by another key; when very many keys are marked, it tells less, but never wrongly that one isn't.
+    """
+    return keys.groupBy(F.pmod(key, F.lit(words)).alias("word_")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, 40) & 63 AS INT))")).alias("bits_"))
+
+
+def maybe_marked(frame: DataFrame, key: str, bitmap: DataFrame, yes: bool = True, words: int = 1 << 17) -> DataFrame:
+    """The rows whose key may be marked, or those whose key surely isn't; without a shuffle of the frame."""
+    here = (F.pmod(F.col(key), F.lit(words)) == F.col("word_")) & (F.expr(f"bits_ & shiftleft(1L, cast(shiftrightunsigned({key}, 40) & 63 AS INT))") != 0)
+    return frame.join(F.broadcast(bitmap), here, "left_semi" if yes else "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_digest
 
-from .common import WHITE, small_batches, written
+from .common import WHITE, marked, maybe_marked, small_batches, written
 from .components import components
 
 #: The seed of the hashes of shingles, and the least that a shard has before it is linked the other way.
@@ -270,7 +270,8 @@ def _alike(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> D
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     sides = F.explode(F.array("u", "v"))
-    texts = docs.join(pairs.select("u", "v", sides.alias("node")), "node").groupBy("u", "v")
+    members = written(pairs.select("u", "v", sides.alias("node")), "pair-members")
+    texts = maybe_marked(docs, "node", marked(members, "node")).join(members, "node").groupBy("u", "v")
     both = texts.agg(F.min(F.struct("node", "text")).alias("a"), F.max(F.struct("node", "text")).alias("b"))
     return both.select("u", "v", F.col("a.text").alias("a"), F.col("b.text").alias("b")).mapInArrow(run, "u long, v long")
 
@@ -304,14 +305,18 @@ def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity
     alike = _alike(rows.select("node", "text"), pairs.filter(F.col("d") > SURE), size, similarity)
     comps = components(pairs.filter(F.col("d") <= SURE).select("u", "v").union(alike))
     found = classes.join(comps, F.col("class") == F.col("node"), "left").select("fp", "keys", F.coalesce("component", "class").alias("component"))
-    return sketches.join(found, ["fp", "keys"]).select("node", "doc_id", "sig", "component")
+    return written(sketches.join(found, ["fp", "keys"]).select("node", "doc_id", "sig", "component"), "near-groups")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; documents without words stay."""
-    keepers = near_groups(docs).groupBy("component").agg(F.min(F.struct("doc_id", "sig")).alias("k")).select("k.doc_id", "k.sig")
-    keyed = docs.withColumn("sig_", F.xxhash64("text")).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.sig_") == F.col("k.sig"))
-    kept = keyed.join(keepers.alias("k"), same, "left_semi").dropDuplicates(["doc_id", "sig_"]).drop("sig_")
-    wordless = docs.filter(F.col("text").isNull() | ~F.col("text").rlike(f"[^{WHITE}]"))
-    return kept.union(wordless)
+    worded = F.coalesce(F.col("text").rlike(f"[^{WHITE}]"), F.lit(False))
+    found = near_groups(docs)
+    groups = found.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sig", "node")).alias("k"))
+    keepers = groups.select("k.node")
+    several = marked(found.join(groups.filter("n > 1").select("component"), "component", "left_semi"), "node")
+    keyed = docs.filter(worded).withColumn("node_", F.xxhash64("doc_id", F.xxhash64("text")))
+    # only texts that may be in a group of several are shuffled, and once: repeated rows are told by the key of the join
+    alone = maybe_marked(keyed, "node_", several, yes=False)
+    kept = maybe_marked(keyed, "node_", several).join(keepers, F.col("node_") == F.col("node"), "left_semi").dropDuplicates(["node_", "doc_id"])
+    return alone.union(kept).drop("node_").union(docs.filter(~worded))
