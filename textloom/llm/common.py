@@ -29,7 +29,7 @@ def written(frame: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-    frame.write.options(compression="zstd", **options).parquet(path)
+    frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
