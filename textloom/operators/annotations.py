@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -18,13 +19,21 @@ from .corpus import _finish, lines_span, stable_id
 PREVIEW = 240
 
 
+def number(value: float) -> str:
+    """A double in its shortest form, whole numbers without a point."""
+    v = float(value)
+    if v.is_integer() and abs(v) < 1e21:
+        return str(int(v))
+    return re.sub(r"e([+-])0+(\d)", r"e\1\2", repr(v))
+
+
 def flatten(value: Any, at: str = "") -> list[str]:
     """Lines ``a.b[0]: v`` in the order of keys; blank strings are left out."""
     if isinstance(value, dict):
         return [line for key in sorted(value) for line in flatten(value[key], f"{at}.{key}" if at else key)]
     if isinstance(value, list):
         return [line for i, item in enumerate(value) for line in flatten(item, f"{at}[{i}]")]
-    shown = value.strip() if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    shown = value.strip() if isinstance(value, str) else number(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else json.dumps(value)
     return [f"{at}: {shown}" if at else shown] if shown else []
 
 
@@ -32,24 +41,12 @@ def flattened(raw: str | None) -> str | None:
     if raw is None:
         return None
     try:
-        value = json.loads(raw, parse_float=_Number, parse_int=_Number)
+        value = json.loads(raw)
     except ValueError:
         return None
     return "\n".join(flatten(value)).strip() or json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
 
 
-class _Number(float):
-    """A number that is shown as it was written."""
-
-    def __new__(cls, text: str):
-        made = super().__new__(cls, text)
-        made.text = text
-        return made
-
-    def __repr__(self) -> str:
-        return self.text
-
-
 @F.pandas_udf(StringType())
 def flatten_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Recursion over any depth is beyond built-in functions; null for what isn't JSON."""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,6 @@ def _inside(root: str, path: str) -> bool:
 
 def walk(root: str, most_bytes: int = MOST_BYTES, use_ignore_files: bool = True, follow_links: bool = False) -> Iterator[tuple[str, str, int, int]]:
     """(rel_path, path, size, mtime) of a local tree. Links are followed only within the root, and no folder is entered twice."""
-    import re
-
     real_root = os.path.realpath(root)
     visited = {real_root}
 
@@ -69,20 +69,25 @@ def stored_files(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES, e
     """A folder of any file system, listed and read by executors; without content only metadata is read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), "^.*?" + _quoted(base.split("://")[-1].removeprefix("file:")), "")
+    rel = F.regexp_replace(F.col("path"), "^.*?" + re.escape(base.split("://")[-1].removeprefix("file:")), "")
     rows = found.filter(F.col("length") <= most_bytes).select(
         rel.alias("rel_path"), "path", F.col("length").alias("size_bytes"), F.unix_timestamp("modificationTime").alias("mtime_unix"), *(["content"] if content else []), F.lit("filesystem").alias("source_type")
     )
     return rows.filter(~globs.any_of(F.col("rel_path"), excludes))
 
 
-def _quoted(text: str) -> str:
-    import re
-
-    return re.escape(text)
+def with_content(listed: DataFrame) -> DataFrame:
+    """Content of files of a mounted folder (Spark's own reader leaves out names that start with a dot); a file at a time."""
 
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples(index=False):
+                try:
+                    with open(row.path, "rb") as f:
+                        content = f.read()
+                except OSError:
+                    continue
+                yield pd.DataFrame([(row.rel_path, content, row.size_bytes, row.mtime_unix, "filesystem")], columns=["rel_path", "content", "size_bytes", "mtime_unix", "source_type"])
 
-def with_content(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
-    """Content of listed files: the folder's binary scan, cut down to what was listed."""
-    found = stored_files(spark, folder, most_bytes=2**31 - 1, excludes=())
-    return found.join(files.select("rel_path"), "rel_path", "left_semi")
+    spread = listed.repartition(listed.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInPandas(read, "rel_path string, content binary, size_bytes long, mtime_unix long, source_type string")
