@@ -10,8 +10,9 @@ and travel as one stretch: a token, a hash of all bytes of the stretch, and wher
 2. What is left has a token that others have, in other surroundings. Only there the bytes themselves travel, by token. Each
    bucket sorts the suffixes of a token by a multikey quicksort that goes through all its partitions of one depth at once:
    eight bytes at a time, suffixes that stand alone leave, those that are equal to the end are repeated.
-3. Tokens with more stretches than ``RUN``, and those that a boundary cuts, are compared another exact way: a row for each
-   window with a 128-bit hash of its bytes, range-partitioned and compared like the stretches of step 1.
+3. Tokens with more stretches than ``RUN``, and those that a boundary cuts, are compared another exact way: in pieces of
+   ``PIECE`` windows, whose common bytes are the key and all bytes the tie, range-partitioned and compared like the stretches
+   of step 1; and what is left of these window by window, by 128-bit hashes.
 
 Defined cases: a null or empty text has no bytes. Repeated rows repeat all their windows. A text shorter than ``length`` loses
 nothing. Rows without an id are told apart by their text. An empty table gives no rows.
@@ -30,11 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import marked, maybe_marked, small_batches, written
 
 LENGTH, TOKEN = 200, 64
 #: Stretches of one token that are sorted in memory; windows sorted at a time; bits of a place within a segment of a text.
 RUN, AT_ONCE, PLACE_BITS = 512, 200_000, 24
+#: Windows of a piece of a stretch that is compared in pieces.
+PIECE = 8
 
 ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BYTES = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
@@ -79,6 +82,8 @@ def signed(values: np.ndarray) -> pa.Array:
 
 
 PLACE = ["doc_id", "sig", "first", "size"]
+#: A document's key in the bitmaps that keep texts without matches out of shuffles, as SQL.
+NODE_SQL = "xxhash64(doc_id, sig)"
 
 
 def all_stretches(docs: DataFrame, length: int, id_type: str) -> DataFrame:
@@ -102,10 +107,11 @@ def all_stretches(docs: DataFrame, length: int, id_type: str) -> DataFrame:
     return docs.mapInArrow(run, f"key long, tie long, doc_id {id_type}, sig long, first long, size long")
 
 
-def repeated(rows: DataFrame, id_type: str, material: bool = True) -> DataFrame:
+def repeated(rows: DataFrame, id_type: str, material: bool = True, more_place: str = "") -> DataFrame:
     """Of rows (key, tie, place): those whose key and tie another row has (again = true), and, if wanted, one for each tie of
     a key that has several (again = false). Rows are dealt by sampled splitters, sorted and compared with their neighbours."""
-    names = ["key", "tie", *PLACE]
+    names = ["key", "tie", *PLACE, *([more_place] if more_place else [])]
+    fields = f"key long, tie long, doc_id {id_type}, sig long, first long, size long" + (f", {more_place} long" if more_place else "") + ", again boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: pa.RecordBatch, again: bool, edge: int | None = None, n: int = 0) -> pa.RecordBatch:
@@ -155,9 +161,9 @@ def repeated(rows: DataFrame, id_type: str, material: bool = True) -> DataFrame:
                 yield out(held, False, at + 1, n)
             yield from closed(False)
 
-    schema = f"key long, tie long, doc_id {id_type}, sig long, first long, size long, again boolean, edge long, n long"
     order = ["key", "tie", *PLACE[:3]]
-    found = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "repeated")
+    dealt = rows.select(*names).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = written(dealt.mapInArrow(run, f"{fields}, edge long, n long"), "repeated")
     # two groups of each bucket at most: the first and the last, in order; the first of them is the last too in a bucket of one group
     edges = sorted(found.filter("edge IS NOT NULL").collect(), key=lambda r: r.edge)
     more: list[tuple[Any, ...]] = []
@@ -168,8 +174,7 @@ def repeated(rows: DataFrame, id_type: str, material: bool = True) -> DataFrame:
                     more.append((*(r[c] for c in names), True))
                 if material:
                     more.append((*(r[c] for c in names), False))
-    schema = f"key long, tie long, doc_id {id_type}, sig long, first long, size long, again boolean"
-    return found.filter("edge IS NULL").select(*names, "again").union(rows.sparkSession.createDataFrame(more, schema))
+    return found.filter("edge IS NULL").select(*names, "again").union(rows.sparkSession.createDataFrame(more, fields))
 
 
 def equal_windows(texts: list[bytes], runs: list[int], length: int) -> list[np.ndarray]:
@@ -200,9 +205,10 @@ def equal_windows(texts: list[bytes], runs: list[int], length: int) -> list[np.n
 
 def by_bytes(docs: DataFrame, mixed: DataFrame, length: int, id_type: str) -> DataFrame:
     """The repeated windows in stretches (key, place) whose token others have, as (doc_id, sig, first, size)."""
-    lists = mixed.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("key", "first", "size")).alias("own"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.sig") == F.col("l.sig"))
-    with_text = docs.alias("d").join(lists.alias("l"), same).select("d.doc_id", "d.sig", "d.text", "l.own").dropDuplicates(["doc_id", "sig"])
+    lists = written(mixed.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("key", "first", "size")).alias("own")).withColumn("node", F.expr(NODE_SQL)), "mixed-stretches")
+    same = (F.col("d.node") == F.col("l.node")) & F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.sig") == F.col("l.sig"))
+    some = maybe_marked(docs.withColumn("node", F.expr(NODE_SQL)), "node", marked(lists, "node"))
+    with_text = some.alias("d").join(lists.hint("shuffle_hash").alias("l"), same).select("d.doc_id", "d.sig", "d.text", "l.own")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,11 +222,12 @@ def by_bytes(docs: DataFrame, mixed: DataFrame, length: int, id_type: str) -> Da
                 at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(at), batch.column(1).take(at), pa.array(first), pa.array(raw, pa.binary())], ["key", *PLACE[:3], "raw"])
 
-    parts = written(with_text.mapInArrow(cut, f"key long, doc_id {id_type}, sig long, first long, raw binary"), "surroundings")
+    # repeated rows have the same surroundings, of which one is wanted
+    parts = written(with_text.mapInArrow(cut, f"key long, doc_id {id_type}, sig long, first long, raw binary").dropDuplicates(["key", "doc_id", "sig", "first"]), "surroundings")
     order = ["key", *PLACE[:3]]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["rest", "tie", *PLACE]
+        names = ["rest", "tie", *PLACE, "parent"]
 
         def spans(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not rows:
@@ -237,16 +244,26 @@ def by_bytes(docs: DataFrame, mixed: DataFrame, length: int, id_type: str) -> Da
                 size += (turns[1::2] - turns[::2]).tolist()
             if owner:
                 at, null = pa.array(owner), pa.nulls(len(owner), pa.int64())
-                yield pa.RecordBatch.from_arrays([null, null, table.column(1).take(at), table.column(2).take(at), pa.array(first), pa.array(size)], names)
+                yield pa.RecordBatch.from_arrays([null, null, table.column(1).take(at), table.column(2).take(at), pa.array(first), pa.array(size), null], names)
 
-        def windows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for row in range(len(part)):
-                raw, begin = part.column(4)[row].as_py(), part.column(3)[row].as_py()
+        def pieces(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            owner, keys, ties, firsts, sizes, parents = [], [], [], [], [], []
+            for row, (key, begin, raw) in enumerate(zip(part.column(0).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist())):
                 n = len(raw) - length + 1
-                hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[s : s + length]) for s in range(n)]), "<i8").reshape(-1, 2)
-                at = pa.array([row] * n)
-                columns = [pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), part.column(1).take(at), part.column(2).take(at), pa.array(np.arange(begin, begin + n)), pa.array([1] * n)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                at = np.flatnonzero(token_hashes(np.frombuffer(raw, np.uint8)).view(np.int64) == key)
+                shift = int(at[0]) % PIECE if len(at) else 0  # pieces begin at like distances from the token
+                points = sorted({0, *range(shift, n, PIECE), n})
+                for a, b in zip(points, points[1:]):
+                    owner.append(row)
+                    q = a - (a - shift) % PIECE  # where the piece begins if the stretch doesn't cut it
+                    keys.append(xxhash.xxh3_64_intdigest(raw[q + PIECE - 1 : q + length]))
+                    ties.append(xxhash.xxh3_64_intdigest(raw[a : b - 1 + length]))
+                    firsts.append(begin + a)
+                    sizes.append(b - a)
+                    parents.append(begin)
+            at = pa.array(owner)
+            columns = [signed(np.array(keys, np.uint64)), signed(np.array(ties, np.uint64)), part.column(1).take(at), part.column(2).take(at), *map(pa.array, (firsts, sizes, parents))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
         ready: list[pa.RecordBatch] = []
         run: list[pa.RecordBatch] = []
@@ -267,22 +284,41 @@ def by_bytes(docs: DataFrame, mixed: DataFrame, length: int, id_type: str) -> Da
                             ready, weight = [], 0
                     else:
                         for r in run:
-                            yield from windows(r)
+                            yield from pieces(r)
                     inside, key, rows, run = key is not None, keys[a], 0, []
                 run.append(batch.slice(a, b - a))
                 rows += b - a
                 if rows > RUN:  # too many to be held
                     for r in run:
-                        yield from windows(r)
+                        yield from pieces(r)
                     run = []
         yield from spans(ready)
         for r in run:
-            yield from windows(r)
+            yield from pieces(r)
 
-    schema = f"rest long, tie long, doc_id {id_type}, sig long, first long, size long"
+    schema = f"rest long, tie long, doc_id {id_type}, sig long, first long, size long, parent long"
     found = written(parts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, schema), "windows")
-    rest = found.filter("rest IS NOT NULL").select(F.col("rest").alias("key"), "tie", *PLACE)
-    again = repeated(rest, id_type, material=False).filter("again").select(*PLACE)
+    rest = found.filter("rest IS NOT NULL").select(F.col("rest").alias("key"), "tie", *PLACE, "parent")
+    judged = repeated(rest, id_type, more_place="parent")
+    left = judged.filter("NOT again").select(*PLACE, "parent").distinct()
+    at = F.col("p.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("p.sig") == F.col("w.sig")) & (F.col("p.first") == F.col("w.parent"))
+    single = left.alias("w").join(parts.select(*PLACE[:3], "raw").alias("p"), at).select("w.doc_id", "w.sig", "w.first", "w.size", "w.parent", "p.raw")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, firsts, hashes = [], [], []
+            for row, (first, size, parent, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)))):
+                for s in range(first, first + size):
+                    owner.append(row)
+                    firsts.append(s)
+                    hashes.append(xxhash.xxh3_128_digest(raw[s - parent : s - parent + length]))
+            if owner:
+                both, at = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2), pa.array(owner)
+                columns = [pa.array(both[:, 0]), pa.array(both[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(firsts), pa.array([1] * len(owner))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "tie", *PLACE])
+
+    last = repeated(single.mapInArrow(windows, f"key long, tie long, doc_id {id_type}, sig long, first long, size long"), id_type, material=False)
+    again = judged.filter("again").select(*PLACE).union(last.filter("again").select(*PLACE))
     return found.filter("rest IS NULL").select(*PLACE).union(again)
 
 
@@ -298,9 +334,12 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = repeated(all_stretches(long, length, id_type), id_type)
     mixed = found.filter("NOT again").select("key", *PLACE)
     covered = found.filter("again").select(*PLACE).union(by_bytes(long, mixed, length, id_type))
-    lists = covered.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("first", "size")).alias("own"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.sig") == F.col("l.sig"))
-    joined = keyed.alias("d").join(lists.alias("l"), same, "left").select("d.doc_id", "d.text", "l.own")
+    lists = written(covered.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("first", "size")).alias("own")).withColumn("node", F.expr(NODE_SQL)), "covered")
+    same = (F.col("d.node") == F.col("l.node")) & F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.sig") == F.col("l.sig"))
+    bitmap, nodes = marked(lists, "node"), keyed.withColumn("node", F.expr(NODE_SQL))
+    whole = maybe_marked(nodes, "node", bitmap, yes=False).select("doc_id", "text", F.lit(None).cast(lists.schema["own"].dataType).alias("own"))
+    cut = maybe_marked(nodes, "node", bitmap).alias("d").join(lists.hint("shuffle_hash").alias("l"), same, "left").select("d.doc_id", "d.text", "l.own")
+    joined = whole.union(cut)  # only texts that may lose something are shuffled
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
