@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +13,11 @@ from pyspark.sql.types import StringType
 SPACE = r"[\t\n\x0B\f\r \u0085   -     　]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once; an expression that a lambda names is else computed again wherever it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), rf"{SPACE}+\z", "")

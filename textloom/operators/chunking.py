@@ -64,14 +64,16 @@ def timestamp(line: Column) -> Column:
     """struct(ms, text) of a trimmed line that starts with a time within its ranges, else null."""
 
     def of(pattern: str) -> Column:
-        a, b, c = (F.when(line.rlike(pattern), F.regexp_extract(line, pattern, i)) for i in (1, 2, 3))
-        n = lambda x: F.coalesce(F.when(x != "", x).cast("long"), F.lit(0))
-        short = c == ""
-        ms = F.when(short, n(a) * 60 + n(b)).otherwise(n(a) * 3600 + n(b) * 60 + n(c)) * 1000
-        ok = F.when(short, (n(a) <= 59) & (n(b) <= 59)).otherwise((n(b) <= 59) & (n(c) <= 59))
-        return F.when(line.rlike(pattern) & ok, F.struct(ms.alias("ms"), T.trim(F.regexp_extract(line, pattern, 4)).alias("text")))
+        def read(p: Column) -> Column:
+            n = lambda i: F.coalesce(F.when(p[i] != "", p[i]).cast("long"), F.lit(0))
+            short = p[2] == ""
+            ms = F.when(short, n(0) * 60 + n(1)).otherwise(n(0) * 3600 + n(1) * 60 + n(2)) * 1000
+            ok = F.when(short, (n(0) <= 59) & (n(1) <= 59)).otherwise((n(1) <= 59) & (n(2) <= 59))
+            return F.when(ok, F.struct(ms.alias("ms"), T.trim(p[3]).alias("text")))
 
-    return F.when(line.rlike(BRACKETED), of(BRACKETED)).otherwise(of(BARE))
+        return T.let(F.array(*(F.regexp_extract(line, pattern, i) for i in (1, 2, 3, 4))), read)
+
+    return F.when(line.rlike(BRACKETED), of(BRACKETED)).when(line.rlike(BARE), of(BARE))
 
 
 def speech_ms(text: Column) -> Column:
@@ -85,11 +87,12 @@ def segments(text: Column) -> Column:
 
     A segment ends where the next begins, unless that is earlier; then, and for the last, it is as long as it takes to say.
     """
-    lines = F.transform(F.split(text, "\n", -1), lambda x: T.trim(x))
+    trimmed = F.transform(F.split(text, "\n", -1), lambda x: T.trim(x))
+    lines = F.transform(trimmed, lambda x: F.struct(x.alias("line"), timestamp(x).alias("mark")))
     none = F.array().cast("array<struct<ms:bigint,parts:array<string>>>")
 
-    def step(acc: Column, line: Column) -> Column:
-        mark = timestamp(line)
+    def step(acc: Column, item: Column) -> Column:
+        line, mark = item["line"], item["mark"]
         fresh = lambda ms, part: F.struct(ms.cast("long").alias("ms"), F.when(part != "", F.array(part)).otherwise(F.array().cast("array<string>")).alias("parts"))
         last = F.element_at(acc, -1)
         longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["ms"].alias("ms"), F.concat(last["parts"], F.array(line)).alias("parts"))))
@@ -97,10 +100,9 @@ def segments(text: Column) -> Column:
         return F.when(mark.isNotNull(), F.concat(acc, F.array(fresh(mark["ms"], mark["text"])))).when(line == "", acc).otherwise(begun)
 
     marked = F.transform(F.aggregate(lines, none, step), lambda s: F.struct(s["ms"].alias("ms"), F.array_join(s["parts"], "\n").alias("text")))
-    full = F.filter(marked, lambda s: s["text"] != "")
     plain = T.trim(text)
     fallback = F.when(plain != "", F.array(F.struct(F.lit(0).cast("long").alias("ms"), plain.alias("text")))).otherwise(F.array().cast("array<struct<ms:bigint,text:string>>"))
-    return F.when(F.size(full) > 0, full).otherwise(fallback)
+    return T.let(F.filter(marked, lambda s: s["text"] != ""), lambda full: F.when(F.size(full) > 0, full).otherwise(fallback))
 
 
 def transcript_segments(frame: DataFrame, key: str, text: str) -> DataFrame:
@@ -130,17 +132,24 @@ def transcript_chunks(frame: DataFrame, key: str, text: str) -> DataFrame:
             after = F.get(all_, i + 1)["ms"]
             end = F.greatest(F.when(after >= s["ms"], after).otherwise(s["ms"] + speech_ms(s["text"])), s["ms"] + 1)
             parts = F.transform(char_windows(s["text"], *TRANSCRIPT_WINDOW), lambda w: w["text"])
-            total = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + F.length(p))
-            start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<text:string,start_ms:bigint,end_ms:bigint>>").alias("out"))
+            return T.let(F.struct(parts.alias("parts"), (end - s["ms"]).alias("ms")), lambda known: spread(s["ms"], known))
+
+        def spread(begin: Column, known: Column) -> Column:
+            total = F.aggregate(known["parts"], F.lit(0).cast("long"), lambda n, p: n + F.length(p))
+
+            def over(total: Column) -> Column:
+                start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<text:string,start_ms:bigint,end_ms:bigint>>").alias("out"))
+
+                def place(acc: Column, p: Column) -> Column:
+                    n = acc["n"] + F.length(p)
+                    a = begin + F.floor(known["ms"] * acc["n"] / total)
+                    b = F.greatest(begin + F.floor(known["ms"] * n / total), a + 1)
+                    row = F.struct(p.alias("text"), a.cast("long").alias("start_ms"), b.cast("long").alias("end_ms"))
+                    return F.struct(n.alias("n"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-            def place(acc: Column, p: Column) -> Column:
-                n = acc["n"] + F.length(p)
-                a = s["ms"] + F.floor((end - s["ms"]) * acc["n"] / total)
-                b = F.greatest(s["ms"] + F.floor((end - s["ms"]) * n / total), a + 1)
-                row = F.struct(p.alias("text"), a.cast("long").alias("start_ms"), b.cast("long").alias("end_ms"))
-                return F.struct(n.alias("n"), F.concat(acc["out"], F.array(row)).alias("out"))
+                return F.aggregate(known["parts"], start, place, lambda acc: acc["out"])
 
-            return F.aggregate(parts, start, place, lambda acc: acc["out"])
+            return T.let(total, over)
 
         return F.flatten(F.transform(all_, one))
 
