@@ -141,8 +141,9 @@ def test_vectors(spark):
     assert V.search(rows, [1.0, 0.0], 10).count() == 3 and V.dimension_mismatches(rows, 2).first()[0] == 1 and V.search(rows.limit(0), [1.0], 5).count() == 0
     new = spark.createDataFrame([("text", 1, [0.0, 1.0], 1), ("text", 1, [0.5, 0.5], 2)], schemas.VECTORS + ", at int")
     assert [r.embedding for r in V.upsert(rows, new).filter("chunk_id = 1").collect()] == [[0.5, 0.5]]
-    with pytest.raises(ValueError):
-        V.search_each(rows, spark.range(5).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("query")), most_queries=3)
+    asked = spark.range(5).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("query"))
+    ranked = lambda **o: sorted(tuple(r) for r in V.search_each(rows, asked, 2, **o).collect())
+    assert ranked() == ranked(most_queries=2, most_vectors=2) and len(ranked()) == 10
 
 
 def test_fusion_of_ids_in_both(spark):

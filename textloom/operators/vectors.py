@@ -44,16 +44,24 @@ def dimension_mismatches(vectors: DataFrame, dimension: int) -> DataFrame:
     return vectors.agg(F.count_if(F.size("embedding") != dimension).alias("mismatches"))
 
 
-def search_each(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 1024) -> DataFrame:
-    """query_id, chunk_id, score, rank for a bounded set of queries (query_id, query).
+def search_each(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 1024, most_vectors: int = 8192) -> DataFrame:
+    """query_id, chunk_id, score, rank for a set of queries (query_id, query).
 
-    The queries are counted first; a set that isn't small enough to be sent everywhere has to be searched in parts. In each
-    task the best of a query are found before anything is shuffled.
+    The queries are counted. Up to ``most_queries`` are sent everywhere. More are dealt into blocks, and each block of queries
+    meets each block of vectors once, in a join on the pair of blocks. Either way the best of a query are found in each task
+    before they are shuffled.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries at once")
-    both = vectors.crossJoin(F.broadcast(queries)).filter(F.size("embedding") == F.size("query"))
+    n = queries.count()
+    if n <= most_queries:
+        both = vectors.crossJoin(F.broadcast(queries))
+    else:
+        q_blocks, v_blocks = -(-n // most_queries), max(1, -(-vectors.count() // most_vectors))
+        own = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+        every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        dealt = vectors.withColumn("vb", own("chunk_id", v_blocks)).withColumn("qb", every(q_blocks))
+        asked = queries.withColumn("qb", own("query_id", q_blocks)).withColumn("vb", every(v_blocks))
+        both = dealt.join(asked, ["qb", "vb"]).drop("qb", "vb")
+    both = both.filter(F.size("embedding") == F.size("query"))
     scored = both.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("query")), DIGITS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -78,13 +78,13 @@ def search_both_fused(spark, folder):
 
 @query(
     "cosine_topk_each",
-    """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20),
+    """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
     s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q)
     SELECT query_id, chunk_id, score, row_number() OVER w AS rank FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, chunk_id) QUALIFY rank <= 10""",
 )
 def cosine_topk_each(spark, folder):
     own = sample.vectors(spark, folder)
-    asked = own.filter("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = own.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
     return V.search_each(own, asked)
 
 
@@ -267,11 +267,11 @@ def transcript_chunks(spark, folder):
 
 @query(
     "rendered_segments",
-    """SELECT conv_id, string_agg('[' || lpad((turn * 90 // 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 90 % 60)::VARCHAR, 2, '0') || '] ' || trim(role), chr(10) ORDER BY turn) AS body
-    FROM conversations WHERE turn < 60 GROUP BY conv_id""",
+    """WITH t AS (SELECT conv_id, turn, role, (turn * 90 // 60)::VARCHAR AS m, lpad((turn * 90 % 60)::VARCHAR, 2, '0') AS s FROM conversations)
+    SELECT conv_id, string_agg('[' || lpad(m, greatest(2, length(m))::INTEGER, '0') || ':' || s || '] ' || trim(role), chr(10) ORDER BY turn) AS body FROM t GROUP BY conv_id""",
 )
 def rendered_segments(spark, folder):
-    rows = table(spark, folder, "conversations").filter("turn < 60").select("conv_id", (F.col("turn") * 90.0).alias("start"), F.concat(F.lit(" "), "role").alias("text"))
+    rows = table(spark, folder, "conversations").select("conv_id", (F.col("turn") * 90.0).alias("start"), F.concat(F.lit(" "), "role").alias("text"))
     return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "text"))).alias("s")).select("conv_id", chunking.rendered(F.col("s")).alias("body"))
 
 
