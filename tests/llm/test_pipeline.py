@@ -22,3 +22,24 @@ def test_run_and_empty_table(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() > 0
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_with_clashing_names(spark, sf):
+    clash = ("row", "size", "copies", "node", "own", "spans", "taken", "shard", "clean", "words")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", *(f"doc_id AS {c}" for c in clash))
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, rows, sf)
+        if name != "best_fit_packing":
+            assert made.columns == rows.columns
+            rows = spark.createDataFrame(made.collect(), made.schema)
+            assert all(r[c] == r.doc_id for r in rows.collect() for c in clash)
+    assert made.count() > 0
+
+
+def test_repeated_and_null_rows(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = rows.union(rows).union(rows.limit(3).selectExpr("NULL", "text", "NULL", "NULL", "NULL")).union(rows.limit(2).selectExpr("doc_id", "NULL", "lang", "source", "n_chars"))
+    for _, stage in corpus_pipeline.STAGES:
+        made = stage(spark, odd, sf)
+        odd = spark.createDataFrame(made.collect(), made.schema)
+    assert odd.count() > 0

@@ -128,6 +128,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """The documents of the mix, whole, each as often as it is taken."""
-    sized = written(docs.withColumn("size", sizes(docs)), "sized")
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    sized = written(docs.select(row, "doc_id", F.col("source").cast("string").alias("source"), sizes(docs).alias("size")), "sized")
     out = mixed(sized).filter("copies > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select(*docs.columns)
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("row.*")

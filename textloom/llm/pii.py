@@ -264,5 +264,7 @@ def redact(docs: DataFrame) -> DataFrame:
     judge = learn(docs.transform(propose))
     text = F.coalesce(F.col("text"), F.lit(""))
     spans = accepted(F.concat(*(spans_of(text, k) for k in range(len(KINDS)))), judge)
-    out = docs.withColumn("spans_", spans).withColumn("text", masked(F.col("text"), F.col("spans_")))
-    return out.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    out = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), spans.alias("spans"))
+    clean = out.select("row", masked(F.col("row.text"), F.col("spans")).alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.length("clean")}
+    return clean.select(*((new[f.name].cast(f.dataType) if f.name in new else F.col("row")[f.name]).alias(f.name) for f in docs.schema))

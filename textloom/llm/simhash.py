@@ -309,14 +309,15 @@ def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; documents without words stay."""
+    """One document of each group of near duplicates, that of the smallest node; documents without words stay."""
     worded = F.coalesce(F.col("text").rlike(f"[^{WHITE}]"), F.lit(False))
     found = near_groups(docs)
-    groups = found.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "sig", "node")).alias("k"))
-    keepers = groups.select("k.node")
-    several = marked(found.join(groups.filter("n > 1").select("component"), "component", "left_semi"), "node")
-    keyed = docs.filter(worded).withColumn("node_", F.xxhash64("doc_id", F.xxhash64("text")))
-    # only texts that may be in a group of several are shuffled, and once: repeated rows are told by the key of the join
-    alone = maybe_marked(keyed, "node_", several, yes=False)
-    kept = maybe_marked(keyed, "node_", several).join(keepers, F.col("node_") == F.col("node"), "left_semi").dropDuplicates(["node_", "doc_id"])
-    return alone.union(kept).drop("node_").union(docs.filter(~worded))
+    stays = F.col("node") == F.col("component")  # a component's name is its smallest node
+    again = found.groupBy("node").count().filter("count > 1").select("node")
+    several = marked(found.filter(~stays).select("node").union(again), "node")
+    keepers = found.filter(stays).select("node").distinct()
+    keyed = docs.filter(worded).select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("own"))
+    # only texts that may go are shuffled, and once: repeated rows are told by the key of the join
+    alone = maybe_marked(keyed, "own", several, yes=False)
+    kept = maybe_marked(keyed, "own", several).join(keepers, F.col("own") == F.col("node"), "left_semi").dropDuplicates(["own", "doc_id"])
+    return alone.union(kept).select("row.*").union(docs.filter(~worded))
