@@ -229,11 +229,12 @@ def sketch(text: str | None, size: int = 5) -> tuple[bytes, list[int]] | None:
     return majority_bits(raw), keys
 
 
-def nearest_before(values: list[int], radius: int, most: int = 2) -> list[list[tuple[int, int]]]:
-    """For each value the nearest ones before it within the radius, as (distance, index)."""
+def nearest_before(values: list[int], radius: int, sure: int = SURE, most: int = 6) -> list[list[tuple[int, int]]]:
+    """For each value the nearest ones before it within the radius, as (distance, index); one is enough if it is surely alike."""
     tree, first, out = BKTree(), [], []
     for i, value in enumerate(values):
-        out.append(sorted((d, first[node]) for node, d in tree.within(value, radius))[:most])
+        found = sorted((d, first[node]) for node, d in tree.within(value, radius))
+        out.append(found[: 1 if found and found[0][0] <= sure else most])
         if tree.add(value) == len(first):
             first.append(i)
     return out
