@@ -129,7 +129,22 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(table(spark, folder, "documents"))
 
 
-@query("op3_suffix_dedup")
+@query(
+    "op3_suffix_dedup",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+         w AS (SELECT doc_id, s, md5(substring(h, 2 * s + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 199))) AS s FROM d)),
+         r AS (SELECT doc_id, s FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+         n AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
+         i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM n),
+         g AS (SELECT doc_id, min(s) AS a, max(s) + 200 AS b FROM i GROUP BY doc_id, i),
+         p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prior FROM g),
+         k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substring(h, 2 * prior + 1, 2 * (a - prior)), '' ORDER BY a) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+           sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.strip(table(spark, folder, "documents")).drop("kept")
 
