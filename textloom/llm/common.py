@@ -33,6 +33,12 @@ def written(frame: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what written() has left, when no frame that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/textloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
