@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import globs
@@ -101,6 +101,12 @@ def corpus_stats(docs: DataFrame, reps: DataFrame, chunks: DataFrame) -> DataFra
     return life.crossJoin(rep).crossJoin(chunk).crossJoin(kinds)
 
 
+def observed(docs: DataFrame, into: Observation) -> DataFrame:
+    """The same rows; their counters are in the observation once the rows were written, without a pass of their own."""
+    status = F.col("status")
+    return docs.observe(into, F.count("*").alias("scanned"), F.count_if(status == "ok").alias("indexed"), F.count_if(status.isin("skipped", "secret_excluded")).alias("skipped"), F.count_if(status == "error").alias("errors"))
+
+
 def status_counts(docs: DataFrame) -> DataFrame:
     """status, n, example (the first path): statuses that nothing expects are counted by themselves, an empty one as <empty>."""
     s = T.trim(F.coalesce(F.col("status"), F.lit("")))
