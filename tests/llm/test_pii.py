@@ -62,4 +62,11 @@ def test_estimation_prefers_spans_with_votes():
     patterns = [({**base, "form": 1, "known": 1, "context": 1}, 50), ({**base, "form": 1, "known": 1, "context": 0}, 80), ({**base, "form": -1, "known": 0, "context": -1}, 60)]
     judge = pii.train(patterns)
     z = [judge.bias + sum(judge.weights[n][p[n] + s] for n, _, s in pii.FEATURES) for p, _ in patterns]
-    assert z[0] > 0 and z[1] > 0 and z[2] < 0
+    assert z[0] > 0 and z[1] > 0 and z[2] < 0 and all(0.55 <= r <= 0.99 for r in judge.reliability.values())
+
+
+def test_silence_tells_nothing():
+    silent = {"kind": 1, "size": 1, "edge": 0, "form": 0, "known": 0, "context": 0}
+    loud = {**silent, "kind": 0, "form": 1, "known": 1, "context": 1}
+    judge = pii.train([(silent, 1000), (loud, 1000)])
+    assert judge.bias + sum(judge.weights[n][silent[n] + s] for n, _, s in pii.FEATURES) > 0

@@ -168,38 +168,34 @@ FEATURES = (("kind", len(KINDS), 0), ("form", 3, 1), ("known", 3, 1), ("context"
 
 @dataclass(frozen=True)
 class Judge:
-    """bias and, by feature and value, the weights of the span classifier; reliability: P(vote | personal or not) by labeler."""
+    """bias and, by feature and value, the weights of the span classifier; reliability: how often a labeler's votes are right."""
 
     bias: float
     weights: dict[str, list[float]]
-    reliability: dict[str, list[list[float]]]
+    reliability: dict[str, float]
 
 
 def train(patterns: list[tuple[dict[str, int], int]], rounds: int = 50) -> Judge:
     """From counted patterns: expectation-maximisation over the votes, then the classifier on the likelihoods."""
     labelers = ("form", "known", "context")
-    # the first guess: votes in favour are mostly right, abstention says little
-    reliability = {name: [[0.5, 0.3, 0.2], [0.1, 0.4, 0.5]] for name in labelers}
+    # how often a vote is right; a labeler that doesn't vote tells nothing
+    reliability = dict.fromkeys(labelers, 0.8)
     prior = [0.7] * len(KINDS)
     likely = [0.5] * len(patterns)
     for _ in range(rounds):
         for n, (p, _) in enumerate(patterns):
             yes, no = prior[p["kind"]], 1 - prior[p["kind"]]
             for name in labelers:
-                no *= reliability[name][0][p[name] + 1]
-                yes *= reliability[name][1][p[name] + 1]
+                if p[name]:
+                    right, wrong = reliability[name], 1 - reliability[name]
+                    yes, no = yes * (right if p[name] > 0 else wrong), no * (wrong if p[name] > 0 else right)
             likely[n] = yes / (yes + no)
         for name in labelers:
-            counts = [[1.0, 1.0, 1.0], [1.0, 1.0, 1.0]]
-            for (p, c), y in zip(patterns, likely):
-                counts[0][p[name] + 1] += c * (1 - y)
-                counts[1][p[name] + 1] += c * y
-            table = [[x / sum(row) for x in row] for row in counts]
-            if table[1][2] / table[1][0] >= table[0][2] / table[0][0]:  # a vote in favour never counts against
-                reliability[name] = table
+            voted = [(c, y if p[name] > 0 else 1 - y) for (p, c), y in zip(patterns, likely) if p[name]]
+            reliability[name] = min(0.99, max(0.55, (8 + sum(c * y for c, y in voted)) / (10 + sum(c for c, _ in voted))))
         for kind in range(len(KINDS)):
             own = [(c, y) for (p, c), y in zip(patterns, likely) if p["kind"] == kind]
-            prior[kind] = min(0.95, max(0.05, (2 * 0.7 + sum(c * y for c, y in own)) / (2 + sum(c for c, _ in own))))
+            prior[kind] = min(0.95, max(0.05, (14 + sum(c * y for c, y in own)) / (20 + sum(c for c, _ in own))))
     bias, weights = 0.0, {name: [0.0] * size for name, size, _ in FEATURES}
     total = sum(c for _, c in patterns) or 1
     for step in range(400):
