@@ -13,6 +13,7 @@ from .functions import classify, globs, secrets
 from .functions import text as T
 from .operators import annotations, answers, changes, corpus, listing, opening, retrieval
 from .sources import archives, discover, models
+from .session import checkpointed
 from .sources.store import Store
 from .streaming import worker
 
@@ -94,13 +95,13 @@ class Corpus:
         stored = self.store.read("documents")
         stored = changes.clear_hashes(stored) if force else stored
         files = self.files()
-        found = corpus.documents(files, self.secret_patterns).checkpoint()
+        found = checkpointed(corpus.documents(files, self.secret_patterns))
         judged = changes.changed(stored, found, force)
         work = judged.filter("action <> 'keep'")
-        reps = self.text_of(work, files).checkpoint()
+        reps = checkpointed(self.text_of(work, files))
         own = lambda kind: reps.filter(F.col("rep_type") == kind)
         made = corpus.chunks(own("raw_text")).unionByName(corpus.page_chunks(own("ocr_markdown"))).unionByName(corpus.time_chunks(own("transcript")))
-        chunks, spans = corpus.split_spans(made.checkpoint())
+        chunks, spans = corpus.split_spans(checkpointed(made))
         gone = changes.missing(stored, found).select("rel_path").unionByName(work.filter("status <> 'ok'").select("rel_path"))
 
         docs = changes.merge(stored, found.drop("content"), schemas.KEYS["documents"])

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
 
 
 def build_session(app: str = "textloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,3 +43,21 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
             "spark.driver.host": "127.0.0.1",
         },
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        app = spark.sparkContext.applicationId
+        folder = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="textloom-")
+        if not _OWN[app]:
+            _OWN[app] = folder
+            spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame computed once and kept in the shared folder."""
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import changes
 from ..operators.state import Bucket
+from ..session import checkpointed
 from ..sources.models import Embedder, embedding
 from ..sources.store import Store
 
@@ -33,7 +34,7 @@ def run_once(store: Store, factory: Callable[[], Embedder], limit: int = 0) -> N
     made = rest.select("index_kind", "chunk_id", embedding(factory)("text").alias("e")).unionByName(
         known.select("index_kind", "chunk_id", F.struct("embedding", F.lit(None).cast("string").alias("error"), F.lit(False).alias("transient")).alias("e"))
     )
-    made = made.checkpoint()
+    made = checkpointed(made)
     status = F.when(F.col("e.embedding").isNotNull(), "ok").when(F.col("e.transient"), "pending").otherwise("error")
     results = made.select("chunk_id", status.alias("status"), F.col("e.error").alias("error"))
     new = made.filter("e.embedding IS NOT NULL").select("index_kind", "chunk_id", "e.embedding")
