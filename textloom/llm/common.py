@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: ASCII white space, as a character class of a regular expression.
-WHITE = r"\x20\x09-\x0D"
+from ..functions.text import let
+from ..session import shared_folder
 
+__all__ = ["WHITE", "clear", "let", "marked", "maybe_marked", "shared_folder", "small_batches", "table", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: Fixed value: ASCII white space, as a character class of a regular expression.
+WHITE = r"\x20\x09-\x0D"
 
 
 def written(frame: DataFrame, name: str, **options: str) -> DataFrame:
@@ -49,11 +43,6 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once: a column that a lambda names is else computed anew for every element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def marked(keys: DataFrame, key: str, words: int = 1 << 17) -> DataFrame:
     """A bitmap (word, bits) of the hashed long keys: at most so many rows, whatever the keys, so it may be broadcast.
 
