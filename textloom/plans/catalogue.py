@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import annotations, answers, changes, chunking, corpus, listing, opening, retrieval, state
 from ..operators import vectors as V
 from ..streaming import worker
+from ..sources import archives
 from ..sources.models import HashedWords
 from . import sample
 from .sample import CHUNKS_SQL, FILES_SQL, META_SQL, TALKS_SQL, VECTORS_SQL, trimmed
@@ -593,3 +594,80 @@ def embed_pending(spark, folder):
     chunks = sample.chunks(spark, folder).filter("embedding_status = 'pending'")
     vectors, _ = worker.embed_batch(chunks, HashedWords)
     return vectors.select("index_kind", "chunk_id", F.size("embedding").alias("dimension"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
+
+
+# values at the edges
+
+
+@query(
+    "archive_formats",
+    f"""WITH {FILES_SQL}, a AS (SELECT doc_id, rel_path || CASE doc_id % 7 WHEN 0 THEN '.zip' WHEN 1 THEN '.TAR.GZ' WHEN 2 THEN '.tgz' WHEN 3 THEN '.tar.bz2' WHEN 4 THEN '.tar' WHEN 5 THEN '.7z' ELSE '.gz' END AS p FROM files)
+    SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'zip' WHEN 1 THEN 'tar.gz' WHEN 2 THEN 'tar.gz' WHEN 3 THEN 'tar.bz2' WHEN 4 THEN 'tar' END AS format FROM a""",
+)
+def archive_formats(spark, folder):
+    endings = F.array(*(F.lit(e) for e in (".zip", ".TAR.GZ", ".tgz", ".tar.bz2", ".tar", ".7z", ".gz")))
+    path = F.concat("rel_path", F.get(endings, (F.col("doc_id") % 7).cast("int")))
+    return sample.files(spark, folder).select("doc_id", archives.format_of(path).alias("format"))
+
+
+@query("payment_keys", "SELECT event_id, 'sig-' || user_id || ':' || sha256(coalesce(props, '')) AS key FROM events")
+def payment_keys(spark, folder):
+    rows = table(spark, folder, "events")
+    return rows.select("event_id", T.payment_key(F.concat(F.lit("sig-"), "user_id"), F.coalesce("props", F.lit(""))).alias("key"))
+
+
+@query("json_in_output", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS object FROM events")
+def json_in_output(spark, folder):
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("none {"), "event_type")).otherwise(F.concat(F.lit("Here it is:\n"), "props", F.lit("\nDone.")))
+    return table(spark, folder, "events").select("event_id", T.json_object_in(raw).alias("object"))
+
+
+@query("network_ids", "SELECT user_id, event_id, event_id % 4 IN (0, 3) AS valid FROM events")
+def network_ids(spark, folder):
+    kind = F.col("event_id") % 4
+    name = F.when(kind == 0, F.concat(F.lit("eip155:"), "user_id")).when(kind == 1, F.concat(F.lit("EIP155:"), "user_id")).when(kind == 2, "event_type").otherwise(F.concat(F.lit("a:"), "event_type"))
+    return table(spark, folder, "events").select("user_id", "event_id", T.is_caip2(name).alias("valid"))
+
+
+@query(
+    "span_rendering",
+    f"""WITH {CHUNKS_SQL} SELECT chunk_id, CASE chunk_id % 3 WHEN 0 THEN 'page:' || start_line WHEN 1 THEN 'time:' || start_line || '-' || end_line ELSE 'lines:' || start_line || '-' || end_line END AS printed,
+       CASE chunk_id % 3 WHEN 0 THEN '{{"kind":"page","page":' || start_line || '}}' WHEN 1 THEN '{{"kind":"time","start_ms":' || start_line || ',"end_ms":' || end_line || '}}'
+       ELSE '{{"kind":"lines","start_line":' || start_line || ',"end_line":' || end_line || '}}' END AS json FROM chunks""",
+)
+def span_rendering(spark, folder):
+    rows = sample.chunks(spark, folder)
+    kind = F.when(F.col("chunk_id") % 3 == 0, " Page").when(F.col("chunk_id") % 3 == 1, "TIME").otherwise("lines")
+    span = corpus.decoded_span(kind, F.col("span.start"), F.col("span.end"))
+    return rows.select("chunk_id", corpus.printed_span(span).alias("printed"), corpus.span_json(span).alias("json"))
+
+
+@query("annotation_chunks")
+def annotation_chunks(spark, folder):
+    rows = table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("events/"), "event_id").alias("rel_path"), F.lit("data").alias("doc_type"), F.col("props").alias("json"))
+    _, chunks, _ = annotations.store(rows)
+    return chunks.select("rel_path", "ordinal", "text_hash", "index_kind")
+
+
+@query("archive_members")
+def archive_members(spark, folder):
+    """Every page in a ZIP of its own, opened again."""
+    import io
+    import zipfile
+
+    @F.pandas_udf("binary")
+    def packed(html):
+        out = []
+        for text in html:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as z:
+                z.writestr("page.html", text or "")
+                z.writestr("../out.html", "x")
+            out.append(buffer.getvalue())
+        return type(html)(out)
+
+    files = table(spark, folder, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".zip")).alias("rel_path"), packed("html").alias("content"), F.lit(0).cast("long").alias("mtime_unix"))
+    return archives.extracted(files).select("rel_path", "size_bytes", T.sha256(F.col("content")).alias("content_hash"))
+
+
+ORACLES["archive_members"] = "SELECT 'p' || page_id || '.zip/page.html' AS rel_path, strlen(coalesce(html, ''))::BIGINT AS size_bytes, sha256(coalesce(html, '')) AS content_hash FROM pages"
