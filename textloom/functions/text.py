@@ -108,17 +108,23 @@ def slice_lines(c: Column, first: Column | int, last: Column | int) -> Column:
     """Lines first to last from 1, clamped; a last line below the first means the first alone."""
     first, last = (F.lit(x) if isinstance(x, int) else x for x in (first, last))
     a = F.greatest(first, F.lit(1))
-    lines = F.split(c, "\n", -1)
-    b = F.when(last <= 0, a).otherwise(F.greatest(a, F.least(last, F.size(lines))))
-    return F.when(a > F.size(lines), "").otherwise(F.array_join(F.slice(lines, a, b - a + 1), "\n"))
+
+    def part(lines: Column) -> Column:
+        b = F.when(last <= 0, a).otherwise(F.greatest(a, F.least(last, F.size(lines))))
+        return F.when(a > F.size(lines), "").otherwise(F.array_join(F.slice(lines, a, b - a + 1), "\n"))
+
+    return let(F.split(c, "\n", -1), part)
 
 
 def slice_page(c: Column, page: Column | int) -> Column:
     """A page of a text whose pages are parted by form feeds; null if there is none such."""
     page = F.greatest(F.lit(page) if isinstance(page, int) else page, F.lit(1))
-    pages = F.split(c, "\f", -1)
-    inner = F.regexp_replace(F.regexp_replace(F.get(pages, page - 1), r"^\n+", ""), r"\n+\z", "")
-    return F.when(F.size(pages) > 1, inner).when(page == 1, c)
+
+    def part(pages: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_replace(F.get(pages, page - 1), r"^\n+", ""), r"\n+\z", "")
+        return F.when(F.size(pages) > 1, inner).when(page == 1, c)
+
+    return let(F.split(c, "\f", -1), part)
 
 
 #: Fixed value: a time at the start of a line.
@@ -135,10 +141,9 @@ def time_ms(line: Column) -> Column:
 
 def slice_time(text: Column, start_ms: int, end_ms: int) -> Column:
     """The lines whose time is within the range (open at the end if it is 0); null if no line has a time."""
-    lines = F.split(text, "\n", -1)
-    timed = F.filter(lines, lambda x: x.rlike(TIME))
-    inside = F.filter(timed, lambda x: (time_ms(x) >= start_ms) & (F.lit(end_ms <= 0) | (time_ms(x) <= end_ms)))
-    return F.when(F.size(timed) > 0, F.array_join(inside, "\n"))
+    timed = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(TIME))
+    inside = lambda lines: F.filter(lines, lambda x: (time_ms(x) >= start_ms) & (F.lit(end_ms <= 0) | (time_ms(x) <= end_ms)))
+    return let(timed, lambda lines: F.when(F.size(lines) > 0, F.array_join(inside(lines), "\n")))
 
 
 def json_object_in(raw: Column) -> Column:

@@ -21,32 +21,57 @@ def starts(n: Column, most: int, step: int) -> Column:
     return F.transform(F.sequence(F.lit(0), count), lambda i: i * step)
 
 
+def sums_before(values: Column) -> Column:
+    """For each value the sum of those before it."""
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+    grow = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all"))
+    return F.aggregate(values, start, grow, lambda acc: acc["all"])
+
+
 def char_windows(text: Column, most: int = TEXT_WINDOW[0], overlap: int = TEXT_WINDOW[1], least: int = TEXT_WINDOW[2]) -> Column:
-    """array<struct<ordinal, text, start_line, end_line>>"""
-    n = F.length(text)
-    raw = F.transform(
-        starts(n, most, most - overlap),
-        lambda s: F.struct(
-            F.substring(text, s + 1, F.lit(most)).alias("text"), s.alias("s"), F.least(s + most, n).alias("e")
-        ),
-    )
-    kept = F.filter(raw, lambda w: (T.trim(w["text"]) != "") & ((F.length(w["text"]) >= least) | (w["e"] == n)))
-    placed = F.transform(
-        kept, lambda w, i: F.struct(i.alias("ordinal"), w["text"].alias("text"), T.line_of(text, w["s"]).alias("start_line"), T.line_of(text, w["e"] - 1).alias("end_line"))
-    )
-    return F.when(n > 0, placed).otherwise(F.array().cast("array<struct<ordinal:int,text:string,start_line:int,end_line:int>>"))
+    """array<struct<ordinal, text, start_line, end_line>>
+
+    The text is cut once, into pieces as long as a step; a window is a piece and the beginning of the next one, so the work
+    is linear in the text.
+    """
+    step, n = most - overlap, F.length(text)
+    if overlap > step:
+        raise ValueError("windows overlap by half at most")
+    count = F.greatest(F.lit(0), F.ceil((n - most) / step).cast("int"))
+
+    def windows(cut: Column) -> Column:
+        pieces, before = cut["pieces"], cut["before"]
+        raw = F.transform(
+            F.sequence(F.lit(0), count),
+            lambda i: F.struct(
+                F.concat(F.get(pieces, i), F.coalesce(F.substring(F.get(pieces, i + 1), F.lit(1), F.lit(overlap)), F.lit(""))).alias("text"),
+                (F.get(before, i) + 1).alias("line"),
+                (i == count).alias("ends"),
+            ),
+        )
+        kept = F.filter(raw, lambda w: (T.trim(w["text"]) != "") & ((F.length(w["text"]) >= least) | w["ends"]))
+        inner = lambda w: T.newlines(F.substring(w["text"], F.lit(1), F.length(w["text"]) - 1))
+        return F.transform(kept, lambda w, i: F.struct(i.alias("ordinal"), w["text"].alias("text"), w["line"].alias("start_line"), (w["line"] + inner(w)).alias("end_line")))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    lined = T.let(pieces, lambda p: F.struct(p.alias("pieces"), sums_before(F.transform(p, T.newlines)).alias("before")))
+    none = F.array().cast("array<struct<ordinal:int,text:string,start_line:int,end_line:int>>")
+    return F.when(n > 0, T.let(lined, windows)).otherwise(none)
 
 
 def line_windows(text: Column, most: int = CODE_WINDOW[0], overlap: int = CODE_WINDOW[1]) -> Column:
     """array<struct<ordinal, text, start_line, end_line>>"""
-    lines = F.split(text, "\n", -1)
-    n = F.size(lines)
-    raw = F.transform(
-        starts(n, most, most - overlap),
-        lambda s: F.struct(F.array_join(F.slice(lines, s + 1, F.lit(most)), "\n").alias("text"), (s + 1).alias("start_line"), F.least(s + most, n).alias("end_line")),
-    )
-    kept = F.filter(raw, lambda w: T.trim(w["text"]) != "")
-    return F.transform(kept, lambda w, i: F.struct(i.alias("ordinal"), w["text"].alias("text"), w["start_line"].alias("start_line"), w["end_line"].alias("end_line")))
+
+    def windows(lines: Column) -> Column:
+        n = F.size(lines)
+        raw = F.transform(
+            starts(n, most, most - overlap),
+            lambda s: F.struct(F.array_join(F.slice(lines, s + 1, F.lit(most)), "\n").alias("text"), (s + 1).alias("start_line"), F.least(s + most, n).alias("end_line")),
+        )
+        kept = F.filter(raw, lambda w: T.trim(w["text"]) != "")
+        return F.transform(kept, lambda w, i: F.struct(i.alias("ordinal"), w["text"].alias("text"), w["start_line"].alias("start_line"), w["end_line"].alias("end_line")))
+
+    return T.let(F.split(text, "\n", -1), windows)
 
 
 def pages(text: Column) -> Column:
