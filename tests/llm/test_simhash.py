@@ -107,3 +107,42 @@ def test_near_groups_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "a b"), (4, "c"), (5, " ")], "doc_id long, text string")
     got = sorted((r.doc_id or 0) for r in simhash.drop_near_duplicates(docs).collect())
     assert got in ([0, 1, 2, 4, 5], [1, 2, 3, 4, 5])
+
+
+def made_words(rng, n):
+    return ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+
+
+def family(rng, alone, pairs):
+    """Texts alike by about 0.72 to each other, but for pairs alike by 0.81."""
+    base, texts = made_words(rng, 300), []
+    for _ in range(alone):
+        texts.append(base + made_words(rng, 57))
+    for _ in range(pairs):
+        shared = made_words(rng, 20)
+        texts += [base + shared + made_words(rng, 37) for _ in range(2)]
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def groups_and_plain(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = simhash.near_groups(docs).collect()
+    by_component = {}
+    for r in found:
+        by_component.setdefault(r.component, []).append(r.doc_id)
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    plain = {}
+    for i, r in enumerate(root):
+        plain.setdefault(r, []).append(i)
+    return sorted(sorted(g) for g in by_component.values()), sorted(plain.values())
+
+
+def test_pairs_within_a_family_that_is_less_alike(spark):
+    got, plain = groups_and_plain(spark, family(random.Random(21), 160, 15))
+    assert len(plain) == 175 and got == plain

@@ -24,15 +24,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_digest
+from xxhash import xxh3_64_digest, xxh3_128_digest, xxh64_digest
 
 from .common import WHITE, marked, maybe_marked, small_batches, written
 from .components import components
 
 #: The seed of the hashes of shingles, and the least that a shard has before it is linked the other way.
 SEED, SHARD = 42, 1024
+#: For runs that are taken whole.
+NO_CUT = 1 << 62
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -133,9 +136,10 @@ def linked(values: list[int], radius: int) -> list[int]:
     return [find(i) for i in range(len(values))]
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+def runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.RecordBatch, bool]]:
     """Runs of at least two rows with one key (column 0) of a sorted partition; whether a run is whole: not the first or last of it,
-    and not cut because it is longer than SHARD. Runs of one row come only where they aren't whole."""
+    and not cut because it is longer than most (SHARD). Runs of one row come only where they aren't whole."""
+    most = SHARD if most is None else most
     held: list[pa.RecordBatch] = []
     size, key, first, cut = 0, None, True, False
 
@@ -157,7 +161,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bo
                 continue  # alone, and its neighbours on both sides are here
             held.append(batch.slice(a, b - a))
             size += b - a
-            if size > SHARD:
+            if size > most:
                 yield joined(), False
                 held, size, cut = [], 0, True
     if held:
@@ -206,14 +210,14 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFram
 
 
 #: Minimum hashes of a set of shingles, of which each pair is a shard key; bits of its wide fingerprint, how many of them may
-#: differ for a pair to be looked at (sets alike by 0.8 differ by 39 on average, their spread is 6), and up to how many a pair
-#: is surely alike (by 0.9 on average).
-MINIMA, WIDE, DIFFER, SURE = 6, 256, 56, 20
+#: differ for a pair to be looked at (sets alike by 0.8 differ by 39 on average, their spread is 6); rows that are compared at once.
+MINIMA, WIDE, DIFFER, BLOCK = 6, 256, 56, 256
+PAIRS = tuple(combinations(range(MINIMA), 2))
 FACTORS = np.random.default_rng(11).integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(text: str | None, size: int = 5) -> tuple[bytes, list[int]] | None:
-    """The wide fingerprint of the set of shingles and its shard keys; None without words."""
+def sketch(text: str | None, size: int = 5) -> tuple[bytes, list[int], int] | None:
+    """The wide fingerprint of the set of shingles, its minimum hashes and its size; None without words."""
     own = set(shingles(text, size))
     if not own:
         return None
@@ -223,66 +227,91 @@ def sketch(text: str | None, size: int = 5) -> tuple[bytes, list[int]] | None:
     for factor in FACTORS:
         mixed = low * factor
         mixed ^= mixed >> np.uint64(29)
-        minima.append((mixed * FACTORS[0]).min())
-    with np.errstate(over="ignore"):
-        keys = [int((a * np.uint64(2 * n + 3) ^ b * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)) for n, (a, b) in enumerate(combinations(minima, 2))]
-    return majority_bits(raw), keys
-
-
-def nearest_before(values: list[int], radius: int, sure: int = SURE, most: int = 6) -> list[list[tuple[int, int]]]:
-    """For each value the nearest ones before it within the radius, as (distance, index); one is enough if it is surely alike."""
-    tree, first, out = BKTree(), [], []
-    for i, value in enumerate(values):
-        found = sorted((d, first[node]) for node, d in tree.within(value, radius))
-        out.append(found[: 1 if found and found[0][0] <= sure else most])
-        if tree.add(value) == len(first):
-            first.append(i)
-    return out
-
-
-def _tree_pairs(keyed: DataFrame, radius: int) -> DataFrame:
-    """u, v, d: for each of rows (key, fp, node) the nearest before it in its run, which links all that can be linked in steps;
-    and rows with a key, the leaders (that link to nothing before) of runs that a task holds only in part."""
+        minima.append(int((mixed * FACTORS[0]).min().view(np.int64)))
+    return majority_bits(raw), minima, len(own)
+
+
+def with_partner(own: pa.RecordBatch, radius: int, similarity: float) -> np.ndarray:
+    """Which rows of a shard (key, pair, fp, node, minima, n, component) may be alike to another one of another component.
+
+    Rows that share several shards are told here only in the first of them."""
+    fp = np.frombuffer(b"".join(own.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+    minima = np.array(own.column("minima").to_pylist(), np.int64)
+    n, component = (own.column(c).to_numpy(zero_copy_only=False) for c in ("n", "component"))
+    a, b = PAIRS[own.column("pair")[0].as_py()]
+    has = np.zeros(len(fp), bool)
+    for i in range(0, len(fp), 64):
+        here = slice(i, i + 64)
+        ok = np.bitwise_count(fp[here, None] ^ fp).sum(axis=2, dtype=np.int32) <= radius
+        ok &= np.minimum(n[here, None], n) >= similarity * np.maximum(n[here, None], n)
+        same = minima[here, None, : b + 1] == minima[:, : b + 1]
+        ok &= same[..., a] & same[..., b] & (same.sum(axis=2) == 2)
+        ok &= component[here, None] != component
+        has |= ok.any(axis=0)
+    return has
+
+
+def _members(keyed: DataFrame, radius: int, similarity: float, most: int | None = None) -> DataFrame:
+    """cell, node for the rows of sorted shards that have to be compared with others of their cell, a shard or a part of one;
+    and the keys (cut) of shards that aren't compared whole, as a task or a cell holds them only in part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, whole in runs(batches):
-            node, fp = own.column(2).to_pylist(), own.column(1).to_pylist()
-            near = nearest_before([int.from_bytes(f, "big") for f in fp], radius)
-            rows = [(None, None, node[i], node[j], d) for i, found in enumerate(near) for d, j in found]
+        cell = TaskContext.get().partitionId() << 40
+        for own, whole in runs(batches, most):
+            at = np.flatnonzero(with_partner(own, radius, similarity)) if own.num_rows > 1 else []
+            rows = [(cell, node, None) for node in own.column("node").take(pa.array(at, pa.int64())).to_pylist()]
+            cell += 1
             if not whole:
-                key = own.column(0)[0].as_py()
-                rows += [(key, fp[i], node[i], node[i], 0) for i, found in enumerate(near) if not found]
+                rows.append((None, None, own.column(0)[0].as_py()))
             if rows:
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "fp", "u", "v", "d"])
-
-    return written(keyed.mapInArrow(run, "key long, fp binary, u long, v long, d int"), "pairs-of-trees")
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["cell", "node", "cut"])
+
+    return written(keyed.mapInArrow(run, "cell long, node long, cut long"), "members-of-cells")
+
+
+def alike(texts: list[str], size: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) between texts whose sets of shingles are alike by so much, of which all such pairs follow in steps."""
+    raw = [np.unique(np.frombuffer(b"".join([xxh3_64_digest(s) for s in set(shingles(t, size))]), np.uint64)) for t in texts]
+    n = np.array(list(map(len, raw)))
+    values, places = np.unique(np.concatenate(raw), return_inverse=True)
+    own = np.split(places, np.cumsum(n)[:-1])
+    group, held, links = np.arange(len(texts)), np.zeros(len(values), np.int32), []
+    for i in range(len(texts)):
+        others = np.flatnonzero((group != group[i]) & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i])))
+        others = others[others > i]
+        if not len(others):
+            continue
+        held[own[i]] = 1
+        common = np.add.reduceat(held[np.concatenate([own[j] for j in others])], np.cumsum(n[others]) - n[others])
+        held[own[i]] = 0
+        for j in others[common >= similarity * (n[i] + n[others] - common)].tolist():
+            if group[i] != group[j]:
+                links.append((i, j))
+                group[group == group[j]] = group[i]
+    return links
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of docs (node, text) whose shingle sets are alike by so much."""
+def _links(docs: DataFrame, members: DataFrame, size: int, similarity: float) -> DataFrame:
+    """u, v: links between members (cell, node) of a cell, by the shingles of their texts in docs (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = set(shingles(a, size)), set(shingles(b, size))
-                ok.append(len(a & b) >= similarity * len(a | b))
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        for own, _ in runs(batches, NO_CUT):
+            node = own.column(1)
+            found = alike(own.column(2).to_pylist(), size, similarity)
+            if found:
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(side)) for side in zip(*found)], ["u", "v"])
 
-    sides = F.explode(F.array("u", "v"))
-    members = written(pairs.select("u", "v", sides.alias("node")), "pair-members")
-    texts = maybe_marked(docs, "node", marked(members, "node")).join(members, "node").groupBy("u", "v")
-    both = texts.agg(F.min(F.struct("node", "text")).alias("a"), F.max(F.struct("node", "text")).alias("b"))
-    return both.select("u", "v", F.col("a.text").alias("a"), F.col("b.text").alias("b")).mapInArrow(run, "u long, v long")
+    own = members.filter("node IS NOT NULL").select("cell", "node")
+    texts = maybe_marked(docs, "node", marked(own, "node")).groupBy("node").agg(F.first("text").alias("text"))
+    cells = texts.join(own, "node").select("cell", "node", "text").repartition("cell").sortWithinPartitions("cell")
+    return written(cells.mapInArrow(run, "u long, v long"), "links-of-cells")
 
 
 def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """node, doc_id, sig, component of every row with words; sig hashes the text, node the id and the text.
 
-    A document is paired with the nearest before it in its shards' trees, and the pairs are compared by their shingles unless
-    their fingerprints are almost equal. A shard that several tasks hold is paired in parts, and then the parts' leaders, in
-    another order.
+    Documents that share a shard and whose fingerprints are within the radius are compared by their shingles, all of them unless links
+    that were found join them already. Shards are compared in cells of bounded size.
     """
     small_batches(docs.sparkSession)
 
@@ -290,23 +319,27 @@ def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity
         for batch in batches:
             made = [sketch(t, size) for t in batch.column(3).to_pylist()]
             at = pa.array([i for i, m in enumerate(made) if m], pa.int64())
-            fp, keys = zip(*(m for m in made if m)) if len(at) else ((), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "sig", "node", "fp", "keys"])
+            fp, minima, n = zip(*(m for m in made if m)) if len(at) else ((), (), ())
+            more = [pa.array(fp, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), *more], ["doc_id", "sig", "node", "fp", "minima", "n"])
 
     sig = F.xxhash64("text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", sig.alias("sig"), F.xxhash64("doc_id", sig).alias("node"), "text")
-    sketches = written(rows.mapInArrow(run, f"doc_id {id_type}, sig long, node long, fp binary, keys array<long>"), "sketches")
-    classes = written(sketches.groupBy("fp", "keys").agg(F.min("node").alias("class")), "sketch-classes")
-    keyed = classes.select(F.explode("keys").alias("key"), "fp", F.col("class").alias("node"))
-    first = _tree_pairs(keyed.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp"), radius)
-    leaders = first.filter("key IS NOT NULL").select("key", F.reverse(F.hex("fp")).alias("turned"), "fp", F.col("u").alias("node"))
-    second = _tree_pairs(leaders.repartitionByRange("key", "turned").sortWithinPartitions("key", "turned").select("key", "fp", "node"), radius)
-    pairs = first.union(second).filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("d").alias("d"))
-    alike = _alike(rows.select("node", "text"), pairs.filter(F.col("d") > SURE), size, similarity)
-    comps = components(pairs.filter(F.col("d") <= SURE).select("u", "v").union(alike))
-    found = classes.join(comps, F.col("class") == F.col("node"), "left").select("fp", "keys", F.coalesce("component", "class").alias("component"))
-    return written(sketches.join(found, ["fp", "keys"]).select("node", "doc_id", "sig", "component"), "near-groups")
+    sketches = written(rows.mapInArrow(run, f"doc_id {id_type}, sig long, node long, fp binary, minima array<long>, n long"), "sketches")
+    classes = written(sketches.groupBy("fp", "minima", "n").agg(F.min("node").alias("class")), "sketch-classes")
+    key = [F.xxhash64(F.lit(i), F.get("minima", F.lit(a)), F.get("minima", F.lit(b))) for i, (a, b) in enumerate(PAIRS)]
+    keyed = classes.select(F.posexplode(F.array(*key)).alias("pair", "key"), "fp", F.col("class").alias("node"), "minima", "n")
+    columns = ["key", "pair", "fp", "node", "minima", "n", "component"]
+    texts = rows.select("node", "text")
+
+    order = F.xxhash64("key", "node")  # other in each shard, so that parts of shards mix
+    dealt = keyed.withColumn("component", F.col("node")).withColumn("order", order).repartitionByRange("key", "order").sortWithinPartitions("key", "order")
+    first = _members(dealt.select(*columns), radius, similarity, min(BLOCK, SHARD))
+    links = _links(texts, first, size, similarity)
+    comps = components(links)
+    found = classes.join(comps, F.col("class") == F.col("node"), "left").select("fp", "minima", "n", F.coalesce("component", "class").alias("component"))
+    return written(sketches.join(found, ["fp", "minima", "n"]).select("node", "doc_id", "sig", "component"), "near-groups")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
