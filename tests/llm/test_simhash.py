@@ -146,3 +146,13 @@ def groups_and_plain(spark, texts):
 def test_pairs_within_a_family_that_is_less_alike(spark):
     got, plain = groups_and_plain(spark, family(random.Random(21), 160, 15))
     assert len(plain) == 175 and got == plain
+
+
+@pytest.mark.parametrize("shard", [3, 20])
+def test_shards_that_are_cut_equal_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    rng = random.Random(22)
+    copies = family(rng, 1, 0) * 12  # one component over many parts
+    copies = [" ".join(t.split()[:-2] + made_words(rng, 2)) for t in copies]
+    got, plain = groups_and_plain(spark, family(rng, 60, 10) + copies)
+    assert len(plain) == 71 and got == plain

@@ -338,6 +338,23 @@ def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity
     first = _members(dealt.select(*columns), radius, similarity, min(BLOCK, SHARD))
     links = _links(texts, first, size, similarity)
     comps = components(links)
+
+    # shards that weren't compared whole: those outside of the largest component with each other and with it, in blocks
+    cut = first.filter("cut IS NOT NULL").select(F.col("cut").alias("key")).distinct()
+    rest = keyed.join(cut, "key").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = written(rest.select(*columns), "cut-shards")
+    most = rest.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("all"), F.max(F.struct("count", "component")).alias("top"))
+    blocks = lambda rows: F.ceil(rows / F.lit(min(BLOCK, SHARD)))
+    several = most.filter("all > top.count").select("key", F.col("top.component").alias("top"), blocks(F.col("all") - F.col("top.count")).alias("outer"), blocks(F.col("top.count")).alias("inner"))
+    outside = F.col("component") != F.col("top")
+    block = F.pmod(F.xxhash64("node", "key"), F.when(outside, F.col("outer")).otherwise(F.col("inner")))
+    count = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    among = F.transform(count("outer"), lambda j: F.xxhash64("key", F.lit(0), F.least("block", j), F.greatest("block", j)))
+    across = F.transform(count("inner"), lambda j: F.xxhash64("key", F.lit(1), j, "block"))
+    top = F.transform(count("outer"), lambda j: F.xxhash64("key", F.lit(1), "block", j))
+    cells = rest.join(several, "key").withColumn("block", block).withColumn("key", F.explode(F.when(outside, F.concat(among, across)).otherwise(top)))
+    second = _members(cells.select(*columns).repartition("key").sortWithinPartitions("key"), radius, similarity, NO_CUT)
+    comps = components(links.union(_links(texts, second, size, similarity)))
     found = classes.join(comps, F.col("class") == F.col("node"), "left").select("fp", "minima", "n", F.coalesce("component", "class").alias("component"))
     return written(sketches.join(found, ["fp", "minima", "n"]).select("node", "doc_id", "sig", "component"), "near-groups")
 
