@@ -239,3 +239,12 @@ def test_streams(spark, tmp_path):
     assert len(drained(worker.once_stream(stream, "key", "ts"), "once", "append")) == 2
     assert sorted(r.n for r in drained(worker.session_stream(stream, "key", "ts"), "sess", "complete")) == [1, 1, 2]
     assert sum(r.allowed for r in drained(worker.rate_limit_stream(stream, "key", "ts", "id", 0.0001, 1), "rates", "append")) == 3
+
+
+def test_segments_are_returned_whole(spark, tmp_path):
+    said = " ".join(f"word{i}" for i in range(60))
+    put(tmp_path / "root", "long.mp3", f"[00:00] {said}\n[00:09] the end")
+    own = Corpus(spark, str(tmp_path / "root"), f"file://{tmp_path}/state", Backends())
+    own.scan()
+    assert len(said) > 240
+    assert [s["text"] for s in tools.call(own, "transcribe", {"rel_path": "long.mp3"})["segments"]] == [said, "the end"]

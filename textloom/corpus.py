@@ -224,6 +224,6 @@ class Corpus:
 
     def transcript(self, rel_path: str) -> list[dict]:
         """The segments of a transcribed document, in order."""
-        meta = listing.hit_rows(listing.live(self.store.read("chunks")), self.store.read("spans"))
-        rows = meta.filter((F.col("rel_path") == rel_path) & (F.col("rep_type") == "transcript")).select("span.start_ms", "span.end_ms", F.col("snippet").alias("text")).orderBy("start_ms")
+        chunks = listing.live(self.store.read("chunks")).filter((F.col("rel_path") == rel_path) & (F.col("rep_type") == "transcript"))
+        rows = listing.with_span(chunks, self.store.read("spans")).select("span.start_ms", "span.end_ms", "text").orderBy("start_ms")
         return [r.asDict() for r in rows.collect()]
