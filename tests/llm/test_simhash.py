@@ -156,3 +156,14 @@ def test_shards_that_are_cut_equal_brute_force(spark, monkeypatch, shard):
     copies = [" ".join(t.split()[:-2] + made_words(rng, 2)) for t in copies]
     got, plain = groups_and_plain(spark, family(rng, 60, 10) + copies)
     assert len(plain) == 71 and got == plain
+
+
+def edge_pair(seed, shared, own):
+    rng = random.Random(seed)
+    base = made_words(rng, shared)
+    return [" ".join(base + made_words(rng, own)) for _ in range(2)]
+
+
+def test_fingerprints_almost_equal_are_compared_too(spark):
+    got, plain = groups_and_plain(spark, edge_pair(329, 34, 4))  # alike by 0.79, 19 bits differ
+    assert got == plain == [[0], [1]]
