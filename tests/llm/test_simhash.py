@@ -167,3 +167,8 @@ def edge_pair(seed, shared, own):
 def test_fingerprints_almost_equal_are_compared_too(spark):
     got, plain = groups_and_plain(spark, edge_pair(329, 34, 4))  # alike by 0.79, 19 bits differ
     assert got == plain == [[0], [1]]
+
+
+def test_fingerprints_far_apart_of_sets_that_are_alike(spark):
+    got, plain = groups_and_plain(spark, edge_pair(1752, 12, 1))  # alike by 0.8, 59 bits differ
+    assert got == plain == [[0, 1]]

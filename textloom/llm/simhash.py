@@ -210,8 +210,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFram
 
 
 #: Minimum hashes of a set of shingles, of which each pair is a shard key; bits of its wide fingerprint, how many of them may
-#: differ for a pair to be looked at (sets alike by 0.8 differ by 39 on average, their spread is 6); rows that are compared at once.
-MINIMA, WIDE, DIFFER, BLOCK = 6, 256, 56, 256
+#: differ for a pair to be looked at (sets alike by 0.8 differ by 39 on average, very small ones by up to 48; their spread is 6); rows that are compared at once.
+MINIMA, WIDE, DIFFER, BLOCK = 6, 256, 80, 256
 PAIRS = tuple(combinations(range(MINIMA), 2))
 FACTORS = np.random.default_rng(11).integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
