@@ -38,3 +38,27 @@ def test_templates_and_odd_rows(spark):
     assert got[2].n_base == 2 and got[2].last_word == 2
     assert licenses.digest(docs.limit(0)).count() == 0
     assert licenses.digest(docs.select("doc_id", F.lit(None).cast("string").alias("text"))).filter("n_words = 0").count() == 10
+
+
+def test_all_templates_in_one_text(spark):
+    own = {i: t.text for i, t in enumerate(licenses.TEMPLATES)}
+    whole = " lorem ipsum dolor sit amet ".join(own.values())
+    drifted = "Permission is hereby granted, free of charge, to any person (natural or legal) obtaining a copy, to deal in the Software without restriction"
+    apart = "permission is hereby granted free of charge " + "word " * 60 + "to deal in the software without restriction"
+    texts = {**own, 100: whole, 101: " ".join([whole] * 3), 102: drifted, 103: apart}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.digest(docs).collect()}
+    for i, t in enumerate(licenses.TEMPLATES):
+        assert t.label in got[i].labels.split(",") and got[i].score == 1.0
+    labels = ",".join(sorted({t.label for t in licenses.TEMPLATES}))
+    assert got[100].labels == got[101].labels == labels
+    assert got[102].labels == "mit" and got[103].labels == ""
+
+
+def test_labels_do_not_depend_on_the_corpus(spark):
+    """A header that very many documents have is as good a label as in a corpus of one document."""
+    notices = [(i, t.text) for i, t in enumerate(licenses.TEMPLATES)]
+    crowd = [(1000 + i, licenses.TEMPLATES[9].text) for i in range(300)]
+    scan = lambda rows: {r.doc_id: r.labels for r in licenses.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alone = scan(notices)
+    assert {k: v for k, v in scan(notices + crowd).items() if k < 1000} == alone

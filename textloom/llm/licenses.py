@@ -1,16 +1,17 @@
 """License scans with a positional index of rare words; DataFrame functions only.
 
-The templates of known notices are short, so their index is a literal of the plan: for each licence word the templates and
-positions where it stands. The words are ranked by how few documents of the corpus have them. A document looks up the
-postings of its rarest licence words; a place p of a word that stands at q in template t votes for the diagonal p - q of t.
-Enough votes on one diagonal mean that the words stand as far apart as in the template, and the template's mandatory phrases
-then have to stand in the document, word for word, for its label to be given.
+The templates of known notices are short, so their index is a literal of the plan. The licence words are ranked by how few
+documents of the corpus have them, and a template is posted under the rarest word of its first mandatory phrase: a document
+without any of these words is done with. A place p of a word that stands at q in template t proposes the diagonal p - q of t.
+A proposal holds if the first phrase stands just where the diagonal puts it and every other mandatory phrase within DRIFT
+words of where it should, word for word, so the phrases' places are intersected relative to each other; then the template's
+licence words that stand on the diagonal are its votes. All proposals of all templates are looked at. Ranks change only how
+many proposals are made, never which labels are given, so a text has the same labels in every corpus.
 
 Beside it, ``phrases`` finds every place of fixed phrases, whatever the templates say.
 
 Defined cases: a null or empty text has no words and score 0. Repeated rows get a row each; other columns of the input aren't
-read. An empty table gives no rows. Any length of text is read whole, and the votes of a document are counted by sorting
-them, so many licence words in one document are no trouble.
+read. An empty table gives no rows. Any length of text is read whole.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what parts words, once letters are in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,28 +40,40 @@ class Template:
 #: The usual wording of public licence notices, and what must stand in a document for the label.
 TEMPLATES = (
     Template("mit", "released under the mit license", ("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge", "without restriction")),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ("permission is hereby granted free of charge", "to deal in the software without restriction")),
     Template("apache", "licensed under the apache license version 2 0", ("apache license",)),
-    Template("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("in compliance with the license", "apache org licenses")),
+    Template("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("in compliance with the license", "apache org licenses")),
     Template("gpl", "this work is licensed under the gnu general public license version 3", ("general public license",)),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license", "free software foundation")),
-    Template("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
-    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("for any purpose with or without fee is hereby granted",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("released into the public domain",)),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ("gnu general public license", "free software foundation")),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
+    Template("lgpl", "under the terms of the gnu library general public license as published by the free software foundation", ("gnu library general public license",)),
+    Template("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistribution and use in source and binary forms",)),
+    Template("bsd", "licensed under the bsd 3 clause license", ("bsd 3 clause",)),
+    Template("bsd", "licensed under the bsd 2 clause license", ("bsd 2 clause",)),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("mozilla public license",)),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    Template("cddl", "the contents of this file are subject to the terms of the common development and distribution license", ("common development and distribution license",)),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("for any purpose with or without fee is hereby granted",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("without any express or implied warranty", "permission is granted to anyone to use this software for any purpose")),
+    Template("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
+    Template("artistic", "this program is free software you can redistribute it and or modify it under the terms of the artistic license 2 0", ("artistic license",)),
+    Template("wtfpl", "do what the fuck you want to public license", ("do what the fuck you want to",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("released into the public domain",)),
+    Template("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", ("to the extent possible under law", "related and neighboring rights")),
+    Template("cc0", "released under the creative commons cc0 1 0 universal license", ("cc0 1 0 universal",)),
     Template("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     Template("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    Template("cc-by-sa", "creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     Template("cc-by", "creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
 )
 
 #: Words too common to be looked up, besides words of one character.
 COMMON = frozenset("the and of to in is it or any this that with for from at as by you may not can are be was an use".split())
 
-#: How many of a document's rarest licence words are looked up, and the votes that a diagonal needs.
-LOOKED_UP, VOTES = 24, 2
+#: Words by which a phrase may stand off the diagonal of the first, for what was put in or left out between them.
+DRIFT = 16
 
 
 def words_of(text: Column) -> Column:
@@ -70,22 +81,24 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), lambda w: w != "")
 
 
-def anchors(templates: tuple[Template, ...]) -> dict[str, list[tuple[int, int]]]:
-    """Licence word -> (template, position) wherever it stands."""
-    index: dict[str, list[tuple[int, int]]] = {}
-    for t, template in enumerate(templates):
-        for q, word in enumerate(template.text.split()):
-            if len(word) > 1 and word not in COMMON:
-                index.setdefault(word, []).append((t, q))
-    return index
+def counted(template: Template) -> list[tuple[int, str]]:
+    """(position, word) of the template's licence words."""
+    return [(q, word) for q, word in enumerate(template.text.split()) if len(word) > 1 and word not in COMMON]
+
+
+def placed_phrases(template: Template) -> list[tuple[int, list[str]]]:
+    """(position in the template, words) of its mandatory phrases."""
+    text = template.text.split()
+    cut = [phrase.split() for phrase in template.phrases]
+    return [(next(q for q in range(len(text)) if text[q : q + len(words)] == words), words) for words in cut]
 
 
-def rarest_first(words: DataFrame, index: dict[str, list[tuple[int, int]]]) -> list[str]:
+def rarest_first(words: DataFrame, vocabulary: list[str]) -> list[str]:
     """The licence words by the number of documents that have them: one row for each at most comes to the driver."""
-    vocabulary = F.array(*map(F.lit, sorted(index)))
-    counts = words.select(F.explode(F.array_intersect("words", vocabulary)).alias("word")).groupBy("word").count().collect()
+    known = F.array(*map(F.lit, vocabulary))
+    counts = words.select(F.explode(F.array_intersect("words", known)).alias("word")).groupBy("word").count().collect()
     n = {r.word: r["count"] for r in counts}
-    return sorted(index, key=lambda w: (n.get(w, 0), w))
+    return sorted(vocabulary, key=lambda w: (n.get(w, 0), w))
 
 
 def base_places(words: Column, phrases: tuple[tuple[str, str], ...] = PHRASES) -> Column:
@@ -102,47 +115,49 @@ def base_places(words: Column, phrases: tuple[tuple[str, str], ...] = PHRASES) -
     return F.flatten(F.array(*(F.coalesce(places(p, label), none) for p, label in phrases)))
 
 
-def template_hits(words: Column, ranked: list[str], index: dict[str, list[tuple[int, int]]], templates: tuple[Template, ...]) -> Column:
-    """For each template the most rare words of the document on one diagonal, 0 below VOTES."""
-    rank = F.create_map(*(x for r, w in enumerate(ranked) for x in (F.lit(w), F.lit(r))))
-    # a vote is template * 2^40 + diagonal, in one long; diagonals begin below 0, by as much as a template is long
-    wide, shift = 1 << 40, 1 << 12
-    postings = F.array(*(F.array(*(F.lit(t * wide - q + shift) for t, q in index[w])) for w in ranked))
-    placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("p"))), lambda s: s["w"].isin(*ranked))
-    ranks = F.transform(placed, lambda s: F.struct(rank[s["w"]].alias("r"), s["p"].alias("p")))
+def anchor(template: Template, ranked: list[str]) -> tuple[str, int]:
+    """The rarest word of the template's first phrase, and where it stands in the template."""
+    first, words = placed_phrases(template)[0]
+    known = [w for w in ranked if w in words]
+    return known[0], first + words.index(known[0])
 
-    def votes_of(ranked_places: Column) -> Column:
-        looked = F.slice(F.array_sort(F.array_distinct(ranked_places["r"])), 1, LOOKED_UP)
-        of = lambda s: F.transform(F.get(postings, s["r"]), lambda k: k + s["p"])
-        return let(F.element_at(looked, -1), lambda last: F.flatten(F.transform(F.filter(ranked_places, lambda s: s["r"] <= last), of)))
 
-    start = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0).alias("n"), F.array_repeat(F.lit(0), len(templates)).alias("best"))
+def best_votes(words: Column, line: Column, template: Template, ranked: list[str]) -> Column:
+    """The most licence words on one diagonal that holds the phrases; null if there is none. line: the words between blanks."""
+    rare, at = anchor(template, ranked)
+    phrases = placed_phrases(template)
+    drift = lambda n: DRIFT if n else 0
 
-    def step(acc: Column, vote: Column) -> Column:
-        n = F.when(acc["at"] == vote, acc["n"] + 1).otherwise(1)
-        better = F.transform(acc["best"], lambda b, t: F.when(t == F.floor(vote / wide), F.greatest(b, n)).otherwise(b))
-        return F.struct(vote.alias("at"), n.alias("n"), F.when(n >= VOTES, better).otherwise(acc["best"]).alias("best"))
+    def stands(diagonal: Column, n: int, q: int, phrase: list[str]) -> Column:
+        first = F.greatest(diagonal + (q - drift(n) + 1), F.lit(1))
+        last = diagonal + (q + len(phrase) + drift(n))
+        around = F.slice(words, first, F.greatest(last - first + 1, F.lit(0)))
+        return F.contains(F.concat(F.lit(" "), F.array_join(around, " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} "))
 
-    return F.aggregate(F.sort_array(let(ranks, votes_of)), start, step, lambda acc: acc["best"])
+    holds = lambda d: reduce(Column.__and__, [stands(d, n, q, phrase) for n, (q, phrase) in enumerate(phrases)])
+    own = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(w).alias("w")) for q, w in counted(template)))
+    votes = lambda d: F.size(F.filter(own, lambda x: F.coalesce(F.get(words, d + x["q"]) == x["w"], F.lit(False))))
+    proposed = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda p: F.get(words, p) == rare)
+    found = F.array_max(F.transform(F.filter(F.transform(proposed, lambda p: p - at), holds), votes))
+    somewhere = reduce(Column.__and__, [F.contains(line, F.lit(f" {' '.join(phrase)} ")) for _, phrase in phrases])
+    return F.when(somewhere, found)
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
     """doc_id, n_words, base (places of phrases), labels (array, those of phrases included), score; two passes, no shuffle of texts."""
-    index = anchors(templates)
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    ranked = rarest_first(words, index)
-    relevant = F.arrays_overlap("words", F.array(*map(F.lit, ranked)))
+    ranked = rarest_first(words, sorted({w for t in templates for w in t.phrases[0].split()}))
+    rare = sorted({anchor(t, ranked)[0] for t in templates})
+    relevant = F.arrays_overlap("words", F.array(*map(F.lit, rare)))
     found = words.select(
         "doc_id",
+        "words",
         F.size("words").cast("long").alias("n_words"),
         F.when(relevant, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("line"),
         base_places(F.col("words"), phrases).alias("base"),
-        F.when(relevant, template_hits(F.col("words"), ranked, index, templates)).alias("votes"),
     )
-    sizes = [sum(t == x for places in index.values() for x, _ in places) for t in range(len(templates))]
-    verified = [reduce(Column.__and__, [F.contains("line", F.lit(f" {p} ")) for p in t.phrases]) for t in templates]
-    share = [F.when((F.get("votes", F.lit(t)) > 0) & verified[t], F.least(F.get("votes", F.lit(t)) / float(max(1, sizes[t])), F.lit(1.0))) for t in range(len(templates))]
-    scored = found.select("doc_id", "n_words", "base", F.when(F.array_max("votes") > 0, F.array(*share)).alias("share"))
+    share = [best_votes(F.col("words"), F.col("line"), t, ranked) / float(len(counted(t))) for t in templates]
+    scored = found.select("doc_id", "n_words", "base", F.when(F.col("line").isNotNull(), F.array(*share)).alias("share"))
     own = F.filter(F.transform("share", lambda s, t: F.when(s.isNotNull(), F.get(F.array(*(F.lit(x.label) for x in templates)), t))), lambda x: x.isNotNull())
     labels = F.array_sort(F.array_distinct(F.concat(F.col("base")["label"], F.coalesce(own, F.expr("cast(array() as array<string>)")))))
     best = F.greatest(F.coalesce(F.array_max("share"), F.lit(0.0)), F.when(F.size("base") > 0, F.lit(0.5)).otherwise(0.0))

@@ -90,29 +90,26 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def license_sql() -> str:
-    """The scan as SQL: the index and the templates as rows, votes counted by document, template and diagonal."""
-    entries = ", ".join(f"('{w}', {t}, {q})" for w, places in licenses.anchors(licenses.TEMPLATES).items() for t, q in places)
-    holds = lambda t: " AND ".join(f"contains(line, ' {p} ')" for p in t.phrases)
-    verified = " ".join(f"WHEN {n} THEN {holds(t)}" for n, t in enumerate(licenses.TEMPLATES))
-    labels = ", ".join(f"({n}, '{t.label}')" for n, t in enumerate(licenses.TEMPLATES))
+    """The scan as SQL: the templates as rows, diagonals proposed by the first word of the first phrase, votes joined by place."""
+    known = list(enumerate(licenses.TEMPLATES))
+    entries = ", ".join(f"({n}, {q}, '{w}')" for n, t in known for q, w in licenses.counted(t))
+    firsts = ", ".join(f"({n}, '{t.label}', {licenses.placed_phrases(t)[0][0]}, '{t.phrases[0].split()[0]}', {len(licenses.counted(t))})" for n, t in known)
+    around = lambda q, n, drift: f"' ' || array_to_string(w[greatest(diagonal + {q - drift + 1}, 1):diagonal + {q + n + drift}], ' ') || ' '"
+    stands = lambda k, q, p: f"contains({around(q, len(p), licenses.DRIFT if k else 0)}, ' {' '.join(p)} ')"
+    verified = " ".join(f"WHEN {n} THEN {' AND '.join(stands(k, q, p) for k, (q, p) in enumerate(licenses.placed_phrases(t)))}" for n, t in known)
     at = lambda phrase: " AND ".join(f"{'word' if k == 0 else f'lead(word, {k}) OVER s'} = '{p}'" for k, p in enumerate(phrase.split()))
     base = " UNION ALL ".join(f"SELECT doc_id, p, '{label}' AS label FROM (SELECT doc_id, p, {at(phrase)} AS here FROM u WINDOW s AS (PARTITION BY doc_id ORDER BY p)) WHERE here" for phrase, label in licenses.PHRASES)
     return rf"""
     WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.BETWEEN}'), lambda x: x <> '') AS w FROM documents),
          u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
-         i AS (SELECT * FROM (VALUES {entries}) AS i(word, t, q)), v AS (SELECT DISTINCT word FROM i),
-         f AS (SELECT word, count(DISTINCT doc_id) AS n FROM u JOIN v USING (word) GROUP BY word),
-         r AS (SELECT word, row_number() OVER (ORDER BY coalesce(n, 0), word) AS r FROM v LEFT JOIN f USING (word)),
-         l AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word, r FROM u JOIN r USING (word)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r) <= {licenses.LOOKED_UP}),
-         g AS (SELECT doc_id, t, p - q AS diagonal, count(*) AS n FROM u JOIN l USING (doc_id, word) JOIN i USING (word) GROUP BY ALL),
-         b AS (SELECT doc_id, t, max(n) AS n FROM g WHERE n >= {licenses.VOTES} GROUP BY ALL),
-         z AS (SELECT t, count(*) AS size FROM i GROUP BY t),
-         h AS (SELECT doc_id, label, least(n / size::DOUBLE, 1.0) AS share, CASE t {verified} END AS ok
-               FROM b JOIN z USING (t) JOIN (VALUES {labels}) AS x(t, label) USING (t) JOIN (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d) USING (doc_id)),
+         i AS (SELECT * FROM (VALUES {entries}) AS i(t, q, word)), f AS (SELECT * FROM (VALUES {firsts}) AS f(t, label, q, word, size)),
+         c AS (SELECT doc_id, t, label, size, p - q AS diagonal FROM u JOIN f USING (word)),
+         o AS (SELECT doc_id, t, label, size, diagonal FROM c JOIN d USING (doc_id) WHERE CASE t {verified} END),
+         g AS (SELECT doc_id, t, label, diagonal, count(*) / size::DOUBLE AS share FROM o JOIN i USING (t) JOIN u USING (doc_id, word) WHERE u.p = diagonal + q GROUP BY doc_id, t, label, diagonal, size),
          p AS ({base}),
          pb AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
-         a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION ALL SELECT doc_id, label FROM h WHERE ok) GROUP BY doc_id),
-         s AS (SELECT doc_id, max(share) AS share FROM h WHERE ok GROUP BY doc_id)
+         a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION ALL SELECT doc_id, label FROM g) GROUP BY doc_id),
+         s AS (SELECT doc_id, max(share) AS share FROM g GROUP BY doc_id)
     SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
            coalesce(labels, '') AS labels, greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
     FROM d LEFT JOIN pb USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN s USING (doc_id)
