@@ -40,15 +40,18 @@ def test_tree_equals_brute_force():
     assert simhash.linked(values, 2) == plain_groups(values, 2)
 
 
-@pytest.mark.parametrize("shard", [1024, 3])
-def test_groups_equal_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(simhash, "SHARD", shard)
+@pytest.mark.parametrize("most", [1024, 3])
+def test_groups_equal_brute_force(spark, monkeypatch, most):
+    other_way = []
+    links = simhash.tree_links
+    monkeypatch.setattr(simhash, "tree_links", lambda *a: (out := links(*a), other_way.append(out.filter("rest IS NOT NULL").count()))[0])
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(30)] + [0, 2**64 - 1]
     values = [v for b in base for v in [b, b, *(b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(8))]]
     signed = [int(np.uint64(v).astype(np.int64)) for v in values]
     prints = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
-    got = {r.fp: r.component for r in simhash.groups_within(prints).collect()}
+    got = {r.fp: r.component for r in simhash.groups_within(prints, most=most).collect()}
+    assert (other_way[0] > 200) == (most == 3)  # fingerprints that the other way linked
     assert [got[s] for s in signed] == plain_groups(values, 2)
 
 
@@ -125,21 +128,40 @@ def family(rng, alone, pairs):
     return [" ".join(t) for t in texts]
 
 
-def groups_and_plain(spark, texts):
+def plain_links(texts, similarity=0.8):
+    """All pairs of sets that are alike by so much, by counting what is common to each and all others."""
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    number = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    own = [np.array(sorted(map(number.get, x)), np.int64) for x in sets]
+    flat, n = np.concatenate(own), np.array(list(map(len, own)))
+    starts, held, pairs = np.cumsum(n) - n, np.zeros(len(number), np.int16), []
+    for i, mine in enumerate(own):
+        held[mine] = 1
+        common = np.add.reduceat(held[flat], starts, dtype=np.int64)
+        held[mine] = 0
+        pairs += [(i, j) for j in np.flatnonzero(common >= similarity * (n[i] + n - common)).tolist() if j > i]
+    return pairs
+
+
+def groups_and_plain(spark, texts, **options):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = simhash.near_groups(docs).collect()
+    found = simhash.near_groups(docs, **options).collect()
     by_component = {}
     for r in found:
         by_component.setdefault(r.component, []).append(r.doc_id)
-    sets = [set(simhash.shingles(t, 5)) for t in texts]
     root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
-                root = [root[j] if r == root[i] else r for r in root]
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in plain_links(texts):
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
     plain = {}
-    for i, r in enumerate(root):
-        plain.setdefault(r, []).append(i)
+    for i in range(len(texts)):
+        plain.setdefault(find(i), []).append(i)
     return sorted(sorted(g) for g in by_component.values()), sorted(plain.values())
 
 
@@ -148,14 +170,39 @@ def test_pairs_within_a_family_that_is_less_alike(spark):
     assert len(plain) == 175 and got == plain
 
 
-@pytest.mark.parametrize("shard", [3, 20])
-def test_shards_that_are_cut_equal_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(simhash, "SHARD", shard)
+def counted_members(monkeypatch):
+    """Keys of shards that each call leaves for the comparison by blocks."""
+    cut, members = [], simhash._members
+    monkeypatch.setattr(simhash, "_members", lambda *a: (out := members(*a), cut.append(out.select("cut").distinct().filter("cut IS NOT NULL").count()))[0])
+    return cut
+
+
+@pytest.mark.parametrize(("most", "most_weight"), [(3, 1 << 40), (20, 1 << 40), (1024, 2000)])
+def test_shards_that_are_cut_equal_brute_force(spark, monkeypatch, most, most_weight):
+    cut = counted_members(monkeypatch)
     rng = random.Random(22)
     copies = family(rng, 1, 0) * 12  # one component over many parts
     copies = [" ".join(t.split()[:-2] + made_words(rng, 2)) for t in copies]
-    got, plain = groups_and_plain(spark, family(rng, 60, 10) + copies)
-    assert len(plain) == 71 and got == plain
+    got, plain = groups_and_plain(spark, family(rng, 60, 10) + copies, most=most, most_weight=most_weight)
+    assert len(plain) == 71 and got == plain and cut[0] >= 15
+
+
+def test_thousands_in_one_shard_equal_brute_force(spark, monkeypatch):
+    """5,400 texts alike by 0.7 that share nearly all shards; of 200 of them two each are alike by 0.8 or more."""
+    cut = counted_members(monkeypatch)
+    rng = random.Random(23)
+    base, texts = made_words(rng, 100), []
+    for _ in range(5000):
+        texts.append(base + made_words(rng, 21))
+    for _ in range(200):
+        shared = made_words(rng, 9)
+        texts += [base + shared + made_words(rng, 12) for _ in range(2)]
+    rng.shuffle(texts)
+    got, plain = groups_and_plain(spark, [" ".join(t) for t in texts])
+    assert cut[0] >= 10 and len(plain) == 5200
+    wanted = {tuple(g) for g in plain if len(g) > 1}
+    found = {tuple(g) for g in got if len(g) > 1}
+    assert not found - wanted and len(found) >= 0.99 * len(wanted)
 
 
 def edge_pair(seed, shared, own):

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..session import shared_folder
 
-__all__ = ["WHITE", "clear", "let", "marked", "maybe_marked", "shared_folder", "small_batches", "table", "written"]
+__all__ = ["WHITE", "Marks", "clear", "let", "marked_only", "marks", "shared_folder", "small_batches", "table", "written"]
 
 #: Fixed value: ASCII white space, as a character class of a regular expression.
 WHITE = r"\x20\x09-\x0D"
@@ -37,21 +38,50 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of at most so many rows, so that a batch of long texts stays small in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
+    """Arrow batches of at most so many rows and (beyond one row) bytes, so that a batch of long texts stays small in a Python worker.
+
+    A setting of the session, as plans read it when they run; smaller ones stay.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+@dataclass(frozen=True)
+class Marks:
+    """A bitmap of hashed long keys as rows (word_, bits_), small enough to be broadcast."""
+
+    rows: DataFrame
+    words: int
+
+    def _here(self, key: str) -> Column:
+        bit = F.expr(f"bits_ & shiftleft(1L, cast(shiftrightunsigned({key}, 40) & 63 AS INT))")
+        return (F.pmod(F.col(key), F.lit(self.words)) == F.col("word_")) & (bit != 0)
+
+    def maybe(self, frame: DataFrame, key: str) -> DataFrame:
+        """The rows whose key may be marked, without a shuffle of the frame."""
+        return frame.join(F.broadcast(self.rows), self._here(key), "left_semi")
+
+    def surely_not(self, frame: DataFrame, key: str) -> DataFrame:
+        """The other rows (those with a null key too)."""
+        return frame.join(F.broadcast(self.rows), self._here(key), "left_anti")
 
 
-def marked(keys: DataFrame, key: str, words: int = 1 << 17) -> DataFrame:
-    """A bitmap (word, bits) of the hashed long keys: at most so many rows, whatever the keys, so it may be broadcast.
+def marks(keys: DataFrame, key: str, least: int = 1 << 12, most: int = 1 << 19) -> Marks:
+    """Marks of the keys, which are counted: about sixteen bits a key, and never more than ``most`` words of 64 bits.
 
-    A key's bit may be set by another key; when very many keys are marked, it tells less, but never wrongly that one isn't.
+    A key's bit may be set by another key, never left unset by its own. Beyond some 10^7 keys the bitmap fills and tells less,
+    up to nothing; then more rows go the longer way, whose result is the same.
     """
-    return keys.groupBy(F.pmod(key, F.lit(words)).alias("word_")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, 40) & 63 AS INT))")).alias("bits_"))
+    n = keys.agg(F.approx_count_distinct(key)).first()[0]
+    words = min(most, max(least, 1 << (n // 4).bit_length()))
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, 40) & 63 AS INT))")
+    return Marks(keys.groupBy(F.pmod(key, F.lit(words)).alias("word_")).agg(F.bit_or(bit).alias("bits_")), words)
 
 
-def maybe_marked(frame: DataFrame, key: str, bitmap: DataFrame, yes: bool = True, words: int = 1 << 17) -> DataFrame:
-    """The rows whose key may be marked, or those whose key surely isn't; without a shuffle of the frame."""
-    here = (F.pmod(F.col(key), F.lit(words)) == F.col("word_")) & (F.expr(f"bits_ & shiftleft(1L, cast(shiftrightunsigned({key}, 40) & 63 AS INT))") != 0)
-    return frame.join(F.broadcast(bitmap), here, "left_semi" if yes else "left_anti")
+def marked_only(frame: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of the frame whose key may be among the keys (a column of the same name)."""
+    return marks(keys, key).maybe(frame, key)

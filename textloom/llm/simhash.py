@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest, xxh3_128_digest, xxh64_digest
 
-from .common import WHITE, marked, maybe_marked, small_batches, written
+from .common import WHITE, marked_only, marks, small_batches, written
 from .components import components
 
-#: The seed of the hashes of shingles, and the least that a shard has before it is linked the other way.
+#: The seed of the hashes of shingles, and the most that a shard has before it is linked the other way.
 SEED, SHARD = 42, 1024
 #: For runs that are taken whole.
 NO_CUT = 1 << 62
@@ -136,12 +136,13 @@ def linked(values: list[int], radius: int) -> list[int]:
     return [find(i) for i in range(len(values))]
 
 
-def runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.RecordBatch, bool]]:
-    """Runs of at least two rows with one key (column 0) of a sorted partition; whether a run is whole: not the first or last of it,
-    and not cut because it is longer than most (SHARD). Runs of one row come only where they aren't whole."""
-    most = SHARD if most is None else most
+def runs(batches: Iterator[pa.RecordBatch], most: int, weight: str | None = None, most_weight: int = NO_CUT) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Runs of at least two rows with one key (column 0) of a sorted partition, and whether a run is whole.
+
+    It isn't where it is the first or last of the partition, or where it was cut because it has more rows than most or a sum of
+    a column weight above most_weight, which is looked at every few rows. Runs of one row come only where they aren't whole."""
     held: list[pa.RecordBatch] = []
-    size, key, first, cut = 0, None, True, False
+    size, load, key, first, cut, step = 0, 0, None, True, False, min(64, most)
 
     def joined() -> pa.RecordBatch:
         return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -150,29 +151,30 @@ def runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator
         if not batch.num_rows:
             continue
         keys = batch.column(0).to_numpy(zero_copy_only=False)
+        loads = np.cumsum(np.r_[0, batch.column(weight).to_numpy()]) if weight else np.zeros(len(keys) + 1, np.int64)
         bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         for n, (a, b) in enumerate(zip(bounds, bounds[1:])):
             if n or key is None or keys[a] != key:
                 if held and (size > 1 or first or cut):
                     yield joined(), not (first or cut)
                 first = key is None
-                held, size, key, cut = [], 0, keys[a], False
+                held, size, load, key, cut = [], 0, 0, keys[a], False
             if b - a == 1 and n and b < len(keys) and not first:
                 continue  # alone, and its neighbours on both sides are here
-            held.append(batch.slice(a, b - a))
-            size += b - a
-            if size > most:
-                yield joined(), False
-                held, size, cut = [], 0, True
+            for c in range(a, b, step):
+                d = min(b, c + step)
+                held.append(batch.slice(c, d - c))
+                size, load = size + d - c, load + int(loads[d] - loads[c])
+                if size > most or (size > 1 and load > most_weight):
+                    yield joined(), False
+                    held, size, load, cut = [], 0, 0, True
     if held:
         yield joined(), False
 
 
-def groups_within(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """fp, component for the fingerprints of prints (doc_id, fp): the smallest id that links of at most radius bits reach."""
-    if radius > 2:
-        raise ValueError("the exact way for large shards holds up to two bits")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "prints")
+def tree_links(nodes: DataFrame, radius: int, most: int) -> DataFrame:
+    """u, v: links that the trees of whole shards find between nodes (fp, node); and u, rest (its fingerprint) for the nodes of
+    shards above most, and of those that a task boundary cuts."""
     blocks = radius + 2
     width = 64 // blocks
     block = [F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(blocks)]
@@ -181,7 +183,7 @@ def groups_within(prints: DataFrame, radius: int = 2) -> DataFrame:
     id_type = nodes.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, whole in runs(batches):
+        for own, whole in runs(batches, most):
             node = own.column(2)
             if whole:
                 roots = linked([v & (2**64 - 1) for v in own.column(1).to_pylist()], radius)
@@ -193,7 +195,15 @@ def groups_within(prints: DataFrame, radius: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([node, node, own.column(1)], ["u", "v", "rest"])
 
     found = keyed.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp").mapInArrow(run, f"u {id_type}, v {id_type}, rest long")
-    found = written(found, "tree-links")
+    return written(found, "tree-links")
+
+
+def groups_within(prints: DataFrame, radius: int = 2, most: int = SHARD) -> DataFrame:
+    """fp, component for the fingerprints of prints (doc_id, fp): the smallest id that links of at most radius bits reach."""
+    if radius > 2:
+        raise ValueError("the exact way for large shards holds up to two bits")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "prints")
+    found = tree_links(nodes, radius, most)
     rest = found.filter("rest IS NOT NULL").select(F.col("u").alias("node"), F.col("rest").alias("fp")).distinct()
     around = F.array("fp", *(F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(64)))
     met = rest.select("node", F.explode(around).alias("shared")).groupBy("shared").agg(F.min("node").alias("v"), F.collect_list("node").alias("all"))
@@ -202,22 +212,26 @@ def groups_within(prints: DataFrame, radius: int = 2) -> DataFrame:
     return nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, most: int = SHARD) -> DataFrame:
     """doc_id, fingerprint (hex), component_id for each row."""
     prints = written(fingerprints(docs, size), "fingerprints")
-    found = prints.join(groups_within(prints, radius), "fp", "left")
+    found = prints.join(groups_within(prints, radius, most), "fp", "left")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 #: Minimum hashes of a set of shingles, of which each pair is a shard key; bits of its wide fingerprint, how many of them may
-#: differ for a pair to be looked at (sets alike by 0.8 differ by 39 on average, very small ones by up to 48; their spread is 6); rows that are compared at once.
-MINIMA, WIDE, DIFFER, BLOCK = 6, 256, 80, 256
+#: differ for a pair to be looked at (sets alike by 0.8 differ by 39 on average, very small ones by up to 48; their spread is 6).
+MINIMA, WIDE, DIFFER = 6, 256, 80
+#: The most documents of a cell, and the most shingles that they have together (beyond the first few).
+ROWS, SHINGLES = 1024, 2_000_000
 PAIRS = tuple(combinations(range(MINIMA), 2))
 FACTORS = np.random.default_rng(11).integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A sketch as bytes: the wide fingerprint, then the minimum hashes, 32 bits each.
+SKETCH = np.dtype([("fp", "u8", (WIDE // 64,)), ("minima", "u4", (MINIMA,))])
 
 
-def sketch(text: str | None, size: int = 5) -> tuple[bytes, list[int], int] | None:
-    """The wide fingerprint of the set of shingles, its minimum hashes and its size; None without words."""
+def sketch(text: str | None, size: int = 5) -> tuple[bytes, int] | None:
+    """The wide fingerprint and the minimum hashes of the set of shingles (SKETCH), and its size; None without words."""
     own = set(shingles(text, size))
     if not own:
         return None
@@ -227,16 +241,16 @@ def sketch(text: str | None, size: int = 5) -> tuple[bytes, list[int], int] | No
     for factor in FACTORS:
         mixed = low * factor
         mixed ^= mixed >> np.uint64(29)
-        minima.append(int((mixed * FACTORS[0]).min().view(np.int64)))
-    return majority_bits(raw), minima, len(own)
+        minima.append(int((mixed * FACTORS[0]).min()) & 0xFFFFFFFF)
+    return majority_bits(raw) + np.array(minima, "<u4").tobytes(), len(own)
 
 
 def with_partner(own: pa.RecordBatch, radius: int, similarity: float) -> np.ndarray:
-    """Which rows of a shard (key, pair, fp, node, minima, n, component) may be alike to another one of another component.
+    """Which rows of a shard (key, pair, sketch, node, n, component) may be alike to another one of another component.
 
     Rows that share several shards are told here only in the first of them."""
-    fp = np.frombuffer(b"".join(own.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE // 64)
-    minima = np.array(own.column("minima").to_pylist(), np.int64)
+    made = np.frombuffer(b"".join(own.column("sketch").to_pylist()), SKETCH)
+    fp, minima = np.ascontiguousarray(made["fp"]), np.ascontiguousarray(made["minima"])
     n, component = (own.column(c).to_numpy(zero_copy_only=False) for c in ("n", "component"))
     a, b = PAIRS[own.column("pair")[0].as_py()]
     has = np.zeros(len(fp), bool)
@@ -251,13 +265,13 @@ def with_partner(own: pa.RecordBatch, radius: int, similarity: float) -> np.ndar
     return has
 
 
-def _members(keyed: DataFrame, radius: int, similarity: float, most: int | None = None) -> DataFrame:
+def _members(keyed: DataFrame, radius: int, similarity: float, most: int, most_weight: int) -> DataFrame:
     """cell, node for the rows of sorted shards that have to be compared with others of their cell, a shard or a part of one;
     and the keys (cut) of shards that aren't compared whole, as a task or a cell holds them only in part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = TaskContext.get().partitionId() << 40
-        for own, whole in runs(batches, most):
+        for own, whole in runs(batches, most, "n", most_weight):
             at = np.flatnonzero(with_partner(own, radius, similarity)) if own.num_rows > 1 else []
             rows = [(cell, node, None) for node in own.column("node").take(pa.array(at, pa.int64())).to_pylist()]
             cell += 1
@@ -302,16 +316,16 @@ def _links(docs: DataFrame, members: DataFrame, size: int, similarity: float) ->
                 yield pa.RecordBatch.from_arrays([node.take(pa.array(side)) for side in zip(*found)], ["u", "v"])
 
     own = members.filter("node IS NOT NULL").select("cell", "node")
-    texts = maybe_marked(docs, "node", marked(own, "node")).groupBy("node").agg(F.first("text").alias("text"))
+    texts = marked_only(docs, "node", own).groupBy("node").agg(F.first("text").alias("text"))
     cells = texts.join(own, "node").select("cell", "node", "text").repartition("cell").sortWithinPartitions("cell")
     return written(cells.mapInArrow(run, "u long, v long"), "links-of-cells")
 
 
-def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity: float = 0.8, most: int = ROWS, most_weight: int = SHINGLES) -> DataFrame:
     """node, doc_id, sig, component of every row with words; sig hashes the text, node the id and the text.
 
     Documents that share a shard and whose fingerprints are within the radius are compared by their shingles, all of them unless links
-    that were found join them already. Shards are compared in cells of bounded size.
+    that were found join them already. Shards are compared in cells of bounded size (most rows, most_weight shingles).
     """
     small_batches(docs.sparkSession)
 
@@ -319,23 +333,26 @@ def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity
         for batch in batches:
             made = [sketch(t, size) for t in batch.column(3).to_pylist()]
             at = pa.array([i for i, m in enumerate(made) if m], pa.int64())
-            fp, minima, n = zip(*(m for m in made if m)) if len(at) else ((), (), ())
-            more = [pa.array(fp, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), *more], ["doc_id", "sig", "node", "fp", "minima", "n"])
+            own, n = zip(*(m for m in made if m)) if len(at) else ((), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(own, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "sig", "node", "sketch", "n"])
 
     sig = F.xxhash64("text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", sig.alias("sig"), F.xxhash64("doc_id", sig).alias("node"), "text")
-    sketches = written(rows.mapInArrow(run, f"doc_id {id_type}, sig long, node long, fp binary, minima array<long>, n long"), "sketches")
-    classes = written(sketches.groupBy("fp", "minima", "n").agg(F.min("node").alias("class")), "sketch-classes")
-    key = [F.xxhash64(F.lit(i), F.get("minima", F.lit(a)), F.get("minima", F.lit(b))) for i, (a, b) in enumerate(PAIRS)]
-    keyed = classes.select(F.posexplode(F.array(*key)).alias("pair", "key"), "fp", F.col("class").alias("node"), "minima", "n")
-    columns = ["key", "pair", "fp", "node", "minima", "n", "component"]
+    sketches = written(rows.mapInArrow(run, f"doc_id {id_type}, sig long, node long, sketch binary, n long"), "sketches")
+    classes = written(sketches.groupBy("sketch", "n").agg(F.min("node").alias("class")), "sketch-classes")
+    least = [F.substring("sketch", WIDE // 8 + 4 * i + 1, 4) for i in range(MINIMA)]
+    keys = F.array(*(F.xxhash64(F.lit(i), least[a], least[b]) for i, (a, b) in enumerate(PAIRS)))
+    # most keys are one document's alone, so they go ahead of the rows
+    shared = written(classes.select(F.explode(keys).alias("key")).groupBy("key").count().filter("count > 1").select("key"), "shared-keys")
+    columns = ["key", "pair", "sketch", "node", "n", "component"]
+    node = F.col("class").alias("node")
+    keyed = marked_only(classes.select(F.posexplode(keys).alias("pair", "key"), "sketch", node, "n"), "key", shared)
     texts = rows.select("node", "text")
 
     order = F.xxhash64("key", "node")  # other in each shard, so that parts of shards mix
     dealt = keyed.withColumn("component", F.col("node")).withColumn("order", order).repartitionByRange("key", "order").sortWithinPartitions("key", "order")
-    first = _members(dealt.select(*columns), radius, similarity, min(BLOCK, SHARD))
+    first = _members(dealt.select(*columns), radius, similarity, most, most_weight)
     links = _links(texts, first, size, similarity)
     comps = components(links)
 
@@ -343,9 +360,12 @@ def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity
     cut = first.filter("cut IS NOT NULL").select(F.col("cut").alias("key")).distinct()
     rest = keyed.join(cut, "key").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rest = written(rest.select(*columns), "cut-shards")
-    most = rest.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("all"), F.max(F.struct("count", "component")).alias("top"))
-    blocks = lambda rows: F.ceil(rows / F.lit(min(BLOCK, SHARD)))
-    several = most.filter("all > top.count").select("key", F.col("top.component").alias("top"), blocks(F.col("all") - F.col("top.count")).alias("outer"), blocks(F.col("top.count")).alias("inner"))
+    per = rest.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    all_of = per.groupBy("key").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "n", "component")).alias("top"))
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / F.lit(max(1, most // 2))), F.ceil(n / F.lit(max(1, most_weight // 2))))
+    several = all_of.filter("rows > top.rows").select(
+        "key", F.col("top.component").alias("top"), blocks(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("outer"), blocks(F.col("top.rows"), F.col("top.n")).alias("inner")
+    )
     outside = F.col("component") != F.col("top")
     block = F.pmod(F.xxhash64("node", "key"), F.when(outside, F.col("outer")).otherwise(F.col("inner")))
     count = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -353,10 +373,10 @@ def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity
     across = F.transform(count("inner"), lambda j: F.xxhash64("key", F.lit(1), j, "block"))
     top = F.transform(count("outer"), lambda j: F.xxhash64("key", F.lit(1), "block", j))
     cells = rest.join(several, "key").withColumn("block", block).withColumn("key", F.explode(F.when(outside, F.concat(among, across)).otherwise(top)))
-    second = _members(cells.select(*columns).repartition("key").sortWithinPartitions("key"), radius, similarity, NO_CUT)
+    second = _members(cells.select(*columns).repartition("key").sortWithinPartitions("key"), radius, similarity, NO_CUT, NO_CUT)
     comps = components(links.union(_links(texts, second, size, similarity)))
-    found = classes.join(comps, F.col("class") == F.col("node"), "left").select("fp", "minima", "n", F.coalesce("component", "class").alias("component"))
-    return written(sketches.join(found, ["fp", "minima", "n"]).select("node", "doc_id", "sig", "component"), "near-groups")
+    found = classes.join(comps, F.col("class") == F.col("node"), "left").select("sketch", "n", F.coalesce("component", "class").alias("component"))
+    return written(sketches.join(found, ["sketch", "n"]).select("node", "doc_id", "sig", "component"), "near-groups")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -365,10 +385,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     found = near_groups(docs)
     stays = F.col("node") == F.col("component")  # a component's name is its smallest node
     again = found.groupBy("node").count().filter("count > 1").select("node")
-    several = marked(found.filter(~stays).select("node").union(again), "node")
+    several = marks(found.filter(~stays).select("node").union(again), "node")
     keepers = found.filter(stays).select("node").distinct()
     keyed = docs.filter(worded).select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("own"))
     # only texts that may go are shuffled, and once: repeated rows are told by the key of the join
-    alone = maybe_marked(keyed, "own", several, yes=False)
-    kept = maybe_marked(keyed, "own", several).join(keepers, F.col("own") == F.col("node"), "left_semi").dropDuplicates(["own", "doc_id"])
+    alone = several.surely_not(keyed, "own")
+    kept = several.maybe(keyed, "own").join(keepers, F.col("own") == F.col("node"), "left_semi").dropDuplicates(["own", "doc_id"])
     return alone.union(kept).select("row.*").union(docs.filter(~worded))

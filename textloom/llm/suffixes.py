@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked, maybe_marked, small_batches, written
+from .common import marked_only, marks, small_batches, written
 
 LENGTH, TOKEN = 200, 64
 #: Stretches of one token that are sorted in memory; windows sorted at a time; bits of a place within a segment of a text.
@@ -207,7 +207,7 @@ def by_bytes(docs: DataFrame, mixed: DataFrame, length: int, id_type: str) -> Da
     """The repeated windows in stretches (key, place) whose token others have, as (doc_id, sig, first, size)."""
     lists = written(mixed.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("key", "first", "size")).alias("own")).withColumn("node", F.expr(NODE_SQL)), "mixed-stretches")
     same = (F.col("d.node") == F.col("l.node")) & F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.sig") == F.col("l.sig"))
-    some = maybe_marked(docs.withColumn("node", F.expr(NODE_SQL)), "node", marked(lists, "node"))
+    some = marked_only(docs.withColumn("node", F.expr(NODE_SQL)), "node", lists)
     with_text = some.alias("d").join(lists.hint("shuffle_hash").alias("l"), same).select("d.doc_id", "d.sig", "d.text", "l.own")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,9 +336,9 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     covered = found.filter("again").select(*PLACE).union(by_bytes(long, mixed, length, id_type))
     lists = written(covered.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("first", "size")).alias("own")).withColumn("node", F.expr(NODE_SQL)), "covered")
     same = (F.col("d.node") == F.col("l.node")) & F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.sig") == F.col("l.sig"))
-    bitmap, nodes = marked(lists, "node"), keyed.withColumn("node", F.expr(NODE_SQL))
-    whole = maybe_marked(nodes, "node", bitmap, yes=False).select("doc_id", "text", F.lit(None).cast(lists.schema["own"].dataType).alias("own"))
-    cut = maybe_marked(nodes, "node", bitmap).alias("d").join(lists.hint("shuffle_hash").alias("l"), same, "left").select("d.doc_id", "d.text", "l.own")
+    bitmap, nodes = marks(lists, "node"), keyed.withColumn("node", F.expr(NODE_SQL))
+    whole = bitmap.surely_not(nodes, "node").select("doc_id", "text", F.lit(None).cast(lists.schema["own"].dataType).alias("own"))
+    cut = bitmap.maybe(nodes, "node").alias("d").join(lists.hint("shuffle_hash").alias("l"), same, "left").select("d.doc_id", "d.text", "l.own")
     joined = whole.union(cut)  # only texts that may lose something are shuffled
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
