@@ -4,20 +4,30 @@ Targets per source come from weights, with a ceiling of ``most`` times the sourc
 counted in blocks of ``block`` words. Blocks are seats: the sources get theirs by highest quotients of their targets, and
 within a source its shards (of about ``shard_rows`` documents, by a seeded hash of the id) get theirs by highest quotients of
 their sizes. In a shard the documents stand in a seeded order; a quota of q of its n blocks takes every block q // n times
-and q % n blocks, evenly spaced from a seeded phase, once more. A document's share is then arithmetic on where it begins.
+and q % n blocks, the first of a seeded permutation, once more.
 
-The driver holds a number for each source and shard: at most ``most_shards`` shards a source, whatever the rows.
+``mix`` counts the words that every document has in blocks taken. ``mixture`` returns whole documents: every one of a shard
+as often as all its blocks are taken, and some once more, chosen by a seeded hash in each class of lengths until the words of
+the quota are met; what one class leaves over or takes too much goes to the next shorter one.
+
+The driver holds a number for each source and shard: ``most_shards`` shards together, and one a source at least. So there is a
+row for each source on the driver, and a source is expected to be a provider of documents, not a document.
 
 Defined cases: a null text has size 0 and takes nothing; null is a source of its own, last in order; a source without words
-has target 0. Repeated rows are mixed as separate documents. An empty table gives no rows.
+has target 0. Repeated rows are mixed as separate documents; in ``mixture`` rows equal in id and text are chosen together.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+import random
 from collections.abc import Sequence
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,63 +82,115 @@ def sizes(docs: DataFrame) -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(f"[^{WHITE}]+")), F.lit(0)).cast("long")
 
 
-def mixed(sized: DataFrame, block: int = BLOCK, share: float = SHARE, most: int = MOST, weights: Sequence[int] = WEIGHTS, seed: int = SEED, shard_rows: int = 1000, most_shards: int = 4096) -> DataFrame:
-    """Adds source_size, target, taken and copies to rows with doc_id, source and size; other columns stay.
+def deal(seed: int = SEED) -> Column:
+    """What puts a document into a shard of its source."""
+    return F.xxhash64(F.lit(seed), "doc_id")
 
-    taken is in words, a block's part of a document included; copies is the number of times that the block in which the
-    document begins is taken, for mixes of whole documents. ``sized`` is read three times and should be written.
-    """
-    spark = sized.sparkSession
+
+def with_shard(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Adds the columns of sources, and shard, to rows with source and deal."""
+    found = rows.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("source_of"))).drop("source_of")
+    return found.withColumn("shard", F.pmod("deal", F.col("shards")).cast("int")).drop("shards", "deal")
+
+
+def apportioned(
+    sized: DataFrame, block: int = BLOCK, share: float = SHARE, most: int = MOST, weights: Sequence[int] = WEIGHTS, shard_rows: int = 1000, most_shards: int = 16384
+) -> tuple[DataFrame, list[tuple]]:
+    """From source, deal and size of written rows: the sources (source_of, source_size, target, shards) and the quotas of their
+    shards as (source, shard, words, n blocks, quota)."""
     found = sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("words")).collect()
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     goal = targets([r.words for r in found], [weights[i % len(weights)] for i in range(len(found))], share, most)
-    shards = spark.createDataFrame(
-        [(r.source, r.words, t, min(most_shards, -(-r.rows // shard_rows))) for r, t in zip(found, goal)], "source string, source_size long, target double, shards int"
-    ).withColumnRenamed("source", "source_of")
-    located = sized.join(F.broadcast(shards), F.col("source").eqNullSafe(F.col("source_of"))).drop("source_of")
-    located = located.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int")).drop("shards")
-    cells = located.groupBy("source", "shard").agg(F.sum("size").alias("words")).collect()
+    room = max(1, most_shards // max(1, len(found)))
+    sources = sized.sparkSession.createDataFrame(
+        [(r.source, r.words, t, min(room, -(-r.rows // shard_rows))) for r, t in zip(found, goal)], "source_of string, source_size long, target double, shards int"
+    )
+    cells = with_shard(sized, sources).groupBy("source", "shard").agg(F.sum("size").alias("words")).collect()
     by_source: dict = {}
     for c in sorted(cells, key=lambda c: c.shard):
         by_source.setdefault(c.source, []).append((c.shard, c.words, -(-c.words // block)))
-    room = [sum(most * n for _, _, n in by_source[r.source]) for r in found]
-    seats = sainte_lague(goal, round(sum(goal) / block), room)
-    plan = []
+    seats = sainte_lague(goal, round(sum(goal) / block), [sum(most * n for _, _, n in by_source[r.source]) for r in found])
+    quotas = []
     for r, q in zip(found, seats):
         own = by_source[r.source]
-        for (shard, words, n), got in zip(own, sainte_lague([w for _, w, _ in own], q, [most * n for _, _, n in own])):
-            if n:
-                phase = hash((seed, shard, n)) % n
-                plan.append((r.source, shard, n, got // n, got % n, phase))
-    quota = spark.createDataFrame(plan, "source_of string, shard_of int, n long, every long, extra long, phase long")
+        got = sainte_lague([w for _, w, _ in own], q, [most * n for _, _, n in own])
+        quotas += [(r.source, shard, words, n, g) for (shard, words, n), g in zip(own, got) if n]
+    return sources, quotas
+
+
+def permutation(source: str | None, shard: int, n: int, seed: int) -> tuple[int, int]:
+    """Factor and shift of the seeded order (factor * j + shift) mod n of a shard's n blocks."""
+    rng = random.Random(f"{seed} {shard} {source!r}")
+    factor = rng.randrange(n) | 1
+    while math.gcd(factor, n) > 1:
+        factor += 2 if n % 2 == 0 else 1
+    return factor % n, rng.randrange(n)
+
+
+def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **options) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words in blocks taken, as often as they are) for each document."""
+    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), deal(seed).alias("deal"), sizes(docs).alias("size")), "sized")
+    sources, quotas = apportioned(sized, block, **options)
+    plan = [(source, shard, n, got // n, got % n, *permutation(source, shard, n, seed)) for source, shard, _, n, got in quotas]
+    quota = docs.sparkSession.createDataFrame(plan, "source_of string, shard_of int, n long, every long, extra long, factor long, shift long")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
-    placed = located.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = placed.join(F.broadcast(quota), F.col("source").eqNullSafe(F.col("source_of")) & (F.col("shard") == F.col("shard_of")), "left")
-
-    def before(j: Column) -> Column:
-        """How many of the blocks before j are taken once more."""
-        return F.floor((j * F.col("extra") + F.col("phase")) / F.col("n"))
-
-    def words_before(w: Column) -> Column:
-        j = F.floor(w / block)
-        return before(j) * block + (before(j + 1) - before(j)) * (w - j * block)
-
+    placed = with_shard(sized, sources).withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    here = F.col("source").eqNullSafe(F.col("source_of")) & (F.col("shard") == F.col("shard_of"))
     start = F.col("end") - F.col("size")
-    at = F.floor(start / block)
-    taken = F.col("every") * F.col("size") + words_before(F.col("end")) - words_before(start)
-    copies = F.when(F.col("size") > 0, F.col("every") + before(at + 1) - before(at))
-    return joined.select(*sized.columns, "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), F.coalesce(copies, F.lit(0)).cast("int").alias("copies"))
-
-
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each document."""
-    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), sizes(docs).alias("size")), "sized")
-    return mixed(sized).select("doc_id", "size", "source_size", "target", "taken")
-
-
-def mixture(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, whole, each as often as it is taken."""
+    blocks = F.sequence(F.floor(start / block), F.floor((F.col("end") - 1) / block))
+
+    def once_more(words: Column, j: Column) -> Column:
+        inside = F.least((j + 1) * block, F.col("end")) - F.greatest(j * block, start)
+        return words + F.when((j * F.col("factor") + F.col("shift")) % F.col("n") < F.col("extra"), inside).otherwise(F.lit(0).cast("long"))
+
+    taken = F.col("every") * F.col("size") + F.aggregate(blocks, F.lit(0).cast("long"), once_more)
+    found = placed.join(F.broadcast(quota), here, "left")
+    return found.select("doc_id", "size", "source_size", "target", F.coalesce(F.when(F.col("size") > 0, taken), F.lit(0)).cast("long").alias("taken"))
+
+
+def choose(want: int, kinds: np.ndarray, picks: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int | None]]:
+    """(kind, every, until) for a shard: its documents are taken every times, those with a pick of at most until once more, so
+    that the words taken come to want. Longer kinds go first, and what they leave over goes to the next."""
+    every, extra = divmod(want, int(sizes.sum()))
+    share, left, out = extra / int(sizes.sum()), 0.0, []
+    for kind in sorted(set(kinds.tolist()), reverse=True):
+        own = kinds == kind
+        order = np.argsort(picks[own], kind="stable")
+        pick, ends = picks[own][order], np.cumsum(sizes[own][order])
+        last = np.flatnonzero(np.r_[pick[1:] != pick[:-1], True])  # equal picks go together
+        pick, ends = pick[last], np.r_[0, ends[last]]
+        goal = left + share * ends[-1]
+        n = int(np.abs(ends - goal).argmin())
+        left = goal - ends[n]
+        out.append((kind, every, int(pick[n - 1]) if n else None))
+    return out
+
+
+def mixture(docs: DataFrame, block: int = BLOCK, seed: int = SEED, most: int = MOST, **options) -> DataFrame:
+    """The documents of the mix, whole, each as often as it is taken. Only hashes and sizes are shuffled, no texts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    kind = F.floor(F.log2(F.octet_length(text) + 1)).cast("int")
+    picked = F.xxhash64(F.lit(seed + 1), "doc_id", text)
+    source = F.col("source").cast("string")
+    sized = written(docs.select(source.alias("source"), deal(seed).alias("deal"), kind.alias("kind"), picked.alias("pick"), sizes(docs).alias("size")), "sized")
+    sources, quotas = apportioned(sized, block, most=most, **options)
+    wants = [(source, shard, min(got * block, most * words)) for source, shard, words, _, got in quotas if got]
+    want = docs.sparkSession.createDataFrame(wants, "source_of string, shard_of int, want long")
+    here = F.col("source").eqNullSafe(F.col("source_of")) & (F.col("shard") == F.col("shard_of"))
+    asked = with_shard(sized.filter("size > 0"), sources).join(F.broadcast(want), here).select("source", "shard", "want", "kind", "pick", "size")
+
+    def plan(group: pa.Table) -> pa.Table:
+        column = lambda name: group.column(name).to_numpy()
+        own = choose(group.column("want")[0].as_py(), column("kind"), column("pick"), column("size"))
+        kinds, every, until = zip(*own)
+        source, shard = ([group.column(c)[0].as_py()] * len(own) for c in ("source", "shard"))
+        return pa.table([pa.array(source, pa.string()), pa.array(shard, pa.int32()), pa.array(kinds, pa.int32()), pa.array(every, pa.int32()), pa.array(until, pa.int64())], ["source_of", "shard_of", "kind_of", "every", "until"])
+
+    # a row for each shard and class of lengths, of which there are 31 at most
+    plans = written(asked.groupBy("source", "shard").applyInArrow(plan, "source_of string, shard_of int, kind_of int, every int, until long"), "mix-plan")
+    worded = F.coalesce(F.col("text").rlike(f"[^{WHITE}]"), F.lit(False))
     row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
-    sized = written(docs.select(row, "doc_id", F.col("source").cast("string").alias("source"), sizes(docs).alias("size")), "sized")
-    out = mixed(sized).filter("copies > 0")
-    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("row.*")
+    rows = docs.select(row, source.alias("source"), deal(seed).alias("deal"), kind.alias("kind"), picked.alias("pick"), worded.alias("worded")).filter("worded")
+    found = with_shard(rows, sources).join(F.broadcast(plans), here & (F.col("kind") == F.col("kind_of")))
+    copies = F.col("every") + F.when(F.col("pick") <= F.col("until"), 1).otherwise(0)
+    return found.filter(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")
