@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, marks, written
 
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
@@ -113,19 +113,22 @@ CONTEXT, CHUNK = 48, 256
 SPAN = "struct<kind: int, start: bigint, end: bigint, form: int, known: int, context: int, size: int, edge: int>"
 
 
-def running_sums(values: Column) -> Column:
-    """Inclusive sums of an array<long>, in chunks: an array grows by one element at a time only within a chunk."""
-    none = F.expr("named_struct('sum', 0L, 'all', cast(array() as array<bigint>))")
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What an array<long> comes to up to each place, in chunks: an array grows by one element at a time only within a chunk."""
+    none = F.expr("named_struct('last', cast(null as bigint), 'all', cast(array() as array<bigint>))")
+
+    def along(chunk: Column) -> Column:
+        def grow(acc: Column, x: Column) -> Column:
+            now = F.when(acc["last"].isNull(), x).otherwise(combine(acc["last"], x))
+            return F.struct(now.alias("last"), F.concat(acc["all"], F.array(now)).alias("all"))
 
-    def sums(chunk: Column) -> Column:
-        grow = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + x)).alias("all"))
         return F.aggregate(chunk, none, grow, lambda acc: acc["all"])
 
-    cut = let(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: sums(F.slice(v, c * CHUNK + 1, F.lit(CHUNK)))))
+    cut = let(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: along(F.slice(v, c * CHUNK + 1, F.lit(CHUNK)))))
 
     def whole(inner: Column) -> Column:
-        ends = sums(F.transform(inner, lambda x: F.element_at(x, -1)))
-        return F.flatten(F.zip_with(inner, ends, lambda x, end: F.transform(x, lambda s: s + end - F.element_at(x, -1))))
+        ends = along(F.transform(inner, lambda x: F.element_at(x, -1)))
+        return F.flatten(let(ends, lambda e: F.transform(inner, lambda x, i: F.transform(x, lambda s: F.when(i == 0, s).otherwise(combine(F.get(e, i - 1), s))))))
 
     return let(cut, whole)
 
@@ -148,7 +151,7 @@ def spans_of(text: Column, kind: int) -> Column:
         rows = lambda ends: F.transform(
             found["all"], lambda m, i: F.struct(m.alias("m"), F.get(found["gaps"], i).alias("before"), F.get(found["gaps"], i + 1).alias("after"), F.get(ends, i).alias("end"))
         )
-        ok = let(running_sums(widths), rows)
+        ok = let(running(widths, lambda a, b: a + b), rows)
         return F.transform(F.filter(ok, lambda r: k.valid(r["m"])), lambda r: votes(r["m"], r["before"], r["after"], r["end"]))
 
     pattern = F.lit(k.pattern)
@@ -241,26 +244,41 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every stretch that spans cover replaced by the kind of its first span in angle brackets."""
+    """The text with every stretch that spans cover replaced by the kind of its first span in angle brackets.
+
+    The text is cut into chunks once, and what stays is put together from these, so the time is that of the text.
+    """
     names = F.array(*(F.lit(f"<{k.name.upper()}>") for k in KINDS))
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.expr("named_struct('at', 0L, 'out', cast(array() as array<string>))")
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.get(names, s["kind"]))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def part(chunks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+        own = F.array_join(F.slice(chunks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return F.when(b > a, F.substring(own, (a - first * CHUNK + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
 
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(order, start, step, rest)).otherwise(text)
+    def replaced(s: Column, ends: Column, chunks: Column) -> Column:
+        until = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0).cast("long"))  # noqa: E731  where the spans before i end
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: until(i) <= F.get(s, i)["start"])
+        pieces = F.transform(first, lambda i: F.concat(part(chunks, until(i), F.get(s, i)["start"]), F.get(names, F.get(s, i)["kind"])))
+        return F.concat(F.array_join(pieces, ""), part(chunks, F.element_at(ends, -1), F.length(text).cast("long")))
+
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    made = let(order, lambda s: let(running(s["end"], F.greatest), lambda ends: let(cut, lambda chunks: replaced(s, ends, chunks))))
+    return F.when(F.size(spans) > 0, made).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with personal data masked in their texts, and n_chars (if there) of what is left."""
-    judge = learn(docs.transform(propose))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    spans = accepted(F.concat(*(spans_of(text, k) for k in range(len(KINDS)))), judge)
-    out = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), spans.alias("spans"))
-    clean = out.select("row", masked(F.col("row.text"), F.col("spans")).alias("clean"))
+    """The documents with personal data masked in their texts, and n_chars (if there) of what is left.
+
+    One pass proposes spans and writes them; masking looks only at texts whose hash is marked as having some.
+    """
+    spans_in = lambda text: F.concat(*(spans_of(F.coalesce(text, F.lit("")), k) for k in range(len(KINDS))))
+    proposed = docs.select(F.xxhash64("text").alias("key"), spans_in(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
+    proposed = written(proposed, "proposed-spans")
+    judge, several = learn(proposed), marks(proposed, "key")
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.xxhash64("text").alias("key"))
+    found = several.maybe(rows, "key").select("row", accepted(spans_in(F.col("row.text")), judge).alias("spans"))
+    clean = found.select("row", masked(F.col("row.text"), F.col("spans")).alias("clean"))
+    clean = clean.union(several.surely_not(rows, "key").select("row", F.col("row.text").alias("clean")))
     new = {"text": F.col("clean"), "n_chars": F.length("clean")}
     return clean.select(*((new[f.name].cast(f.dataType) if f.name in new else F.col("row")[f.name]).alias(f.name) for f in docs.schema))

@@ -53,17 +53,36 @@ def measure_text(text: str | None) -> tuple[int, ...]:
     return (n, word_chars, symbols, len(lines), duplicate, repeated)
 
 
+LONGS = ", ".join(f"{m} long" for m in MEASURES)
+
+
+def measured(texts: pa.Array) -> list[pa.Array]:
+    columns = list(zip(*map(measure_text, texts.to_pylist()))) or [()] * len(MEASURES)
+    return [pa.array(c, pa.int64()) for c in columns]
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of measurements for each document; one pass over the texts, no shuffle."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = list(zip(*map(measure_text, batch.column(1).to_pylist()))) or [()] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *MEASURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *measured(batch.column(1))], ["doc_id", *MEASURES])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{m} long" for m in MEASURES))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, {LONGS}")
+
+
+def measure_beside(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The measurements, and the whole row beside them."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *measured(batch.column(0).field(text_col))], ["row", *MEASURES])
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {LONGS}")
 
 
 @dataclass(frozen=True)
@@ -102,10 +121,14 @@ def mask(policy: Policy, rules: tuple[Rule, ...] = RULES) -> int:
     return reduce(int.__or__, (bits[name] for name in policy.rules), 0)
 
 
+def fail_bits(rules: tuple[Rule, ...] = RULES) -> Column:
+    """The bits of the rules that the measurements fail."""
+    return reduce(Column.bitwiseOR, [F.when(r.failed({m: F.col(m) for m in MEASURES}), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules])
+
+
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measurements and ``fail_bits``: every rule evaluated once."""
-    bits = [F.when(r.failed({m: F.col(m) for m in MEASURES}), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules]
-    return measure(docs, id_col, text_col).withColumn("fail_bits", reduce(Column.bitwiseOR, bits))
+    return measure(docs, id_col, text_col).withColumn("fail_bits", fail_bits(rules))
 
 
 def passes(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -144,17 +167,6 @@ def apply(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
-    """The rows whose text passes the base and the policy, in one pass and without a join: the rules run beside the row."""
-    small_batches(docs.sparkSession)
-    text_at = docs.columns.index("text")
-    rules = [r for r in RULES if r.name in (*policy.rules, *BASE.rules)]
-
-    def ok(text: str | None) -> bool:
-        values = dict(zip(MEASURES, measure_text(text)))
-        return not any(r.failed(values) for r in rules)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([ok(t) for t in batch.column(text_at).to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows whose ledger passes the base and the policy; the ledger is made beside the rows, so nothing is joined."""
+    book = measure_beside(docs).withColumn("fail_bits", fail_bits())
+    return book.filter(passes(BASE) & passes(policy)).select("row.*")

@@ -24,9 +24,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query(
-    "op10_quality_rules",
-    r"""
+QUALITY = r"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
                       list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
          u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
@@ -39,6 +37,13 @@ def query(name: str, sql: str | None = None):
                       coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN p ON d.doc_id = p.doc_id),
          v AS (SELECT *, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
                       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+"""
+
+
+@query(
+    "op10_quality_rules",
+    QUALITY
+    + """
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND NOT (10 * n_symbols > 3 * n_words) AND NOT (n_lines >= 4 AND 10 * n_dup_lines > 5 * n_lines)
            AND NOT (word_chars > 30 * n_words) AS kept
@@ -49,6 +54,23 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.apply(table(spark, folder, "documents"))
 
 
+@query(
+    "quality_ablation",
+    QUALITY
+    + """,
+         f AS (SELECT doc_id, CASE WHEN n_words < 50 THEN 1 ELSE 0 END AS too_few_words, CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 1 ELSE 0 END AS repeated_words,
+                      CASE WHEN 10 * n_symbols > 3 * n_words THEN 1 ELSE 0 END AS symbol_heavy, CASE WHEN n_lines >= 4 AND 10 * n_dup_lines > 5 * n_lines THEN 1 ELSE 0 END AS duplicate_lines,
+                      CASE WHEN word_chars > 30 * n_words THEN 1 ELSE 0 END AS long_words FROM v),
+         s AS (SELECT *, too_few_words + repeated_words + symbol_heavy + duplicate_lines + long_words AS total FROM f),
+         x AS (UNPIVOT s ON too_few_words, repeated_words, symbol_heavy, duplicate_lines, long_words INTO NAME rule VALUE failed)
+    SELECT rule, sum(failed)::BIGINT AS n_failed, count(*) FILTER (WHERE failed = 1 AND total = 1) AS n_only, count(*) FILTER (WHERE total = failed) AS n_kept_without
+    FROM x GROUP BY rule
+    """,
+)
+def quality_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.ablation(quality.ledger(table(spark, folder, "documents")))
+
+
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"))
