@@ -1,13 +1,15 @@
 import io
+import json
 import os
 import tarfile
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from textloom import schemas, tools
-from textloom.corpus import Backends, Corpus
+from textloom import rpc, schemas, session, tools
+from textloom.corpus import Backends, Corpus, Settings
 from textloom.operators import annotations, changes, corpus, listing, retrieval, state
 from textloom.operators import vectors as V
 from textloom.sources import archives, discover, models, store
@@ -91,8 +93,8 @@ def test_open_and_list(made):
     assert tools.call(own, "open_file", {"rel_path": "src/main.go", "start_line": 3, "end_line": 4})["content"] == "func main() {\n\tprintln(1)"
     assert tools.call(own, "open_file", {"rel_path": "scan.pdf", "page": 2})["content"] == "page two about boats"
     assert tools.call(own, "open_file", {"rel_path": "talk.mp3", "start_ms": 4000, "end_ms": 5000})["content"].endswith("the pier is closed")
-    assert tools.call(own, "open_file", {"rel_path": "keys.txt"})["error"]["code"] == "FORBIDDEN"
-    assert tools.call(own, "open_file", {"rel_path": "none"})["error"]["code"] == "NOT_FOUND"
+    assert tools.call(own, "open_file", {"rel_path": "keys.txt"})["error"]["code"] == "PERMISSION_DENIED"
+    assert tools.call(own, "open_file", {"rel_path": "none"})["error"]["code"] == "FILE_NOT_FOUND"
     listed = tools.call(own, "list_files", {"limit": 2})
     assert listed["total"] == 8 and [f["rel_path"] for f in listed["files"]] == ["bundle.zip", "bundle.zip/deep.zip"]
     assert tools.call(own, "list_files", {"include_hidden": True})["total"] == 9
@@ -248,3 +250,215 @@ def test_segments_are_returned_whole(spark, tmp_path):
     own.scan()
     assert len(said) > 240
     assert [s["text"] for s in tools.call(own, "transcribe", {"rel_path": "long.mp3"})["segments"]] == [said, "the end"]
+
+
+def test_store_of_two_writers_and_a_crash(spark, tmp_path, monkeypatch):
+    one, other = (store.Store(spark, f"file://{tmp_path}") for _ in range(2))
+    one.set("n", "1")
+    calls = []
+
+    def plus(read):
+        n = int(read("settings").filter("key = 'n'").first().value)
+        if not calls:
+            other.set("n", str(n + 10))  # another writer comes between
+        calls.append(n)
+        return {"settings": store.Change(spark.createDataFrame([("n", str(n + 1))], schemas.SETTINGS))}
+
+    one.transaction(plus)
+    assert calls == [1, 11] and one.get("n") == other.get("n") == "12"
+    before = one._numbers()
+    for step in ("_written", "_publish"):
+        with monkeypatch.context() as m:
+            m.setattr(store.Store, step, lambda *a: (_ for _ in ()).throw(OSError("killed")))
+            with pytest.raises(OSError, match="killed"):
+                one.set("n", "99")
+        assert one._numbers() == before and one.get("n") == "12"
+    (tmp_path / "drafts").mkdir(exist_ok=True)
+    (tmp_path / "drafts" / "half").write_text('{"settings"')  # what a writer that died left
+    one.set("m", "5")
+    assert (one.get("n"), one.get("m")) == ("12", "5")
+    assert one._publish(one._numbers()[-1], {}) is False  # a number is given once
+
+
+def test_store_writes_only_the_parts_that_change(spark, tmp_path):
+    own = store.Store(spark, f"file://{tmp_path}")
+    rows = [(i, 1, "lines", 0, 1, "") for i in range(64)]
+    own.write(spans=spark.createDataFrame([(i, i, *r[2:]) for i, r in enumerate(rows)], schemas.SPANS))
+    first = own._latest()[1]["spans"]
+    own.upsert("spans", spark.createDataFrame([(3, 3, "lines", 7, 8, "")], schemas.SPANS))
+    second = own._latest()[1]["spans"]
+    assert len(first) == 8 and len(set(first.values()) & set(second.values())) == 7
+    own.transaction(lambda read: {"spans": store.Change(own.read("spans").limit(0), spark.createDataFrame([(5,), (6,)], "chunk_id long"))})
+    assert own.read("spans").count() == 62 and own.read("spans").filter("start = 7").count() == 1
+    own.expire(keep=1, older_s=-5)
+    assert own._numbers() == [3] and own.read("spans").count() == 62
+    left = {p.name for p in (tmp_path / "spans").iterdir()}
+    assert left == {at.split("/")[1] for at in own._latest()[1]["spans"].values()}
+
+
+def recording(log):
+    """Factories of recognisers that write a line for each call and fail on what is bad."""
+
+    def pages():
+        class Pages:
+            def extract(self, path, data):
+                with open(log, "a") as f:
+                    f.write(path + "\n")
+                if b"bad" in data:
+                    raise ValueError("unreadable")
+                return data.decode().replace("\n", "\r\n")
+
+        return Pages()
+
+    return pages
+
+
+def test_recognised_texts_are_cached_and_failures_stay_with_their_document(spark, tmp_path):
+    log, root = tmp_path / "log", tmp_path / "root"
+    put(root, "a.pdf", "same text")
+    put(root, "b/copy.pdf", "same text")
+    put(root, "broken.pdf", "bad")
+    put(root, "c.gif", "not taken")
+    put(root, "note.md", "fine")
+    own = Corpus(spark, str(root), f"file://{tmp_path}/state", Backends(pages=recording(str(log))))
+    own.scan()
+    status = lambda: {r.rel_path: r.status for r in own.store.read("documents").collect()}
+    assert status() == {"a.pdf": "ok", "b/copy.pdf": "ok", "broken.pdf": "error", "c.gif": "error", "note.md": "ok"}
+    assert sorted(log.read_text().split()) in (["a.pdf", "broken.pdf"], ["b/copy.pdf", "broken.pdf"])
+    assert own.store.read("representations").filter("rep_type = 'ocr_markdown' AND NOT deleted").count() == 2
+    own.scan(force=True)
+    assert sorted(set(log.read_text().split()) - {"broken.pdf"}) == [next(x for x in log.read_text().split() if x != "broken.pdf")] and log.read_text().count("copy") + log.read_text().count("a.pdf") == 1
+    put(root, "broken.pdf", "good now")
+    own.scan()
+    assert status()["broken.pdf"] == "ok"
+    own.embed()
+    assert tools.call(own, "open_file", {"rel_path": "broken.pdf", "page": 1})["content"] == "good now"
+    own.settings.cache_bytes = 9
+    own.remember("ocr_markdown", spark.createDataFrame([("new", "123456789")], "key string, text string"))
+    assert [r.key for r in own.store.read("ocr_cache").collect()] == ["new"]
+
+
+def test_transcripts_on_demand(spark, tmp_path):
+    root, log = tmp_path / "root", tmp_path / "log"
+    put(root, "talk.mp3", "[00:00] hello")
+    put(root, "none.mp3", "")
+    put(root, "broken.mp3", "bad")
+    put(root, "note.md", "x")
+    made = recording(str(log))
+
+    def speech(language=""):
+        own = made()
+        if not language:
+            return own
+
+        class Told:
+            def extract(self, path, data):
+                return own.extract(path, data) + f" in {language}"
+
+        return Told()
+
+    own = Corpus(spark, str(root), f"file://{tmp_path}/state", Backends(speech=speech))
+    call = lambda **a: tools.call(own, "transcribe", a)
+    first = call(rel_path="talk.mp3")
+    assert first == {"rel_path": "talk.mp3", "segments": [{"start_ms": 0, "end_ms": 1000, "text": "hello"}], "transcribed": True, "transcribed_now": True, "indexed": True}
+    assert own.store.read("documents").first().doc_type == "audio"
+    assert call(rel_path="talk.mp3", timestamps=False) == {**first, "segments": [], "transcribed_now": False}
+    assert call(rel_path="talk.mp3", retranscribe=True)["transcribed_now"] and log.read_text().count("talk") == 2
+    assert call(rel_path="talk.mp3", language="de")["segments"][0]["text"] == "hello in de"
+    assert {r.key[64:] for r in own.store.read("transcript_cache").collect()} == {"", "-de"}
+    assert call(rel_path="none.mp3") == {"rel_path": "none.mp3", "segments": [], "transcribed": False, "transcribed_now": True, "indexed": False}
+    codes = {p: call(rel_path=p)["error"]["code"] for p in ("note.md", "missing.mp3", "../talk.mp3", "broken.mp3")}
+    assert codes == {"note.md": "DOC_TYPE_UNSUPPORTED", "missing.mp3": "FILE_NOT_FOUND", "../talk.mp3": "PATH_OUTSIDE_ROOT", "broken.mp3": "TRANSCRIBE_FAILED"}
+    own.scan()
+    assert log.read_text().count("talk") == 3  # the scan has the transcript from the cache
+
+
+def test_opening_reads_one_file(spark, tmp_path, monkeypatch):
+    root = tmp_path / "root"
+    put(root, "a/b.zip", zipped(**{"in/x.md": "inside", "y.md": "other"}))
+    put(root, "large.txt", "x" * 2000)
+    put(root, "code.py", "one\ntwo\nthree")
+    own = Corpus(spark, str(root), f"file://{tmp_path}/state", settings=Settings(most_bytes=1000))
+    monkeypatch.setattr(Corpus, "files", lambda self: pytest.fail("the tree was read"))
+    opened = lambda **a: tools.call(own, "open_file", a)
+    assert opened(rel_path="a/b.zip/in/x.md")["content"] == "inside"
+    assert opened(rel_path="code.py", start_line=2, end_line=3) == {"rel_path": "code.py", "doc_type": "code", "content": "two\nthree", "truncated": False, "span": {"kind": "lines", "start_line": 2, "end_line": 3}}
+    assert "span" not in opened(rel_path="code.py")
+    codes = [opened(**a)["error"]["code"] for a in ({"rel_path": "a/b.zip/none"}, {"rel_path": "large.txt"}, {"rel_path": "../x"}, {"rel_path": "code.py", "start_line": 2}, {"rel_path": "code.py", "start_line": 3, "end_line": 2}, {"rel_path": ".git/x"})]
+    assert codes == ["FILE_NOT_FOUND", "DOC_TYPE_UNSUPPORTED", "PATH_OUTSIDE_ROOT", "INVALID_FIELD", "INVALID_FIELD", "PERMISSION_DENIED"]
+    own.settings.local = False
+    own.root = f"file://{root}"
+    assert opened(rel_path="code.py")["content"] == "one\ntwo\nthree" and opened(rel_path="a/b.zip/y.md")["content"] == "other" and opened(rel_path="no.md")["error"]["code"] == "FILE_NOT_FOUND"
+
+
+def test_annotations_that_a_model_makes(spark, tmp_path):
+    root = tmp_path / "root"
+    put(root, "talk.mp3", "[00:00] boats")
+
+    def writer():
+        class Writer:
+            def generate(self, prompt):
+                if "boats" not in prompt:
+                    raise models.Transient("busy")
+                return 'Sure: {"topic": "boats"} done'
+
+        return Writer()
+
+    own = Corpus(spark, str(root), f"file://{tmp_path}/state", Backends(generator=writer))
+    own.scan()
+    made = tools.call(own, "annotate", {"rel_path": "talk.mp3", "schema_json": {"type": "object"}})
+    assert made["annotation"] == '{"topic": "boats"}' and made["preview"] == "topic: boats"
+    cut = tools.call(own, "annotate", {"rel_path": "talk.mp3", "schema_json": {"type": "object"}, "max_chars": 3})
+    assert cut["error"] == {"code": "ANNOTATE_FAILED", "message": "busy", "retryable": True}
+    assert tools.call(own, "annotate", {"rel_path": "talk.mp3"})["error"]["code"] == "MISSING_FIELD"
+
+
+def test_deadlines(spark, tmp_path):
+    with pytest.raises(TimeoutError), session.deadline(spark, 0.5):
+        spark.range(1 << 40).selectExpr("sum(id % 7)").collect()
+    with session.deadline(spark, 60):
+        assert spark.range(3).count() == 3
+    own = Corpus(spark, str(tmp_path), f"file://{tmp_path}/state", settings=Settings(ask_s=1e-4))
+    assert tools.call(own, "ask", {"question": "x"})["error"] == {"code": "TIMEOUT", "message": "not done within 0.0001 s", "retryable": True}
+
+
+def test_requests(made):
+    own = rpc.Endpoint(made[1], token="secret", origins=("http://localhost",))
+    headers = {"Content-Type": "application/json", "Authorization": "Bearer secret", "Origin": "http://localhost:80"}
+    send = lambda method, more=None, **h: own.handle(json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, **(more or {})}), {**headers, **h})
+    status, answer, back = send("initialize")
+    assert status == 200 and answer["result"]["serverInfo"]["name"] == "textloom"
+    session_id = {"MCP-Session-Id": back["MCP-Session-Id"]}
+    assert {t["name"] for t in send("tools/list", **session_id)[1]["result"]["tools"]} == set(tools.TOOLS)
+    called = send("tools/call", {"params": {"name": "list_files", "arguments": {"limit": 1}}}, **session_id)[1]["result"]
+    assert called["structuredContent"]["limit"] == 1 and not called["isError"]
+    assert send("tools/call", {"params": {"name": "nothing"}}, **session_id)[1]["result"]["isError"]
+    assert send("tools/call", {"params": {}}, **session_id)[1]["error"]["code"] == -32602
+    assert send("other", **session_id)[1]["error"]["code"] == -32601 and send("tools/list")[0] == 404
+    assert own.handle('{"jsonrpc": "2.0", "method": "notifications/initialized"}', {**headers, **session_id}) == (202, None, {})
+    assert [own.handle("{}", h)[0] for h in ({}, {**headers, "Authorization": "Bearer no"}, {**headers, "Origin": "http://evil"}, headers)] == [415, 401, 403, 400]
+    assert own.handle("no json", headers)[0] == 400 and send("")[0] == 400
+
+
+def test_counts_without_statistics(spark, made):
+    rows = [("a", "md", "OK ", False), ("b", "", "", False), ("c", "code", "Skipped", False), ("d", "md", "error", False), ("e", "md", "ok", True)]
+    got = listing.fallback_stats(spark.createDataFrame(rows, "rel_path string, doc_type string, status string, deleted boolean")).first().asDict()
+    assert got == {"scanned": 5, "indexed": 2, "skipped": 1, "deleted": 1, "errors": 1, "total_docs": 4, "doc_counts": {"code": 1, "md": 2, "unknown": 1}}
+    shown = tools.call(made[1], "stats")
+    assert shown["doc_counts_available"] and shown["indexing"]["scanned"] == shown["scanned"] and shown["indexing"]["running"] is False
+
+
+def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://far"
+
+    class Far:
+        sparkContext, conf = Context(), spark.conf
+
+    Far.sparkContext._jsc = spark.sparkContext._jsc
+    here = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    if here:
+        assert session.shared_folder(Far()) == session.shared_folder(spark)
+    else:
+        with pytest.raises(RuntimeError):
+            session.shared_folder(Far())

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as LateError
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +18,9 @@ from . import schemas
 from .functions import classify, globs, secrets
 from .functions import text as T
 from .operators import annotations, answers, changes, corpus, listing, opening, retrieval
+from .session import checkpointed, deadline
 from .sources import archives, discover, models
-from .session import checkpointed
-from .sources.store import Store
+from .sources.store import Change, Store
 from .streaming import worker
 
 
@@ -41,13 +47,31 @@ class Settings:
     system_prompt: str = ""
     context_chars: int = answers.CONTEXT_CHARS
     local: bool = True
+    #: Bounds of the caches of recognised texts, 0 for none; seconds that a question and its metadata may take.
+    cache_ttl_s: int = 0
+    cache_bytes: int = 0
+    ask_s: float = 120.0
+    preload_s: float = 30.0
     extra: dict[str, str] = field(default_factory=dict)
 
 
+class OutsideRoot(PermissionError):
+    """A path that leads out of the corpus."""
+
+
+class Unsupported(ValueError):
+    """A document of a kind that isn't handled here."""
+
+
+#: The caches of recognised texts, by the kind of representation.
+CACHES = {"ocr_markdown": "ocr_cache", "transcript": "transcript_cache"}
+
+
 class Corpus:
     def __init__(self, spark: SparkSession, root: str, state: str, backends: Backends | None = None, settings: Settings | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.store, self.backends, self.settings = Store(spark, state), backends or Backends(), settings or Settings()
+        self.running = False
 
     @property
     def scan_excludes(self) -> tuple[str, ...]:
@@ -71,49 +95,101 @@ class Corpus:
         whole = archives.with_members(found.select("rel_path", "content", "size_bytes", "mtime_unix", "source_type"))
         return whole.filter(~globs.any_of(F.col("rel_path"), self.scan_excludes))
 
-    def text_of(self, docs: DataFrame, content: DataFrame) -> DataFrame:
-        """Representations of every kind for changed documents: raw text, recognised pages, transcripts."""
-        raw = corpus.representations(docs)
+    def recognise(self, media: DataFrame, kind: str) -> DataFrame:
+        """text and error for documents (rel_path, content_hash, bytes), read through the cache: equal contents are recognised once,
+        and what was recognised in an earlier scan isn't again. New texts go into the cache, which is then cut to its bounds."""
+        table = CACHES[kind]
+        cached = self.store.read(table).select(F.col("key").alias("content_hash"), F.col("text").alias("known"))
+        wanted = media.join(cached, "content_hash", "left_anti").dropDuplicates(["content_hash"])
+        model = models.recognition(self.backends.speech) if kind == "transcript" else models.recognition(self.backends.pages, models.PAGE_ENDINGS, models.PAGE_BYTES)
+        fresh = checkpointed(wanted.select("content_hash", model(F.col("rel_path"), F.col("bytes")).alias("made")))
+        self.remember(kind, fresh.filter("made.error IS NULL").select(F.col("content_hash").alias("key"), F.col("made.text").alias("text")))
+        found = media.select("rel_path", "content_hash").join(fresh, "content_hash", "left").join(cached, "content_hash", "left")
+        return found.select("rel_path", F.coalesce("known", "made.text").alias("text"), F.when(F.col("known").isNull(), F.col("made.error")).alias("error"))
+
+    def remember(self, kind: str, texts: DataFrame) -> None:
+        """Texts (key, text) into the cache of a kind, which keeps its newest entries within age and size."""
+        table, now = CACHES[kind], int(time.time())
+        rows = texts.select("key", "text", F.octet_length("text").cast("long").alias("size_bytes"), F.lit(now).cast("long").alias("mtime_unix"))
+        if rows.isEmpty():
+            return
+        self.store.upsert(table, rows)
+        if self.settings.cache_ttl_s or self.settings.cache_bytes:
+
+            def evicted(read: Callable[[str], DataFrame]) -> dict[str, Change]:
+                own = read(table)
+                files = own.select(F.col("key").alias("name"), "size_bytes", "mtime_unix")
+                kept = listing.cache_kept(files, now, self.settings.cache_ttl_s, self.settings.cache_bytes).select(F.col("name").alias("key"))
+                return {table: Change(own.limit(0), own.select("key").join(kept, "key", "left_anti"))}
+
+            self.store.transaction(evicted)
+
+    def text_of(self, docs: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(representations, failures): raw text, recognised pages and transcripts of changed documents; and the paths that a
+        recogniser failed on, with its error."""
+        columns = ["rep_id", "doc_id", "rep_type", "rep_hash", "created_unix", "deleted", "rel_path", "doc_type", "text"]
+        reps = corpus.representations(docs)
+        failures = self.spark.createDataFrame([], "rel_path string, error string")
         media = docs.filter("doc_type IN ('pdf', 'image', 'audio') AND status = 'ok'").join(content.select("rel_path", F.col("content").alias("bytes")), "rel_path")
-        paged = models.recognition(self.backends.pages)(F.col("rel_path"), F.col("bytes"))
-        spoken = models.recognition(self.backends.speech)(F.col("rel_path"), F.col("bytes"))
-
-        def rep(rows: DataFrame, kind: str, text) -> DataFrame:
-            made = rows.select("doc_id", "rel_path", "doc_type", text.alias("text"))
-            return made.select(
-                corpus.stable_id(F.col("doc_id"), F.lit(kind)).alias("rep_id"), "doc_id", F.lit(kind).alias("rep_type"), T.sha256(F.col("text")).alias("rep_hash"), F.lit(0).cast("long").alias("created_unix"),
-                F.lit(False).alias("deleted"), "rel_path", "doc_type", "text",
+        for kind in CACHES:
+            own = media.filter((F.col("doc_type") == "audio") == F.lit(kind == "transcript"))
+            made = checkpointed(own.select("rel_path", "doc_id", "doc_type").join(self.recognise(own, kind), "rel_path"))
+            rows = made.filter("error IS NULL").select(
+                corpus.stable_id(F.col("doc_id"), F.lit(kind)).alias("rep_id"), "doc_id", F.lit(kind).alias("rep_type"), T.sha256(F.col("text")).alias("rep_hash"),
+                F.lit(0).cast("long").alias("created_unix"), F.lit(False).alias("deleted"), "rel_path", "doc_type", "text",
             )
+            reps = reps.select(*columns).unionByName(rows)
+            failures = failures.unionByName(made.filter("error IS NOT NULL").select("rel_path", "error"))
+        return reps, failures
 
-        return raw.unionByName(rep(media.filter("doc_type <> 'audio'"), "ocr_markdown", paged)).unionByName(rep(media.filter("doc_type = 'audio'"), "transcript", spoken))
+    def chunked(self, reps: DataFrame) -> DataFrame:
+        own = lambda kind: reps.filter(F.col("rep_type") == kind)
+        made = corpus.chunks(own("raw_text")).unionByName(corpus.page_chunks(own("ocr_markdown"))).unionByName(corpus.time_chunks(own("transcript")))
+        return checkpointed(made)
 
     def scan(self, force: bool = False) -> None:
         """Bring the tables up to the files. Documents, representations, chunks and spans come into being together.
 
-        The new rows are checkpointed once: the models and the reader run a single time, and a lost executor doesn't start them again.
+        The new rows are checkpointed once: the models and the reader run a single time, and a lost executor doesn't start them
+        again. A document that a recogniser fails on gets the status error and is tried again by the next scan; the others go on.
+        Only the parts of the tables that have a changed row are written.
         """
         stored = self.store.read("documents")
-        stored = changes.clear_hashes(stored) if force else stored
+        known = changes.clear_hashes(stored) if force else stored
         files = self.files()
         found = checkpointed(corpus.documents(files, self.secret_patterns))
-        judged = changes.changed(stored, found, force)
-        work = judged.filter("action <> 'keep'")
-        reps = checkpointed(self.text_of(work, files))
-        own = lambda kind: reps.filter(F.col("rep_type") == kind)
-        made = corpus.chunks(own("raw_text")).unionByName(corpus.page_chunks(own("ocr_markdown"))).unionByName(corpus.time_chunks(own("transcript")))
-        chunks, spans = corpus.split_spans(checkpointed(made))
-        gone = changes.missing(stored, found).select("rel_path").unionByName(work.filter("status <> 'ok'").select("rel_path"))
-
-        docs = changes.merge(stored, found.drop("content"), schemas.KEYS["documents"])
-        all_reps = changes.merge(self.store.read("representations"), reps.select(*self.store.read("representations").columns), schemas.KEYS["representations"])
-        old_chunks, old_spans = self.store.read("chunks"), self.store.read("spans")
+        work = changes.changed(known, found, force).filter("action <> 'keep'")
+        reps, failures = self.text_of(work, files)
+        reps = checkpointed(reps)
+        failed = failures.select("rel_path", F.lit("error").alias("failed"))
+        columns = stored.columns
+        seen = checkpointed(found.join(failed, "rel_path", "left").withColumn("status", F.coalesce("failed", "status")).select(*columns))
+        refused = work.filter("status <> 'ok'").select("rel_path").unionByName(failures.select("rel_path"))
+        self.put(reps, self.chunked(reps), lambda docs: (seen, changes.missing(docs, found), refused))
+
+    def put(self, reps: DataFrame, made: DataFrame, judge: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]]) -> None:
+        """New representations and chunks, and what judge says of the stored documents: (documents seen, those that are missing, paths
+        whose representations go), as the least changes of the tables."""
+        chunks, spans = corpus.split_spans(made)
         lengths = reps.select("rep_id").join(chunks.groupBy("rep_id").agg(F.max("ordinal").alias("last")), "rep_id", "left").select("rep_id", (F.coalesce("last", F.lit(-1)) + 1).alias("n"))
-        merged = changes.merge(changes.drop_tail(old_chunks, lengths), chunks, schemas.KEYS["chunks"])
-        kept_spans = old_spans.join(chunks.select("chunk_id"), "chunk_id", "left_anti").unionByName(spans)
-        missing = changes.missing(stored, found)
-        new_docs, new_reps, new_chunks = changes.tombstone(docs, all_reps, merged, missing)
-        _, new_reps, new_chunks = changes.tombstone(docs, new_reps, new_chunks, gone)
-        self.store.write(documents=new_docs, representations=new_reps, chunks=new_chunks, spans=kept_spans)
+        gone_now = lambda rows: rows.filter("NOT deleted").withColumn("deleted", F.lit(True))
+
+        def changed(read: Callable[[str], DataFrame]) -> dict[str, Change]:
+            docs, old_reps, old_chunks = read("documents"), read("representations"), read("chunks")
+            seen, missing, refused = judge(docs)
+            paths = missing.select("rel_path").unionByName(refused.select("rel_path")).distinct()
+            ids = docs.join(paths, "rel_path", "left_semi").select("doc_id")
+            out_reps = old_reps.join(ids, "doc_id", "left_semi").join(reps.select("rep_id"), "rep_id", "left_anti")
+            tail = old_chunks.join(lengths, "rep_id").filter("ordinal >= n").select(*old_chunks.columns)
+            out_chunks = old_chunks.join(out_reps.select("rep_id"), "rep_id", "left_semi").unionByName(tail)
+            new_docs = seen.select(*docs.columns).exceptAll(docs).unionByName(gone_now(missing.select(*docs.columns)))
+            new_reps = reps.select(*old_reps.columns).unionByName(gone_now(out_reps.select(*old_reps.columns)))
+            return {
+                "documents": Change(new_docs), "representations": Change(new_reps),
+                "chunks": Change(chunks.select(*old_chunks.columns).unionByName(gone_now(out_chunks))), "spans": Change(spans, chunks.select("chunk_id")),
+            }
+
+        self.store.transaction(changed)
 
     def embed(self, limit: int = 0) -> None:
         worker.run_once(self.store, self.backends.embedder, limit)
@@ -132,13 +208,18 @@ class Corpus:
         return retrieval.run(self.store.read("vectors"), self.meta(), search, self.vector_of)
 
     def ask(self, question: str, search: retrieval.Search | None = None, generate: bool = True) -> dict:
-        """question, answer, citations, hits. At most MOST_K hits come to the driver."""
+        """question, answer, citations, hits. At most MOST_K hits come to the driver; TimeoutError if it takes too long."""
+        with deadline(self.spark, self.settings.ask_s):
+            return self._ask(question, search, generate)
+
+    def _ask(self, question: str, search: retrieval.Search | None, generate: bool) -> dict:
         search = retrieval.Search(**{**(search or retrieval.Search()).__dict__, "query": question})
         hits, used = self.search(search)
         gathered = answers.gathered(hits)
         q = F.lit(question)
         row = gathered.select(
             "hits",
+            answers.citations(F.col("hits")).alias("citations"),
             answers.fallback(q, F.col("hits")).alias("fallback"),
             answers.prompt(q, F.col("hits"), self.settings.system_prompt, self.settings.context_chars).alias("prompt"),
         ).first()
@@ -147,49 +228,95 @@ class Corpus:
             h["score"] = -h.pop("order")
         answer = row.fallback if generate else ""
         if generate and found and self.backends.generator is not None:
+            pool = ThreadPoolExecutor(1)
             try:
-                answer = self.backends.generator().generate(row.prompt) or row.fallback
-            except Exception:  # noqa: BLE001  a model that fails leaves the answer that needs none
+                answer = pool.submit(models.generated, self.backends.generator, row.prompt).result(self.settings.ask_s) or row.fallback
+            except (models.ModelError, LateError):  # a model that fails leaves the answer that needs none
                 answer = row.fallback
+            finally:
+                pool.shutdown(wait=False, cancel_futures=True)
         if generate and found:
             paths = F.array(*(F.lit(h["rel_path"]) for h in found))
             answer = self.spark.range(1).select(answers.attributed(F.lit(answer), paths)).first()[0]
         return {
             "question": question,
             "answer": answer,
-            "citations": [{"chunk_id": h["chunk_id"], "rel_path": h["rel_path"], "span": h["span"]} for h in found],
+            "citations": [c.asDict(recursive=True) for c in row.citations],
             "hits": found,
             "index_used": used,
         }
 
+    def content_of(self, rel_path: str) -> bytes:
+        """The bytes of one source, by one bounded read of it or of the archive that it lies in; nothing else is opened."""
+        most = self.settings.most_bytes
+        parts = rel_path.strip().split("/")
+        ways = [("/".join(parts[:n]), "/".join(parts[n:])) for n in range(len(parts), 0, -1)]
+        for name, member in ways:
+            kind = archives.kind_of(name)
+            if member and kind is None:
+                continue
+            data = self._bounded(name, most)
+            if data is None:
+                continue
+            if not member:
+                return data
+            for inside, content in archives.members(kind, data):
+                if inside == member:
+                    return content
+        raise LookupError(rel_path)
+
+    def _bounded(self, name: str, most: int) -> bytes | None:
+        """A file below the root; None if there is none."""
+        if not self.settings.local:
+            found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*")
+            try:
+                row = found.load(f"{self.root}/{name}").filter(F.col("length") <= most if most > 0 else F.lit(True)).select("content").first()
+            except Exception as e:  # noqa: BLE001  a path that isn't there
+                if "PATH_NOT_FOUND" in str(e):
+                    return None
+                raise
+            return bytes(row.content) if row else None
+        root, path = os.path.realpath(self.root), os.path.realpath(os.path.join(self.root, name))
+        if path != root and not path.startswith(root.rstrip(os.sep) + os.sep):
+            raise OutsideRoot(name)
+        if not os.path.isfile(path):
+            return None
+        if 0 < most < os.stat(path).st_size:
+            raise Unsupported(f"{name} is larger than {most} bytes")
+        with open(path, "rb") as f:
+            return f.read()
+
     def open(self, rel_path: str, most_chars: int = 20000, lines: tuple[int, int] | None = None, page: int | None = None, time: tuple[int, int] | None = None) -> tuple[str, bool]:
-        """(text, truncated) of a source or a part of it; LookupError and PermissionError say why not."""
-        doc = listing.by_path(listing.live(self.store.read("documents")), rel_path).first()
-        if doc is None:
-            raise LookupError(rel_path)
+        """(text, truncated) of a source or a part of it; LookupError, PermissionError and Unsupported say why not."""
         if self.spark.range(1).select(globs.any_of(F.lit(rel_path), (*globs.NEVER_SEARCHED, *self.settings.excludes), globs.retrieval)).first()[0]:
             raise PermissionError(rel_path)
         if page is not None or time is not None:
-            meta = self.meta().filter(F.col("rel_path") == rel_path)
-            if page is not None:
-                wanted = self.spark.createDataFrame([(rel_path, page)], "rel_path string, page int")
-                row = opening.pages_from_chunks(meta, wanted).first()
-            else:
-                wanted = self.spark.createDataFrame([(rel_path, *time)], "rel_path string, from_ms int, to_ms int")
-                row = opening.times_from_chunks(meta, wanted).first()
+            with deadline(self.spark, self.settings.preload_s):
+                own = self.store.read("chunks").filter(F.col("rel_path") == rel_path)
+                meta = listing.embedded(own, self.store.read("spans"))
+                if page is not None:
+                    wanted = self.spark.createDataFrame([(rel_path, page)], "rel_path string, page int")
+                    row = opening.pages_from_chunks(meta, wanted).first()
+                else:
+                    wanted = self.spark.createDataFrame([(rel_path, *time)], "rel_path string, from_ms int, to_ms int")
+                    row = opening.times_from_chunks(meta, wanted).first()
             if row is not None:
                 cut = self.spark.range(1).select(T.truncate_flag(F.lit(row.content), most_chars)).first()[0]
                 return cut.text, cut.truncated
-        content = self.files().filter(F.col("rel_path") == rel_path).select("rel_path", T.normalize(F.col("content")).alias("content"))
+        raw = self.spark.createDataFrame([(rel_path, bytearray(self.content_of(rel_path)))], "rel_path string, content binary")
+        content = raw.select("rel_path", T.normalize(F.col("content")).alias("content"))
         row = opening.guarded(content, (), self.secret_patterns).select("denied", opening.opened(F.col("content"), most_chars, lines, page, time).alias("o"), classify.looks_binary(F.col("rel_path"), F.col("content")).alias("binary")).first()
-        if row is None:
-            raise LookupError(rel_path)
-        if row.denied or row.binary:
+        if row.denied:
             raise PermissionError(rel_path)
+        if row.binary:
+            raise Unsupported(rel_path)
         if row.o.text is None:
             raise LookupError(f"{rel_path}: no such part")
         return row.o.text, row.o.truncated
 
+    def doc_type_of(self, rel_path: str) -> str:
+        return self.spark.range(1).select(classify.opened_type(F.lit(rel_path))).first()[0]
+
     def list(self, prefix: str = "", glob: str = "", limit: int = 200, offset: int = 0, with_hidden: bool = False) -> tuple[DataFrame, int]:
         docs = self.store.read("documents")
         page = listing.list_files(docs, prefix, glob, limit, offset, with_hidden)
@@ -200,11 +327,43 @@ class Corpus:
         tables = (self.store.read(t) for t in ("documents", "representations", "chunks"))
         return listing.corpus_stats(*tables).first().asDict(recursive=True)
 
+    def document_stats(self) -> dict:
+        """The counts of documents alone, for when the other tables can't be read."""
+        return listing.fallback_stats(self.store.read("documents")).first().asDict(recursive=True)
+
     def snapshot(self) -> DataFrame:
         docs = self.store.read("documents")
         stats = listing.corpus_stats(docs, self.store.read("representations"), self.store.read("chunks"))
         return stats.crossJoin(listing.code_ratio(docs).select("code_ratio"))
 
+    def live_document(self, rel_path: str):
+        return listing.by_path(listing.live(self.store.read("documents")), rel_path).first()
+
+    def source_text(self, rel_path: str) -> str:
+        """What an annotation is made from: the transcript of audio, the recognised text of pages and images, else the raw text."""
+        doc = self.live_document(rel_path)
+        if doc is None:
+            raise LookupError(rel_path)
+        if doc.doc_type == "audio":
+            return self.transcribe(rel_path)[0]
+        content = self.content_of(rel_path)
+        if doc.doc_type in ("pdf", "image"):
+            return self.recognised_one("ocr_markdown", rel_path, content, doc.content_hash)
+        return self.spark.createDataFrame([(bytearray(content),)], "c binary").select(T.normalize(F.col("c"))).first()[0]
+
+    def recognised_one(self, kind: str, rel_path: str, content: bytes, key: str, forced: bool = False, factory: Callable[[], models.Recogniser] | None = None) -> str:
+        """One content through its cache, without a job for what is there."""
+        row = None if forced else self.store.read(CACHES[kind]).filter(F.col("key") == key).first()
+        if row is not None:
+            return row.text
+        pages = kind == "ocr_markdown"
+        model = (factory or (self.backends.pages if pages else self.backends.speech))()
+        text, error, transient = models.recognised(model, rel_path, content, models.PAGE_ENDINGS if pages else (), models.PAGE_BYTES if pages else 0)
+        if text is None:
+            raise models.ModelError(error or "", transient)
+        self.remember(kind, self.spark.createDataFrame([(key, text)], "key string, text string"))
+        return text
+
     def annotate(self, rel_path: str, annotation_json: str, indexed: bool = True) -> str:
         """Store an annotation of a document; the preview of its flattened text."""
         doc = listing.by_path(listing.live(self.store.read("documents")), rel_path).select("doc_id", "rel_path", "doc_type")
@@ -214,16 +373,71 @@ class Corpus:
         if row is None:
             raise LookupError(rel_path)
         new = reps.withColumn("created_unix", F.lit(0)).withColumn("deleted", F.lit(False))
-        merge = changes.merge
-        self.store.write(
-            representations=merge(self.store.read("representations"), new, schemas.KEYS["representations"]),
-            chunks=merge(self.store.read("chunks"), own, schemas.KEYS["chunks"]),
-            spans=merge(self.store.read("spans"), spans, schemas.KEYS["spans"]),
-        )
+        self.store.transaction(lambda _: {"representations": Change(new), "chunks": Change(own), "spans": Change(spans, own.select("chunk_id"))})
         return row.preview
 
+    def generated_annotation(self, rel_path: str, schema: dict, most_chars: int) -> str:
+        """JSON that a model makes of the document's source text to a schema; ModelError if there is none."""
+        if self.backends.generator is None:
+            raise models.ModelError("no generator")
+        text = self.source_text(rel_path)
+        if not text.strip():
+            raise models.ModelError("no source text available for annotation")
+        prompt = "\n\n".join(["Make a JSON object of this document that conforms to the schema. Return the object only.", json.dumps(schema, sort_keys=True), "Document:", text[:most_chars]])
+        raw = models.generated(self.backends.generator, prompt)
+        found = self.spark.createDataFrame([(raw,)], "raw string").select(T.json_object_in(F.col("raw"))).first()[0]
+        if found is None:
+            raise models.ModelError("the model returned no JSON object")
+        return found
+
+    def transcribe(self, rel_path: str, language: str = "", again: bool = False) -> tuple[str, bool, bool]:
+        """(transcript, whether it was made now, whether it is indexed) of an audio document, which needn't have been scanned.
+
+        Transcripts are cached by content, and by language if one is asked for; again makes a new one. A document that isn't
+        there yet gets its row first. Naming a language asks for a new transcript, as the recogniser has to be told of it.
+        """
+        doc = self.live_document(rel_path)
+        kind = doc.doc_type if doc is not None else self.spark.range(1).select(classify.doc_type(F.lit(rel_path))).first()[0]
+        if kind != "audio":
+            raise Unsupported(f"{rel_path} is not audio")
+        content = self.content_of(rel_path)
+        found = self.spark.createDataFrame([(rel_path, bytearray(content), len(content), self._mtime(rel_path), "filesystem")], "rel_path string, content binary, size_bytes long, mtime_unix long, source_type string")
+        seen = checkpointed(corpus.documents(found, ()))
+        row = seen.first()
+        language = language.strip().lower()
+        key = row.content_hash + (f"-{re.sub('[^a-z0-9-]', '', language) or 'unknown'}" if language else "")
+        again = again or bool(language)
+        cached = not again and not self.store.read(CACHES["transcript"]).filter(F.col("key") == key).isEmpty()
+        factory = (lambda: self.backends.speech(language)) if language and takes_language(self.backends.speech) else self.backends.speech
+        text = self.recognised_one("transcript", rel_path, content, key, again, factory)
+        indexed = bool(text.strip())
+        docs = seen.drop("content")
+        known = self.store.read("representations").filter((F.col("doc_id") == row.doc_id) & (F.col("rep_type") == "transcript") & ~F.col("deleted"))
+        if indexed and doc is not None and not known.filter(F.col("rep_hash") == T.sha256(F.lit(text))).isEmpty():
+            return text, not cached, indexed  # its chunks, and their vectors, are there
+        if indexed:
+            rep = docs.select(
+                corpus.stable_id(F.col("doc_id"), F.lit("transcript")).alias("rep_id"), "doc_id", F.lit("transcript").alias("rep_type"), T.sha256(F.lit(text)).alias("rep_hash"),
+                F.lit(0).cast("long").alias("created_unix"), F.lit(False).alias("deleted"), "rel_path", "doc_type", F.lit(text).alias("text"),
+            )
+            rep = checkpointed(rep)
+            self.put(rep, self.chunked(rep), lambda stored: (docs, stored.limit(0), stored.limit(0)))
+        elif doc is None:
+            self.store.upsert("documents", docs)
+        return text, not cached, indexed
+
+    def _mtime(self, rel_path: str) -> int:
+        path = os.path.join(self.root, rel_path)
+        return int(os.stat(path).st_mtime) if self.settings.local and os.path.isfile(path) else 0
+
     def transcript(self, rel_path: str) -> list[dict]:
         """The segments of a transcribed document, in order."""
         chunks = listing.live(self.store.read("chunks")).filter((F.col("rel_path") == rel_path) & (F.col("rep_type") == "transcript"))
         rows = listing.with_span(chunks, self.store.read("spans")).select("span.start_ms", "span.end_ms", "text").orderBy("start_ms")
         return [r.asDict() for r in rows.collect()]
+
+
+def takes_language(factory: Callable) -> bool:
+    """Whether a factory of recognisers can be told a language."""
+    code = getattr(factory, "__code__", None) or getattr(getattr(factory, "__init__", None), "__code__", None)
+    return code is not None and "language" in code.co_varnames

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hmac
 import ipaddress
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -68,6 +69,14 @@ def origin_allowed(origin: str, allowed: Iterable[str]) -> bool:
     return False
 
 
+def bearer_allowed(header: str | None, token: str, mode: str = "auto") -> bool:
+    """Whether an Authorization header carries the token; anything passes in the mode none. Compared in constant time."""
+    if mode.strip().lower() == "none":
+        return True
+    scheme, _, given = (header or "").strip().partition(" ")
+    return scheme.lower() == "bearer" and bool(token) and bool(given.strip()) and hmac.compare_digest(given.strip().encode(), token.encode())
+
+
 def requirement_errors(requirement: dict) -> list[str]:
     """What is wrong with a payment requirement; amounts are whole numbers as text."""
     errors = [f"{name} is missing" for name in ("scheme", "network", "amount", "asset", "pay_to") if not str(requirement.get(name) or "").strip()]

@@ -68,11 +68,6 @@ def newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def line_of(c: Column, offset: Column) -> Column:
-    """The line, from 1, of a character offset from 0."""
-    return F.lit(1) + newlines(F.substring(c, F.lit(1), offset))
-
-
 def unify_newlines(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\n?", "\n")
 
@@ -165,14 +160,11 @@ def is_caip2(network: Column) -> Column:
     return network.rlike(r"^[a-z0-9]{1,32}:[A-Za-z0-9_-]{1,128}\z")
 
 
+#: The signs of code in a query.
+CODE_SIGNS = (r"\b(func|class|package|import|return|if|for|while|switch|case)\b", r"[(){}\[\];]", "```", "`", r"\.(js|ts|py|go|java|rb|cpp|c|cs|html|css|json|yaml|yml)\b")
+
+
 def is_code_query(query: Column) -> Column:
     """Two or more signs of code: a keyword, a bracket, a fence, a backtick, a file name."""
-    q = F.lower(query)
-    signs = [
-        q.rlike(r"\b(func|class|package|import|return|if|for|while|switch|case)\b"),
-        q.rlike(r"[(){}\[\];]"),
-        F.contains(q, F.lit("```")),
-        F.contains(q, F.lit("`")),
-        q.rlike(r"\.(js|ts|py|go|java|rb|cpp|c|cs|html|css|json|yaml|yml)\b"),
-    ]
-    return sum((s.cast("int") for s in signs[1:]), signs[0].cast("int")) >= 2
+    signs = [F.lower(query).rlike(s).cast("int") for s in CODE_SIGNS]
+    return sum(signs[1:], signs[0]) >= 2

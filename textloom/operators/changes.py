@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-
 
 def needs_work(old_hash: Column, new_hash: Column, old_status: Column, old_deleted: Column, force: bool = False) -> Column:
     """Whether a document is processed again: it is new, changed, failed or was deleted."""
@@ -84,12 +80,3 @@ def reusable_vectors(chunks: DataFrame, embedded: DataFrame, vectors: DataFrame)
     known = embedded.join(vectors, ["index_kind", "chunk_id"]).groupBy("index_kind", "text_hash").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
     waiting = chunks.filter((F.col("embedding_status") == "pending") & ~F.col("deleted")).select("index_kind", "chunk_id", "text_hash")
     return waiting.join(known, ["index_kind", "text_hash"]).select("index_kind", "chunk_id", "embedding")
-
-
-def valid_rows(docs: DataFrame, path: Column) -> DataFrame:
-    return docs.filter(~T.blank(path))
-
-
-def all_of(parts: list[DataFrame]) -> DataFrame:
-    """Everything that a scan saw, files and members of archives."""
-    return reduce(DataFrame.unionByName, parts)

@@ -107,6 +107,21 @@ def observed(docs: DataFrame, into: Observation) -> DataFrame:
     return docs.observe(into, F.count("*").alias("scanned"), F.count_if(status == "ok").alias("indexed"), F.count_if(status.isin("skipped", "secret_excluded")).alias("skipped"), F.count_if(status == "error").alias("errors"))
 
 
+def fallback_stats(docs: DataFrame) -> DataFrame:
+    """The counts of documents for a store that has no statistics: any status but skipped and error counts as indexed."""
+    alive, status = ~F.col("deleted"), F.lower(T.trim(F.coalesce(F.col("status"), F.lit(""))))
+    kinds = doc_counts(docs).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_type", "n")))).alias("doc_counts"))
+    life = docs.agg(
+        F.count("*").alias("scanned"),
+        _sum_if(alive & ~status.isin("skipped", "error")).alias("indexed"),
+        _sum_if(alive & (status == "skipped")).alias("skipped"),
+        _sum_if(~alive).alias("deleted"),
+        _sum_if(alive & (status == "error")).alias("errors"),
+        _sum_if(alive).alias("total_docs"),
+    )
+    return life.crossJoin(kinds)
+
+
 def status_counts(docs: DataFrame) -> DataFrame:
     """status, n, example (the first path): statuses that nothing expects are counted by themselves, an empty one as <empty>."""
     s = T.trim(F.coalesce(F.col("status"), F.lit("")))

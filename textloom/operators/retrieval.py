@@ -27,14 +27,10 @@ class Search:
     excludes: tuple[str, ...] = globs.NEVER_SEARCHED
 
 
-#: The signs of code in a query, the same as in functions.text.is_code_query.
-SIGNS = (r"\b(func|class|package|import|return|if|for|while|switch|case)\b", r"[(){}\[\];]", "```", "`", r"\.(js|ts|py|go|java|rb|cpp|c|cs|html|css|json|yaml|yml)\b")
-
-
 def route(query: str) -> str:
     """The index of an ``auto`` search."""
     q = query.lower()
-    return "code" if sum(bool(re.search(s, q, re.ASCII)) for s in SIGNS) >= 2 else "text"
+    return "code" if sum(bool(re.search(s, q, re.ASCII)) for s in T.CODE_SIGNS) >= 2 else "text"
 
 
 def passes(search: Search) -> Column:

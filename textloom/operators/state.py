@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,10 +38,16 @@ class Bucket:
         return False
 
 
+def unlimited(key: Column, rps: float, burst: int) -> Column:
+    """Whether nothing limits a key: loopback addresses, empty keys, and all of them at a rate or burst of 0."""
+    text = F.coalesce(key.cast("string"), F.lit(""))
+    return F.lit(rps <= 0 or burst <= 0) | text.isin("", "::1") | text.startswith("127.")
+
+
 def rate_limited(events: DataFrame, key: str, ts: str, rps: float, burst: int, ident: str) -> DataFrame:
     """ident, key, allowed. A fold has no closed form; a key's events are streamed through its bucket in order, in batches.
 
-    Keys that are loopback addresses or empty are never limited, nor is anything at a rate or burst of 0.
+    Keys that nothing limits don't go through a bucket, so they don't meet in one task.
     """
     schema = f"{ident} {events.schema[ident].dataType.simpleString()}, {key} {events.schema[key].dataType.simpleString()}, allowed boolean"
 
@@ -53,12 +59,13 @@ def rate_limited(events: DataFrame, key: str, ts: str, rps: float, burst: int, i
             for k, t in zip(part[key], part["at_"]):
                 if bucket is None or k != own:
                     own, bucket = k, Bucket(rps, burst)
-                free = rps <= 0 or burst <= 0 or k is None or str(k) in ("", "::1") or str(k).startswith("127.")
-                out.append(True if free else bucket.allow(t))
+                out.append(bucket.allow(t))
             yield pd.DataFrame({ident: part[ident], key: part[key], "allowed": out})
 
     timed = events.select(ident, key, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at_"))
-    return timed.repartition(key).sortWithinPartitions(key, "at_", ident).mapInPandas(fold, schema)
+    free = unlimited(F.col(key), rps, burst)
+    judged = timed.filter(~free).repartition(key).sortWithinPartitions(key, "at_", ident).mapInPandas(fold, schema)
+    return judged.unionByName(timed.filter(free).select(ident, key, F.lit(True).alias("allowed")))
 
 
 def outcomes_kept(outcomes: DataFrame, now: int, ttl_s: int, most: int) -> DataFrame:

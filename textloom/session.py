@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +50,15 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, which driver and executors share, or that of setCheckpointDir.
+
+    Where both are unset, a temporary one is made, in a local session only: executors elsewhere wouldn't see it.
+    """
+    set_one = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (set_one.get() if set_one.isDefined() else None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         folder = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="textloom-")
         if not _OWN[app]:
@@ -57,6 +67,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
+    """Jobs that this thread starts inside are cancelled after so many seconds, and TimeoutError is raised."""
+    context, group, late = spark.sparkContext, uuid.uuid4().hex, threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    context.setJobGroup(group, "deadline", True)
+    timer.start()
+    try:
+        yield
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"not done within {seconds:g} s") from e
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+    if late.is_set():
+        raise TimeoutError(f"not done within {seconds:g} s")
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """The frame computed once and kept in the shared folder."""
     shared_folder(frame.sparkSession)

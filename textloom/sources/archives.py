@@ -27,6 +27,11 @@ def format_of(path: Column) -> Column:
     return out.otherwise(F.lit(None))
 
 
+def kind_of(name: str) -> str | None:
+    """format_of for one name."""
+    return next((kind for ending, kind in FORMATS if name.lower().endswith(ending)), None)
+
+
 def safe(member: str) -> bool:
     return bool(member) and ".." not in member
 

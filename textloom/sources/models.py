@@ -17,6 +17,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BATCH = 32
+#: What a recogniser of pages takes: endings, and the most bytes.
+PAGE_ENDINGS, PAGE_BYTES = (".pdf", ".png", ".jpg", ".jpeg", ".webp"), 20 * 1024 * 1024
+RECOGNISED = "struct<text:string,error:string,transient:boolean>"
 EMBEDDED = "struct<embedding:array<float>,error:string,transient:boolean>"
 
 
@@ -107,26 +110,45 @@ def embedding(factory: Callable[[], Embedder], attempts: int = 3) -> Callable[[C
     return run
 
 
-def recognition(factory: Callable[[], Recogniser]) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf("string")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def recognised(model: Recogniser, path: str, data: bytes, endings: tuple[str, ...] = (), most_bytes: int = 0, attempts: int = 3) -> tuple[str | None, str | None, bool]:
+    """(text, error, whether it may be tried again); lines end in newlines. What isn't taken is an error like any other."""
+    try:
+        if endings and not path.lower().endswith(endings):
+            raise ValueError(f"not recognised: {path.rsplit('/', 1)[-1]}")
+        if most_bytes and len(data) > most_bytes:
+            raise ValueError(f"{len(data)} bytes are more than {most_bytes}")
+        text = with_retries(lambda: model.extract(path, data), attempts)
+        return text.replace("\r\n", "\n").replace("\r", "\n"), None, False
+    except Transient as e:
+        return None, str(e), True
+    except Exception as e:  # noqa: BLE001  the row carries it
+        return None, str(e) or type(e).__name__, False
+
+
+def recognition(factory: Callable[[], Recogniser], endings: tuple[str, ...] = (), most_bytes: int = 0, attempts: int = 3) -> Callable[[Column, Column], Column]:
+    """A column function (path, content) -> RECOGNISED."""
+
+    @F.pandas_udf(RECOGNISED)
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = factory()
         for paths, contents in parts:
-            yield pd.Series([model.extract(p, bytes(c)) for p, c in zip(paths, contents)])
+            rows = [recognised(model, p, bytes(c), endings, most_bytes, attempts) for p, c in zip(paths, contents)]
+            yield pd.DataFrame(rows, columns=["text", "error", "transient"])
 
     return run
 
 
-def generation(factory: Callable[[], Generator]) -> Callable[[Column], Column]:
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = factory()
-        for part in parts:
-            yield part.map(model.generate)
+class ModelError(RuntimeError):
+    """A model failed; whether the call may be made again."""
 
-    return run
+    def __init__(self, message: str, retryable: bool = False):
+        super().__init__(message)
+        self.retryable = retryable
 
 
-def tool_error(error: Exception, code: str) -> dict:
-    """How a failed model call is told to a caller."""
-    return {"code": code, "message": str(error), "retryable": isinstance(error, Transient)}
+def generated(factory: Callable[[], Generator], prompt: str) -> str:
+    """The answer to one prompt; ModelError says why there is none."""
+    try:
+        return with_retries(lambda: factory().generate(prompt))
+    except Exception as e:  # noqa: BLE001
+        raise ModelError(str(e) or type(e).__name__, isinstance(e, Transient)) from e

@@ -1,74 +1,176 @@
 """The tables of a corpus as versioned Parquet folders.
 
-A table is written as a new version beside the old one and then named in a small pointer file, so readers see the one or the
-other and a failed write leaves nothing behind that is read. Files are reached through Hadoop's file systems.
+A table is dealt into parts by a hash of a key; a manifest names the folder of every part of every table. Writing makes new
+folders for the parts that change and then publishes the next manifest, numbered, by a step that fails if that number is
+taken. So readers see the state before or after, a crash in between leaves nothing that is read, and of two writers one
+finds out and does its work again. Files are reached through Hadoop's file systems (where a rename onto an existing name
+fails, as in HDFS) or, for local folders, through a link.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import changes
+from ..session import checkpointed
+
+Manifest = dict[str, dict[str, str]]
+
+
+class Conflict(RuntimeError):
+    """Another writer changed a table since it was read."""
+
+
+@dataclass(frozen=True)
+class Change:
+    """Rows that replace those of their key, and rows that go: all with a value of the table's part key in ``removed``."""
+
+    rows: DataFrame
+    removed: DataFrame | None = None
 
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, parts: int = 8):
+        self.spark, self.folder, self.parts = spark, folder.rstrip("/"), parts
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> dict[str, str]:
-        path, fs = self._path("current.json")
-        if not fs.exists(path):
-            return {}
+    def _local(self, name: str) -> str | None:
+        return f"{self.folder}/{name}".removeprefix("file://") if self.folder.startswith(("file:///", "/")) else None
+
+    def _listed(self, name: str) -> list:
+        path, fs = self._path(name)
+        return list(fs.listStatus(path)) if fs.exists(path) else []
+
+    def _numbers(self) -> list[int]:
+        names = [s.getPath().getName() for s in self._listed("manifests")]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n.removesuffix(".json").isdigit())
+
+    def _manifest(self, number: int) -> Manifest:
+        path, fs = self._path(f"manifests/{number:012}.json")
         stream = fs.open(path)
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _point(self, versions: dict[str, str]) -> None:
-        new, fs = self._path(f"current.{uuid.uuid4().hex}.tmp")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps(versions, sort_keys=True).encode()))
+    def _latest(self) -> tuple[int, Manifest]:
+        numbers = self._numbers()
+        return (numbers[-1], self._manifest(numbers[-1])) if numbers else (0, {})
+
+    def _publish(self, number: int, manifest: Manifest) -> bool:
+        """Whether the manifest got the number; it is written whole before it gets its name."""
+        name, draft = f"manifests/{number:012}.json", f"drafts/{uuid.uuid4().hex}"
+        path, fs = self._path(draft)
+        out = fs.create(path, False)
+        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
         out.close()
-        path, _ = self._path("current.json")
-        if fs.exists(path):
+        target, _ = self._path(name)
+        fs.mkdirs(target.getParent())
+        local = self._local(name)
+        if local is None:
+            return bool(fs.rename(path, target))
+        try:
+            os.link(self._local(draft), local)
+        except FileExistsError:
+            return False
+        finally:
             fs.delete(path, False)
-        fs.rename(new, path)
+        return True
+
+    def _commit(self, new: Manifest, seen: Manifest | None = None) -> None:
+        """Publish new parts of tables over the latest state; Conflict if a table isn't any more as it was seen."""
+        while True:
+            number, now = self._latest()
+            for table in new:
+                if seen is not None and now.get(table, {}) != seen.get(table, {}):
+                    raise Conflict(table)
+            if self._publish(number + 1, {**now, **new}):
+                return
+
+    def _part(self, table: str) -> Column:
+        return F.pmod(F.xxhash64(schemas.PART_KEYS[table]), F.lit(self.parts)).cast("int")
+
+    def _read(self, table: str, places: Mapping[str, str]) -> DataFrame:
+        if not places:
+            return self.spark.createDataFrame([], schemas.TABLES[table])
+        empty = self.spark.createDataFrame([], schemas.TABLES[table])
+        paths = (f"{self.folder}/{p}" for p in sorted(places.values()))
+        return self.spark.read.schema(empty.schema).option("basePath", f"{self.folder}/{table}").parquet(*paths).select(*empty.columns)
 
     def read(self, table: str) -> DataFrame:
         """The current version; a table that was never written is empty."""
-        at = self._pointer().get(table)
-        if at is None:
-            return self.spark.createDataFrame([], schemas.TABLES[table])
-        return self.spark.read.schema(schemas.TABLES[table]).parquet(f"{self.folder}/{at}")
+        return self._read(table, self._latest()[1].get(table, {}))
+
+    def _written(self, table: str, frame: DataFrame, parts: int) -> dict[str, str]:
+        at = f"{table}/v_=x{uuid.uuid4().hex}"
+        columns = self.spark.createDataFrame([], schemas.TABLES[table]).schema
+        rows = frame.select(*(F.col(f.name).cast(f.dataType) for f in columns)).withColumn("part_", self._part(table))
+        by = ["part_", *(["index_kind"] if table == "vectors" else [])]
+        rows.repartition(parts, "part_").write.partitionBy(*by).parquet(f"{self.folder}/{at}")
+        found = [s.getPath().getName() for s in self._listed(at)]
+        return {n.removeprefix("part_="): f"{at}/{n}" for n in found if n.startswith("part_=")}
 
     def write(self, **tables: DataFrame) -> None:
-        """New versions of several tables, which come into being together."""
-        versions = {}
-        for name, frame in tables.items():
-            versions[name] = f"{name}/{uuid.uuid4().hex}"
-            columns = self.spark.createDataFrame([], schemas.TABLES[name]).schema
-            writer = frame.select(*(F.col(f.name).cast(f.dataType) for f in columns)).write
-            writer = writer.partitionBy("index_kind") if name == "vectors" else writer
-            writer.parquet(f"{self.folder}/{versions[name]}")
-        self._point(self._pointer() | versions)
+        """New versions of whole tables, which come into being together."""
+        self._commit({name: self._written(name, frame, self.parts) for name, frame in tables.items()})
+
+    def _changed(self, table: str, change: Change, places: dict[str, str]) -> dict[str, str]:
+        """The table's places with the parts written anew that the change touches, and no others."""
+        rows = checkpointed(change.rows.select(*self.spark.createDataFrame([], schemas.TABLES[table]).columns))
+        key = schemas.PART_KEYS[table]
+        touched = rows.select(key) if change.removed is None else rows.select(key).unionByName(change.removed.select(key))
+        parts = {str(r[0]) for r in touched.select(self._part(table)).distinct().collect()}
+        if not parts:
+            return places
+        old = self._read(table, {p: at for p, at in places.items() if p in parts})
+        if change.removed is not None:
+            old = old.join(change.removed.select(key), key, "left_anti")
+        made = self._written(table, changes.merge(old, rows, schemas.KEYS[table]), len(parts))
+        return {p: at for p, at in places.items() if p not in parts} | made
+
+    def transaction(self, make: Callable[[Callable[[str], DataFrame]], dict[str, Change]], attempts: int = 5) -> None:
+        """The changes that ``make`` draws from tables (it gets a reader of one state) come into being at once, or not at all.
+
+        If another writer was faster, they are drawn again from what it left.
+        """
+        for attempt in range(attempts):
+            _, seen = self._latest()
+            made = make(lambda table: self._read(table, seen.get(table, {})))
+            new = {table: self._changed(table, change, seen.get(table, {})) for table, change in made.items()}
+            try:
+                return self._commit({t: places for t, places in new.items() if places != seen.get(t, {})}, seen)
+            except Conflict:
+                if attempt + 1 == attempts:
+                    raise
 
     def upsert(self, table: str, rows: DataFrame) -> None:
-        self.write(**{table: changes.merge(self.read(table), rows, schemas.KEYS[table])})
+        self.transaction(lambda _: {table: Change(rows)})
 
-    def transaction(self, make: Callable[["Store"], dict[str, DataFrame]]) -> None:
-        """What ``make`` returns from the current tables comes into being at once, or not at all."""
-        self.write(**make(self))
+    def expire(self, keep: int = 16, older_s: int = 3600) -> None:
+        """Forget all but the newest states, and folders of some age that no state names any more."""
+        numbers = self._numbers()
+        for number in numbers[:-keep]:
+            path, fs = self._path(f"manifests/{number:012}.json")
+            fs.delete(path, False)
+        named = {"/".join(at.split("/")[:2]) for n in numbers[-keep:] for places in self._manifest(n).values() for at in places.values()}
+        for table in schemas.TABLES:
+            for status in self._listed(table):
+                at = f"{table}/{status.getPath().getName()}"
+                if at not in named and status.getModificationTime() < (time.time() - older_s) * 1000:
+                    path, fs = self._path(at)
+                    fs.delete(path, True)
 
     def set(self, key: str, value: str) -> None:
         self.upsert("settings", self.spark.createDataFrame([(key, value)], schemas.SETTINGS))
@@ -80,7 +182,7 @@ class Store:
     def bootstrap(self, defaults: dict[str, str]) -> None:
         """Settings that aren't there yet."""
         rows = self.spark.createDataFrame(sorted(defaults.items()), schemas.SETTINGS)
-        self.write(settings=changes.insert_missing(self.read("settings"), rows, ["key"]))
+        self.transaction(lambda read: {"settings": Change(rows.join(read("settings").select("key"), "key", "left_anti"))})
 
 
 def write_snapshot(stats: DataFrame, path: str) -> None:

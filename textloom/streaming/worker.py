@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import changes
-from ..operators.state import Bucket
+from ..operators.state import Bucket, unlimited
 from ..session import checkpointed
 from ..sources.models import Embedder, embedding
-from ..sources.store import Store
+from ..sources.store import Change, Store
 
 
 def embed_batch(chunks: DataFrame, factory: Callable[[], Embedder]) -> tuple[DataFrame, DataFrame]:
@@ -34,11 +34,15 @@ def run_once(store: Store, factory: Callable[[], Embedder], limit: int = 0) -> N
     made = rest.select("index_kind", "chunk_id", embedding(factory)("text").alias("e")).unionByName(
         known.select("index_kind", "chunk_id", F.struct("embedding", F.lit(None).cast("string").alias("error"), F.lit(False).alias("transient")).alias("e"))
     )
-    made = checkpointed(made)
+    made = checkpointed(made)  # the model runs once, whatever other writers do
     status = F.when(F.col("e.embedding").isNotNull(), "ok").when(F.col("e.transient"), "pending").otherwise("error")
     results = made.select("chunk_id", status.alias("status"), F.col("e.error").alias("error"))
     new = made.filter("e.embedding IS NOT NULL").select("index_kind", "chunk_id", "e.embedding")
-    store.write(chunks=changes.mark_embedding(chunks, results), vectors=changes.merge(vectors, new, schemas.KEYS["vectors"]))
+
+    def marked(read: Callable[[str], DataFrame]) -> dict[str, Change]:
+        return {"chunks": Change(changes.mark_embedding(read("chunks").join(results.select("chunk_id"), "chunk_id", "left_semi"), results)), "vectors": Change(new)}
+
+    store.transaction(marked)
 
 
 def embed_stream(spark: SparkSession, source: str, target: str, factory: Callable[[], Embedder], checkpoint: str, every: str | None = None):
@@ -59,22 +63,26 @@ def session_stream(events: DataFrame, key: str, ts: str, gap: str = "24 hours",
 
 
 def rate_limit_stream(events: DataFrame, key: str, ts: str, ident: str, rps: float, burst: int) -> DataFrame:
-    """ident, allowed for a stream of requests; a key's bucket is its state, which goes after an hour without a request."""
+    """ident, allowed for a stream of requests; a key's bucket is its state, which goes after an hour without a request.
+
+    The same keys are free as in the batch form, and they have no state.
+    """
 
     def fold(k, parts, state):
         if state.hasTimedOut:
             state.remove()
             return
         bucket = Bucket(rps, burst, *state.get) if state.exists else Bucket(rps, burst)
-        for part in parts:
-            part = part.sort_values("at_")
-            yield pd.DataFrame({ident: part[ident], "allowed": [bucket.allow(t) for t in part["at_"]]})
+        part = pd.concat(list(parts)).sort_values(["at_", ident])  # what a key has in one batch of the stream
+        yield pd.DataFrame({ident: part[ident], "allowed": [bucket.allow(t) for t in part["at_"]]})
         state.update((bucket.tokens, bucket.last))
         state.setTimeoutDuration(3_600_000)
 
     timed = events.select(ident, key, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at_"))
     id_type = events.schema[ident].dataType.simpleString()
-    return timed.groupBy(key).applyInPandasWithState(fold, f"{ident} {id_type}, allowed boolean", "tokens double, last double", "append", "ProcessingTimeTimeout")
+    limited = timed.filter(~unlimited(F.col(key), rps, burst)).groupBy(key)
+    judged = limited.applyInPandasWithState(fold, f"{ident} {id_type}, allowed boolean", "tokens double, last double", "append", "ProcessingTimeTimeout")
+    return judged.unionByName(timed.filter(unlimited(F.col(key), rps, burst)).select(ident, F.lit(True).alias("allowed")))
 
 
 def once_stream(calls: DataFrame, key: str, ts: str, ttl: str = "10 minutes") -> DataFrame:

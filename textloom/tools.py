@@ -6,9 +6,10 @@ import base64
 from dataclasses import dataclass
 from typing import Any
 
-from .corpus import Corpus
+from .corpus import Corpus, OutsideRoot, Unsupported
 from .functions import globs
 from .operators import retrieval
+from .sources.models import ModelError
 
 
 class ToolError(Exception):
@@ -71,8 +72,10 @@ SPECS: dict[str, dict[str, Arg]] = {
     "search": {"query": Arg(str, required=True), **FILTERS},
     "ask": {"question": Arg(str, required=True), "mode": Arg(str, "answer", one_of=("answer", "search_only")), **FILTERS},
     "ask_audio": {"question": Arg(str, required=True), "voice": Arg(str, ""), **FILTERS},
-    "transcribe": {"rel_path": PATH, "timestamps": Arg(bool, True)},
-    "annotate": {"rel_path": PATH, "annotation": Arg(str, required=True), "index": Arg(bool, True)},
+    "transcribe": {"rel_path": PATH, "language": Arg(str, ""), "timestamps": Arg(bool, True), "retranscribe": Arg(bool, False)},
+    "annotate": {
+        "rel_path": PATH, "annotation": Arg(str, ""), "schema_json": Arg(dict, None), "index_flattened_text": Arg(bool, True), "max_chars": Arg(int, 20000, low=1, high=200000),
+    },
     "transcribe_and_ask": {"rel_path": PATH, "question": Arg(str, required=True), "k": K},
     "open_file": {
         "rel_path": PATH, "start_line": Arg(int, None, low=1), "end_line": Arg(int, None, low=1), "page": Arg(int, None, low=1), "start_ms": Arg(int, None, low=0), "end_ms": Arg(int, None, low=0),
@@ -115,36 +118,54 @@ def ask_audio(corpus: Corpus, a: dict) -> dict:
 
 
 def transcribe(corpus: Corpus, a: dict) -> dict:
-    segments = corpus.transcript(a["rel_path"])
-    if not segments:
-        raise ToolError("NOT_FOUND", a["rel_path"])
-    return {"rel_path": a["rel_path"], "segments": segments if a["timestamps"] else [{"text": s["text"]} for s in segments]}
+    with_code = "TRANSCRIBE_FAILED"
+    try:
+        text, now, indexed = corpus.transcribe(a["rel_path"], a["language"], a["retranscribe"])
+    except ModelError as e:
+        raise ToolError(with_code, str(e), e.retryable) from e
+    segments = corpus.transcript(a["rel_path"]) if a["timestamps"] and indexed else []
+    return {"rel_path": a["rel_path"], "segments": segments, "transcribed": bool(text.strip()), "transcribed_now": now, "indexed": indexed}
 
 
 def annotate(corpus: Corpus, a: dict) -> dict:
-    return {"rel_path": a["rel_path"], "stored": True, "preview": corpus.annotate(a["rel_path"], a["annotation"], a["index"])}
+    """An annotation that the caller has, or one that a model makes of the document's source text to a schema."""
+    if bool(a["annotation"].strip()) == bool(a["schema_json"]):
+        raise ToolError("MISSING_FIELD", "one of annotation and schema_json is required")
+    try:
+        made = a["annotation"] or corpus.generated_annotation(a["rel_path"], a["schema_json"], a["max_chars"])
+    except ModelError as e:
+        raise ToolError("ANNOTATE_FAILED", str(e), e.retryable) from e
+    return {"rel_path": a["rel_path"], "stored": True, "annotation": made, "preview": corpus.annotate(a["rel_path"], made, a["index_flattened_text"])}
 
 
 def transcribe_and_ask(corpus: Corpus, a: dict) -> dict:
-    segments = transcribe(corpus, {"rel_path": a["rel_path"], "timestamps": True})["segments"]
+    told = transcribe(corpus, {"rel_path": a["rel_path"], "language": "", "timestamps": True, "retranscribe": False})
     found = ask(corpus, {"question": a["question"], "k": a["k"], "index": "text", "path_prefix": "", "file_glob": globs.escape_literal(a["rel_path"]), "doc_types": None})
-    return {**found, "segments": segments}
+    return {**found, **{k: told[k] for k in ("segments", "transcribed", "transcribed_now", "indexed")}}
 
 
-def open_file(corpus: Corpus, a: dict) -> dict:
+def part_of(a: dict) -> dict[str, Any]:
+    """The part of a source that is asked for: lines, a page or a time, or all of it."""
     groups = {"lines": ("start_line", "end_line"), "page": ("page",), "time": ("start_ms", "end_ms")}
     given = [g for g, names in groups.items() if any(a[n] is not None for n in names)]
     if len(given) > 1:
         raise ToolError("INVALID_FIELD", "lines, page and time exclude each other")
-    part: dict[str, Any] = {}
-    if given == ["lines"]:
-        part["lines"] = (a["start_line"] or 1, a["end_line"] or 0)
-    elif given == ["page"]:
-        part["page"] = a["page"]
-    elif given == ["time"]:
-        part["time"] = (a["start_ms"] or 0, a["end_ms"] or 0)
+    if not given:
+        return {}
+    values = [a[n] for n in groups[given[0]]]
+    if None in values:
+        raise ToolError("INVALID_FIELD", f"both {' and '.join(groups[given[0]])} must be provided")
+    if values[-1] < values[0]:
+        raise ToolError("INVALID_FIELD", f"{groups[given[0]][0]} must be <= {groups[given[0]][-1]}")
+    return {given[0]: values[0] if len(values) == 1 else tuple(values)}
+
+
+def open_file(corpus: Corpus, a: dict) -> dict:
+    part = part_of(a)
     text, truncated = corpus.open(a["rel_path"], a["max_chars"], **part)
-    return {"rel_path": a["rel_path"], "content": text, "truncated": truncated}
+    out = {"rel_path": a["rel_path"], "doc_type": corpus.doc_type_of(a["rel_path"]), "content": text, "truncated": truncated}
+    shown = {"lines": ("start_line", "end_line"), "page": ("page",), "time": ("start_ms", "end_ms")}
+    return out | {"span": {"kind": kind, **{n: a[n] for n in shown[kind]}} for kind in part}
 
 
 def list_files(corpus: Corpus, a: dict) -> dict:
@@ -153,8 +174,17 @@ def list_files(corpus: Corpus, a: dict) -> dict:
     return {"limit": a["limit"], "offset": a["offset"], "total": total, "files": [r.asDict() for r in rows]}
 
 
+COUNTED = ("scanned", "indexed", "skipped", "deleted", "representations", "chunks_total", "embedded_ok", "errors")
+
+
 def stats(corpus: Corpus, a: dict) -> dict:
-    return {"root": corpus.root, **corpus.stats()}
+    """Counts of the corpus; if the tables below the documents can't be read, those of the documents alone."""
+    try:
+        found, whole = corpus.stats(), True
+    except Exception:  # noqa: BLE001  what is left of the store still has documents
+        found, whole = corpus.document_stats(), False
+    indexing = {name: found.get(name, 0) for name in COUNTED}
+    return {"root": corpus.root, "state_dir": corpus.store.folder, **found, "doc_counts_available": whole, "indexing": {"running": corpus.running, **indexing}}
 
 
 TOOLS = {f.__name__: f for f in (search, ask, ask_audio, transcribe, annotate, transcribe_and_ask, open_file, list_files, stats)}
@@ -162,7 +192,7 @@ TOOLS = {f.__name__: f for f in (search, ask, ask_audio, transcribe, annotate, t
 
 def schema(name: str) -> dict:
     """The JSON schema of a tool's arguments."""
-    kinds = {str: "string", int: "integer", bool: "boolean", list: "array"}
+    kinds = {str: "string", int: "integer", bool: "boolean", list: "array", dict: "object"}
     fields = {}
     for n, arg in SPECS[name].items():
         more = {"minimum": arg.low, "maximum": arg.high, "enum": list(arg.one_of) or None, "default": arg.default}
@@ -179,6 +209,16 @@ def call(corpus: Corpus, name: str, args: dict[str, Any] | None = None) -> dict:
     except ToolError as e:
         return e.payload()
     except LookupError as e:
-        return ToolError("NOT_FOUND", str(e)).payload()
+        return ToolError("FILE_NOT_FOUND", str(e)).payload()
+    except OutsideRoot as e:
+        return ToolError("PATH_OUTSIDE_ROOT", str(e)).payload()
     except PermissionError as e:
-        return ToolError("FORBIDDEN", str(e)).payload()
+        return ToolError("PERMISSION_DENIED", str(e)).payload()
+    except Unsupported as e:
+        return ToolError("DOC_TYPE_UNSUPPORTED", str(e)).payload()
+    except TimeoutError as e:
+        return ToolError("TIMEOUT", str(e), True).payload()
+    except ModelError as e:
+        return ToolError("MODEL_FAILED", str(e), e.retryable).payload()
+    except Exception:  # noqa: BLE001  a caller learns nothing of the inside
+        return ToolError("INTERNAL_ERROR", "internal error", True).payload()
