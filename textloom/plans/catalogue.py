@@ -549,7 +549,7 @@ def overlap_chunks(spark, folder):
     return opening.times_from_chunks(meta, wanted).select(F.col("rel_path").alias("conv_id"), "content")
 
 
-@query("flatten_json")
+@query("flatten_json", "SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS lines FROM events")
 def flatten_json(spark, folder):
     return table(spark, folder, "events").select("event_id", annotations.flatten_json("props").alias("lines"))
 
@@ -568,7 +568,14 @@ def session_inactivity(spark, folder):
     return rows.select("user_id", "session", "n", seconds("first_ts").alias("first_s"), seconds("last_ts").alias("last_s"))
 
 
-@query("token_bucket")
+@query(
+    "token_bucket",
+    """WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT event_id, user_id, t, i, 4.0::DOUBLE AS tokens, true AS allowed FROM o WHERE i = 1
+          UNION ALL SELECT event_id, user_id, t, i, CASE WHEN have >= 1 THEN have - 1 ELSE have END, have >= 1
+          FROM (SELECT o.event_id, o.user_id, o.t, o.i, least(5.0::DOUBLE, r.tokens + (o.t - r.t) * (1.0::DOUBLE / 3600)) AS have FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))
+    SELECT event_id, user_id, allowed OR user_id IS NULL AS allowed FROM r""",
+)
 def token_bucket(spark, folder):
     return state.rate_limited(table(spark, folder, "events"), "user_id", "ts", rps=1 / 3600, burst=5, ident="event_id")
 
@@ -589,7 +596,7 @@ def outcomes_pruned(spark, folder):
     return state.outcomes_kept(rows, now, 500, 200).select("key")
 
 
-@query("embed_pending")
+@query("embed_pending", f"WITH {CHUNKS_SQL} SELECT index_kind, chunk_id, 64::INTEGER AS dimension, 1.0::DOUBLE AS norm FROM chunks WHERE embedding_status = 'pending'")
 def embed_pending(spark, folder):
     chunks = sample.chunks(spark, folder).filter("embedding_status = 'pending'")
     vectors, _ = worker.embed_batch(chunks, HashedWords)
@@ -642,7 +649,7 @@ def span_rendering(spark, folder):
     return rows.select("chunk_id", corpus.printed_span(span).alias("printed"), corpus.span_json(span).alias("json"))
 
 
-@query("annotation_chunks")
+@query("annotation_chunks", "SELECT 'events/' || event_id AS rel_path, 0::INTEGER AS ordinal, sha256('k: ' || json_extract_string(props, '$.k')) AS text_hash, 'text' AS index_kind FROM events")
 def annotation_chunks(spark, folder):
     rows = table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit("events/"), "event_id").alias("rel_path"), F.lit("data").alias("doc_type"), F.col("props").alias("json"))
     _, chunks, _ = annotations.store(rows)
