@@ -22,8 +22,8 @@ def plain(texts, length=200):
     return out
 
 
-def got(frame):
-    rows = suffixes.strip(frame).drop("kept").collect()
+def got(frame, **options):
+    rows = suffixes.strip(frame, **options).drop("kept").collect()
     return sorted((r.doc_id, tuple(r)[1:]) for r in rows)
 
 
@@ -42,19 +42,44 @@ def corpus(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "run"), [(1, 512), (2, 512), (3, 2)])
-def test_equals_brute_force(spark, monkeypatch, seed, run):
-    monkeypatch.setattr(suffixes, "RUN", run)
+@pytest.mark.parametrize(("seed", "most", "piece"), [(1, 512, 8), (2, 512, 8), (3, 2, 8), (3, 0, 3)])
+def test_equals_brute_force(spark, monkeypatch, seed, most, piece):
+    other_way, repeated = [], suffixes.repeated
+    monkeypatch.setattr(suffixes, "repeated", lambda rows, *a, **o: (other_way.append(rows.count()) if "more_place" in o else None, repeated(rows, *a, **o))[1])
     texts = corpus(seed) + ["x" * 1500, "ab" * 400, "ab" * 120, "y" * 199, "z" * 200, None, ""]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert got(frame) == sorted(enumerate(plain(texts)))
+    assert got(frame, most=most, piece=piece) == sorted(enumerate(plain(texts)))
+    assert len(other_way) == 1 and (other_way[0] > 100 or most == 512)  # pieces that were compared by hashes
 
 
-def test_long_texts_in_segments(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "PLACE_BITS", 10)
+def test_long_texts_in_segments(spark):
     texts = [" ".join(corpus(4, 12)), *corpus(4, 12), "abc" * 2000]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert got(frame) == sorted(enumerate(plain(texts)))
+    assert got(frame, place_bits=10) == sorted(enumerate(plain(texts)))
+    rows = frame.filter("octet_length(text) >= 200").selectExpr("doc_id", "1L AS sig", "text")
+    places = [{(r.doc_id, r.first, r.size) for r in suffixes.all_stretches(rows, 200, "bigint", bits).collect()} for bits in (10, 24)]
+    assert places[0] != places[1] and all(f + n <= f - f % 825 + 825 for _, f, n in places[0])  # 1024 bytes have 825 windows
+
+
+def test_quicksort_of_windows():
+    rng = random.Random(5)
+    for kind in ("ab", "abcdefgh", "a"):
+        for _ in range(20):
+            base = "".join(rng.choice(kind) for _ in range(400)).encode()
+            texts = [base[a : a + rng.randint(64, 150)] for a in (rng.randint(0, 240) for _ in range(rng.randint(1, 12)))]
+            runs = sorted(rng.randint(0, 2) for _ in texts)
+            n = Counter((r, t[i : i + 64]) for r, t in zip(runs, texts) for i in range(len(t) - 63))
+            want = [[n[r, t[i : i + 64]] > 1 for i in range(len(t) - 63)] for r, t in zip(runs, texts)]
+            assert [x.tolist() for x in suffixes.equal_windows(texts, runs, 64)] == want
+
+
+def test_keys_keep_the_order_of_leading_bytes():
+    raw = "".join(random.Random(6).choice("abcé zß") for _ in range(4000)).encode()
+    key, _, _ = suffixes.stretches(raw, 200)
+    data, hashes = suffixes.np.frombuffer(raw, suffixes.np.uint8), suffixes.token_hashes(suffixes.np.frombuffer(raw, suffixes.np.uint8))
+    all_keys = suffixes.leading(data, hashes, suffixes.np.arange(len(hashes)))
+    lead = [raw[i : i + 4] for i in suffixes.np.argsort(all_keys.view(suffixes.np.int64), kind="stable")]
+    assert lead == sorted(lead) and set(key.tolist()) <= set(all_keys.tolist())
 
 
 def test_whole_table(spark, sf):

@@ -1,19 +1,23 @@
 """Removal of every byte that a repeated string of ``length`` bytes covers, by comparing suffixes.
 
-A suffix matters here only up to its first ``length`` bytes, its window. A window's leading token is the least hash of the
-64-byte strings in it, so equal windows have equal tokens wherever they stand; consecutive windows mostly share their token
-and travel as one stretch: a token, a hash of all bytes of the stretch, and where it is.
-
-1. Stretches are range-partitioned by (token, hash, place) with sampled splitters, so stretches that very many documents share
-   are dealt over many tasks, and sorted. Neighbours with one hash are repeated whole. Buckets send their first and last group
-   to the driver, two rows each, which compares across the boundaries. Stretches whose token stands nowhere else are unique.
+A suffix matters here only up to its first ``length`` bytes, its window. The array is sparse: of the suffixes that begin in a
+window only the one with the least hash of its first 64 bytes, its token, is in it, so equal windows have equal tokens at equal
+places; consecutive windows mostly share their token and travel as one stretch: the suffix's key (its first bytes and, of its
+token's hash, 32 bits), a hash of all bytes of the stretch, and where it is.
+
+1. Suffixes are range-partitioned by (key, hash, place) with sampled splitters, so in the order of their leading bytes, and so
+   that those which very many documents share are dealt over many tasks; and sorted. Neighbours with one hash are repeated
+   whole. Buckets send their first and last group to the driver, two rows each, which compares across the boundaries. Stretches
+   whose token stands nowhere else are unique.
 2. What is left has a token that others have, in other surroundings. Only there the bytes themselves travel, by token. Each
-   bucket sorts the suffixes of a token by a multikey quicksort that goes through all its partitions of one depth at once:
-   eight bytes at a time, suffixes that stand alone leave, those that are equal to the end are repeated.
-3. Tokens with more stretches than ``RUN``, and those that a boundary cuts, are compared another exact way: in pieces of
-   ``PIECE`` windows, whose common bytes are the key and all bytes the tie, range-partitioned and compared like the stretches
+   bucket sorts the windows of its tokens by multikey quicksort: three-way partitions by eight bytes around a pivot, all
+   partitions at once; windows that stand alone leave, those that are equal to the end are repeated.
+3. Tokens with more stretches than ``most``, and those that a boundary cuts, are compared another exact way: in pieces of
+   ``piece`` windows, whose common bytes are the key and all bytes the tie, range-partitioned and compared like the stretches
    of step 1; and what is left of these window by window, by 128-bit hashes.
 
+Where hashes decide (1 and 3), 96 bits and the leading bytes or 128 bits are equal.
+
 Defined cases: a null or empty text has no bytes. Repeated rows repeat all their windows. A text shorter than ``length`` loses
 nothing. Rows without an id are told apart by their text. An empty table gives no rows.
 """
@@ -53,6 +57,12 @@ def token_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def leading(data: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The keys of the suffixes at these places: four bytes, as signed numbers in their order, and 32 bits of the token's hash."""
+    words = np.ndarray((len(data) - 3,), ">u4", np.ascontiguousarray(data), strides=(1,))
+    return ((words[at].astype(np.uint64) ^ np.uint64(1 << 31)) << np.uint64(32)) | (hashes[at] & np.uint64(0xFFFFFFFF))
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` consecutive values: of a block's end and the next one's beginning."""
     n = len(values) - width + 1
@@ -62,19 +72,20 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretches(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token, first window and number of windows of each stretch: consecutive windows whose leftmost least hash is one place.
+def stretches(raw: bytes, length: int, place_bits: int = PLACE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first window and number of windows of each stretch: consecutive windows whose leftmost least hash is one place.
 
     So no window stands twice in a stretch, even where a text goes round in a short circle.
     """
-    segment = 1 << PLACE_BITS
+    segment = 1 << place_bits
     if len(raw) > segment:
-        parts = [(a, stretches(raw[a : a + segment], length)) for a in range(0, len(raw) - length + 1, segment - length + 1)]
+        parts = [(a, stretches(raw[a : a + segment], length, place_bits)) for a in range(0, len(raw) - length + 1, segment - length + 1)]
         return tuple(np.concatenate([p[c] + (np.uint64(0), a, 0)[c] for a, p in parts]) for c in range(3))
-    hashes, low = token_hashes(np.frombuffer(raw, np.uint8)), np.uint64((1 << PLACE_BITS) - 1)
+    data = np.frombuffer(raw, np.uint8)
+    hashes, low = token_hashes(data), np.uint64((1 << place_bits) - 1)
     least = sliding_least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - TOKEN + 1) & low
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return hashes[least[first].astype(np.int64)], first, np.diff(np.r_[first, len(least)])
+    return leading(data, hashes, least[first].astype(np.int64)), first, np.diff(np.r_[first, len(least)])
 
 
 def signed(values: np.ndarray) -> pa.Array:
@@ -86,15 +97,15 @@ PLACE = ["doc_id", "sig", "first", "size"]
 NODE_SQL = "xxhash64(doc_id, sig)"
 
 
-def all_stretches(docs: DataFrame, length: int, id_type: str) -> DataFrame:
-    """key (token), tie (hash of the stretch) and place of every stretch of docs (doc_id, sig, text)."""
+def all_stretches(docs: DataFrame, length: int, id_type: str, place_bits: int = PLACE_BITS) -> DataFrame:
+    """key, tie (hash of the stretch) and place of every stretch of docs (doc_id, sig, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, rows, ties = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
-                token, first, size = stretches(raw, length)
+                token, first, size = stretches(raw, length, place_bits)
                 owner.append(np.full(len(token), i))
                 rows.append((token, first, size))
                 ties += [xxhash.xxh3_64_intdigest(raw[a : a + n + length - 1]) for a, n in zip(first.tolist(), size.tolist())]
@@ -180,30 +191,47 @@ def repeated(rows: DataFrame, id_type: str, material: bool = True, more_place: s
 def equal_windows(texts: list[bytes], runs: list[int], length: int) -> list[np.ndarray]:
     """For each text which of its windows stand in another text of its run, or elsewhere in it.
 
-    Multikey quicksort with all partitions of one depth at a time, from both ends of the windows inwards.
+    Multikey quicksort: a partition is split into what is less than, equal to and greater than its pivot in the eight bytes at its
+    depth, and the equal part goes on eight bytes further; all partitions are split at once.
     """
     data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
     words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
     counts = np.array([len(t) - length + 1 for t in texts])
     base = np.cumsum([0, *map(len, texts[:-1])])
     start = np.repeat(base - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+    # live: places in the order of the partitions so far; group: their partition, ascending; depth: of each partition
     group, live = np.repeat(np.array(runs, np.int64), counts), np.arange(len(start))
-    places = [p for d in range(0, length // 2 + 1, 8) for p in (d, length - 8 - d)]
-    for place in dict.fromkeys(min(max(p, 0), length - 8) for p in places):
-        word = words[start[live] + place].astype(np.uint64)
-        order = np.lexsort((word, group))
-        live, word, group = live[order], word[order], group[order]
-        new = np.r_[True, (word[1:] != word[:-1]) | (group[1:] != group[:-1])]
-        alone = new & np.r_[new[1:], True]
-        live, group = live[~alone], np.cumsum(new)[~alone]
-        if not len(live):
-            break
-    same = np.zeros(len(start), bool)
-    same[live] = True
+    group = np.cumsum(np.r_[0, group[1:] != group[:-1]])
+    depth, same = np.zeros(group[-1] + 1 if len(group) else 0, np.int64), np.zeros(len(start), bool)
+    while len(live):
+        word = words[start[live] + np.minimum(depth, length - 8)[group]].astype(np.uint64)
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        size = np.diff(np.r_[first, len(live)])
+        three = np.sort(word[np.stack([first, first + size // 2, first + size - 1])], axis=0)
+        pivot = three[1][group]
+        side = (word > pivot).astype(np.int64) - (word < pivot) + 1  # 0 less, 1 equal, 2 greater
+        parts = group * 3 + side
+        count = np.bincount(parts, minlength=3 * len(first))
+        begin = np.cumsum(count) - count
+        rank = np.empty(len(live), np.int64)
+        for which in range(3):  # the place of each within its part
+            own = side == which
+            upto = np.cumsum(own)
+            rank[own] = (upto - np.r_[0, upto][first][group])[own] - 1
+        order = np.empty(len(live), np.int64)
+        order[begin[parts] + rank] = np.arange(len(live))
+        live, parts = live[order], parts[order]
+        deeper = np.repeat(depth, 3) + np.tile([0, 8, 0], len(first))
+        done = deeper >= length
+        several = count > 1
+        same[live[(done & several)[parts]]] = True
+        stay = several & ~done
+        kept = stay[parts]
+        live, group, depth = live[kept], (np.cumsum(stay) - 1)[parts[kept]], deeper[stay]
     return np.split(same, np.cumsum(counts)[:-1])
 
 
-def by_bytes(docs: DataFrame, mixed: DataFrame, length: int, id_type: str) -> DataFrame:
+def by_bytes(docs: DataFrame, mixed: DataFrame, length: int, id_type: str, most: int = RUN, piece: int = PIECE) -> DataFrame:
     """The repeated windows in stretches (key, place) whose token others have, as (doc_id, sig, first, size)."""
     lists = written(mixed.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("key", "first", "size")).alias("own")).withColumn("node", F.expr(NODE_SQL)), "mixed-stretches")
     same = (F.col("d.node") == F.col("l.node")) & F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.sig") == F.col("l.sig"))
@@ -249,14 +277,15 @@ def by_bytes(docs: DataFrame, mixed: DataFrame, length: int, id_type: str) -> Da
         def pieces(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             owner, keys, ties, firsts, sizes, parents = [], [], [], [], [], []
             for row, (key, begin, raw) in enumerate(zip(part.column(0).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist())):
-                n = len(raw) - length + 1
-                at = np.flatnonzero(token_hashes(np.frombuffer(raw, np.uint8)).view(np.int64) == key)
-                shift = int(at[0]) % PIECE if len(at) else 0  # pieces begin at like distances from the token
-                points = sorted({0, *range(shift, n, PIECE), n})
+                n, data = len(raw) - length + 1, np.frombuffer(raw, np.uint8)
+                hashes = token_hashes(data)
+                at = np.flatnonzero(leading(data, hashes, np.arange(len(hashes))).view(np.int64) == key)
+                shift = int(at[0]) % piece if len(at) else 0  # pieces begin at like distances from the token
+                points = sorted({0, *range(shift, n, piece), n})
                 for a, b in zip(points, points[1:]):
                     owner.append(row)
-                    q = a - (a - shift) % PIECE  # where the piece begins if the stretch doesn't cut it
-                    keys.append(xxhash.xxh3_64_intdigest(raw[q + PIECE - 1 : q + length]))
+                    q = a - (a - shift) % piece  # where the piece begins if the stretch doesn't cut it
+                    keys.append(xxhash.xxh3_64_intdigest(raw[max(0, q + piece - 1) : q + length]))
                     ties.append(xxhash.xxh3_64_intdigest(raw[a : b - 1 + length]))
                     firsts.append(begin + a)
                     sizes.append(b - a)
@@ -276,7 +305,7 @@ def by_bytes(docs: DataFrame, mixed: DataFrame, length: int, id_type: str) -> Da
             bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
             for a, b in zip(bounds, bounds[1:]):
                 if keys[a] != key:
-                    if inside and rows <= RUN:
+                    if inside and rows <= most:
                         ready += run
                         weight += sum(r.column(4).nbytes for r in run)
                         if weight > AT_ONCE * 2:
@@ -288,7 +317,7 @@ def by_bytes(docs: DataFrame, mixed: DataFrame, length: int, id_type: str) -> Da
                     inside, key, rows, run = key is not None, keys[a], 0, []
                 run.append(batch.slice(a, b - a))
                 rows += b - a
-                if rows > RUN:  # too many to be held
+                if rows > most:  # too many to be held
                     for r in run:
                         yield from pieces(r)
                     run = []
@@ -322,7 +351,7 @@ def by_bytes(docs: DataFrame, mixed: DataFrame, length: int, id_type: str) -> Da
     return found.filter("rest IS NULL").select(*PLACE).union(again)
 
 
-def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def strip(docs: DataFrame, length: int = LENGTH, most: int = RUN, piece: int = PIECE, place_bits: int = PLACE_BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) for each document."""
     if length < TOKEN:
         raise ValueError(f"windows have {TOKEN} bytes at least")
@@ -331,9 +360,9 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("sig"), text.alias("text"))
     long = keyed.filter(F.octet_length("text") >= length)
-    found = repeated(all_stretches(long, length, id_type), id_type)
+    found = repeated(all_stretches(long, length, id_type, place_bits), id_type)
     mixed = found.filter("NOT again").select("key", *PLACE)
-    covered = found.filter("again").select(*PLACE).union(by_bytes(long, mixed, length, id_type))
+    covered = found.filter("again").select(*PLACE).union(by_bytes(long, mixed, length, id_type, most, piece))
     lists = written(covered.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("first", "size")).alias("own")).withColumn("node", F.expr(NODE_SQL)), "covered")
     same = (F.col("d.node") == F.col("l.node")) & F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.sig") == F.col("l.sig"))
     bitmap, nodes = marks(lists, "node"), keyed.withColumn("node", F.expr(NODE_SQL))
