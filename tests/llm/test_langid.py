@@ -39,3 +39,58 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in rows if r.doc_id is not None and r.doc_id % 6 == 3} == {"en"}
     assert langid.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def plain_grams(text):
+    signs = [int(langid.alphabet()[ord(c)]) for c in text]
+    return [{tuple(signs[i : i + n]) for i in range(len(signs) - n + 1)} for n in langid.ORDERS]
+
+
+def kernel_of_sets(a, b):
+    return sum(len(x & y) / (max(1, len(x)) * max(1, len(y))) ** 0.5 for x, y in zip(a, b)) / len(langid.ORDERS)
+
+
+def test_predictions_equal_a_plain_ridge_regression(spark):
+    """Landmarks, features and regressions anew, by sets of grams and by least squares over rows that penalise the weights."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", langid.held_out().alias("out"), F.xxhash64("doc_id").alias("h")).collect()
+    known = [r for r in rows if not r.out and r.lang is not None and r.text]
+    langs = sorted({r.lang for r in known})
+    landmarks, most_rows, ridge = 24, 200, 1e-3
+    least = {}
+    for r in known:
+        key = r.lang, r.h % (most_rows // len(langs))
+        least[key] = min(least.get(key, (r.h, r.doc_id, r.text)), (r.h, r.doc_id, r.text))
+    sample, marks = [], []
+    for lang in langs:
+        own = sorted(v for (k, _), v in least.items() if k == lang)
+        sample += [(lang, t) for _, _, t in own]
+        marks += [t for _, _, t in own[: landmarks // len(langs)]]
+    grams = {t: plain_grams(t) for t in [*marks, *(t for _, t in sample), *(r.text for r in rows if r.text)]}
+    kernel = lambda texts: np.array([[kernel_of_sets(grams[t], grams[m]) for m in marks] for t in texts])
+    values, vectors = np.linalg.eigh(kernel(marks))
+    good = values > 1e-8 * values[-1]
+    features = lambda texts: kernel(texts) @ vectors[:, good] / np.sqrt(values[good])
+    phi, names = features([t for _, t in sample]), [lang for lang, _ in sample]
+    weight = np.array([1 / names.count(x) for x in names])
+    weight *= len(weight) / weight.sum()
+    goal = np.where(np.array(names)[:, None] == np.array(langs), 1.0, -1.0)
+    wide = np.c_[phi, np.ones(len(phi))] * np.sqrt(weight)[:, None]
+    penalty = np.c_[np.sqrt(ridge * len(phi)) * np.eye(phi.shape[1]), np.zeros(phi.shape[1])]
+    beta = np.linalg.lstsq(np.r_[wide, penalty], np.r_[goal * np.sqrt(weight)[:, None], np.zeros((phi.shape[1], len(langs)))], rcond=None)[0]
+    texts = {r.doc_id: r.text for r in rows if r.text and any(c.isalpha() for c in r.text)}
+    scores = dict(zip(texts, np.c_[features(list(texts.values())), np.ones(len(texts))] @ beta))
+    got = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs, landmarks, most_rows, ridge)).collect()}
+    for doc_id, r in got.items():
+        if doc_id not in scores:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        p = np.exp(3 * scores[doc_id])
+        p /= p.sum()
+        assert abs(r.score - p[langs.index(r.lang_pred)]) < 1e-2 and p.max() - p[langs.index(r.lang_pred)] < 1e-2
+
+
+def test_languages_are_bounded(spark):
+    rows = [(i, f"lang {i % 7} {'abcdefg'[i % 7] * 9} words", f"l{i % 7}") for i in range(140)] + [(500, "only one", "rare")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=7)
+    assert model.langs == [f"l{i}" for i in range(7)]

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from textloom.llm import components, simhash
 
@@ -78,6 +79,19 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in range(101, 150)}
 
 
+def test_components_that_do_not_settle(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError, match="settled"):
+        components.components(path, most_rounds=2)
+
+
+def test_rows_equal_in_id_and_text_leave_the_same_one(spark):
+    rows = [(1, "a b c d e f", x) for x in ("p", "q", "r")] + [(2, "a b c d e f", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {tuple(map(tuple, simhash.drop_near_duplicates(docs.orderBy(F.rand(seed)).repartition(3)).collect())) for seed in range(3)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
+
+
 def jaccard(a, b):
     a, b = (set(simhash.shingles(t, 5)) for t in (a, b))
     return len(a & b) / len(a | b)

@@ -7,7 +7,8 @@ one for each language against the rest. Scoring is, for a batch of texts, their
 times the landmarks' matrix, times the weights.
 
 The sample is bounded by ``most_rows`` whatever the table (the rows of least hash in each of ``per_lang`` buckets of a
-language), and so is the model that goes to the executors. Texts are read whole.
+language), and so is the model that goes to the executors: of more languages than ``most_langs`` those with the most rows are
+learned, and there are ``landmarks`` landmarks, or one for each language. Texts are read whole.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text if nothing is labelled.
 Rows without a language or an id aren't learned from; a null id isn't held out. Repeated rows are predicted alike. An empty
@@ -104,16 +105,16 @@ def held_out(folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, landmarks: int = 96, most_rows: int = 2048, ridge: float = 1e-3) -> Model | None:
+def fit(docs: DataFrame, landmarks: int = 96, most_rows: int = 2048, ridge: float = 1e-3, most_langs: int = 512) -> Model | None:
     """Learn from doc_id, text and lang of rows that aren't held out."""
     spark = docs.sparkSession
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
     known = known.select("doc_id", "lang", "text")
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect())
     if not langs:
         return None
     per_lang = max(2, most_rows // len(langs))
-    hashed = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    hashed = known.filter(F.col("lang").isin(langs)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     chosen = hashed.groupBy("lang", F.pmod("h", F.lit(per_lang)).alias("bucket")).agg(F.min(F.struct("h", "doc_id")).alias("least"))
     picked = sorted((r.lang, r.least.h, r.least.doc_id) for r in chosen.collect())
     rank, rows = {}, []

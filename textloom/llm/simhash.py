@@ -380,7 +380,11 @@ def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest node; documents without words stay."""
+    """One document of each group of near duplicates, that of the smallest node; documents without words stay.
+
+    Of rows equal in id and text the one whose JSON has the least hash stays. Nodes are hashes of 64 bits: among 10^10 rows some
+    three pairs of strangers are expected to share one, and so to be taken as one group.
+    """
     worded = F.coalesce(F.col("text").rlike(f"[^{WHITE}]"), F.lit(False))
     found = near_groups(docs)
     stays = F.col("node") == F.col("component")  # a component's name is its smallest node
@@ -390,5 +394,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = docs.filter(worded).select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("own"))
     # only texts that may go are shuffled, and once: repeated rows are told by the key of the join
     alone = several.surely_not(keyed, "own")
-    kept = several.maybe(keyed, "own").join(keepers, F.col("own") == F.col("node"), "left_semi").dropDuplicates(["own", "doc_id"])
+    kept = several.maybe(keyed, "own").join(keepers, F.col("own") == F.col("node"), "left_semi")
+    kept = kept.groupBy("own", "doc_id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row", "doc_id", "own")
     return alone.union(kept).select("row.*").union(docs.filter(~worded))
