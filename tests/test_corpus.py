@@ -462,3 +462,16 @@ def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
     else:
         with pytest.raises(RuntimeError):
             session.shared_folder(Far())
+
+
+def test_commands_leave_events(spark, tmp_path, capsys):
+    from textloom import cli
+
+    put(tmp_path, "corpus/a.md", "some text")
+    (tmp_path / "t.yaml").write_text(f"root: {tmp_path}/corpus\nstate: {tmp_path}/state\n")
+    assert cli.main(["--config", str(tmp_path / "t.yaml"), "up"]) == 0
+    logged = spark.read.json(f"{tmp_path}/state/events").orderBy("ts", F.desc("event")).collect()
+    assert [r.event for r in logged] == ["scan_started", "scan_done"] and json.loads(logged[1].data)["indexed"] == 1
+    own = Corpus(spark, f"{tmp_path}/corpus", f"file://{tmp_path}/state")
+    own.settle("k", "eip155:1", "100", "settled")
+    assert spark.read.json(f"{tmp_path}/state/settlements").first().outcome == "settled"

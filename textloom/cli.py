@@ -71,8 +71,14 @@ def main(argv: list[str] | None = None, backends: Backends | None = None) -> int
         return 0
     own = opened(conf, backends)
     if args.command in ("up", "reindex"):
-        own.scan(force=args.command == "reindex")
-        own.embed()
+        own.emit("scan_started", command=args.command)
+        try:
+            own.scan(force=args.command == "reindex")
+            own.embed()
+        except Exception as e:
+            own.emit("scan_failed", "error", command=args.command, error=str(e))
+            raise
+        own.emit("scan_done", command=args.command, **own.document_stats())
     if args.command == "ask":
         given = {"question": args.question, "mode": args.mode, "k": args.k or conf.k, "index": args.index, "path_prefix": args.path_prefix, "file_glob": args.file_glob}
         types = [t.strip() for t in args.doc_types.split(",") if t.strip()]

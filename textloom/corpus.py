@@ -20,7 +20,7 @@ from .functions import text as T
 from .operators import annotations, answers, changes, corpus, listing, opening, retrieval
 from .session import checkpointed, deadline
 from .sources import archives, discover, models
-from .sources.store import Change, Store
+from .sources.store import Change, Store, append_events
 from .streaming import worker
 
 
@@ -154,6 +154,14 @@ class Corpus:
         again. A document that a recogniser fails on gets the status error and is tried again by the next scan; the others go on.
         Only the parts of the tables that have a changed row are written.
         """
+        self.running = True
+        try:
+            self._scan(force)
+        finally:
+            self.running = False
+        self.store.expire()
+
+    def _scan(self, force: bool) -> None:
         stored = self.store.read("documents")
         known = changes.clear_hashes(stored) if force else stored
         files = self.files()
@@ -199,13 +207,26 @@ class Corpus:
     def meta(self) -> DataFrame:
         return listing.embedded(self.store.read("chunks"), self.store.read("spans"))
 
+    def emit(self, event: str, level: str = "info", **data) -> None:
+        """A line in the corpus's log of events."""
+        row = [(int(time.time()), level, event, json.dumps(data, sort_keys=True, default=str))]
+        append_events(self.spark.createDataFrame(row, "ts long, level string, event string, data string").coalesce(1), f"{self.store.folder}/events")
+
+    def settle(self, key: str, network: str, amount: str, outcome: str) -> None:
+        """A line in the log of settlements."""
+        row = [(int(time.time()), key, network, amount, outcome)]
+        append_events(self.spark.createDataFrame(row, "ts long, key string, network string, amount string, outcome string").coalesce(1), f"{self.store.folder}/settlements")
+
     def vector_of(self, text: str, kind: str) -> list[float]:
         return self.backends.embedder().embed([text])[0]
 
     def search(self, search: retrieval.Search) -> tuple[DataFrame, str]:
         excludes = (*globs.NEVER_SEARCHED, *self.settings.excludes)
         search = retrieval.Search(**{**search.__dict__, "excludes": excludes})
-        return retrieval.run(self.store.read("vectors"), self.meta(), search, self.vector_of)
+        chunks, spans = self.store.read("chunks"), self.store.read("spans")
+        own = listing.live(chunks).filter((F.col("embedding_status") == "ok") & (F.col("chunk_id") > 0))
+        detail = lambda ids: listing.hit_rows(own.join(F.broadcast(ids), "chunk_id", "left_semi"), spans)
+        return retrieval.run(self.store.read("vectors"), own.select("chunk_id", "index_kind", "rel_path", "doc_type"), search, self.vector_of, detail)
 
     def ask(self, question: str, search: retrieval.Search | None = None, generate: bool = True) -> dict:
         """question, answer, citations, hits. At most MOST_K hits come to the driver; TimeoutError if it takes too long."""

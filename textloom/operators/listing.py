@@ -138,14 +138,16 @@ def code_ratio(docs: DataFrame) -> DataFrame:
 def cache_kept(files: DataFrame, now: int, ttl_s: int = 0, max_bytes: int = 0) -> DataFrame:
     """The files that stay: those within the time to live and, of these, the newest that fit the size.
 
-    The running size goes over days first and then within the day on the edge, so no task sees all files.
+    The running size goes over days first, then over the minutes of each day and then within a minute, so no task sees all files.
     """
     kept = files.filter(F.col("mtime_unix") >= now - ttl_s) if ttl_s > 0 else files
     if max_bytes <= 0:
         return kept
-    day = kept.withColumn("day", F.floor(F.col("mtime_unix") / 86400))
-    totals = day.groupBy("day").agg(F.sum("size_bytes").alias("bytes"))
-    newer = totals.select("day", F.coalesce(F.sum("bytes").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("newer"))
-    order = Window.partitionBy("day").orderBy(F.desc("mtime_unix"), F.desc("name")).rowsBetween(Window.unboundedPreceding, 0)
-    sized = day.join(F.broadcast(newer), "day").withColumn("upto", F.col("newer") + F.sum("size_bytes").over(order))
+    timed = kept.withColumn("day", F.floor(F.col("mtime_unix") / 86400)).withColumn("minute", F.floor(F.col("mtime_unix") / 60))
+    minutes = timed.groupBy("day", "minute").agg(F.sum("size_bytes").alias("bytes"))
+    before = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = minutes.groupBy("day").agg(F.sum("bytes").alias("bytes")).select("day", before(Window.orderBy(F.desc("day"))).alias("newer_days"))
+    newer = minutes.select("day", "minute", before(Window.partitionBy("day").orderBy(F.desc("minute"))).alias("newer_minutes")).join(days, "day").drop("day")
+    order = Window.partitionBy("minute").orderBy(F.desc("mtime_unix"), F.desc("name")).rowsBetween(Window.unboundedPreceding, 0)
+    sized = timed.join(newer, "minute").withColumn("upto", F.col("newer_days") + F.col("newer_minutes") + F.sum("size_bytes").over(order))
     return sized.filter(F.col("upto") <= max_bytes).select(*files.columns)

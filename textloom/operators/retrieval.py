@@ -47,17 +47,19 @@ def passes(search: Search) -> Column:
 
 
 def candidates(vectors: DataFrame, meta: DataFrame, search: Search, kind: str) -> DataFrame:
-    """Vectors of one index whose chunk passes, with the chunk's metadata. meta: see listing.hit_rows."""
-    own = meta.filter((F.col("index_kind") == kind) & passes(search)).drop("index_kind")
-    return vectors.filter(F.col("index_kind") == kind).drop("index_kind").join(own, "chunk_id")
+    """Vectors of one index whose chunk passes. meta: chunk_id, index_kind, rel_path and doc_type; more isn't carried along."""
+    own = meta.filter((F.col("index_kind") == kind) & passes(search)).select("chunk_id")
+    return vectors.filter(F.col("index_kind") == kind).select("chunk_id", "embedding").join(own, "chunk_id", "left_semi")
 
 
 HIT = ["chunk_id", "rel_path", "doc_type", "rep_type", "score", "snippet", "span"]
 
 
-def search_one(vectors: DataFrame, meta: DataFrame, vector: Sequence[float], search: Search, kind: str) -> DataFrame:
-    hits = V.score_all(candidates(vectors, meta, search, kind), vector).select(*HIT)
-    return hits.orderBy(F.desc("score"), "chunk_id").limit(search.k)
+def search_one(vectors: DataFrame, meta: DataFrame, vector: Sequence[float], search: Search, kind: str, detail: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The k best ids first; only these get their snippets and spans. detail: ids -> hit rows (see listing.hit_rows)."""
+    best = V.score_all(candidates(vectors, meta, search, kind), vector).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(search.k)
+    rows = (detail(best.select("chunk_id")) if detail else meta).filter(F.col("index_kind") == kind).drop("index_kind")
+    return rows.join(F.broadcast(best), "chunk_id").select(*HIT).orderBy(F.desc("score"), "chunk_id")
 
 
 def normalized(hits: DataFrame) -> DataFrame:
@@ -76,13 +78,15 @@ def fuse(text_hits: DataFrame, code_hits: DataFrame, k: int) -> DataFrame:
     return one.withColumn("score", F.round("score", V.DIGITS)).orderBy(F.desc("score"), "chunk_id").limit(k).select(*HIT)
 
 
-def run(vectors: DataFrame, meta: DataFrame, search: Search, embed: Callable[[str, str], Sequence[float]]) -> tuple[DataFrame, str]:
-    """(hits, index that was used). embed(query, index) gives the query's vector."""
+def run(
+    vectors: DataFrame, meta: DataFrame, search: Search, embed: Callable[[str, str], Sequence[float]], detail: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, str]:
+    """(hits, index that was used). embed(query, index) gives the query's vector; without detail meta has the hit rows."""
     search = search if search.k > 0 else Search(**{**search.__dict__, "k": DEFAULT_K})
     index = search.index.strip().lower()
     index = route(search.query) if index in ("", "auto") else index
     if index == "both":
-        parts = [search_one(vectors, meta, embed(search.query, kind), search, kind) for kind in ("text", "code")]
+        parts = [search_one(vectors, meta, embed(search.query, kind), search, kind, detail) for kind in ("text", "code")]
         return fuse(*parts, search.k), "both"
     index = index if index == "code" else "text"
-    return search_one(vectors, meta, embed(search.query, index), search, index), index
+    return search_one(vectors, meta, embed(search.query, index), search, index, detail), index

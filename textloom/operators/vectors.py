@@ -7,6 +7,7 @@ ties within rounding are broken by id and the order is total.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,9 +20,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 where a norm is 0."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
+    """0 where a norm is 0; the norms are given, so that each vector's is computed once."""
+    norms = norm_a * norm_b
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
@@ -32,7 +37,8 @@ def literal(vector: Sequence[float]) -> Column:
 def score_all(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
     """Vectors of the query's dimension with their score; the others take no part."""
     same = vectors.filter(F.size("embedding") == len(query))
-    return same.withColumn("score", F.round(cosine(F.col("embedding"), literal(query)), DIGITS))
+    length = math.sqrt(sum(float(x) * float(x) for x in query))
+    return same.withColumn("score", F.round(cosine(F.col("embedding"), literal(query), norm(F.col("embedding")), F.lit(length)), DIGITS))
 
 
 def search(vectors: DataFrame, query: Sequence[float], k: int = 10) -> DataFrame:
@@ -52,6 +58,7 @@ def search_each(vectors: DataFrame, queries: DataFrame, k: int = 10, most_querie
     before they are shuffled.
     """
     n = queries.count()
+    vectors, queries = vectors.withColumn("v_norm", norm(F.col("embedding"))), queries.withColumn("q_norm", norm(F.col("query")))
     if n <= most_queries:
         both = vectors.crossJoin(F.broadcast(queries))
     else:
@@ -62,7 +69,7 @@ def search_each(vectors: DataFrame, queries: DataFrame, k: int = 10, most_querie
         asked = queries.withColumn("qb", own("query_id", q_blocks)).withColumn("vb", every(v_blocks))
         both = dealt.join(asked, ["qb", "vb"]).drop("qb", "vb")
     both = both.filter(F.size("embedding") == F.size("query"))
-    scored = both.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("query")), DIGITS).alias("score"))
+    scored = both.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("query"), F.col("v_norm"), F.col("q_norm")), DIGITS).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
