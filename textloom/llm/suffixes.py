@@ -360,7 +360,8 @@ def strip(docs: DataFrame, length: int = LENGTH, most: int = RUN, piece: int = P
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("sig"), text.alias("text"))
     long = keyed.filter(F.octet_length("text") >= length)
-    found = repeated(all_stretches(long, length, id_type, place_bits), id_type)
+    # written, as it is read twice: for the splitters, and to be dealt
+    found = repeated(written(all_stretches(long, length, id_type, place_bits), "stretches"), id_type)
     mixed = found.filter("NOT again").select("key", *PLACE)
     covered = found.filter("again").select(*PLACE).union(by_bytes(long, mixed, length, id_type, most, piece))
     lists = written(covered.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("first", "size")).alias("own")).withColumn("node", F.expr(NODE_SQL)), "covered")
