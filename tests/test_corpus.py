@@ -229,18 +229,24 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         worker.embed_stream(spark, f"{tmp_path}/in", f"{tmp_path}/out", models.HashedWords, f"{tmp_path}/check").awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
-    events = spark.createDataFrame([(1, "k", 0), (2, "k", 1), (3, "j", 1), (4, "k", 90000)], "id long, key string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    events = spark.createDataFrame([(1, "k", 0), (2, "k", 1), (3, "j", 1), (4, "k", 90000), (5, "127.0.0.1", 3), (6, "127.0.0.1", 3)], "id long, key string, s int").withColumn("ts", F.timestamp_seconds("s"))
     events.write.parquet(f"{tmp_path}/ev")
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/ev")
 
     def drained(frame, name, mode):
         q = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
-        q.awaitTermination(60)
+        assert q.awaitTermination(60)
         return spark.table(name).collect()
 
-    assert len(drained(worker.once_stream(stream, "key", "ts"), "once", "append")) == 2
-    assert sorted(r.n for r in drained(worker.session_stream(stream, "key", "ts"), "sess", "complete")) == [1, 1, 2]
-    assert sum(r.allowed for r in drained(worker.rate_limit_stream(stream, "key", "ts", "id", 0.0001, 1), "rates", "append")) == 3
+    assert len(drained(worker.once_stream(stream, "key", "ts"), "once", "append")) == 3
+    assert sorted(r.n for r in drained(worker.session_stream(stream, "key", "ts"), "sess", "complete")) == [1, 1, 2, 2]
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        limited = drained(worker.rate_limit_stream(stream, "key", "ts", "id", 0.0001, 1), "rates", "append")
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    batch = state.rate_limited(events, "key", "ts", 0.0001, 1, "id").collect()
+    assert {r.id: r.allowed for r in limited} == {r.id: r.allowed for r in batch} and sum(r.allowed for r in limited) == 5
 
 
 def test_segments_are_returned_whole(spark, tmp_path):

@@ -65,7 +65,8 @@ def session_stream(events: DataFrame, key: str, ts: str, gap: str = "24 hours",
 def rate_limit_stream(events: DataFrame, key: str, ts: str, ident: str, rps: float, burst: int) -> DataFrame:
     """ident, allowed for a stream of requests; a key's bucket is its state, which goes after an hour without a request.
 
-    The same keys are free as in the batch form, and they have no state.
+    The same keys are free as in the batch form, and they have no state. Buckets expire by processing time, for which a query goes
+    on without data; one that is to end (availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled off.
     """
 
     def fold(k, parts, state):
