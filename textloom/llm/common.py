@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 from ..session import shared_folder
 
-__all__ = ["WHITE", "Marks", "clear", "let", "marked_only", "marks", "shared_folder", "small_batches", "table", "written"]
+__all__ = ["WHITE", "Marks", "clear", "gathered", "let", "marked_only", "marks", "shared_folder", "small_batches", "table", "written"]
 
 #: Fixed value: ASCII white space, as a character class of a regular expression.
 WHITE = r"\x20\x09-\x0D"
@@ -28,6 +29,15 @@ def written(frame: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def gathered(spark: SparkSession, frames: Iterable[DataFrame], schema: str, name: str) -> DataFrame:
+    """Write frames of one schema one after the other into a folder as written() does, and read them back as one."""
+    path, some = f"{shared_folder(spark)}/textloom/{name}-{uuid.uuid4().hex}", False
+    for frame in frames:
+        frame.write.mode("append").parquet(path)
+        some = True
+    return spark.read.schema(schema).parquet(path) if some else spark.createDataFrame([], schema)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what written() has left, when no frame that reads it is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/textloom")

@@ -8,7 +8,7 @@ stands at the depth reached, and for the lists that aren't read of what stands a
 if that is less. That score is carried from block to block, so the depth where it stops, and the fewest lists that have to be
 read (those that fall most come first), are known from the lists before a row is met: at depth 0 the block is passed over; up
 to a share of the block the rows met are gathered and scored; beyond it one matrix product scores the block for all such
-queries. The tasks' answers are merged.
+queries. The tasks' answers are merged and written, block of queries by block.
 
 How much is passed over depends on the data: directions that are alike in all dimensions leave the bound too high to stop
 early, and then every pair is scored; vectors whose components differ in size, or queries with near neighbours, stop soon.
@@ -21,15 +21,16 @@ An empty table gives no rows; a query without candidates gives none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import gathered, written
 
 #: Queries that go to the candidates at a time; rows of the sample; components of a block of candidates, and of scores at once.
 QUERIES, SAMPLE, COMPONENTS, SCORES = 4096, 4096, 1 << 22, 1 << 22
@@ -156,16 +157,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     if asked:  # at most `sample` rows
         few = by_dimension(usable.filter(F.col("dim").isin(list(exact))).orderBy(F.xxhash64("row")).limit(min(sample, max(k + 1, components // max(1, max(exact))))))
 
-    def block(b: int) -> DataFrame:
-        """What the tasks find for a block of queries."""
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+
+    def blocks_found() -> Iterator[DataFrame]:
+        """The ranked rows of each block of queries; the block is let go before the next one is sent."""
+        for b in range(blocks):
+            shared = spark.sparkContext.broadcast(asking_of(b))
+            found = usable.select("row", "vec_id", "dim", "v").mapInArrow(met_by(shared), "row long, query_id long, vec_id long, score long")
+            yield found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            shared.destroy()
+
+    def asking_of(b: int) -> dict[int, tuple]:
         sent = {}
         for dim, table in by_dimension(usable.filter("asks").filter(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b)).items():
             own = Best.of(matrix(table.column("v"), dim, exact[dim]), table.column("row").to_numpy(), np.full(len(table), -np.inf, np.float64 if exact[dim] else object))
             if dim in few:
                 search_block(own, matrix(few[dim].column("v"), dim, exact[dim]), few[dim].column("vec_id").to_numpy(), few[dim].column("row").to_numpy(), k)
             sent[dim] = own.queries, own.own, own.least, table.column("vec_id").to_numpy()
-        shared = spark.sparkContext.broadcast(sent)
+        return sent
 
+    def met_by(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asking = shared.value
             best = {dim: Best.of(*parts[:3]) for dim, parts in asking.items()}
@@ -192,10 +203,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                     columns = [np.repeat(rows, size), np.repeat(names, size), np.concatenate(own.ids), held_at(np.concatenate(own.scores))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "query_id", "vec_id", "score"])
 
-        return usable.select("row", "vec_id", "dim", "v").mapInArrow(run, "row long, query_id long, vec_id long, score long")
+        return run
 
-    found = spark.createDataFrame([], "row long, query_id long, vec_id long, score long")
-    for b in range(blocks):
-        found = found.unionAll(block(b))
-    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return gathered(spark, blocks_found(), "query_id long, rank int, vec_id long, score long", "topk")
