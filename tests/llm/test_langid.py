@@ -94,3 +94,11 @@ def test_languages_are_bounded(spark):
     rows = [(i, f"lang {i % 7} {'abcdefg'[i % 7] * 9} words", f"l{i % 7}") for i in range(140)] + [(500, "only one", "rare")]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=7)
     assert model.langs == [f"l{i}" for i in range(7)]
+
+
+def test_repeated_rows_are_one_row_of_the_sample(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    hot = docs.filter(~langid.held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).orderBy("doc_id").limit(1)
+    again = docs.union(hot.crossJoin(spark.range(700)).drop("id"))
+    once, often = (langid.fit(d, most_rows=256) for d in (docs, again))
+    assert once.langs == often.langs and (once.slots == often.slots).all() and np.allclose(once.weights, often.weights, atol=1e-6)

@@ -122,7 +122,9 @@ def fit(docs: DataFrame, landmarks: int = 96, most_rows: int = 2048, ridge: floa
         rank[lang] = rank.get(lang, -1) + 1
         rows.append((doc_id, lang, rank[lang] < max(1, landmarks // len(langs))))
     ids = spark.createDataFrame(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, landmark boolean")
-    sample = written(known.join(F.broadcast(ids), ["doc_id", "lang"]), "lang-sample")
+    # rows that repeat an id and a language are one row of the sample, so it is bounded whatever repeats
+    sample = known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang", "landmark").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = written(sample, "lang-sample")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence()
