@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, pii, quality, simhash, suffixes, tokens, topk
+from . import decontaminate, langid, lexical, licenses, mixing, packing, pii, quality, runs, simhash, suffixes, tokens, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +168,74 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.strip(table(spark, folder, "documents")).drop("kept")
 
 
+#: The words of texts in DuckDB, once A-Z are in lower case.
+TERMS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.BETWEEN}'), lambda x: x <> '')"
+
+
+@query(
+    "op11_periodic_runs",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+         h AS (SELECT *, len(w) AS n, xor(list_reduce([4294967295] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                      lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295) AS h FROM d),
+         a AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM h),
+         t AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM a),
+         f AS (SELECT r, n, i, hash(array_to_string(w[i + 1:i + 4], ' ')) AS k, w[i + 1:i + 4] AS k4 FROM (SELECT *, unnest(range(0, n - 3)) AS i FROM t)),
+         e AS (SELECT x.r, x.i, y.i - x.i AS q FROM f x JOIN f y ON x.r = y.r AND x.k = y.k AND x.k4 = y.k4 AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+         g AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM e),
+         s AS (SELECT r, q, min(i) AS a, max(i) + 4 + q AS b FROM g GROUP BY r, q, island),
+         u AS (SELECT r, a, b - a AS length, min(q) AS q FROM s WHERE b - a >= greatest(6, 4 * q) GROUP BY r, a, b),
+         l AS (SELECT r, count(*) AS n_runs, string_agg(a || ',' || length || ',' || q || chr(10), '' ORDER BY a, q) AS printed FROM u GROUP BY r),
+         o AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY r ORDER BY length DESC, a, q) = 1),
+         x AS (SELECT DISTINCT r, unnest(range(a + q, a + length)) AS i FROM u),
+         c AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT r, unnest(w) AS word, unnest(range(0, n)) AS i FROM t) AS v ANTI JOIN x USING (r, i) GROUP BY r)
+    SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, a::BIGINT AS start, length::BIGINT AS length, q::BIGINT AS period, (1000 * length // q)::BIGINT AS exponent_milli,
+           sha256(coalesce(printed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM t LEFT JOIN l USING (r) LEFT JOIN o USING (r) LEFT JOIN c USING (r)
+    """,
+)
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digest(runs.with_tails(table(spark, folder, "documents"))).drop("n_words", "runs")
+
+
+@query(
+    "op12_decontamination",
+    f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents),
+         b AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {TERMS} AS w FROM benchmark) AS i WHERE len(w) > 0),
+         x AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS i FROM b)),
+         g AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM x))),
+         h AS (SELECT DISTINCT r, i, n, item_id FROM g JOIN x USING (n, k)),
+         c AS (SELECT r, count(DISTINCT i + o) AS n_hit FROM h, range(0, 10) AS z(o) WHERE o < n GROUP BY r),
+         t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+    """,
+)
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items", "spans")
+
+
+@query(
+    "op13_lexical_search",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents),
+         i AS (SELECT row_number() OVER () AS i, item_id, unnest(list_distinct({TERMS})) AS term FROM benchmark),
+         c AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n, sum(len(w))::BIGINT AS total FROM d),
+         p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+         f AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, c GROUP BY term, n),
+         m AS (SELECT r, doc_id, 100 - 90 + (90 * len(w) * n) // total AS m FROM d, c WHERE len(w) > 0),
+         s AS (SELECT i, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+               FROM i JOIN f USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY i, item_id, r, doc_id)
+    SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 10
+    """,
+)
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
