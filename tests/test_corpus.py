@@ -286,20 +286,117 @@ def test_store_of_two_writers_and_a_crash(spark, tmp_path, monkeypatch):
     assert one._publish(one._numbers()[-1], {}) is False  # a number is given once
 
 
+def spans_of(spark, ids, start=0):
+    return spark.createDataFrame([(i, i, "lines", start, 1, "") for i in ids], schemas.SPANS)
+
+
+def places(own, table="spans"):
+    return own._latest()[1][table]["places"]
+
+
 def test_store_writes_only_the_parts_that_change(spark, tmp_path):
     own = store.Store(spark, f"file://{tmp_path}")
-    rows = [(i, 1, "lines", 0, 1, "") for i in range(64)]
-    own.write(spans=spark.createDataFrame([(i, i, *r[2:]) for i, r in enumerate(rows)], schemas.SPANS))
-    first = own._latest()[1]["spans"]
-    own.upsert("spans", spark.createDataFrame([(3, 3, "lines", 7, 8, "")], schemas.SPANS))
-    second = own._latest()[1]["spans"]
+    own.write(spans=spans_of(spark, range(64)))
+    first = places(own)
+    own.upsert("spans", spans_of(spark, [3], 7))
+    second = places(own)
     assert len(first) == 8 and len(set(first.values()) & set(second.values())) == 7
     own.transaction(lambda read: {"spans": store.Change(own.read("spans").limit(0), spark.createDataFrame([(5,), (6,)], "chunk_id long"))})
     assert own.read("spans").count() == 62 and own.read("spans").filter("start = 7").count() == 1
-    own.expire(keep=1, older_s=-5)
+    own.expire(keep=1, readable_s=-5)
     assert own._numbers() == [3] and own.read("spans").count() == 62
     left = {p.name for p in (tmp_path / "spans").iterdir()}
-    assert left == {at.split("/")[1] for at in own._latest()[1]["spans"].values()}
+    assert left == {at.split("/")[1] for at in places(own).values()}
+
+
+def test_store_keeps_its_parts_whatever_it_is_opened_with(spark, tmp_path):
+    store.Store(spark, f"file://{tmp_path}", parts=8).write(spans=spans_of(spark, range(40)))
+    other = store.Store(spark, f"file:{tmp_path}", parts=5)  # one slash
+    other.upsert("spans", spans_of(spark, range(0, 60, 3), 9))
+    rows = other.read("spans").collect()
+    assert sorted(r.chunk_id for r in rows) == sorted({*range(40), *range(0, 60, 3)}) and {r.start for r in rows if r.chunk_id % 3 == 0} == {9}
+    assert other._latest()[1]["spans"]["parts"] == 8 and other._local("x") == f"{tmp_path}/x"
+    assert other._publish(other._numbers()[-1], {}) is False
+
+
+def test_large_parts_are_divided(spark, tmp_path):
+    own = store.Store(spark, f"file://{tmp_path}", parts=2, part_bytes=6000)
+    own.write(spans=spans_of(spark, range(10)))
+    assert own._latest()[1]["spans"]["parts"] == 2
+    own.upsert("spans", spans_of(spark, range(5, 2000), 4))
+    grown = own._latest()[1]["spans"]["parts"]
+    assert grown > 2 and grown & (grown - 1) == 0 and own.read("spans").count() == 2000
+    own.upsert("spans", spans_of(spark, [7], 5))
+    assert own.read("spans").filter("start = 5").count() == 1 and own.read("spans").count() == 2000
+
+
+def test_expiry_spares_writers_and_readers(spark, tmp_path):
+    own, other = (store.Store(spark, f"file://{tmp_path}") for _ in range(2))
+    own.write(spans=spans_of(spark, range(20)))
+    old = own.read("spans")
+
+    def slow(read):
+        for folder in tmp_path.glob("*/*"):
+            os.utime(folder, (time.time() - 4000,) * 2)  # it takes over an hour, and others expire what is old
+        other.expire(keep=1)
+        return {"spans": store.Change(spans_of(spark, range(20, 30))), "settings": store.Change(spark.createDataFrame([("a", "1")], schemas.SETTINGS))}
+
+    written = store.Store._written
+
+    def then_expire(self, *a):
+        made = written(self, *a)
+        for folder in tmp_path.glob("*/v_=*"):
+            os.utime(folder, (0, 0))
+        other.expire(keep=1, readable_s=-5)
+        return made
+
+    store.Store._written = then_expire
+    try:
+        own.transaction(slow)
+    finally:
+        store.Store._written = written
+    assert own.read("spans").count() == 30 and own.get("a") == "1"
+    assert old.count() == 20  # a state that was superseded a moment ago can still be read
+    (tmp_path / "spans" / "v_=xdead-1").mkdir()
+    (tmp_path / "leases" / "dead-1").write_text("")
+    own.expire()
+    assert (tmp_path / "spans" / "v_=xdead-1").exists()
+    os.utime(tmp_path / "leases" / "dead-1", (0, 0))
+    own.expire()
+    assert not (tmp_path / "spans" / "v_=xdead-1").exists() and not (tmp_path / "leases" / "dead-1").exists()
+
+
+def test_stores_without_atomic_renames_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "NOT_ATOMIC", ("file",))
+    with pytest.raises(ValueError, match="atomic"):
+        store.Store(spark, f"file://{tmp_path}")
+
+
+def test_searches_do_not_shuffle_vectors(spark, tmp_path):
+    """Vectors, chunks and spans are buckets of one key: scores meet the chunks where they lie."""
+    n = 200
+    chunks = spark.createDataFrame([(i, i // 4, i % 4, f"d{i // 4}.md", "md", "raw_text", f"text {i}", "h", 1, "text", "ok", "", False) for i in range(1, n)], schemas.CHUNKS)
+    vectors = spark.createDataFrame([("text", i, [float(i % 17), float(i % 5)]) for i in range(1, n)], schemas.VECTORS)
+    own = store.Store(spark, f"file://{tmp_path}", parts=4)
+    own.write(chunks=chunks, vectors=vectors, spans=spans_of(spark, range(1, n)))
+    own.upsert("vectors", spark.createDataFrame([("code", 7, [1.0, 0.0]), ("text", 7, [0.5, 0.25])], schemas.VECTORS))
+    search = retrieval.Search(k=5, path_prefix="d1")
+    joined = lambda v, c: retrieval.best(v, c, [1.0, 0.5], search, "text")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = joined(*own.bucketed("vectors", "chunks"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+        spans = listing.with_span(*own.bucketed("chunks", "spans"))
+        assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
+        plain = joined(own.read("vectors"), own.read("chunks"))
+        assert [tuple(r) for r in found.collect()] == [tuple(r) for r in plain.collect()] and found.count() == 5
+        assert sorted(own.bucketed("vectors")[0].collect()) == sorted(own.read("vectors").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    own.forget()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("textloom_")]
 
 
 def recording(log):

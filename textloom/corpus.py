@@ -223,10 +223,10 @@ class Corpus:
     def search(self, search: retrieval.Search) -> tuple[DataFrame, str]:
         excludes = (*globs.NEVER_SEARCHED, *self.settings.excludes)
         search = retrieval.Search(**{**search.__dict__, "excludes": excludes})
-        chunks, spans = self.store.read("chunks"), self.store.read("spans")
+        vectors, chunks, spans = self.store.bucketed("vectors", "chunks", "spans")
         own = listing.live(chunks).filter((F.col("embedding_status") == "ok") & (F.col("chunk_id") > 0))
         detail = lambda ids: listing.hit_rows(own.join(F.broadcast(ids), "chunk_id", "left_semi"), spans)
-        return retrieval.run(self.store.read("vectors"), own.select("chunk_id", "index_kind", "rel_path", "doc_type"), search, self.vector_of, detail)
+        return retrieval.run(vectors, own.select("chunk_id", "index_kind", "rel_path", "doc_type"), search, self.vector_of, detail)
 
     def ask(self, question: str, search: retrieval.Search | None = None, generate: bool = True) -> dict:
         """question, answer, citations, hits. At most MOST_K hits come to the driver; TimeoutError if it takes too long."""

@@ -76,7 +76,11 @@ def mark_embedding(chunks: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def reusable_vectors(chunks: DataFrame, embedded: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Vectors for pending chunks whose very text has one already (index_kind, chunk_id, embedding)."""
-    known = embedded.join(vectors, ["index_kind", "chunk_id"]).groupBy("index_kind", "text_hash").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
+    """Vectors for pending chunks whose very text has one already (index_kind, chunk_id, embedding).
+
+    The waiting texts are few: the embedded chunks are cut down to those before their vectors are fetched, by id.
+    """
     waiting = chunks.filter((F.col("embedding_status") == "pending") & ~F.col("deleted")).select("index_kind", "chunk_id", "text_hash")
+    donors = embedded.select("index_kind", "chunk_id", "text_hash").join(waiting.select("index_kind", "text_hash").distinct(), ["index_kind", "text_hash"], "left_semi")
+    known = donors.join(vectors, ["index_kind", "chunk_id"]).groupBy("index_kind", "text_hash").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
     return waiting.join(known, ["index_kind", "text_hash"]).select("index_kind", "chunk_id", "embedding")

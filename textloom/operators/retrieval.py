@@ -46,10 +46,15 @@ def passes(search: Search) -> Column:
     return ok
 
 
-def candidates(vectors: DataFrame, meta: DataFrame, search: Search, kind: str) -> DataFrame:
-    """Vectors of one index whose chunk passes. meta: chunk_id, index_kind, rel_path and doc_type; more isn't carried along."""
+def best(vectors: DataFrame, meta: DataFrame, vector: Sequence[float], search: Search, kind: str) -> DataFrame:
+    """chunk_id, score of the k best vectors of one index whose chunk passes. meta: chunk_id, index_kind, rel_path and doc_type.
+
+    Scores come first, where the vectors lie: only ids and scores meet the chunks, and over tables that are dealt by chunk they
+    aren't shuffled either.
+    """
+    scored = V.score_all(vectors.filter(F.col("index_kind") == kind).select("chunk_id", "embedding"), vector).select("chunk_id", "score")
     own = meta.filter((F.col("index_kind") == kind) & passes(search)).select("chunk_id")
-    return vectors.filter(F.col("index_kind") == kind).select("chunk_id", "embedding").join(own, "chunk_id", "left_semi")
+    return scored.join(own, "chunk_id", "left_semi").orderBy(F.desc("score"), "chunk_id").limit(search.k)
 
 
 HIT = ["chunk_id", "rel_path", "doc_type", "rep_type", "score", "snippet", "span"]
@@ -57,9 +62,9 @@ HIT = ["chunk_id", "rel_path", "doc_type", "rep_type", "score", "snippet", "span
 
 def search_one(vectors: DataFrame, meta: DataFrame, vector: Sequence[float], search: Search, kind: str, detail: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k best ids first; only these get their snippets and spans. detail: ids -> hit rows (see listing.hit_rows)."""
-    best = V.score_all(candidates(vectors, meta, search, kind), vector).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(search.k)
-    rows = (detail(best.select("chunk_id")) if detail else meta).filter(F.col("index_kind") == kind).drop("index_kind")
-    return rows.join(F.broadcast(best), "chunk_id").select(*HIT).orderBy(F.desc("score"), "chunk_id")
+    found = best(vectors, meta, vector, search, kind)
+    rows = (detail(found.select("chunk_id")) if detail else meta).filter(F.col("index_kind") == kind).drop("index_kind")
+    return rows.join(F.broadcast(found), "chunk_id").select(*HIT).orderBy(F.desc("score"), "chunk_id")
 
 
 def normalized(hits: DataFrame) -> DataFrame:

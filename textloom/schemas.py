@@ -16,6 +16,8 @@ CACHE = "key string, text string, size_bytes long, mtime_unix long"
 SPAN = "struct<kind:string,start_line:int,end_line:int,page:int,start_ms:int,end_ms:int>"
 HITS = f"chunk_id long, rel_path string, doc_type string, rep_type string, score double, snippet string, span {SPAN}"
 KEYS = {"documents": ["rel_path"], "representations": ["doc_id", "rep_type"], "chunks": ["rep_id", "ordinal"], "spans": ["span_id"], "vectors": ["index_kind", "chunk_id"], "settings": ["key"], "ocr_cache": ["key"], "transcript_cache": ["key"]}
-#: By what a table is dealt into parts.
-PART_KEYS = {"documents": "rel_path", "representations": "doc_id", "chunks": "rep_id", "spans": "chunk_id", "vectors": "chunk_id", "settings": "key", "ocr_cache": "key", "transcript_cache": "key"}
+#: By what a table is dealt into parts. Chunks, their spans and their vectors are dealt alike, so that they join where they lie.
+PART_KEYS = {"documents": "rel_path", "representations": "doc_id", "chunks": "chunk_id", "spans": "chunk_id", "vectors": "chunk_id", "settings": "key", "ocr_cache": "key", "transcript_cache": "key"}
+#: By what the parts of a table are divided further.
+PART_FOLDERS = {"vectors": ["index_kind"]}
 TABLES = {"documents": DOCUMENTS, "representations": REPRESENTATIONS, "chunks": CHUNKS, "spans": SPANS, "vectors": VECTORS, "settings": SETTINGS, "ocr_cache": CACHE, "transcript_cache": CACHE}

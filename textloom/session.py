@@ -28,6 +28,8 @@ def build_session(app: str = "textloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # tables of a store whose parts were doubled at different times still join where they lie
+        "spark.sql.bucketing.coalesceBucketsInJoin.enabled": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)

@@ -1,20 +1,27 @@
 """The tables of a corpus as versioned Parquet folders.
 
-A table is dealt into parts by a hash of a key; a manifest names the folder of every part of every table. Writing makes new
-folders for the parts that change and then publishes the next manifest, numbered, by a step that fails if that number is
-taken. So readers see the state before or after, a crash in between leaves nothing that is read, and of two writers one
-finds out and does its work again. Files are reached through Hadoop's file systems (where a rename onto an existing name
-fails, as in HDFS) or, for local folders, through a link.
+A table is dealt into parts by a hash of a key; the manifest has, for each table, how many parts there are and the folder of
+every part. Writing makes new folders for the parts that change and then publishes the next manifest, numbered, by a step that
+fails if that number is taken. So readers see the state before or after, a crash in between leaves nothing that is read, and of
+two writers one finds out and does its work again. A table whose parts have become large is dealt anew into more of them.
+
+Parts are Spark's buckets of the same key, so tables that are dealt by one key join where they lie (see ``bucketed``).
+
+Files are reached through Hadoop's file systems (where a rename onto an existing name fails, as in HDFS) or, for local folders,
+through a link. Object stores whose renames aren't atomic are refused.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +30,12 @@ from .. import schemas
 from ..operators import changes
 from ..session import checkpointed
 
-Manifest = dict[str, dict[str, str]]
+#: Of each table the number of its parts, and the folder of each part by its name (part_=3, or part_=3/index_kind=text).
+Manifest = dict[str, dict[str, Any]]
+#: Bytes of a part beyond which a table is dealt into more parts; seconds that an old state, and what a writer left, stay.
+PART_BYTES, READABLE_S, ABANDONED_S = 256 << 20, 24 * 3600, 7 * 24 * 3600
+#: Object stores on which a rename is a copy, so that two writers could both get a number.
+NOT_ATOMIC = ("s3", "s3a", "s3n", "gs", "oss", "cosn", "wasb", "wasbs", "swift")
 
 
 class Conflict(RuntimeError):
@@ -39,15 +51,22 @@ class Change:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, folder: str, parts: int = 8):
-        self.spark, self.folder, self.parts = spark, folder.rstrip("/"), parts
+    """parts: into how many parts a new table is dealt; tables that are there keep theirs."""
+
+    def __init__(self, spark: SparkSession, folder: str, parts: int = 8, part_bytes: int = PART_BYTES):
+        self.spark, self.folder, self.parts, self.part_bytes = spark, folder.rstrip("/"), parts, part_bytes
+        _, fs = self._path("")
+        self.scheme = str(fs.getUri().getScheme())
+        if self.scheme in NOT_ATOMIC:
+            raise ValueError(f"a store needs atomic renames, which {self.scheme} hasn't got")
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _local(self, name: str) -> str | None:
-        return f"{self.folder}/{name}".removeprefix("file://") if self.folder.startswith(("file:///", "/")) else None
+        """The path of a local file, however its folder is written; None in other file systems."""
+        return str(self._path(name)[0].toUri().getPath()) if self.scheme == "file" else None
 
     def _listed(self, name: str) -> list:
         path, fs = self._path(name)
@@ -94,83 +113,170 @@ class Store:
         while True:
             number, now = self._latest()
             for table in new:
-                if seen is not None and now.get(table, {}) != seen.get(table, {}):
+                if seen is not None and now.get(table) != seen.get(table):
                     raise Conflict(table)
             if self._publish(number + 1, {**now, **new}):
                 return
 
-    def _part(self, table: str) -> Column:
-        return F.pmod(F.xxhash64(schemas.PART_KEYS[table]), F.lit(self.parts)).cast("int")
+    @contextmanager
+    def _lease(self, number: int) -> Iterator[str]:
+        """An id for folders that are about to be written, and a promise that they and the state they are drawn from stay.
+
+        A writer that dies leaves its lease, and so its folders, for ABANDONED_S.
+        """
+        ident = uuid.uuid4().hex
+        path, fs = self._path(f"leases/{ident}-{number}")
+        fs.create(path, False).close()
+        try:
+            yield ident
+        finally:
+            fs.delete(path, False)
+
+    def _part(self, table: str, parts: int) -> Column:
+        """The number of a row's part, which is that of its bucket too."""
+        return F.pmod(F.hash(schemas.PART_KEYS[table]), F.lit(parts)).cast("int")
 
     def _read(self, table: str, places: Mapping[str, str]) -> DataFrame:
-        if not places:
-            return self.spark.createDataFrame([], schemas.TABLES[table])
         empty = self.spark.createDataFrame([], schemas.TABLES[table])
+        if not places:
+            return empty
         paths = (f"{self.folder}/{p}" for p in sorted(places.values()))
         return self.spark.read.schema(empty.schema).option("basePath", f"{self.folder}/{table}").parquet(*paths).select(*empty.columns)
 
     def read(self, table: str) -> DataFrame:
         """The current version; a table that was never written is empty."""
-        return self._read(table, self._latest()[1].get(table, {}))
+        return self._read(table, self._latest()[1].get(table, {}).get("places", {}))
+
+    def bucketed(self, *tables: str) -> tuple[DataFrame, ...]:
+        """The tables in one state, as tables of the session's catalog that Spark knows the buckets of: a join or a grouping by their
+        key needs no shuffle. An entry of the catalog stands for one state of one table, and is only made once."""
+        _, now = self._latest()
+        return tuple(self._in_catalog(table, now[table]) if table in now else self._read(table, {}) for table in tables)
 
-    def _written(self, table: str, frame: DataFrame, parts: int) -> dict[str, str]:
-        at = f"{table}/v_=x{uuid.uuid4().hex}"
+    def _in_catalog(self, table: str, entry: dict[str, Any]) -> DataFrame:
+        columns = self.spark.createDataFrame([], schemas.TABLES[table]).schema
+        if not entry["places"]:
+            return self.spark.createDataFrame([], columns)
+        state = hashlib.md5(json.dumps([self.folder, table, entry], sort_keys=True).encode()).hexdigest()
+        name, by = f"textloom_{table}_{state}", schemas.PART_FOLDERS.get(table, [])
+        if not self.spark.catalog.tableExists(name):
+            typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted(columns, key=lambda f: f.name in by))
+            layout = f"PARTITIONED BY ({', '.join([*by, 'part_'])}) CLUSTERED BY ({schemas.PART_KEYS[table]}) INTO {entry['parts']} BUCKETS"
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({typed}, part_ int) USING parquet {layout} LOCATION '{self.folder}/{table}'")
+            spec = lambda leaf: ", ".join(f"{k} = '{v}'" for k, v in (x.split("=") for x in leaf.split("/")))
+            places = " ".join(f"PARTITION ({spec(leaf)}) LOCATION '{self.folder}/{at}'" for leaf, at in sorted(entry["places"].items()))
+            self.spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {places}")
+        return self.spark.table(name).select(*columns.names)
+
+    def forget(self) -> None:
+        """Take the store's tables out of the session's catalog; their files stay."""
+        for t in self.spark.catalog.listTables():
+            if t.name.startswith("textloom_") and t.name.removeprefix("textloom_").rpartition("_")[0] in schemas.TABLES:
+                self.spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+
+    def _written(self, table: str, frame: DataFrame, parts: int, lease: str, most: int | None = None) -> dict[str, str]:
+        """The rows in new folders, a bucket to each part. most: how many of the parts the rows are in."""
+        at = f"{table}/v_=x{lease}-{uuid.uuid4().hex[:8]}"
         columns = self.spark.createDataFrame([], schemas.TABLES[table]).schema
-        rows = frame.select(*(F.col(f.name).cast(f.dataType) for f in columns)).withColumn("part_", self._part(table))
-        by = ["part_", *(["index_kind"] if table == "vectors" else [])]
-        rows.repartition(parts, "part_").write.partitionBy(*by).parquet(f"{self.folder}/{at}")
-        found = [s.getPath().getName() for s in self._listed(at)]
-        return {n.removeprefix("part_="): f"{at}/{n}" for n in found if n.startswith("part_=")}
+        key, by = schemas.PART_KEYS[table], ["part_", *schemas.PART_FOLDERS.get(table, [])]
+        rows = frame.select(*(F.col(f.name).cast(f.dataType) for f in columns)).withColumn("part_", self._part(table, parts))
+        dealt = rows.repartition(parts, key) if most is None else rows.repartition(most, "part_")
+        name = f"textloom_writing_{uuid.uuid4().hex}"  # the catalog's writer alone makes buckets
+        try:
+            dealt.write.format("parquet").partitionBy(*by).bucketBy(parts, key).option("path", f"{self.folder}/{at}").saveAsTable(name)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        leaves = [""]
+        for level in by:
+            found = [(leaf, s.getPath().getName()) for leaf in leaves for s in self._listed(f"{at}/{leaf}" if leaf else at)]
+            leaves = [f"{leaf}/{n}" if leaf else n for leaf, n in found if n.startswith(f"{level}=")]
+        return {leaf: f"{at}/{leaf}" for leaf in leaves}
 
     def write(self, **tables: DataFrame) -> None:
         """New versions of whole tables, which come into being together."""
-        self._commit({name: self._written(name, frame, self.parts) for name, frame in tables.items()})
-
-    def _changed(self, table: str, change: Change, places: dict[str, str]) -> dict[str, str]:
-        """The table's places with the parts written anew that the change touches, and no others."""
+        number, now = self._latest()
+        with self._lease(number) as lease:
+            counts = {name: now.get(name, {}).get("parts", self.parts) for name in tables}
+            self._commit({name: self._sized(name, {"parts": counts[name], "places": self._written(name, frame, counts[name], lease)}, lease) for name, frame in tables.items()})
+
+    def _sized(self, table: str, entry: dict[str, Any], lease: str, new: set[str] | None = None) -> dict[str, Any]:
+        """The entry, dealt into twice as many parts as often as it takes if one of its new parts has become large."""
+        sizes: dict[str, int] = {}
+        for leaf, at in entry["places"].items():
+            if new is None or leaf in new:
+                path, fs = self._path(at)
+                part = leaf.split("/")[0]
+                sizes[part] = sizes.get(part, 0) + fs.getContentSummary(path).getLength()
+        times = -(-max(sizes.values(), default=0) // self.part_bytes)
+        if times <= 1:
+            return entry
+        parts = entry["parts"] << (times - 1).bit_length()
+        return {"parts": parts, "places": self._written(table, self._read(table, entry["places"]), parts, lease)}
+
+    def _changed(self, table: str, change: Change, entry: dict[str, Any], lease: str) -> dict[str, Any]:
+        """The table's entry with the parts written anew that the change touches, and no others."""
         rows = checkpointed(change.rows.select(*self.spark.createDataFrame([], schemas.TABLES[table]).columns))
-        key = schemas.PART_KEYS[table]
+        key, places, count = schemas.PART_KEYS[table], entry["places"], entry["parts"]
         touched = rows.select(key) if change.removed is None else rows.select(key).unionByName(change.removed.select(key))
-        parts = {str(r[0]) for r in touched.select(self._part(table)).distinct().collect()}
+        parts = {f"part_={r[0]}" for r in touched.select(self._part(table, count)).distinct().collect()}
         if not parts:
-            return places
-        old = self._read(table, {p: at for p, at in places.items() if p in parts})
+            return entry
+        touches = lambda leaf: leaf.split("/")[0] in parts
+        old = self._read(table, {leaf: at for leaf, at in places.items() if touches(leaf)})
         if change.removed is not None:
             old = old.join(change.removed.select(key), key, "left_anti")
-        made = self._written(table, changes.merge(old, rows, schemas.KEYS[table]), len(parts))
-        return {p: at for p, at in places.items() if p not in parts} | made
+        made = self._written(table, changes.merge(old, rows, schemas.KEYS[table]), count, lease, len(parts))
+        whole = {leaf: at for leaf, at in places.items() if not touches(leaf)} | made
+        return self._sized(table, {"parts": count, "places": whole}, lease, set(made))
 
     def transaction(self, make: Callable[[Callable[[str], DataFrame]], dict[str, Change]], attempts: int = 5) -> None:
         """The changes that ``make`` draws from tables (it gets a reader of one state) come into being at once, or not at all.
 
         If another writer was faster, they are drawn again from what it left.
         """
+        none = {"parts": self.parts, "places": {}}
         for attempt in range(attempts):
-            _, seen = self._latest()
-            made = make(lambda table: self._read(table, seen.get(table, {})))
-            new = {table: self._changed(table, change, seen.get(table, {})) for table, change in made.items()}
-            try:
-                return self._commit({t: places for t, places in new.items() if places != seen.get(t, {})}, seen)
-            except Conflict:
-                if attempt + 1 == attempts:
-                    raise
+            number, seen = self._latest()
+            with self._lease(number) as lease:
+                made = make(lambda table: self._read(table, seen.get(table, none)["places"]))
+                new = {table: self._changed(table, change, seen.get(table, none), lease) for table, change in made.items()}
+                try:
+                    return self._commit({t: entry for t, entry in new.items() if entry != seen.get(t, none)}, seen)
+                except Conflict:
+                    if attempt + 1 == attempts:
+                        raise
 
     def upsert(self, table: str, rows: DataFrame) -> None:
         self.transaction(lambda _: {table: Change(rows)})
 
-    def expire(self, keep: int = 16, older_s: int = 3600) -> None:
-        """Forget all but the newest states, and folders of some age that no state names any more."""
-        numbers = self._numbers()
-        for number in numbers[:-keep]:
+    def expire(self, keep: int = 16, readable_s: int = READABLE_S, abandoned_s: int = ABANDONED_S) -> None:
+        """Forget old states, and folders that nobody needs any more.
+
+        A state goes if it isn't among the newest, was superseded that long ago, and no writer draws from it. A folder goes if no
+        state that stays names it and its writer isn't at work, as its lease tells; folders are looked at before leases, and leases
+        before states, so one that is published meanwhile is seen.
+        """
+        folders = [f"{table}/{s.getPath().getName()}" for table in schemas.TABLES for s in self._listed(table)]
+        leases = {}
+        for status in self._listed("leases"):
+            if status.getModificationTime() >= (time.time() - abandoned_s) * 1000:
+                ident, _, number = status.getPath().getName().partition("-")
+                leases[ident] = int(number)
+            else:
+                self._path("")[1].delete(status.getPath(), False)
+        states = [(int(s.getPath().getName().removesuffix(".json")), s.getModificationTime()) for s in self._listed("manifests") if s.getPath().getName().removesuffix(".json").isdigit()]
+        states.sort()
+        superseded = {number: after for (number, _), (_, after) in zip(states, states[1:])}
+        needed = min(leases.values(), default=states[-1][0] if states else 0)
+        old = [n for n, after in superseded.items() if after < (time.time() - readable_s) * 1000 and n < needed and n not in [x for x, _ in states[-keep:]]]
+        named = {"/".join(at.split("/")[:2]) for n, _ in states if n not in old for entry in self._manifest(n).values() for at in entry["places"].values()}
+        for number in old:
             path, fs = self._path(f"manifests/{number:012}.json")
             fs.delete(path, False)
-        named = {"/".join(at.split("/")[:2]) for n in numbers[-keep:] for places in self._manifest(n).values() for at in places.values()}
-        for table in schemas.TABLES:
-            for status in self._listed(table):
-                at = f"{table}/{status.getPath().getName()}"
-                if at not in named and status.getModificationTime() < (time.time() - older_s) * 1000:
-                    path, fs = self._path(at)
-                    fs.delete(path, True)
+        for at in folders:
+            if at not in named and at.split("v_=x")[-1].split("-")[0] not in leases:
+                path, fs = self._path(at)
+                fs.delete(path, True)
 
     def set(self, key: str, value: str) -> None:
         self.upsert("settings", self.spark.createDataFrame([(key, value)], schemas.SETTINGS))

@@ -26,7 +26,7 @@ def embed_batch(chunks: DataFrame, factory: Callable[[], Embedder]) -> tuple[Dat
 
 def run_once(store: Store, factory: Callable[[], Embedder], limit: int = 0) -> None:
     """One round over what is pending. Vectors of equal texts are used again; results are written before they are read twice."""
-    chunks, vectors = store.read("chunks"), store.read("vectors")
+    chunks, vectors = store.bucketed("chunks", "vectors")
     waiting = chunks.filter((F.col("embedding_status") == "pending") & ~F.col("deleted"))
     waiting = waiting.orderBy("chunk_id").limit(limit) if limit else waiting
     known = changes.reusable_vectors(waiting, chunks.filter("embedding_status = 'ok'"), vectors)
