@@ -1,6 +1,7 @@
 import io
 import json
 import os
+import re
 import tarfile
 import time
 import zipfile
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom import rpc, schemas, session, tools
 from textloom.corpus import Backends, Corpus, Settings
+from textloom.functions import globs
 from textloom.operators import annotations, changes, corpus, listing, retrieval, state
 from textloom.operators import vectors as V
 from textloom.sources import archives, discover, models, store
@@ -30,17 +32,62 @@ def zipped(**members):
     return out.getvalue()
 
 
-def test_discovery(tmp_path):
-    for name in ("b.txt", "a/x.md", "a/y.log", ".git/config", "node_modules/m.js", "a/sub/z.log", "big.bin"):
+def walked(root, most_bytes, use_ignore_files=True, follow_links=False):
+    """A tree folder by folder, in one process: what discovery has to equal."""
+    real_root, out, entered, level = os.path.realpath(root), [], {os.path.realpath(root)}, [("", str(root), [])]
+    while level:
+        below = {}
+        for rel, at, rules in level:
+            own = os.path.join(at, ".gitignore")
+            if use_ignore_files and os.path.isfile(own):
+                with open(own) as f:
+                    rules = rules + globs.ignore_rules(f.read(), rel)
+            for name in os.listdir(at):
+                path, own_rel = os.path.join(at, name), f"{rel}/{name}" if rel else name
+                real, folder = os.path.realpath(path), os.path.isdir(path)
+                if os.path.islink(path) and (not follow_links or not real.startswith(real_root + "/")):
+                    continue
+                hit = [r for r in rules if (folder or not r["only_folders"]) and re.match(globs.rule_regex(r).replace(r"\z", r"\Z"), own_rel)]
+                if (folder and name in discover.SKIPPED_FOLDERS) or (hit and not hit[-1]["negated"]):
+                    continue
+                if folder:
+                    if real not in entered:
+                        below[real] = min(below.get(real, (own_rel, path, rules)), (own_rel, path, rules), key=lambda x: x[0])
+                elif os.path.isfile(path) and (most_bytes <= 0 or os.path.getsize(path) <= most_bytes):
+                    out.append((own_rel, os.path.getsize(path), int(os.path.getmtime(path))))
+        entered |= set(below)
+        level = list(below.values())
+    return sorted(out)
+
+
+def test_discovery(spark, tmp_path, monkeypatch):
+    for name in ("b.txt", "a/x.md", "a/y.log", ".git/config", "node_modules/m.js", "a/sub/z.log", "big.bin", "a/sub/deep/er/q.md", "a/build/out.md", "é/ü.md"):
         put(tmp_path, name, "x" * (100 if name == "big.bin" else 1))
     put(tmp_path, ".gitignore", "*.log\n")
+    put(tmp_path, "a/.gitignore", "/build/\n")
     put(tmp_path, "a/sub/.gitignore", "!z.log\n")
     os.symlink(tmp_path / "a", tmp_path / "link")
+    os.symlink(tmp_path, tmp_path / "a/sub/up")
+    os.symlink(tmp_path / "a/sub/deep", tmp_path / "é/other")
     os.symlink("/etc", tmp_path / "outside")
-    names = lambda **o: [r[0] for r in discover.walk(str(tmp_path), most_bytes=50, **o)]
-    assert names() == [".gitignore", "a/sub/.gitignore", "a/sub/z.log", "a/x.md", "b.txt"]
-    assert "a/y.log" in names(use_ignore_files=False)
-    assert not any(n.startswith("outside") for n in names(follow_links=True))
+    os.symlink(tmp_path / "nowhere", tmp_path / "dangling")
+    root = str(tmp_path)
+    rows = lambda at=root, **o: sorted(tuple(r) for r in discover.listed(spark, at, most_bytes=50, **o).select("rel_path", "size_bytes", "mtime_unix").collect())
+    want = walked(root, 50)
+    scandir = os.scandir
+    monkeypatch.setattr(os, "scandir", lambda *a: pytest.fail("listed on the driver"))
+    got = rows()
+    monkeypatch.setattr(os, "scandir", scandir)
+    assert got == want and [r[0] for r in want] == [".gitignore", "a/.gitignore", "a/sub/.gitignore", "a/sub/deep/er/q.md", "a/sub/z.log", "a/x.md", "b.txt", "é/ü.md"]
+    for options in ({"use_ignore_files": False}, {"follow_links": True}, {"use_ignore_files": False, "follow_links": True}):
+        assert rows(**options) == walked(root, 50, **options)
+    assert rows(f"file://{root}") == want
+    monkeypatch.setattr(discover, "mounted", lambda at: None)  # as in file systems that are reached by their address alone
+    os.remove(tmp_path / "a/sub/up")
+    put(tmp_path, "a/é b/c#d.md", "y")
+    stored = discover.listed(spark, f"file://{root}/a", most_bytes=50)
+    assert sorted(r.rel_path for r in stored.collect()) == [".gitignore", "sub/.gitignore", "sub/deep/er/q.md", "sub/z.log", "x.md", "y.log", "é b/c#d.md"]
+    assert [bytes(r.content) for r in discover.with_content(stored.filter("rel_path = 'é b/c#d.md'")).collect()] == [b"y"]
 
 
 def test_archives():
@@ -169,8 +216,10 @@ def test_store(spark, tmp_path):
     wanted = spark.createDataFrame([("k1",), ("k2",), ("k2",)], "key string")
     got, misses = store.read_through(cache, wanted, "key", "value", lambda d: d.withColumn("value", F.upper("key")))
     assert sorted(r.value for r in got.collect()) == ["K2", "K2", "v1"] and misses.count() == 1
-    store.write_snapshot(spark.range(1).select(F.lit(2).alias("n")), f"{tmp_path}/snap")
-    assert store.read_snapshot(spark, f"{tmp_path}/snap", "n int").first().n == 2
+    assert store.read_snapshot(spark, f"{tmp_path}/snap", "n int") is None
+    for n in (1, 2):
+        store.write_snapshot(spark.range(1).select(F.lit(n).alias("n")), f"{tmp_path}/snap")
+    assert store.read_snapshot(spark, f"{tmp_path}/snap", "n int").n == 2 and len(list((tmp_path / "snap").iterdir())) == 1
     store.append_events(spark.range(2).select(F.lit("x").alias("event")), f"{tmp_path}/events")
     store.append_events(spark.range(1).select(F.lit("y").alias("event")), f"{tmp_path}/events")
     assert spark.read.json(f"{tmp_path}/events").count() == 3
@@ -399,6 +448,100 @@ def test_searches_do_not_shuffle_vectors(spark, tmp_path):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("textloom_")]
 
 
+def test_scans_open_what_changed(spark, tmp_path, monkeypatch):
+    """One changed file of many is the only one whose bytes are read, and the tables are those of a full scan."""
+    root, log = tmp_path / "root", tmp_path / "opened"
+    for n in range(30):
+        put(root, f"d{n % 3}/f{n}.md", f"text of {n}")
+    put(root, "talk.mp3", "[00:00] hello")
+    put(root, "bundle.zip", zipped(**{"in.md": "inside", "b.md": "b"}))
+    put(root, "other.zip", zipped(**{"x.md": "x"}))
+    put(root, "big.md", "y" * 500)
+    own = Corpus(spark, str(root), f"file://{tmp_path}/state", settings=Settings(snapshot_s=0))
+    read = discover.with_content
+
+    def reading(files):
+        with open(log, "a") as f:
+            f.writelines(r.rel_path + "\n" for r in files.collect())
+        return read(files)
+
+    monkeypatch.setattr(discover, "with_content", reading)
+    opened = lambda: sorted(log.read_text().split()) if log.exists() else []
+    old = time.time() - 100
+    for path in root.rglob("*.*"):
+        os.utime(path, (old, old))
+
+    def again():
+        log.unlink(missing_ok=True)
+        own.scan()
+        return opened()
+
+    assert len(again()) == 34
+    own.embed()
+    assert again() == []
+    put(root, "d1/f4.md", "text of another")
+    os.remove(root / "d2/f5.md")
+    os.remove(root / "other.zip")
+    assert again() == ["d1/f4.md"]
+    docs = {r.rel_path: r for r in own.store.read("documents").collect()}
+    assert docs["d2/f5.md"].deleted and docs["other.zip/x.md"].deleted and not docs["bundle.zip/in.md"].deleted
+    full = Corpus(spark, str(root), f"file://{tmp_path}/other", settings=Settings(snapshot_s=0))
+    full.scan()
+    state = lambda c: sorted((r.rel_path, r.content_hash, r.status) for r in c.store.read("documents").filter("NOT deleted").collect())
+    texts = lambda c: sorted((r.chunk_id, r.text) for r in c.store.read("chunks").filter("NOT deleted").collect())
+    assert state(own) == state(full) and texts(own) == texts(full)
+    assert own.store.read("chunks").filter("NOT deleted AND embedding_status = 'pending'").count() == 1
+    now = time.time()
+    put(root, "d1/f4.md", "text of a third")  # as long as before, and within the second of the last scan
+    os.utime(root / "d1/f4.md", (now, now))
+    assert again() == ["d1/f4.md"]
+    own.settings.excludes = ("**/f7.md",)
+    assert len(again()) == 31 and own.store.read("documents").filter("rel_path = 'd1/f7.md'").first().deleted
+    own.settings.secret_patterns = ("inside",)
+    again()
+    assert {r.status for r in own.store.read("documents").filter("rel_path = 'bundle.zip/in.md'").collect()} == {"secret_excluded"}
+
+
+def test_scans_go_in_rounds(spark, tmp_path, monkeypatch):
+    """Tables, counters and snapshots move while a scan runs; what is missing is told at its end."""
+    root = tmp_path / "root"
+    for n in range(12):
+        put(root, f"f{n}.md", f"text of {n} " * 20)
+    own = Corpus(spark, str(root), f"file://{tmp_path}/state", settings=Settings(snapshot_s=0.05, round_bytes=900))
+    moves, taken = [], Corpus.put
+
+    def watched(self, *a, **o):
+        taken(self, *a, **o)
+        self.write_snapshot()
+        shown = tools.call(self, "stats")
+        moves.append((shown["indexing"]["progress"]["scanned"], shown["total_docs"], self.last_snapshot()["total_docs"], shown["indexing"]["running"], tools.call(self, "search", {"query": "x"})["indexing_complete"]))
+
+    monkeypatch.setattr(Corpus, "put", watched)
+    own.scan()
+    assert len(moves) >= 3 and moves == sorted(moves) and moves[0][0] == 0 and 0 < moves[1][0] < 12 and moves[-1][1] == 12
+    assert all(total == snap for _, total, snap, _, _ in moves) and {(running, complete) for *_, running, complete in moves} == {(True, False)}
+    last = own.last_snapshot()
+    assert last["indexing"] == {"running": False, "scanned": 12, "indexed": 12, "skipped": 0, "errors": 0} and last["code_ratio"] == 0.0 and last["doc_counts"] == {"md": 12}
+    assert tools.call(own, "ask", {"question": "x"})["indexing_complete"] is True
+    os.remove(root / "f3.md")
+    own.scan()
+    assert [r.rel_path for r in own.store.read("documents").filter("deleted").collect()] == ["f3.md"] and own.progress["scanned"] < 12
+
+
+def test_statistics_of_what_is_left(spark, tmp_path):
+    own = Corpus(spark, str(tmp_path), f"file://{tmp_path}/state")
+    docs = [(i, f"f{i}.md", "md", "filesystem", 1, 1, "h", s, False) for i, s in enumerate(("ok", "odd", "skipped"))]
+    own.store.write(documents=spark.createDataFrame(docs, schemas.DOCUMENTS))
+    shown = tools.call(own, "stats")
+    assert not shown["doc_counts_available"] and [shown["indexing"][n] for n in ("scanned", "indexed", "representations", "chunks_total", "embedded_ok")] == [3, 2, -1, -1, -1]
+    own.write_snapshot()
+    last = own.last_snapshot()
+    assert [last[n] for n in ("indexed", "unknown", "representations", "embedded_ok")] == [1, 1, -1, -1]
+    for at in (tmp_path / "state" / "manifests").iterdir():
+        at.write_text("{")
+    assert tools.call(own, "stats")["error"]["code"] == "STORE_CORRUPT"
+
+
 def recording(log):
     """Factories of recognisers that write a line for each call and fail on what is bad."""
 

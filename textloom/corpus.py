@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
+import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as LateError
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -20,7 +23,7 @@ from .functions import text as T
 from .operators import annotations, answers, changes, corpus, listing, opening, retrieval
 from .session import checkpointed, deadline
 from .sources import archives, discover, models
-from .sources.store import Change, Store, append_events
+from .sources.store import Change, Store, append_events, read_snapshot, write_snapshot
 from .streaming import worker
 
 
@@ -52,6 +55,9 @@ class Settings:
     cache_bytes: int = 0
     ask_s: float = 120.0
     preload_s: float = 30.0
+    #: Bytes of files that a scan takes in at a time, and how often it writes a snapshot meanwhile (0: never).
+    round_bytes: int = 16 << 30
+    snapshot_s: float = 5.0
     extra: dict[str, str] = field(default_factory=dict)
 
 
@@ -67,11 +73,18 @@ class Unsupported(ValueError):
 CACHES = {"ocr_markdown": "ocr_cache", "transcript": "transcript_cache"}
 
 
+PROGRESS = ("scanned", "indexed", "skipped", "errors")
+#: What the scan of a folder keeps for the next one: when it began, and what it was made with.
+SCANNED_AT, SCANNED_WITH = "scanned_at", "scanned_with"
+
+
 class Corpus:
     def __init__(self, spark: SparkSession, root: str, state: str, backends: Backends | None = None, settings: Settings | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.store, self.backends, self.settings = Store(spark, state), backends or Backends(), settings or Settings()
         self.running = False
+        #: What the running scan, or the last one, has come to so far.
+        self.progress = dict.fromkeys(PROGRESS, 0)
 
     @property
     def scan_excludes(self) -> tuple[str, ...]:
@@ -83,16 +96,15 @@ class Corpus:
 
     # scanning
 
-    def files(self) -> DataFrame:
-        """Files and members of archives, with content."""
-        if self.settings.local:
-            listed = discover.local_files(
-                self.spark, self.root, most_bytes=self.settings.most_bytes, use_ignore_files=self.settings.use_ignore_files, follow_links=self.settings.follow_links
-            )
-            found = discover.with_content(listed)
-        else:
-            found = discover.stored_files(self.spark, self.root, self.settings.most_bytes, self.scan_excludes)
-        whole = archives.with_members(found.select("rel_path", "content", "size_bytes", "mtime_unix", "source_type"))
+    def listed(self) -> DataFrame:
+        """The files of the corpus, without their content; archives are listed even if their own path is excluded, for their members."""
+        own = self.settings
+        found = discover.listed(self.spark, self.root, own.most_bytes, own.use_ignore_files, own.follow_links)
+        return found.filter(~globs.any_of(F.col("rel_path"), self.scan_excludes) | archives.format_of(F.col("rel_path")).isNotNull())
+
+    def files(self, listed: DataFrame) -> DataFrame:
+        """Listed files and members of archives, with content."""
+        whole = archives.with_members(discover.with_content(listed))
         return whole.filter(~globs.any_of(F.col("rel_path"), self.scan_excludes))
 
     def recognise(self, media: DataFrame, kind: str) -> DataFrame:
@@ -124,13 +136,13 @@ class Corpus:
 
             self.store.transaction(evicted)
 
-    def text_of(self, docs: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def text_of(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(representations, failures): raw text, recognised pages and transcripts of changed documents; and the paths that a
         recogniser failed on, with its error."""
         columns = ["rep_id", "doc_id", "rep_type", "rep_hash", "created_unix", "deleted", "rel_path", "doc_type", "text"]
         reps = corpus.representations(docs)
         failures = self.spark.createDataFrame([], "rel_path string, error string")
-        media = docs.filter("doc_type IN ('pdf', 'image', 'audio') AND status = 'ok'").join(content.select("rel_path", F.col("content").alias("bytes")), "rel_path")
+        media = docs.filter("raw IS NOT NULL").withColumnRenamed("raw", "bytes")
         for kind in CACHES:
             own = media.filter((F.col("doc_type") == "audio") == F.lit(kind == "transcript"))
             made = checkpointed(own.select("rel_path", "doc_id", "doc_type").join(self.recognise(own, kind), "rel_path"))
@@ -148,36 +160,84 @@ class Corpus:
         return checkpointed(made)
 
     def scan(self, force: bool = False) -> None:
-        """Bring the tables up to the files. Documents, representations, chunks and spans come into being together.
-
-        The new rows are checkpointed once: the models and the reader run a single time, and a lost executor doesn't start them
-        again. A document that a recogniser fails on gets the status error and is tried again by the next scan; the others go on.
-        Only the parts of the tables that have a changed row are written.
+        """Bring the tables up to the files.
+
+        The listing comes first, without content. Files whose size and time are those of their stored document, and were before the
+        last scan began, are not opened; their documents, and the members of such archives, stay as they are. If the corpus is made
+        with other patterns or limits than in the last scan, or force is set, everything is read again. What is left is taken in
+        rounds of bounded size; in each, documents, representations, chunks and spans come into being together, and the last one
+        marks what is missing. So the tables, and the counters in ``progress``, move while a scan runs, and one that is broken off
+        keeps its rounds. In a round the new rows are checkpointed once: the models and the reader run a single time, and a lost
+        executor doesn't start them again. A document that a recogniser fails on gets the status error and is tried again by the
+        next scan; the others go on.
         """
-        self.running = True
+        self.running, self.progress = True, dict.fromkeys(PROGRESS, 0)
         try:
-            self._scan(force)
+            with self.snapshots():
+                self._scan(force)
         finally:
             self.running = False
+        self.write_snapshot()
         self.store.expire()
 
     def _scan(self, force: bool) -> None:
+        began, own = int(time.time()), self.settings
+        made_with = hashlib.sha256(json.dumps([self.scan_excludes, self.secret_patterns, own.most_bytes, own.use_ignore_files, own.follow_links]).encode()).hexdigest()
+        since = int(self.store.get(SCANNED_AT, "0")) if not force and self.store.get(SCANNED_WITH) == made_with else 0
         stored = self.store.read("documents")
+        listed = checkpointed(self.listed())
+        still = checkpointed(changes.unmoved(stored, listed, since)) if since else stored.limit(0).select("rel_path")
+        kept = checkpointed(still.unionByName(changes.archive_members(stored, still).select("rel_path")))
+        work = listed.join(still, "rel_path", "left_anti")
+        rounds = max(1, -(-(work.agg(F.sum("size_bytes")).first()[0] or 0) // own.round_bytes))
+        dealt = checkpointed(work.withColumn("round", F.pmod(F.xxhash64("rel_path"), F.lit(rounds))))
+        seen = kept
+        scanned = self.spark.createDataFrame([(SCANNED_AT, str(began)), (SCANNED_WITH, made_with)], schemas.SETTINGS)
+        for n in range(rounds):
+            last = n + 1 == rounds
+            seen = seen.unionByName(self._round(stored, dealt.filter(F.col("round") == n), force, seen if last else None, scanned if last else None))
+
+    def _round(self, stored: DataFrame, listed: DataFrame, force: bool, seen: DataFrame | None, settings: DataFrame | None) -> DataFrame:
+        """Take in listed files; the paths found. With the paths seen in earlier rounds, all that is stored beyond them is missing."""
+        counters = Observation()
         known = changes.clear_hashes(stored) if force else stored
-        files = self.files()
-        found = checkpointed(corpus.documents(files, self.secret_patterns))
+        found = checkpointed(listing.observed(corpus.documents(self.files(listed), self.secret_patterns), counters))
         work = changes.changed(known, found, force).filter("action <> 'keep'")
-        reps, failures = self.text_of(work, files)
+        reps, failures = self.text_of(work)
         reps = checkpointed(reps)
         failed = failures.select("rel_path", F.lit("error").alias("failed"))
-        columns = stored.columns
-        seen = checkpointed(found.join(failed, "rel_path", "left").withColumn("status", F.coalesce("failed", "status")).select(*columns))
+        docs = checkpointed(found.join(failed, "rel_path", "left").withColumn("status", F.coalesce("failed", "status")).select(*stored.columns))
         refused = work.filter("status <> 'ok'").select("rel_path").unionByName(failures.select("rel_path"))
-        self.put(reps, self.chunked(reps), lambda docs: (seen, changes.missing(docs, found), refused))
+        paths = found.select("rel_path")
+        gone = lambda now: now.limit(0) if seen is None else changes.missing(now, seen.unionByName(paths))
+        self.put(reps, self.chunked(reps), lambda now: (docs, gone(now), refused), settings)
+        for name in PROGRESS:
+            self.progress[name] += counters.get[name]
+        return paths
+
+    @contextmanager
+    def snapshots(self) -> Iterator[None]:
+        """A snapshot at once and then every so many seconds, from a thread of its own, while the body runs."""
+        done = threading.Event()
+
+        def write() -> None:
+            while not done.is_set():
+                self.write_snapshot()
+                done.wait(self.settings.snapshot_s)
+
+        thread = threading.Thread(target=write, daemon=True)
+        if self.settings.snapshot_s > 0:
+            thread.start()
+        try:
+            yield
+        finally:
+            done.set()
+            if thread.is_alive():
+                thread.join()
 
-    def put(self, reps: DataFrame, made: DataFrame, judge: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]]) -> None:
+    def put(self, reps: DataFrame, made: DataFrame, judge: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], settings: DataFrame | None = None) -> None:
         """New representations and chunks, and what judge says of the stored documents: (documents seen, those that are missing, paths
-        whose representations go), as the least changes of the tables."""
+        whose representations go), as the least changes of the tables. settings come into being with them."""
         chunks, spans = corpus.split_spans(made)
         lengths = reps.select("rep_id").join(chunks.groupBy("rep_id").agg(F.max("ordinal").alias("last")), "rep_id", "left").select("rep_id", (F.coalesce("last", F.lit(-1)) + 1).alias("n"))
         gone_now = lambda rows: rows.filter("NOT deleted").withColumn("deleted", F.lit(True))
@@ -195,6 +255,7 @@ class Corpus:
             return {
                 "documents": Change(new_docs), "representations": Change(new_reps),
                 "chunks": Change(chunks.select(*old_chunks.columns).unionByName(gone_now(out_chunks))), "spans": Change(spans, chunks.select("chunk_id")),
+                **({} if settings is None else {"settings": Change(settings)}),
             }
 
         self.store.transaction(changed)
@@ -344,18 +405,34 @@ class Corpus:
         total = listing.count_files(docs, prefix, glob, with_hidden).first()[0]
         return page.withColumn("status", classify.file_status(F.col("status"))), total
 
+    def has_statistics(self) -> bool:
+        """Whether the tables below the documents were ever written."""
+        return self.store.has("representations", "chunks")
+
     def stats(self) -> dict:
         tables = (self.store.read(t) for t in ("documents", "representations", "chunks"))
         return listing.corpus_stats(*tables).first().asDict(recursive=True)
 
     def document_stats(self) -> dict:
-        """The counts of documents alone, for when the other tables can't be read."""
+        """The counts of documents alone, for a store without the tables below them."""
         return listing.fallback_stats(self.store.read("documents")).first().asDict(recursive=True)
 
     def snapshot(self) -> DataFrame:
+        """One row: the statistics, the share of code, and how far a scan has come."""
         docs = self.store.read("documents")
-        stats = listing.corpus_stats(docs, self.store.read("representations"), self.store.read("chunks"))
-        return stats.crossJoin(listing.code_ratio(docs).select("code_ratio"))
+        whole = (docs, self.store.read("representations"), self.store.read("chunks"))
+        stats = listing.corpus_stats(*whole).withColumn("unknown", F.lit(0).cast("long")) if self.has_statistics() else listing.derived_stats(docs)
+        now = F.struct(F.lit(self.running).alias("running"), *(F.lit(n).cast("long").alias(name) for name, n in self.progress.items()))
+        names = ["scanned", "indexed", "skipped", "deleted", "errors", "unknown", "total_docs", "representations", "chunks_total", "embedded_ok", "doc_counts"]
+        return stats.select(*names).crossJoin(listing.code_ratio(docs).select("code_ratio")).withColumns({"indexing": now, "ts": F.lit(int(time.time())).cast("long")})
+
+    def write_snapshot(self) -> None:
+        write_snapshot(self.snapshot(), f"{self.store.folder}/snapshot")
+
+    def last_snapshot(self) -> dict | None:
+        """The snapshot that was written last, if there is one."""
+        row = read_snapshot(self.spark, f"{self.store.folder}/snapshot", self.snapshot().schema)
+        return None if row is None else row.asDict(recursive=True)
 
     def live_document(self, rel_path: str):
         return listing.by_path(listing.live(self.store.read("documents")), rel_path).first()
@@ -432,7 +509,7 @@ class Corpus:
         factory = (lambda: self.backends.speech(language)) if language and takes_language(self.backends.speech) else self.backends.speech
         text = self.recognised_one("transcript", rel_path, content, key, again, factory)
         indexed = bool(text.strip())
-        docs = seen.drop("content")
+        docs = seen.drop("content", "raw")
         known = self.store.read("representations").filter((F.col("doc_id") == row.doc_id) & (F.col("rep_type") == "transcript") & ~F.col("deleted"))
         if indexed and doc is not None and not known.filter(F.col("rep_hash") == T.sha256(F.lit(text))).isEmpty():
             return text, not cached, indexed  # its chunks, and their vectors, are there

@@ -26,14 +26,35 @@ def missing(stored: DataFrame, seen: DataFrame) -> DataFrame:
     return stored.filter(~F.col("deleted")).join(seen.select("rel_path").distinct(), "rel_path", "left_anti")
 
 
+def with_ancestor(rows: DataFrame) -> DataFrame:
+    """Each row once for each path above its own, as ancestor."""
+    parts = F.split("rel_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return rows.filter(F.contains("rel_path", F.lit("/"))).withColumn("ancestor", F.explode(above))
+
+
 def archive_members(stored: DataFrame, archives: DataFrame) -> DataFrame:
     """Live documents that lie in one of the archives: an equi-join on every ancestor path, not a join on prefixes."""
-    parts = F.split("rel_path", "/")
-    ancestors = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    rows = stored.filter(~F.col("deleted") & F.contains("rel_path", F.lit("/"))).withColumn("ancestor", F.explode(ancestors))
+    rows = with_ancestor(stored.filter(~F.col("deleted")))
     return rows.join(archives.select(F.col("rel_path").alias("ancestor")), "ancestor", "left_semi").drop("ancestor").dropDuplicates(["rel_path"])
 
 
+def unmoved(stored: DataFrame, listed: DataFrame, since: int) -> DataFrame:
+    """rel_path of the listed files whose stored document holds still: same size and time of change, which is before the last scan
+    began, and nothing failed. Archives with a member that failed aren't among them, so that it is tried again."""
+    failed = F.col("status") == "error"
+    live = stored.filter(~F.col("deleted"))
+    old = live.filter(~failed & (F.col("source_type") == "filesystem")).select("rel_path", F.col("size_bytes").alias("old_size"), F.col("mtime_unix").alias("old_time"))
+    same = (F.col("size_bytes") == F.col("old_size")) & (F.col("mtime_unix") == F.col("old_time")) & (F.col("mtime_unix") < since)
+    again = with_ancestor(live.filter(failed & (F.col("source_type") == "archive_member"))).select(F.col("ancestor").alias("rel_path")).distinct()
+    return listed.join(old, "rel_path").filter(same).select("rel_path").join(again, "rel_path", "left_anti")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str = "rel_path") -> DataFrame:
+    """Rows but those of keys that are gone: what an index still holds of documents that were taken away isn't shown."""
+    return rows.join(gone.select(key), key, "left_anti")
+
+
 def tombstone(docs: DataFrame, reps: DataFrame, chunks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents by path, and all that hangs on them, marked as deleted."""
     paths = gone.select("rel_path").distinct().withColumn("gone", F.lit(True))

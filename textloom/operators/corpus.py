@@ -19,7 +19,7 @@ def stable_id(*parts: Column) -> Column:
 
 
 def documents(files: DataFrame, patterns: tuple[str, ...] = secrets.PATTERNS) -> DataFrame:
-    """files (rel_path, content, size_bytes, mtime_unix, source_type) -> documents, with content kept beside for what follows."""
+    """files (rel_path, content, size_bytes, mtime_unix, source_type) -> documents, with their text, and the bytes of media, kept beside for what follows."""
     kind = classify.doc_type(F.col("rel_path"))
     content = T.normalize(F.col("content"))
     status = (
@@ -39,6 +39,7 @@ def documents(files: DataFrame, patterns: tuple[str, ...] = secrets.PATTERNS) ->
         status.alias("status"),
         F.lit(False).alias("deleted"),
         F.when(status == "ok", content).alias("content"),
+        F.when((status == "ok") & kind.isin("pdf", "image", "audio"), F.col("content")).alias("raw"),
     )
 
 

@@ -122,6 +122,22 @@ def fallback_stats(docs: DataFrame) -> DataFrame:
     return life.crossJoin(kinds)
 
 
+def derived_stats(docs: DataFrame) -> DataFrame:
+    """What a snapshot has of a store with documents alone: -1 for what they can't tell, and as unknown the statuses that nothing expects."""
+    alive, status = ~F.col("deleted"), F.lower(T.trim(F.coalesce(F.col("status"), F.lit(""))))
+    expected = {"indexed": ("ok", "indexed"), "skipped": ("skipped",), "errors": ("error",)}
+    life = docs.agg(
+        F.count("*").alias("scanned"),
+        *(_sum_if(alive & status.isin(*of)).alias(name) for name, of in expected.items()),
+        _sum_if(alive & ~status.isin("ok", "indexed", "skipped", "error")).alias("unknown"),
+        _sum_if(~alive).alias("deleted"),
+        _sum_if(alive).alias("total_docs"),
+        *(F.lit(-1).cast("long").alias(name) for name in ("representations", "chunks_total", "embedded_ok")),
+    )
+    kinds = doc_counts(docs).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc_type", "n")))).alias("doc_counts"))
+    return life.crossJoin(kinds)
+
+
 def status_counts(docs: DataFrame) -> DataFrame:
     """status, n, example (the first path): statuses that nothing expects are counted by themselves, an empty one as <empty>."""
     s = T.trim(F.coalesce(F.col("status"), F.lit("")))

@@ -464,7 +464,7 @@ def archive_retention(spark, folder):
 @query("evict_documents", f"WITH {META_SQL} SELECT chunk_id FROM meta WHERE chunk_id % 6 <> 0")
 def evict_documents(spark, folder):
     meta = sample.meta(spark, folder)
-    return meta.join(meta.filter("chunk_id % 6 = 0").select("rel_path"), "rel_path", "left_anti").select("chunk_id")
+    return changes.without(meta, meta.filter("chunk_id % 6 = 0")).select("chunk_id")
 
 
 # answers

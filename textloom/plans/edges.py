@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..operators import annotations, changes, corpus, listing, opening, retrieval
 from ..operators import vectors as V
 from ..session import shared_folder
-from ..sources import archives, models, store
+from ..sources import archives, store
 from . import sample
 from .catalogue import query, table
 from .sample import CHUNKS_SQL, FILES_SQL, VECTORS_SQL
@@ -45,6 +45,18 @@ def fallback_counts(spark, folder):
     return stats.withColumn("doc_counts", F.array_join(F.transform(F.map_entries("doc_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
 
 
+@query(
+    "derived_counts",
+    f"""WITH {FILES_SQL}, s AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'Indexed ' WHEN 1 THEN 'secret_excluded' ELSE status END AS st FROM files)
+    SELECT count(*) AS scanned, count(*) FILTER (WHERE NOT deleted AND st IN ('ok', 'Indexed ')) AS indexed, count(*) FILTER (WHERE NOT deleted AND st = 'skipped') AS skipped,
+       count(*) FILTER (WHERE NOT deleted AND st = 'error') AS errors, count(*) FILTER (WHERE NOT deleted AND st IN ('', 'secret_excluded')) AS unknown, count(*) FILTER (WHERE deleted) AS deleted, -1::BIGINT AS representations FROM s""",
+)
+def derived_counts(spark, folder):
+    """A store with documents alone: statuses that nothing expects are unknown."""
+    status = F.when(F.col("doc_id") % 4 == 0, "Indexed ").when(F.col("doc_id") % 4 == 1, "secret_excluded").otherwise(F.col("status"))
+    return listing.derived_stats(sample.files(spark, folder).withColumn("status", status)).drop("total_docs", "doc_counts", "chunks_total", "embedded_ok")
+
+
 @query(
     "observed_counts",
     f"""WITH {FILES_SQL} SELECT count(*) AS scanned, count(*) FILTER (WHERE status = 'ok') AS indexed, count(*) FILTER (WHERE status IN ('skipped', 'secret_excluded')) AS skipped, count(*) FILTER (WHERE status = 'error') AS errors FROM files""",
@@ -176,11 +188,6 @@ def read_through_cache(spark, folder):
     return found.groupBy("key", "value").agg(F.count("*").alias("n"))
 
 
-@query("retry_pauses", "SELECT n::INTEGER AS attempt, least(30, 0.25 * pow(2, n))::DOUBLE AS seconds FROM range(0, 12) AS r(n)")
-def retry_pauses(spark, folder):
-    return spark.createDataFrame([(n, float(models.backoff(n))) for n in range(12)], "attempt int, seconds double")
-
-
 @query(
     "tar_members",
     """SELECT 'p' || page_id || f || '/d/page.html' AS rel_path, strlen(coalesce(html, ''))::BIGINT AS size_bytes, sha256(coalesce(html, '')) AS content_hash FROM pages, (VALUES ('.tar'), ('.tar.gz'), ('.tgz'), ('.tar.bz2')) AS x(f)""",
@@ -225,8 +232,9 @@ def store_versions(spark, folder):
 @query("snapshot_round_trip", f"WITH {FILES_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE doc_type = 'code') AS code, count(*) FILTER (WHERE doc_type = 'code') / count(*)::DOUBLE AS code_ratio FROM files WHERE NOT deleted")
 def snapshot_round_trip(spark, folder):
     at = f"{shared_folder(spark)}/textloom/snapshot-{uuid.uuid4().hex}"
+    schema = "total long, code long, code_ratio double"
     store.write_snapshot(listing.code_ratio(sample.files(spark, folder)), at)
-    return store.read_snapshot(spark, at, "total long, code long, code_ratio double")
+    return spark.createDataFrame([store.read_snapshot(spark, at, schema)], schema)
 
 
 @query("event_log", "SELECT event_type AS event, count(*) * 2 AS n, min(event_id) AS first FROM events GROUP BY 1")

@@ -1,93 +1,144 @@
-"""Files of a folder: sorted relative paths, with ignore files, excluded folders, symlinks and a size cap."""
+"""Files of a folder, listed in executors: relative paths, with ignore files, excluded folders, links and a size cap.
+
+The folders of a level are dealt over the cluster and each is listed by one task; the folders that are found there, with the
+ignore rules that hold in them, are the next level. So the driver holds no path, and a tree costs a job for each of its levels.
+
+Folders of a mounted file system are listed as such, with links; other addresses through Arrow's file systems, which have none.
+Of a folder that several paths lead to (by links) the path with the fewest steps is entered, of these the least, and no other.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import globs
+from ..session import checkpointed
 
 SKIPPED_FOLDERS = (".git", globs.STATE_FOLDER, "node_modules", "vendor", "__pycache__")
 MOST_BYTES = 10 * 1024 * 1024
 FILES = "rel_path string, path string, size_bytes long, mtime_unix long"
+#: What a folder holds. real: where a folder lies once links are followed; rules: the ignore rules that hold in it, as JSON.
+ENTRIES = f"{FILES}, folder boolean, real string, rules string"
+#: Entries that a task returns at a time.
+ENTRY_BATCH = 4096
 
 
-def _inside(root: str, path: str) -> bool:
-    return path == root or path.startswith(root.rstrip(os.sep) + os.sep)
-
-
-def walk(root: str, most_bytes: int = MOST_BYTES, use_ignore_files: bool = True, follow_links: bool = False) -> Iterator[tuple[str, str, int, int]]:
-    """(rel_path, path, size, mtime) of a local tree. Links are followed only within the root, and no folder is entered twice."""
-    real_root = os.path.realpath(root)
-    visited = {real_root}
-
-    def ignored(rel: str, folder: bool, rules: list[dict]) -> bool:
-        out = False
-        for r in rules:
-            if (folder or not r["only_folders"]) and re.match(globs.rule_regex(r).replace(r"\z", r"\Z"), rel):
-                out = not r["negated"]
-        return out
-
-    def visit(at: str, rel: str, rules: list[dict]) -> Iterator[tuple[str, str, int, int]]:
-        own = os.path.join(at, ".gitignore")
-        if use_ignore_files and os.path.isfile(own):
-            with open(own, encoding="utf-8", errors="replace") as f:
-                rules = rules + globs.ignore_rules(f.read(), rel)
-        for entry in sorted(os.scandir(at), key=lambda e: e.name.encode()):
-            path, name = entry.path, f"{rel}/{entry.name}" if rel else entry.name
-            if entry.is_symlink():
-                target = os.path.realpath(path)
-                if not follow_links or not _inside(real_root, target) or not os.path.exists(target):
-                    continue
-            folder = os.path.isdir(path)
-            if (folder and entry.name in SKIPPED_FOLDERS) or ignored(name, folder, rules):
-                continue
-            if folder:
-                real = os.path.realpath(path)
-                if real not in visited:
-                    visited.add(real)
-                    yield from visit(path, name, rules)
-            elif os.path.isfile(path):
-                info = os.stat(path)
-                if most_bytes <= 0 or info.st_size <= most_bytes:
-                    yield name, path, info.st_size, int(info.st_mtime)
-
-    yield from visit(root, "", [])
+def mounted(root: str) -> str | None:
+    """The path of a folder that every machine has mounted; None for other addresses."""
+    return re.sub("^file:/+", "/", root) if "://" not in root or root.startswith("file:") else None
 
 
-def local_files(spark: SparkSession, root: str, **options) -> DataFrame:
-    """A folder that the driver sees, where links and ignore files matter."""
-    return spark.createDataFrame(sorted(walk(root, **options), key=lambda r: r[0].encode()), FILES)
+def _inside(root: str, path: str) -> bool:
+    return path == root or path.startswith(root.rstrip(os.sep) + os.sep)
 
 
-def stored_files(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES, excludes: tuple[str, ...] = globs.NEVER_SCANNED, content: bool = True) -> DataFrame:
-    """A folder of any file system, listed and read by executors; without content only metadata is read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), "^.*?" + re.escape(base.split("://")[-1].removeprefix("file:")), "")
-    rows = found.filter(F.col("length") <= most_bytes).select(
-        rel.alias("rel_path"), "path", F.col("length").alias("size_bytes"), F.unix_timestamp("modificationTime").alias("mtime_unix"), *(["content"] if content else []), F.lit("filesystem").alias("source_type")
-    )
-    return rows.filter(~globs.any_of(F.col("rel_path"), excludes))
+def _ignored(rel: str, folder: bool, rules: list[dict]) -> bool:
+    out = False
+    for r in rules:
+        if (folder or not r["only_folders"]) and re.match(globs.rule_regex(r).replace(r"\z", r"\Z"), rel):
+            out = not r["negated"]
+    return out
 
 
-def with_content(listed: DataFrame) -> DataFrame:
-    """Content of files of a mounted folder (Spark's own reader leaves out names that start with a dot); a file at a time."""
+def _mounted_entries(real_root: str, at: str, follow_links: bool) -> Iterator[tuple[str, str, bool, int, int, str]]:
+    """(name, path, whether a folder, size, mtime, where it lies) of what a mounted folder holds."""
+    for entry in os.scandir(at):
+        if entry.is_symlink():
+            target = os.path.realpath(entry.path)
+            if not follow_links or not _inside(real_root, target) or not os.path.exists(target):
+                continue
+        try:
+            info = os.stat(entry.path)
+        except FileNotFoundError:  # it went meanwhile
+            continue
+        folder = os.path.isdir(entry.path)
+        if folder or os.path.isfile(entry.path):
+            yield entry.name, entry.path, folder, info.st_size, int(info.st_mtime), os.path.realpath(entry.path) if folder else ""
+
+
+def _stored_entries(at: str) -> Iterator[tuple[str, str, bool, int, int, str]]:
+    """The same of a folder of any other file system."""
+    files, path = arrow_fs.FileSystem.from_uri(at)
+    for info in files.get_file_info(arrow_fs.FileSelector(path)):
+        folder, own = info.type == arrow_fs.FileType.Directory, f"{at.rstrip('/')}/{quote(info.base_name)}"
+        yield info.base_name, own, folder, info.size or 0, int((info.mtime_ns or 0) // 1_000_000_000), own if folder else ""
+
+
+def _read(path: str) -> bytes | None:
+    """The whole of a file; None if it isn't there any more or can't be read."""
+    try:
+        if "://" not in path:
+            with open(path, "rb") as f:
+                return f.read()
+        files, own = arrow_fs.FileSystem.from_uri(path)
+        with files.open_input_stream(own) as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def listed(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES, use_ignore_files: bool = True, follow_links: bool = False) -> DataFrame:
+    """rel_path, path, size_bytes, mtime_unix of the files of a tree; nothing but ignore files is opened."""
+    local = mounted(root)
+    real_root = os.path.realpath(local) if local else root
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
+        names = ["rel_path", "path", "size_bytes", "mtime_unix", "folder", "real", "rules"]
+        made: list[tuple] = []
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), kinds)], names)
+        for batch in batches:
+            for rel, at, passed in zip(*(batch.column(n).to_pylist() for n in ("rel_path", "path", "rules"))):
+                rules = json.loads(passed)
+                own = _read(f"{at.rstrip('/')}/.gitignore") if use_ignore_files else None
+                if own is not None:
+                    rules = rules + globs.ignore_rules(own.decode("utf-8", "replace"), rel)
+                below = json.dumps(rules)
+                for name, path, folder, size, mtime, real in _mounted_entries(real_root, at, follow_links) if local else _stored_entries(at):
+                    own_path = f"{rel}/{name}" if rel else name
+                    if (folder and name in SKIPPED_FOLDERS) or _ignored(own_path, folder, rules) or (not folder and 0 < most_bytes < size):
+                        continue
+                    made.append((own_path, path, size, mtime, folder, real, below if folder else None))
+                    if len(made) >= ENTRY_BATCH:
+                        yield batch_of()
+                        made = []
+        if made:
+            yield batch_of()
+
+    level = spark.createDataFrame([("", local or root, real_root, "[]")], "rel_path string, path string, real string, rules string")
+    entered, levels = level.select("real"), []
+    while True:
+        found = checkpointed(level.repartition(spark.sparkContext.defaultParallelism).mapInArrow(entries, ENTRIES))
+        levels.append(found.filter("NOT folder").select("rel_path", "path", "size_bytes", "mtime_unix"))
+        level = found.filter("folder").select("rel_path", "path", "real", "rules")
+        if follow_links and local:
+            fresh = level.join(entered, "real", "left_anti").groupBy("real").agg(F.min(F.struct("rel_path", "path", "rules")).alias("f"))
+            level = checkpointed(fresh.select("f.rel_path", "f.path", "real", "f.rules"))
+            entered = entered.unionByName(level.select("real"))
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """The content of listed files, read a file at a time in executors; files that went since are left out."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples(index=False):
-                try:
-                    with open(row.path, "rb") as f:
-                        content = f.read()
-                except OSError:
-                    continue
-                yield pd.DataFrame([(row.rel_path, content, row.size_bytes, row.mtime_unix, "filesystem")], columns=["rel_path", "content", "size_bytes", "mtime_unix", "source_type"])
-
-    spread = listed.repartition(listed.sparkSession.sparkContext.defaultParallelism)
+                content = _read(row.path)
+                if content is not None:
+                    yield pd.DataFrame([(row.rel_path, content, row.size_bytes, row.mtime_unix, "filesystem")], columns=["rel_path", "content", "size_bytes", "mtime_unix", "source_type"])
+
+    spread = files.repartition(files.sparkSession.sparkContext.defaultParallelism)
     return spread.mapInPandas(read, "rel_path string, content binary, size_bytes long, mtime_unix long, source_type string")

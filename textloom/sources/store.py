@@ -23,8 +23,9 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..operators import changes
@@ -147,6 +148,11 @@ class Store:
         """The current version; a table that was never written is empty."""
         return self._read(table, self._latest()[1].get(table, {}).get("places", {}))
 
+    def has(self, *tables: str) -> bool:
+        """Whether all the tables were written."""
+        now = self._latest()[1]
+        return all(table in now for table in tables)
+
     def bucketed(self, *tables: str) -> tuple[DataFrame, ...]:
         """The tables in one state, as tables of the session's catalog that Spark knows the buckets of: a join or a grouping by their
         key needs no shuffle. An entry of the catalog stands for one state of one table, and is only made once."""
@@ -292,12 +298,25 @@ class Store:
 
 
 def write_snapshot(stats: DataFrame, path: str) -> None:
-    """The statistics of a corpus as one JSON document."""
-    stats.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
-
-
-def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.text(path).select(F.from_json("value", schema).alias("s")).select("s.*")
+    """The statistics of a corpus as one JSON document in a folder; the one before goes when the new one is there."""
+    spark = stats.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    stats.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(f"{path}/{time.time_ns():020}")
+    for old in before:
+        fs.delete(old, True)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: StructType | str) -> Row | None:
+    """The newest snapshot; None if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = [s.getPath() for s in (fs.listStatus(at) if fs.exists(at) else []) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    if not whole:
+        return None
+    newest = max(p.toString() for p in whole)
+    return spark.read.text(newest).select(F.from_json("value", schema).alias("s")).select("s.*").first()
 
 
 def append_events(events: DataFrame, path: str) -> None:

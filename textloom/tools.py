@@ -102,12 +102,12 @@ def hit_payload(hit: dict) -> dict:
 def search(corpus: Corpus, a: dict) -> dict:
     hits, used = corpus.search(_search(a, a["query"]))
     rows = [hit_payload(r.asDict(recursive=True)) for r in hits.collect()]
-    return {"query": a["query"], "k": a["k"], "index_used": used, "hits": rows}
+    return {"query": a["query"], "k": a["k"], "index_used": used, "hits": rows, "indexing_complete": not corpus.running}
 
 
 def ask(corpus: Corpus, a: dict) -> dict:
     out = corpus.ask(a["question"], _search(a, a["question"]), generate=a.get("mode", "answer") == "answer")
-    return {**out, "citations": [{**c, "span": span_payload(c["span"])} for c in out["citations"]], "hits": [hit_payload(h) for h in out["hits"]]}
+    return {**out, "citations": [{**c, "span": span_payload(c["span"])} for c in out["citations"]], "hits": [hit_payload(h) for h in out["hits"]], "indexing_complete": not corpus.running}
 
 
 def ask_audio(corpus: Corpus, a: dict) -> dict:
@@ -174,17 +174,20 @@ def list_files(corpus: Corpus, a: dict) -> dict:
     return {"limit": a["limit"], "offset": a["offset"], "total": total, "files": [r.asDict() for r in rows]}
 
 
-COUNTED = ("scanned", "indexed", "skipped", "deleted", "representations", "chunks_total", "embedded_ok", "errors")
+COUNTED = ("scanned", "indexed", "skipped", "deleted", "representations", "chunks_total", "embedded_ok", "errors", "unknown")
 
 
 def stats(corpus: Corpus, a: dict) -> dict:
-    """Counts of the corpus; if the tables below the documents can't be read, those of the documents alone."""
+    """Counts of the corpus; where the tables below the documents were never written, those of the documents, and -1 for what they
+    can't tell. A store that can't be read is an error."""
     try:
-        found, whole = corpus.stats(), True
-    except Exception:  # noqa: BLE001  what is left of the store still has documents
-        found, whole = corpus.document_stats(), False
-    indexing = {name: found.get(name, 0) for name in COUNTED}
-    return {"root": corpus.root, "state_dir": corpus.store.folder, **found, "doc_counts_available": whole, "indexing": {"running": corpus.running, **indexing}}
+        whole = corpus.has_statistics()
+        found = corpus.stats() if whole else corpus.document_stats()
+    except Exception as e:  # noqa: BLE001  whatever is wrong with it
+        raise ToolError("STORE_CORRUPT", "the store can't be read") from e
+    indexing = {name: found.get(name, 0 if whole or name == "unknown" else -1) for name in COUNTED}
+    moving = {"running": corpus.running, "progress": dict(corpus.progress)}
+    return {"root": corpus.root, "state_dir": corpus.store.folder, **found, "doc_counts_available": whole, "indexing": {**moving, **indexing}}
 
 
 TOOLS = {f.__name__: f for f in (search, ask, ask_audio, transcribe, annotate, transcribe_and_ask, open_file, list_files, stats)}
