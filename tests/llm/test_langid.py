@@ -90,10 +90,18 @@ def test_predictions_equal_a_plain_ridge_regression(spark):
         assert abs(r.score - p[langs.index(r.lang_pred)]) < 1e-2 and p.max() - p[langs.index(r.lang_pred)] < 1e-2
 
 
-def test_languages_are_bounded(spark):
-    rows = [(i, f"lang {i % 7} {'abcdefg'[i % 7] * 9} words", f"l{i % 7}") for i in range(140)] + [(500, "only one", "rare")]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=7)
-    assert model.langs == [f"l{i}" for i in range(7)]
+def test_every_language_is_learned(spark):
+    """More languages than landmarks, a block of regressions at a time; a language of one row is learned too."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 12)) for _ in range(90)]
+    rows = [(i, f"{words[i % 89]} {words[i % 89]}", f"l{i % 89}") for i in range(900)] + [(1001, words[89], "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, most_rows=300, most_landmarks=60, block=25)
+    assert len(model.langs) == 90 and model.landmarks.shape[1] == 60 and model.weights.shape == (60, 90)
+    whole = langid.fit(docs, most_rows=300, most_landmarks=60, block=1000)
+    assert np.allclose(model.weights, whole.weights) and np.allclose(model.bias, whole.bias)
+    full = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs, most_rows=300)).collect()}
+    assert np.mean([full[i] == lang for i, _, lang in rows]) > 0.97 and full[1001] == "rare"
 
 
 def test_repeated_rows_are_one_row_of_the_sample(spark, sf):

@@ -6,9 +6,11 @@ over the orders of ``|common grams| / sqrt(|grams of one| * |grams of the other|
 one for each language against the rest. Scoring is, for a batch of texts, their presence matrix over the landmarks' grams
 times the landmarks' matrix, times the weights.
 
-The sample is bounded by ``most_rows`` whatever the table (the rows of least hash in each of ``per_lang`` buckets of a
-language), and so is the model that goes to the executors: of more languages than ``most_langs`` those with the most rows are
-learned, and there are ``landmarks`` landmarks, or one for each language. Texts are read whole.
+The sample is bounded by ``most_rows``, or two rows for each language, whatever the table (the rows of least hash in each of
+``per_lang`` buckets of a language). Every language is learned. There are ``landmarks`` landmarks, or one for each language, and at
+most ``most_landmarks``: of more languages those of least hash give one. The regressions are solved for ``block`` languages at a
+time; the model that goes to the executors has a number for each landmark and language, so it grows with the languages (2 KB
+each at 256 landmarks), of which the labels of a corpus have thousands at most. Texts are read whole.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text if nothing is labelled.
 Rows without a language or an id aren't learned from; a null id isn't held out. Repeated rows are predicted alike. An empty
@@ -17,6 +19,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -105,22 +108,23 @@ def held_out(folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, landmarks: int = 96, most_rows: int = 2048, ridge: float = 1e-3, most_langs: int = 512) -> Model | None:
+def fit(docs: DataFrame, landmarks: int = 96, most_rows: int = 2048, ridge: float = 1e-3, most_landmarks: int = 512, block: int = 256) -> Model | None:
     """Learn from doc_id, text and lang of rows that aren't held out."""
     spark = docs.sparkSession
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
     known = known.select("doc_id", "lang", "text")
-    langs = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect())
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
     if not langs:
         return None
     per_lang = max(2, most_rows // len(langs))
-    hashed = known.filter(F.col("lang").isin(langs)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    marked = set(sorted(langs, key=lambda x: zlib.crc32(x.encode()))[:most_landmarks])
+    hashed = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     chosen = hashed.groupBy("lang", F.pmod("h", F.lit(per_lang)).alias("bucket")).agg(F.min(F.struct("h", "doc_id")).alias("least"))
     picked = sorted((r.lang, r.least.h, r.least.doc_id) for r in chosen.collect())
     rank, rows = {}, []
     for lang, _, doc_id in picked:
         rank[lang] = rank.get(lang, -1) + 1
-        rows.append((doc_id, lang, rank[lang] < max(1, landmarks // len(langs))))
+        rows.append((doc_id, lang, lang in marked and rank[lang] < max(1, landmarks // len(langs))))
     ids = spark.createDataFrame(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, landmark boolean")
     # rows that repeat an id and a language are one row of the sample, so it is bounded whatever repeats
     sample = known.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang", "landmark").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
@@ -149,13 +153,21 @@ def fit(docs: DataFrame, landmarks: int = 96, most_rows: int = 2048, ridge: floa
     good = values > 1e-8 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
     phi = k @ whiten
-    target = np.where(np.array(names)[:, None] == np.array(langs)[None, :], 1.0, -1.0)
-    share = np.array([len(names) / names.count(x) for x in names])  # every language weighs as much
+    at = np.searchsorted(langs, names)
+    share = len(names) / np.bincount(at, minlength=len(langs))[at]  # every language weighs as much
     share /= share.mean()
-    mean, goal = np.average(phi, axis=0, weights=share), np.average(target, axis=0, weights=share)
+    mean = np.average(phi, axis=0, weights=share)
     centred = phi - mean
-    beta = np.linalg.solve((centred * share[:, None]).T @ centred + ridge * len(names) * np.eye(phi.shape[1]), (centred * share[:, None]).T @ (target - goal))
-    return Model(langs, slots, matrix, whiten @ beta, goal - mean @ beta)
+    weighted = (centred * share[:, None]).T
+    matrix_of = weighted @ centred + ridge * len(names) * np.eye(phi.shape[1])
+    weights, bias = [], []
+    for a in range(0, len(langs), block):
+        target = np.where(at[:, None] == np.arange(a, min(a + block, len(langs))), 1.0, -1.0)
+        goal = np.average(target, axis=0, weights=share)
+        beta = np.linalg.solve(matrix_of, weighted @ (target - goal))
+        weights.append(whiten @ beta)
+        bias.append(goal - mean @ beta)
+    return Model(langs, slots, matrix, np.hstack(weights), np.concatenate(bias))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
