@@ -43,7 +43,7 @@ def test_whole_table(spark, sf):
     assert mixing.mix(docs.repartition(3)).exceptAll(mixing.mix(docs)).count() == 0
 
 
-def plain_taken(docs, block=16, seed=9, shard_rows=1000):
+def plain_taken(docs, block=16, seed=9, shard_rows=1000, most_shards=16384):
     """Block by block: the words of every block in the seeded order, and the first blocks of the permutation once more."""
     rows = docs.select("source", "doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("deal"), F.xxhash64(F.lit(seed + 1), "doc_id").alias("order"), "text").collect()
     sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
@@ -53,7 +53,7 @@ def plain_taken(docs, block=16, seed=9, shard_rows=1000):
     shards = []
     for s in sources:
         own = [r for r in rows if r.source == s]
-        n = -(-len(own) // shard_rows)
+        n = max(1, min(-(-len(own) // shard_rows), most_shards * len(own) // len(rows)))
         shards.append([sorted((r for r in own if r.deal % n == k), key=lambda r: (r.order, r.doc_id)) for k in range(n)])
     blocks = [[-(-sum(map(size, own)) // block) for own in several] for several in shards]
     seats = plain_seats(goal, round(sum(goal) / block), [2 * sum(b) for b in blocks])
@@ -78,6 +78,17 @@ def test_every_row_equals_brute_force(spark, sf):
     assert {r.doc_id: r.taken for r in mixing.mix(docs).collect()} == plain_taken(docs)
     few = docs.withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.lit("hot")))
     assert {r.doc_id: r.taken for r in mixing.mix(few, shard_rows=20).collect()} == plain_taken(few, shard_rows=20)
+    many = docs.withColumn("source", F.when(F.col("doc_id") % 2 > 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("doc_id") % 40)))
+    assert {r.doc_id: r.taken for r in mixing.mix(many, shard_rows=10, most_shards=16).collect()} == plain_taken(many, shard_rows=10, most_shards=16)
+
+
+def test_a_hot_source_among_many_is_split(spark):
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), "id")).alias("source"))
+    sized = rows.select("source", F.xxhash64("id").alias("deal"), F.lit(3).cast("long").alias("size"))
+    sources, quotas = mixing.apportioned(sized, shard_rows=1000)
+    assert sources.filter("shards > 1").select("source_of", "shards").collect() == [("hot", 20)] and sources.count() == 10_001
+    words = [w for source, _, w, _, _ in quotas if source == "hot"]
+    assert len(words) == 20 and max(words) < 2 * 3 * 1000
 
 
 def test_whole_documents_meet_the_targets(spark):
@@ -98,7 +109,10 @@ def test_choice_within_a_shard():
         sizes = rng.integers(1, 2000, n)
         kinds, picks = np.log2(sizes).astype(int), rng.integers(0, 10**6, n)
         want = int(rng.integers(0, 2 * sizes.sum() + 1))
-        plan = {k: (e, u) for k, e, u in mixing.choose(want, kinds, picks, sizes)}
+        total = {k: int(sizes[kinds == k].sum()) for k in kinds.tolist()}
+        order = np.lexsort((picks, -kinds))
+        rows = [("s", 1, want, int(sizes.sum()), k, total[k], p, s) for k, p, s in zip(kinds[order].tolist(), picks[order].tolist(), sizes[order].tolist())]
+        plan = {k: (e, u) for source, _, k, e, u in mixing.choices([("r", 0, 5, 10, 3, 10, 1, 10), *rows]) if source == "s"}
         copies = np.array([plan[k][0] + (plan[k][1] is not None and p <= plan[k][1]) for k, p in zip(kinds.tolist(), picks.tolist())])
         off.append(abs((copies * sizes).sum() - want))
         assert copies.max() <= 2 and off[-1] <= sizes.max() / 2 + 1

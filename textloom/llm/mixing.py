@@ -10,8 +10,10 @@ and q % n blocks, the first of a seeded permutation, once more.
 as often as all its blocks are taken, and some once more, chosen by a seeded hash in each class of lengths until the words of
 the quota are met; what one class leaves over or takes too much goes to the next shorter one.
 
-The driver holds a number for each source and shard: ``most_shards`` shards together, and one a source at least. So there is a
-row for each source on the driver, and a source is expected to be a provider of documents, not a document.
+A source has shards in proportion to its rows: one for ``shard_rows``, but of ``most_shards`` no more than its share of all rows,
+and one at least; so a hot source is split however many others there are. The driver holds a number for each source and shard,
+``most_shards`` and one a source together; a source is expected to be a provider of documents, not a document. The documents of
+a shard are gone through as a sorted stream, and never held together.
 
 Defined cases: a null text has size 0 and takes nothing; null is a source of its own, last in order; a source without words
 has target 0. Repeated rows are mixed as separate documents; in ``mixture`` rows equal in id and text are chosen together.
@@ -23,10 +25,10 @@ from __future__ import annotations
 import heapq
 import math
 import random
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from fractions import Fraction
+from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,9 +103,9 @@ def apportioned(
     found = sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("words")).collect()
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     goal = targets([r.words for r in found], [weights[i % len(weights)] for i in range(len(found))], share, most)
-    room = max(1, most_shards // max(1, len(found)))
+    total = sum(r.rows for r in found)
     sources = sized.sparkSession.createDataFrame(
-        [(r.source, r.words, t, min(room, -(-r.rows // shard_rows))) for r, t in zip(found, goal)], "source_of string, source_size long, target double, shards int"
+        [(r.source, r.words, t, max(1, min(most_shards * r.rows // total, -(-r.rows // shard_rows)))) for r, t in zip(found, goal)], "source_of string, source_size long, target double, shards int"
     )
     cells = with_shard(sized, sources).groupBy("source", "shard").agg(F.sum("size").alias("words")).collect()
     by_source: dict = {}
@@ -148,22 +150,36 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **options) -> Dat
     return found.select("doc_id", "size", "source_size", "target", F.coalesce(F.when(F.col("size") > 0, taken), F.lit(0)).cast("long").alias("taken"))
 
 
-def choose(want: int, kinds: np.ndarray, picks: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int | None]]:
-    """(kind, every, until) for a shard: its documents are taken every times, those with a pick of at most until once more, so
-    that the words taken come to want. Longer kinds go first, and what they leave over goes to the next."""
-    every, extra = divmod(want, int(sizes.sum()))
-    share, left, out = extra / int(sizes.sum()), 0.0, []
-    for kind in sorted(set(kinds.tolist()), reverse=True):
-        own = kinds == kind
-        order = np.argsort(picks[own], kind="stable")
-        pick, ends = picks[own][order], np.cumsum(sizes[own][order])
-        last = np.flatnonzero(np.r_[pick[1:] != pick[:-1], True])  # equal picks go together
-        pick, ends = pick[last], np.r_[0, ends[last]]
-        goal = left + share * ends[-1]
-        n = int(np.abs(ends - goal).argmin())
-        left = goal - ends[n]
-        out.append((kind, every, int(pick[n - 1]) if n else None))
-    return out
+def choices(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(source, shard, kind, every, until) from (source, shard, want, words, kind, kind_words, pick, size), which come shard by shard,
+    longer kinds first, in the order of picks: documents of a kind are taken every times, those with a pick of at most until once
+    more, so that the words taken come to want. What a kind leaves over or takes too much goes to the next."""
+    shard = kind = pick = until = None
+    every = before = end = best = 0
+    share = goal = left = 0.0
+
+    def closer() -> None:
+        nonlocal best, until
+        if abs(end - goal) < abs(best - goal):
+            best, until = end, pick
+
+    for source, number, want, words, own_kind, kind_words, own_pick, size in rows:
+        if (source, number, own_kind) != (*(shard or (None, None)), kind) or shard is None:
+            if shard is not None:
+                closer()
+                left = goal - best
+                yield (*shard, kind, every, until)
+            if (source, number) != shard:
+                shard, left = (source, number), 0.0
+                every, extra = divmod(want, words)
+                share = extra / words
+            kind, goal, end, best, until, pick = own_kind, left + share * kind_words, 0, 0, None, None
+        elif own_pick != pick:
+            closer()  # equal picks go together
+        pick, end = own_pick, end + size
+    if shard is not None:
+        closer()
+        yield (*shard, kind, every, until)
 
 
 def mixture(docs: DataFrame, block: int = BLOCK, seed: int = SEED, most: int = MOST, **options) -> DataFrame:
@@ -178,16 +194,20 @@ def mixture(docs: DataFrame, block: int = BLOCK, seed: int = SEED, most: int = M
     want = docs.sparkSession.createDataFrame(wants, "source_of string, shard_of int, want long")
     here = F.col("source").eqNullSafe(F.col("source_of")) & (F.col("shard") == F.col("shard_of"))
     asked = with_shard(sized.filter("size > 0"), sources).join(F.broadcast(want), here).select("source", "shard", "want", "kind", "pick", "size")
-
-    def plan(group: pa.Table) -> pa.Table:
-        column = lambda name: group.column(name).to_numpy()
-        own = choose(group.column("want")[0].as_py(), column("kind"), column("pick"), column("size"))
-        kinds, every, until = zip(*own)
-        source, shard = ([group.column(c)[0].as_py()] * len(own) for c in ("source", "shard"))
-        return pa.table([pa.array(source, pa.string()), pa.array(shard, pa.int32()), pa.array(kinds, pa.int32()), pa.array(every, pa.int32()), pa.array(until, pa.int64())], ["source_of", "shard_of", "kind_of", "every", "until"])
+    total = lambda *by: F.sum("size").over(Window.partitionBy("source", "shard", *by))
+    columns = ["source", "shard", "want", "words", "kind", "kind_words", "pick", "size"]
+    dealt = asked.repartition("source", "shard").withColumns({"words": total(), "kind_words": total("kind")}).select(*columns)
+    stream = dealt.sortWithinPartitions("source", "shard", F.desc("kind"), "pick")
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    names = ["source_of", "shard_of", "kind_of", "every", "until"]
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = choices(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        while some := list(islice(made, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), kinds)], names)
 
     # a row for each shard and class of lengths, of which there are 31 at most
-    plans = written(asked.groupBy("source", "shard").applyInArrow(plan, "source_of string, shard_of int, kind_of int, every int, until long"), "mix-plan")
+    plans = written(stream.mapInArrow(plan, "source_of string, shard_of int, kind_of int, every int, until long"), "mix-plan")
     worded = F.coalesce(F.col("text").rlike(f"[^{WHITE}]"), F.lit(False))
     row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
     rows = docs.select(row, source.alias("source"), deal(seed).alias("deal"), kind.alias("kind"), picked.alias("pick"), worded.alias("worded")).filter("worded")
