@@ -491,17 +491,20 @@ def test_scans_open_what_changed(spark, tmp_path, monkeypatch):
     texts = lambda c: sorted((r.chunk_id, r.text) for r in c.store.read("chunks").filter("NOT deleted").collect())
     assert state(own) == state(full) and texts(own) == texts(full)
     assert own.store.read("chunks").filter("NOT deleted AND embedding_status = 'pending'").count() == 1
-    now = time.time()
-    put(root, "d1/f4.md", "text of a third")  # as long as before, and within the second of the last scan
-    os.utime(root / "d1/f4.md", (now, now))
-    assert again() == ["d1/f4.md"]
-    own.settings.excludes = ("**/f7.md",)
+    own.settings.excludes, own.settings.secret_patterns = ("**/f7.md",), ("inside",)
     assert len(again()) == 31 and own.store.read("documents").filter("rel_path = 'd1/f7.md'").first().deleted
-    own.settings.secret_patterns = ("inside",)
-    again()
     assert {r.status for r in own.store.read("documents").filter("rel_path = 'bundle.zip/in.md'").collect()} == {"secret_excluded"}
 
 
+def test_files_that_hold_still(spark):
+    doc = lambda path, size, time, status="ok", deleted=False, source="filesystem": (1, path, "md", source, size, time, "h", status, deleted)
+    rows = [doc("a", 1, 50), doc("b", 1, 50), doc("c", 1, 50), doc("d", 1, 100), doc("e", 1, 50, "error"), doc("f", 1, 50, "ok", True), doc("g.zip", 1, 50), doc("g.zip/x", 1, 50, "error", False, "archive_member"), doc("h.zip", 1, 50), doc("h.zip/x", 1, 50, "ok", False, "archive_member"), doc("gone", 1, 50)]
+    seen = [("a", 1, 50), ("b", 2, 50), ("c", 1, 51), ("d", 1, 100), ("e", 1, 50), ("f", 1, 50), ("g.zip", 1, 50), ("h.zip", 1, 50), ("new", 1, 50)]
+    listed = spark.createDataFrame([(p, p, s, t) for p, s, t in seen], discover.FILES)
+    still = changes.unmoved(spark.createDataFrame(rows, schemas.DOCUMENTS), listed, 100)
+    assert sorted(r.rel_path for r in still.collect()) == ["a", "h.zip"]
+
+
 def test_scans_go_in_rounds(spark, tmp_path, monkeypatch):
     """Tables, counters and snapshots move while a scan runs; what is missing is told at its end."""
     root = tmp_path / "root"
