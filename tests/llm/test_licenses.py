@@ -29,15 +29,17 @@ def test_templates_and_odd_rows(spark):
     texts = {
         0: (None, ""), 1: ("", ""), 2: ("MIT LICENSE mit-license", "mit"), 3: ("mit general apache license public license", "apache"),
         4: (f"x {near}", "bsd"), 5: ("binary source use forms redistribution and", ""), 6: ("Mİt license", ""),
-        7: ("license " * 20000 + "released into the public domain", "unlicense"), 8: ("GNU Lesser General Public License as published by the Free Software Foundation", "gpl,lgpl"),
-        9: ("free and unencumbered software released into the public domain", "unlicense"),
+        7: ("license " * 20000 + "released into the public domain", ""), 8: ("GNU Lesser General Public License as published by the Free Software Foundation", "gpl,lgpl"),
+        9: ("free and unencumbered software released into the public domain", "unlicense"), 10: ("The poet took artistic license with the facts", ""), 11: ("this ring was released into the public domain", ""),
+        12: ("see cc by nc", ""), 13: ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), 14: ("the terms of the Artistic License 2.0", ""), 15: ("redistribute it and/or modify it under the terms of the Artistic License 2.0", "artistic"),
+        16: ("the bsd 3 clause license " * 3, "bsd"), 17: ("a bsd 3 clause dispute", ""), 18: ("to the extent possible under law he has kept all related and neighboring rights", ""),
     }
     docs = spark.createDataFrame([(k, t, "x") for k, (t, _) in texts.items()], "doc_id long, text string, labels string")
     got = {r.doc_id: r for r in licenses.digest(docs.union(docs)).collect()}
     assert {k: got[k].labels for k in texts} == {k: label for k, (_, label) in texts.items()}
     assert got[2].n_base == 2 and got[2].last_word == 2
     assert licenses.digest(docs.limit(0)).count() == 0
-    assert licenses.digest(docs.select("doc_id", F.lit(None).cast("string").alias("text"))).filter("n_words = 0").count() == 10
+    assert licenses.digest(docs.select("doc_id", F.lit(None).cast("string").alias("text"))).filter("n_words = 0").count() == len(texts)
 
 
 def test_all_templates_in_one_text(spark):

@@ -1,12 +1,14 @@
 """License scans with a positional index of rare words; DataFrame functions only.
 
-The templates of known notices are short, so their index is a literal of the plan. The licence words are ranked by how few
-documents of the corpus have them, and a template is posted under the rarest word of its first mandatory phrase: a document
-without any of these words is done with. A place p of a word that stands at q in template t proposes the diagonal p - q of t.
-A proposal holds if the first phrase stands just where the diagonal puts it and every other mandatory phrase within DRIFT
-words of where it should, word for word, so the phrases' places are intersected relative to each other; then the template's
-licence words that stand on the diagonal are its votes. All proposals of all templates are looked at. Ranks change only how
-many proposals are made, never which labels are given, so a text has the same labels in every corpus.
+The templates of known notices are short, so their index is a literal of the plan: postings (template, place) of their licence
+words. These are ranked by how few documents of the corpus have them. The words of a mandatory phrase stand together in a file
+or not at all, so a template is looked up by the rarest of its first phrase: of a file's words those with the highest rank among
+a template's propose it, and a file without any of them is done with. A place p of a word that stands at q in template t proposes
+the diagonal p - q. There the template's postings are intersected with the file's words by relative position: the first phrase
+has to stand just where the diagonal puts it, every other mandatory phrase within DRIFT words of it, and of the licence words
+enough on the diagonal (``Template.least``): a phrase alone, in other company, is no notice. What stands on the diagonal are the
+template's votes. All proposals of all templates are looked at. Ranks change only how many proposals are made, never which
+labels are given, so a text has the same labels in every corpus.
 
 Beside it, ``phrases`` finds every place of fixed phrases, whatever the templates say.
 
@@ -36,6 +38,11 @@ class Template:
     text: str
     phrases: tuple[str, ...]
 
+    @property
+    def least(self) -> int:
+        """Licence words that have to stand on a diagonal: three fifths of a short notice's, six of a long one's, which may be cut."""
+        return min(6, -(-3 * len(counted(self)) // 5))
+
 
 #: The usual wording of public licence notices, and what must stand in a document for the label.
 TEMPLATES = (
@@ -122,46 +129,68 @@ def anchor(template: Template, ranked: list[str]) -> tuple[str, int]:
     return known[0], first + words.index(known[0])
 
 
-def best_votes(words: Column, line: Column, template: Template, ranked: list[str]) -> Column:
-    """The most licence words on one diagonal that holds the phrases; null if there is none. line: the words between blanks."""
-    rare, at = anchor(template, ranked)
-    phrases = placed_phrases(template)
-    drift = lambda n: DRIFT if n else 0
+def index(templates: tuple[Template, ...], ranked: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """Postings (template, place) by the words that templates are looked up by."""
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for n, template in enumerate(templates):
+        word, place = anchor(template, ranked)
+        postings.setdefault(word, []).append((n, place))
+    return postings
+
+
+def known(templates: tuple[Template, ...]) -> Column:
+    """The templates as an array: label, least, the licence words with their places, the first phrase, the other ones."""
+    words = lambda ws: F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
+    placed = lambda q, ws: F.struct(F.lit(q).alias("q"), words(ws).alias("words"))
+    none = F.array().cast("array<struct<q:int,words:array<string>>>")
+
+    def one(t: Template) -> Column:
+        own = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(w).alias("w")) for q, w in counted(t)))
+        first, *others = placed_phrases(t)
+        return F.struct(F.lit(t.label).alias("label"), F.lit(t.least).alias("least"), own.alias("own"), placed(*first).alias("first"), (F.array(*(placed(*x) for x in others)) if others else none).alias("others"))
+
+    return F.array(*map(one, templates))
+
+
+def notices(words: Column, templates: tuple[Template, ...], ranked: list[str]) -> Column:
+    """array<struct<label, share>> of the diagonals that hold a template."""
+    postings = index(templates, ranked)
+    entries = lambda own: F.array(*(F.struct(F.lit(n).alias("t"), F.lit(q).alias("q")) for n, q in own))
+    by_word = F.create_map(*(x for word, own in sorted(postings.items()) for x in (F.lit(word), entries(own))))
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda p: F.get(words, p).isin(sorted(postings)))
+    proposed = F.flatten(F.transform(places, lambda p: F.transform(F.element_at(by_word, F.get(words, p)), lambda e: F.struct(e["t"].alias("t"), (p - e["q"]).alias("d")))))
+    stands = lambda at, phrase: (at >= 0) & (F.slice(words, F.greatest(at, F.lit(0)) + 1, F.size(phrase)) == phrase)
+    all_known = known(templates)
+    shifts = F.sequence(F.lit(-DRIFT), F.lit(DRIFT))
+
+    def phrased(x: Column) -> Column:
+        t, d = F.get(all_known, x["t"]), x["d"]
+        near = lambda other: F.exists(shifts, lambda k: stands(d + other["q"] + k, other["words"]))
+        return stands(d + t["first"]["q"], t["first"]["words"]) & F.forall(t["others"], near)
 
-    def stands(diagonal: Column, n: int, q: int, phrase: list[str]) -> Column:
-        first = F.greatest(diagonal + (q - drift(n) + 1), F.lit(1))
-        last = diagonal + (q + len(phrase) + drift(n))
-        around = F.slice(words, first, F.greatest(last - first + 1, F.lit(0)))
-        return F.contains(F.concat(F.lit(" "), F.array_join(around, " "), F.lit(" ")), F.lit(f" {' '.join(phrase)} "))
+    def voted(x: Column) -> Column:
+        t = F.get(all_known, x["t"])
+        votes = F.size(F.filter(t["own"], lambda e: F.coalesce(F.get(words, x["d"] + e["q"]) == e["w"], F.lit(False))))
+        return F.struct(t["label"].alias("label"), (votes / F.size(t["own"])).alias("share"), (votes >= t["least"]).alias("enough"))
 
-    holds = lambda d: reduce(Column.__and__, [stands(d, n, q, phrase) for n, (q, phrase) in enumerate(phrases)])
-    own = F.array(*(F.struct(F.lit(q).alias("q"), F.lit(w).alias("w")) for q, w in counted(template)))
-    votes = lambda d: F.size(F.filter(own, lambda x: F.coalesce(F.get(words, d + x["q"]) == x["w"], F.lit(False))))
-    proposed = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda p: F.get(words, p) == rare)
-    found = F.array_max(F.transform(F.filter(F.transform(proposed, lambda p: p - at), holds), votes))
-    somewhere = reduce(Column.__and__, [F.contains(line, F.lit(f" {' '.join(phrase)} ")) for _, phrase in phrases])
-    return F.when(somewhere, found)
+    return F.filter(F.transform(F.filter(proposed, phrased), voted), lambda v: v["enough"])
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
     """doc_id, n_words, base (places of phrases), labels (array, those of phrases included), score; two passes, no shuffle of texts."""
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     ranked = rarest_first(words, sorted({w for t in templates for w in t.phrases[0].split()}))
-    rare = sorted({anchor(t, ranked)[0] for t in templates})
-    relevant = F.arrays_overlap("words", F.array(*map(F.lit, rare)))
+    relevant = F.arrays_overlap("words", F.array(*map(F.lit, sorted(index(templates, ranked)))))
+    none = F.expr("cast(array() as array<struct<label: string, share: double, enough: boolean>>)")
     found = words.select(
         "doc_id",
-        "words",
         F.size("words").cast("long").alias("n_words"),
-        F.when(relevant, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("line"),
         base_places(F.col("words"), phrases).alias("base"),
+        F.when(relevant, notices(F.col("words"), templates, ranked)).otherwise(none).alias("own"),
     )
-    share = [best_votes(F.col("words"), F.col("line"), t, ranked) / float(len(counted(t))) for t in templates]
-    scored = found.select("doc_id", "n_words", "base", F.when(F.col("line").isNotNull(), F.array(*share)).alias("share"))
-    own = F.filter(F.transform("share", lambda s, t: F.when(s.isNotNull(), F.get(F.array(*(F.lit(x.label) for x in templates)), t))), lambda x: x.isNotNull())
-    labels = F.array_sort(F.array_distinct(F.concat(F.col("base")["label"], F.coalesce(own, F.expr("cast(array() as array<string>)")))))
-    best = F.greatest(F.coalesce(F.array_max("share"), F.lit(0.0)), F.when(F.size("base") > 0, F.lit(0.5)).otherwise(0.0))
-    return scored.select("doc_id", "n_words", "base", labels.alias("labels"), best.alias("score"))
+    labels = F.array_sort(F.array_distinct(F.concat(F.col("base")["label"], F.col("own")["label"])))
+    best = F.greatest(F.coalesce(F.array_max(F.col("own")["share"]), F.lit(0.0)), F.when(F.size("base") > 0, F.lit(0.5)).otherwise(0.0))
+    return found.select("doc_id", "n_words", "base", labels.alias("labels"), best.alias("score"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

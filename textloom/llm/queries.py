@@ -112,29 +112,29 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def license_sql() -> str:
-    """The scan as SQL: the templates as rows, diagonals proposed by the first word of the first phrase, votes joined by place."""
-    known = list(enumerate(licenses.TEMPLATES))
-    entries = ", ".join(f"({n}, {q}, '{w}')" for n, t in known for q, w in licenses.counted(t))
-    firsts = ", ".join(f"({n}, '{t.label}', {licenses.placed_phrases(t)[0][0]}, '{t.phrases[0].split()[0]}', {len(licenses.counted(t))})" for n, t in known)
-    around = lambda q, n, drift: f"' ' || array_to_string(w[greatest(diagonal + {q - drift + 1}, 1):diagonal + {q + n + drift}], ' ') || ' '"
-    stands = lambda k, q, p: f"contains({around(q, len(p), licenses.DRIFT if k else 0)}, ' {' '.join(p)} ')"
-    verified = " ".join(f"WHEN {n} THEN {' AND '.join(stands(k, q, p) for k, (q, p) in enumerate(licenses.placed_phrases(t)))}" for n, t in known)
+    """The scan as SQL, by its rule: the templates as rows, every place of their phrases, diagonals on which all of them stand, votes."""
+    rows = ", ".join(f"({n}, '{t.label}', '{t.text}', {list(t.phrases)!r})" for n, t in enumerate(licenses.TEMPLATES))
+    common = ", ".join(f"'{w}'" for w in sorted(licenses.COMMON))
     at = lambda phrase: " AND ".join(f"{'word' if k == 0 else f'lead(word, {k}) OVER s'} = '{p}'" for k, p in enumerate(phrase.split()))
-    base = " UNION ALL ".join(f"SELECT doc_id, p, '{label}' AS label FROM (SELECT doc_id, p, {at(phrase)} AS here FROM u WINDOW s AS (PARTITION BY doc_id ORDER BY p)) WHERE here" for phrase, label in licenses.PHRASES)
+    base = " UNION ALL ".join(f"SELECT r, p, '{label}' AS label FROM (SELECT r, p, {at(phrase)} AS here FROM u WINDOW s AS (PARTITION BY r ORDER BY p)) WHERE here" for phrase, label in licenses.PHRASES)
     return rf"""
-    WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.BETWEEN}'), lambda x: x <> '') AS w FROM documents),
-         u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
-         i AS (SELECT * FROM (VALUES {entries}) AS i(t, q, word)), f AS (SELECT * FROM (VALUES {firsts}) AS f(t, label, q, word, size)),
-         c AS (SELECT doc_id, t, label, size, p - q AS diagonal FROM u JOIN f USING (word)),
-         o AS (SELECT doc_id, t, label, size, diagonal FROM c JOIN d USING (doc_id) WHERE CASE t {verified} END),
-         g AS (SELECT doc_id, t, label, diagonal, count(*) / size::DOUBLE AS share FROM o JOIN i USING (t) JOIN u USING (doc_id, word) WHERE u.p = diagonal + q GROUP BY doc_id, t, label, diagonal, size),
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.BETWEEN}'), lambda x: x <> '') AS w FROM documents),
+         u AS MATERIALIZED (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
+         t AS (SELECT t, label, string_split(text, ' ') AS tw, phrases FROM (VALUES {rows}) AS t(t, label, text, phrases)),
+         i AS (SELECT t, n AS q, tw[n + 1] AS word FROM (SELECT *, unnest(range(0, len(tw))) AS n FROM t) WHERE length(tw[n + 1]) > 1 AND tw[n + 1] NOT IN ({common})),
+         z AS (SELECT t, count(*) AS size, least(6, ceil(count(*) * 3 / 5.0)) AS least FROM i GROUP BY t),
+         f AS (SELECT t, k, p, list_filter(range(0, len(tw)), lambda n: tw[n + 1:n + len(p)] = p)[1] AS q FROM (SELECT t, tw, unnest(generate_series(1, len(phrases))) AS k, unnest(list_transform(phrases, lambda x: string_split(x, ' '))) AS p FROM t)),
+         o AS MATERIALIZED (SELECT r, t, k, u.p - q AS diagonal FROM f JOIN u ON u.word = f.p[1] JOIN d USING (r) WHERE w[u.p + 1:u.p + len(f.p)] = f.p),
+         h AS (SELECT a.r, a.t, a.diagonal FROM o AS a JOIN (SELECT t, count(*) AS n FROM f GROUP BY t) AS m USING (t)
+               LEFT JOIN o AS b ON b.r = a.r AND b.t = a.t AND b.k > 1 AND abs(b.diagonal - a.diagonal) <= {licenses.DRIFT} WHERE a.k = 1 GROUP BY a.r, a.t, a.diagonal, m.n HAVING count(DISTINCT b.k) = m.n - 1),
+         g AS (SELECT r, t, diagonal, count(*) / any_value(size)::DOUBLE AS share FROM h JOIN i USING (t) JOIN z USING (t) JOIN u USING (r, word) WHERE u.p = diagonal + q GROUP BY r, t, diagonal HAVING count(*) >= any_value(least)),
          p AS ({base}),
-         pb AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
-         a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION ALL SELECT doc_id, label FROM g) GROUP BY doc_id),
-         s AS (SELECT doc_id, max(share) AS share FROM g GROUP BY doc_id)
+         pb AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY r),
+         a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM p UNION ALL SELECT r, label FROM g JOIN t USING (t)) GROUP BY r),
+         s AS (SELECT r, max(share) AS share FROM g GROUP BY r)
     SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
            coalesce(labels, '') AS labels, greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
-    FROM d LEFT JOIN pb USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN s USING (doc_id)
+    FROM d LEFT JOIN pb USING (r) LEFT JOIN a USING (r) LEFT JOIN s USING (r)
     """
 
 
