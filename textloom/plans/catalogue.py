@@ -589,6 +589,34 @@ def idempotent_outcomes(spark, folder):
     return state.settled_once(calls)
 
 
+@query(
+    "session_lifetimes",
+    """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL),
+    c AS (SELECT 6 * 3600000000::BIGINT AS gap, 24 * 3600000000::BIGINT AS life),
+    r AS (SELECT user_id, t, i, t AS first, 1::BIGINT AS session FROM o WHERE i = 1
+          UNION ALL SELECT o.user_id, o.t, o.i, CASE WHEN o.t > least(r.t + gap, r.first + life) THEN o.t ELSE r.first END, r.session + CASE WHEN o.t > least(r.t + gap, r.first + life) THEN 1 ELSE 0 END
+          FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1, c),
+    s AS (SELECT user_id, session, min(t) AS first_us, max(t) AS last_us, count(*) AS n FROM r GROUP BY ALL)
+    SELECT user_id, session, first_us, last_us, n, CASE WHEN first_us + life < last_us + gap THEN CASE WHEN (SELECT max(t) FROM o) > first_us + life THEN 'max-lifetime' END WHEN (SELECT max(t) FROM o) > last_us + gap THEN 'inactivity' END AS reason FROM s, c""",
+)
+def session_lifetimes(spark, folder):
+    return state.expiring_sessions(table(spark, folder, "events"), "user_id", "ts", gap_s=6 * 3600, life_s=24 * 3600)
+
+
+@query(
+    "settled_within_ttl",
+    """WITH RECURSIVE o AS (SELECT event_id, user_id || ':' || event_type AS key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id || ':' || event_type ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT event_id, key, i, t, event_id AS executed_by FROM o WHERE i = 1
+          UNION ALL SELECT o.event_id, o.key, o.i, CASE WHEN o.t - r.t > 43200000000 THEN o.t ELSE r.t END, CASE WHEN o.t - r.t > 43200000000 THEN o.event_id ELSE r.executed_by END
+          FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
+    SELECT event_id AS call_id, key, executed_by, event_id <> executed_by AS replayed FROM r""",
+)
+def settled_within_ttl(spark, folder):
+    """A key's calls within half a day of the one that was executed get its outcome."""
+    calls = table(spark, folder, "events").select(F.col("event_id").alias("call_id"), F.concat("user_id", F.lit(":"), "event_type").alias("key"), "ts")
+    return state.replays(calls.filter("key IS NOT NULL"), 12 * 3600)
+
+
 @query("outcomes_pruned", "SELECT event_id AS key FROM events WHERE event_id > (SELECT max(event_id) FROM events) - 500 ORDER BY event_id DESC LIMIT 200")
 def outcomes_pruned(spark, folder):
     rows = table(spark, folder, "events").select(F.col("event_id").alias("key"), F.col("event_id").alias("ts"))

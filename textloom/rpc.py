@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -11,17 +12,21 @@ from typing import Any
 from . import __version__, tools
 from .corpus import Corpus
 from .functions import net
+from .operators.state import Lifetime
 
 
 @dataclass
 class Endpoint:
-    """token and mode: who may call; origins: pages that may. Sessions are ids that initialize gave out."""
+    """token and mode: who may call; origins: pages that may. Sessions are ids that initialize gave out, with when it did and when they
+    were last seen; they end as in operators.state (most_s 0: by inactivity alone)."""
 
     corpus: Corpus
     token: str = ""
     mode: str = "auto"
     origins: tuple[str, ...] = ()
-    sessions: set[str] = field(default_factory=set)
+    idle_s: float = 24 * 3600
+    most_s: float = 0
+    sessions: dict[str, Lifetime] = field(default_factory=dict)
 
     def handle(self, body: str, headers: Mapping[str, str]) -> tuple[int, dict | None, dict[str, str]]:
         """(status, answer, headers of the answer); a notification has no answer."""
@@ -42,13 +47,15 @@ class Endpoint:
         method, named = request.get("method"), "id" in request and ident is not None
         if not isinstance(method, str) or not method:
             return 400, failure(ident, -32600, "method is required", "MISSING_FIELD"), {}
-        if method != "initialize" and given.get("mcp-session-id", "").strip() not in self.sessions:
+        if method != "initialize" and given.get("mcp-session-id", "").strip() not in self.live_sessions():
             return 404, failure(ident, -32001, "session not found", "SESSION_NOT_FOUND"), {}
+        now = time.time_ns() // 1000
         if method == "initialize":
             session = uuid.uuid4().hex
-            self.sessions.add(session)
+            self.sessions[session] = Lifetime(now, now)
             about = {"serverInfo": {"name": "textloom", "version": __version__}, "capabilities": {"tools": {}}}
             return 200, success(ident, about), {"MCP-Session-Id": session}
+        self.sessions[given["mcp-session-id"].strip()].seen(now)
         if not named:
             return 202, None, {}
         if method == "notifications/initialized":
@@ -59,6 +66,12 @@ class Endpoint:
             return 200, self.called(ident, request.get("params")), {}
         return 200, failure(ident, -32601, "method not found", "METHOD_NOT_FOUND"), {}
 
+    def live_sessions(self) -> dict[str, Lifetime]:
+        """The sessions, without those that are over."""
+        now, gap, life = time.time_ns() // 1000, int(self.idle_s * 1e6), int(self.most_s * 1e6)
+        self.sessions = {k: s for k, s in self.sessions.items() if now <= s.over(gap, life)[0]}
+        return self.sessions
+
     def called(self, ident: Any, params: Any) -> dict:
         name = params.get("name") if isinstance(params, dict) else None
         arguments = (params.get("arguments") or {}) if isinstance(params, dict) else None

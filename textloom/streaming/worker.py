@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from ..operators import changes
 from ..operators.state import Bucket, unlimited
 from ..session import checkpointed
 from ..sources.models import Embedder, embedding
-from ..sources.store import Change, Store
+from ..sources.store import Change, Conflict, Store
 
 
 def embed_batch(chunks: DataFrame, factory: Callable[[], Embedder]) -> tuple[DataFrame, DataFrame]:
@@ -24,7 +26,16 @@ def embed_batch(chunks: DataFrame, factory: Callable[[], Embedder]) -> tuple[Dat
     return vectors, made.select("chunk_id", status.alias("status"), F.col("e.error").alias("error"))
 
 
-def run_once(store: Store, factory: Callable[[], Embedder], limit: int = 0) -> None:
+@dataclass(frozen=True)
+class Round:
+    """What a round came to: chunks that were embedded, that wait for another try, and that failed for good."""
+
+    ok: int = 0
+    waiting: int = 0
+    failed: int = 0
+
+
+def run_once(store: Store, factory: Callable[[], Embedder], limit: int = 0) -> Round:
     """One round over what is pending. Vectors of equal texts are used again; results are written before they are read twice."""
     chunks, vectors = store.bucketed("chunks", "vectors")
     waiting = chunks.filter((F.col("embedding_status") == "pending") & ~F.col("deleted"))
@@ -42,7 +53,30 @@ def run_once(store: Store, factory: Callable[[], Embedder], limit: int = 0) -> N
     def marked(read: Callable[[str], DataFrame]) -> dict[str, Change]:
         return {"chunks": Change(changes.mark_embedding(read("chunks").join(results.select("chunk_id"), "chunk_id", "left_semi"), results)), "vectors": Change(new)}
 
-    store.transaction(marked)
+    n = {r.status: r["count"] for r in results.groupBy("status").count().collect()}
+    if n:
+        store.transaction(marked)
+    return Round(n.get("ok", 0), n.get("pending", 0), n.get("error", 0))
+
+
+#: Chunks of a round, seconds between rounds, and the most that a failing worker waits.
+ROUND, POLL_S, MOST_PAUSE_S = 4096, 0.75, 30.0
+
+
+def run(store: Store, factory: Callable[[], Embedder], stop: threading.Event, limit: int = ROUND, poll_s: float = POLL_S, most_pause_s: float = MOST_PAUSE_S) -> None:
+    """Rounds until stop is set: at once while there is work, every poll_s while there is none. While all that a round tries has to wait,
+    or other writers are always faster, the pauses double up to most_pause_s. Any other error ends it."""
+    pause = poll_s
+    while not stop.is_set():
+        try:
+            done = run_once(store, factory, limit)
+        except Conflict:
+            done = Round(waiting=1)
+        if done.ok or done.failed:
+            pause = poll_s
+            continue
+        stop.wait(pause)
+        pause = min(pause * 2, most_pause_s) if done.waiting else poll_s
 
 
 def embed_stream(spark: SparkSession, source: str, target: str, factory: Callable[[], Embedder], checkpoint: str, every: str | None = None):
@@ -58,6 +92,7 @@ def embed_stream(spark: SparkSession, source: str, target: str, factory: Callabl
 
 
 def session_stream(events: DataFrame, key: str, ts: str, gap: str = "24 hours", late: str = "1 hour") -> DataFrame:
+    """Sessions that only a gap ends; timed.session_stream has those with a lifetime."""
     windows = events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("session")).agg(F.count("*").alias("n"))
     return windows.select(key, F.col("session.start").alias("first_ts"), F.col("session.end").alias("ends_at"), "n")
 
