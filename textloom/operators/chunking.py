@@ -21,11 +21,22 @@ def starts(n: Column, most: int, step: int) -> Column:
     return F.transform(F.sequence(F.lit(0), count), lambda i: i * step)
 
 
+#: An array grows by one element at a time only within so many, so that running sums stay near linear.
+RUN = 256
+
+
 def sums_before(values: Column) -> Column:
-    """For each value the sum of those before it."""
-    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all"))
+    """For each value the sum of those before it, as longs: in runs of bounded length first, then over the runs."""
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("all"))
     grow = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all"))
-    return F.aggregate(values, start, grow, lambda acc: acc["all"])
+    along = lambda run: F.aggregate(run, start, grow)
+    starts_ = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(RUN))
+
+    def over(runs: Column) -> Column:
+        before = F.aggregate(runs, start, lambda acc, r: F.struct((acc["sum"] + r["sum"]).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all")), lambda acc: acc["all"])
+        return T.let(before, lambda b: F.flatten(F.transform(runs, lambda r, i: F.transform(r["all"], lambda x: x + F.get(b, i)))))
+
+    return T.let(values, lambda v: T.let(F.transform(starts_, lambda a: along(F.slice(v, a + 1, F.lit(RUN)))), over))
 
 
 def char_windows(text: Column, most: int = TEXT_WINDOW[0], overlap: int = TEXT_WINDOW[1], least: int = TEXT_WINDOW[2]) -> Column:
@@ -45,7 +56,7 @@ def char_windows(text: Column, most: int = TEXT_WINDOW[0], overlap: int = TEXT_W
             F.sequence(F.lit(0), count),
             lambda i: F.struct(
                 F.concat(F.get(pieces, i), F.coalesce(F.substring(F.get(pieces, i + 1), F.lit(1), F.lit(overlap)), F.lit(""))).alias("text"),
-                (F.get(before, i) + 1).alias("line"),
+                (F.get(before, i) + 1).cast("int").alias("line"),
                 (i == count).alias("ends"),
             ),
         )
@@ -114,17 +125,24 @@ def segments(text: Column) -> Column:
     """
     trimmed = F.transform(F.split(text, "\n", -1), lambda x: T.trim(x))
     lines = F.transform(trimmed, lambda x: F.struct(x.alias("line"), timestamp(x).alias("mark")))
-    none = F.array().cast("array<struct<ms:bigint,parts:array<string>>>")
 
-    def step(acc: Column, item: Column) -> Column:
-        line, mark = item["line"], item["mark"]
-        fresh = lambda ms, part: F.struct(ms.cast("long").alias("ms"), F.when(part != "", F.array(part)).otherwise(F.array().cast("array<string>")).alias("parts"))
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["ms"].alias("ms"), F.concat(last["parts"], F.array(line)).alias("parts"))))
-        begun = F.when(F.size(acc) == 0, F.array(fresh(F.lit(0), line))).otherwise(longer)
-        return F.when(mark.isNotNull(), F.concat(acc, F.array(fresh(mark["ms"], mark["text"])))).when(line == "", acc).otherwise(begun)
+    def cut(all_: Column) -> Column:
+        marked = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: F.get(all_, i)["mark"].isNotNull())
+        return T.let(marked, lambda at: between(all_, at))
 
-    marked = F.transform(F.aggregate(lines, none, step), lambda s: F.struct(s["ms"].alias("ms"), F.array_join(s["parts"], "\n").alias("text")))
+    def between(all_: Column, at: Column) -> Column:
+        """What stands before the first mark, and from each mark to the next: every line is looked at once."""
+        said = lambda first, until: F.filter(F.transform(F.slice(all_, first + 1, until - first), lambda x: x["line"]), lambda x: x != "")
+        joined = lambda ms, parts: F.struct(ms.cast("long").alias("ms"), F.array_join(parts, "\n").alias("text"))
+        ends = lambda k: F.coalesce(F.get(at, k), F.size(all_))
+
+        def one(i: Column, k: Column) -> Column:
+            mark = F.get(all_, i)["mark"]
+            return joined(mark["ms"], F.concat(F.filter(F.array(mark["text"]), lambda x: x != ""), said(i + 1, ends(k + 1))))
+
+        return F.concat(F.array(joined(F.lit(0), said(F.lit(0), ends(F.lit(0))))), F.transform(at, one))
+
+    marked = T.let(lines, cut)
     plain = T.trim(text)
     fallback = F.when(plain != "", F.array(F.struct(F.lit(0).cast("long").alias("ms"), plain.alias("text")))).otherwise(F.array().cast("array<struct<ms:bigint,text:string>>"))
     return T.let(F.filter(marked, lambda s: s["text"] != ""), lambda full: F.when(F.size(full) > 0, full).otherwise(fallback))
@@ -160,21 +178,18 @@ def transcript_chunks(frame: DataFrame, key: str, text: str) -> DataFrame:
             return T.let(F.struct(parts.alias("parts"), (end - s["ms"]).alias("ms")), lambda known: spread(s["ms"], known))
 
         def spread(begin: Column, known: Column) -> Column:
-            total = F.aggregate(known["parts"], F.lit(0).cast("long"), lambda n, p: n + F.length(p))
-
-            def over(total: Column) -> Column:
-                start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<text:string,start_ms:bigint,end_ms:bigint>>").alias("out"))
+            lengths = F.transform(known["parts"], lambda p: F.length(p).cast("long"))
+            return T.let(F.struct(sums_before(lengths).alias("before"), F.aggregate(lengths, F.lit(0).cast("long"), lambda n, x: n + x).alias("total")), lambda sums: placed(begin, known, sums))
 
-                def place(acc: Column, p: Column) -> Column:
-                    n = acc["n"] + F.length(p)
-                    a = begin + F.floor(known["ms"] * acc["n"] / total)
-                    b = F.greatest(begin + F.floor(known["ms"] * n / total), a + 1)
-                    row = F.struct(p.alias("text"), a.cast("long").alias("start_ms"), b.cast("long").alias("end_ms"))
-                    return F.struct(n.alias("n"), F.concat(acc["out"], F.array(row)).alias("out"))
+        def placed(begin: Column, known: Column, sums: Column) -> Column:
+            at = lambda n: begin + F.floor(known["ms"] * n / sums["total"])
 
-                return F.aggregate(known["parts"], start, place, lambda acc: acc["out"])
+            def place(p: Column, i: Column) -> Column:
+                n = F.get(sums["before"], i)
+                a = at(n)
+                return F.struct(p.alias("text"), a.cast("long").alias("start_ms"), F.greatest(at(n + F.length(p)), a + 1).cast("long").alias("end_ms"))
 
-            return T.let(total, over)
+            return F.transform(known["parts"], place)
 
         return F.flatten(F.transform(all_, one))
 

@@ -31,10 +31,32 @@ def pages_from_chunks(meta: DataFrame, wanted: DataFrame) -> DataFrame:
     return _joined(own, ["rel_path", "page"])
 
 
+#: Milliseconds of a bin of time, by which ranges meet before they are compared.
+BIN_MS = 60_000
+
+
+def binned(rows: DataFrame, start: str, end: str, width: int = BIN_MS) -> DataFrame:
+    """Each row once for each bin of time that its range has a part in, as bin; first_bin is the first of them."""
+    last = F.when((F.col(end) <= 0) | (F.col(end) < F.col(start)), F.col(start)).otherwise(F.col(end))
+    number = lambda c: F.floor(c / width)
+    return rows.withColumn("first_bin", number(F.col(start))).withColumn("bin", F.explode(F.sequence(number(F.col(start)), number(last))))
+
+
+def overlapping(chunks: DataFrame, wanted: DataFrame, width: int = BIN_MS) -> DataFrame:
+    """chunks (rel_path, start_ms, end_ms, …) with each range (rel_path, from_ms, to_ms) that they overlap: an equi-join on path and
+    bin, so that a recording with many chunks and many ranges isn't all pairs. A pair is taken from its first common bin alone.
+
+    Times are ints of milliseconds, so a range has some 36,000 bins at most.
+    """
+    own = binned(chunks, "start_ms", "end_ms", width).withColumnRenamed("first_bin", "own_first")
+    asked = binned(wanted.select("rel_path", "from_ms", "to_ms"), "from_ms", "to_ms", width)
+    met = own.join(asked, ["rel_path", "bin"]).filter(F.col("bin") == F.greatest("own_first", "first_bin"))
+    return met.filter(overlaps(F.col("start_ms"), F.col("end_ms"), F.col("from_ms"), F.col("to_ms"))).drop("bin", "own_first", "first_bin")
+
+
 def times_from_chunks(meta: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rel_path, from_ms, to_ms, content for each wanted range (rel_path, from_ms, to_ms); joined by path, then by overlap."""
-    own = _flat(meta).filter("kind = 'time'").join(wanted.select("rel_path", "from_ms", "to_ms"), "rel_path")
-    own = own.filter(overlaps(F.col("start_ms"), F.col("end_ms"), F.col("from_ms"), F.col("to_ms"))).withColumn("page", F.lit(0))
+    """rel_path, from_ms, to_ms, content for each wanted range (rel_path, from_ms, to_ms) that chunks overlap."""
+    own = overlapping(_flat(meta).filter("kind = 'time'"), wanted).withColumn("page", F.lit(0))
     return _joined(own, ["rel_path", "from_ms", "to_ms"])
 
 

@@ -549,6 +549,21 @@ def overlap_chunks(spark, folder):
     return opening.times_from_chunks(meta, wanted).select(F.col("rel_path").alias("conv_id"), "content")
 
 
+@query(
+    "overlap_many_ranges",
+    f"""WITH {SEGMENTS_SQL}, w AS (SELECT DISTINCT conv_id, 7000 * turn - 3000 AS a, 7000 * turn + 5000 * (turn % 30) AS b FROM conversations WHERE turn > 0)
+    SELECT conv_id, a::INTEGER AS from_ms, b::INTEGER AS to_ms, count(*) AS n, sum(seg)::BIGINT AS segs FROM w JOIN ends USING (conv_id)
+    WHERE start_ms <= CASE WHEN b <= 0 OR b < a THEN a ELSE b END AND end_ms >= a AND {trimmed('text')} <> '' GROUP BY ALL""",
+)
+def overlap_many_ranges(spark, folder):
+    """A range for every turn of a recording, each with the segments that it overlaps."""
+    rows = chunking.transcript_segments(sample.talks(spark, folder), "conv_id", "body")
+    chunks = rows.filter(T.trim(F.col("text")) != "").select(F.col("conv_id").alias("rel_path"), "seg", F.col("start_ms").cast("int"), F.col("end_ms").cast("int"))
+    turns = table(spark, folder, "conversations").filter("turn > 0").select(F.col("conv_id").alias("rel_path"), (F.col("turn") * 7000 - 3000).cast("int").alias("from_ms"), (F.col("turn") * 7000 + F.col("turn") % 30 * 5000).cast("int").alias("to_ms"))
+    found = opening.overlapping(chunks, turns.distinct()).groupBy("rel_path", "from_ms", "to_ms").agg(F.count("*").alias("n"), F.sum("seg").alias("segs"))
+    return found.withColumnRenamed("rel_path", "conv_id")
+
+
 @query("flatten_json", "SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS lines FROM events")
 def flatten_json(spark, folder):
     return table(spark, folder, "events").select("event_id", annotations.flatten_json("props").alias("lines"))
