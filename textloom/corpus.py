@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import schemas
 from .functions import classify, globs, secrets
 from .functions import text as T
-from .operators import annotations, answers, changes, corpus, listing, opening, retrieval
+from .operators import annotations, answers, changes, corpus, listing, opening, paging, retrieval
 from .session import checkpointed, deadline
 from .sources import archives, discover, models
 from .sources.store import Change, Store, append_events, read_snapshot, write_snapshot
@@ -85,6 +85,7 @@ class Corpus:
         self.running = False
         #: What the running scan, or the last one, has come to so far.
         self.progress = dict.fromkeys(PROGRESS, 0)
+        self.pages: tuple[tuple | None, paging.Pages | None] = (None, None)
 
     @property
     def scan_excludes(self) -> tuple[str, ...]:
@@ -400,9 +401,16 @@ class Corpus:
         return self.spark.range(1).select(classify.opened_type(F.lit(rel_path))).first()[0]
 
     def list(self, prefix: str = "", glob: str = "", limit: int = 200, offset: int = 0, with_hidden: bool = False) -> tuple[DataFrame, int]:
-        docs = self.store.read("documents")
-        page = listing.list_files(docs, prefix, glob, limit, offset, with_hidden)
-        total = listing.count_files(docs, prefix, glob, with_hidden).first()[0]
+        """A page of the listing and how many files there are. Deep pages come from an index, which is kept until the documents change."""
+        state, docs = self.store.state("documents"), self.store.read("documents")
+        if offset > paging.SHALLOW:
+            key = (state, prefix, glob, with_hidden)
+            if self.pages[0] != key:
+                self.pages = key, paging.Pages.of(listing.matching_files(docs, prefix, glob, with_hidden), "rel_path", group_bytes=4 << 20)
+            page, total = self.pages[1].page(offset, limit), self.pages[1].total
+        else:
+            page = listing.list_files(docs, prefix, glob, limit, offset, with_hidden)
+            total = listing.count_files(docs, prefix, glob, with_hidden).first()[0]
         return page.withColumn("status", classify.file_status(F.col("status"))), total
 
     def has_statistics(self) -> bool:

@@ -242,3 +242,28 @@ def ignored(path: Column, rules: list[dict], is_folder: Column | bool = False) -
     return reduce(
         lambda acc, r: F.when(path.rlike(rule_regex(r)) & (folder | F.lit(not r["only_folders"])), F.lit(not r["negated"])).otherwise(acc), rules, F.lit(False)
     )
+
+
+# many patterns at a time
+
+
+def anchor(glob: str) -> tuple[str, str]:
+    """What every path that a glob matches has in common, as (kind, value): the folders that it begins with, else how its last
+    segment ends, else nothing."""
+    if glob != _clean(glob):  # dialects differ in what they make of it
+        return "any", ""
+    literal = re.match(r"[^*?\[]*", glob)[0]
+    if "/" in literal:
+        return "folder", literal[: literal.rindex("/")]
+    ending = re.search(r"\.([A-Za-z0-9_]+)\Z", glob.rsplit("/", 1)[-1])
+    return ("ending", ending[1]) if ending else ("any", "")
+
+
+def anchors(path: Column) -> Column:
+    """Every (kind, value) that an anchor of a glob can have in common with a path."""
+    parts = F.split(path, "/")
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: pair("folder", F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    folders = F.when(F.size(parts) > 1, folders).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+    ending = F.regexp_extract(F.element_at(parts, -1), r"\.([A-Za-z0-9_]+)\z", 1)
+    return F.concat(folders, F.array(pair("ending", ending), pair("any", F.lit(""))))

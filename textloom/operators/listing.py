@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,24 @@ def list_files(docs: DataFrame, prefix: str = "", glob: str = "", limit: int = 2
     return matching_files(docs, prefix, glob, with_hidden).orderBy("rel_path").offset(offset).limit(limit if limit > 0 else 200)
 
 
+def matched_by(paths: DataFrame, patterns: DataFrame, compiler: Callable[[str], str] = globs.path_match) -> DataFrame:
+    """pattern_id with each row of paths (rel_path, …) that a pattern (pattern_id, glob) matches.
+
+    However many patterns there are, a path meets those alone that share its folders or its ending, by an equi-join; the others that
+    have neither meet every path. Null paths and patterns match nothing.
+    """
+
+    @F.pandas_udf("struct<kind:string,value:string,regex:string>")
+    def compiled(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([(*globs.anchor(g), compiler(g)) for g in part], columns=["kind", "value", "regex"])
+
+    known = patterns.filter("glob IS NOT NULL").select("pattern_id", compiled("glob").alias("g")).select("pattern_id", "g.*")
+    own = paths.filter("rel_path IS NOT NULL").withColumn("a_", F.explode(globs.anchors(F.col("rel_path"))))
+    met = own.join(known, (F.col("a_.kind") == F.col("kind")) & (F.col("a_.value") == F.col("value")))
+    return met.filter(F.expr("rel_path RLIKE regex")).select("pattern_id", *paths.columns)
+
+
 def count_files(docs: DataFrame, prefix: str = "", glob: str = "", with_hidden: bool = True) -> DataFrame:
     return matching_files(docs, prefix, glob, with_hidden).agg(F.count("*").alias("total"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, globs, secrets
 from ..functions import text as T
-from ..operators import annotations, answers, changes, chunking, corpus, listing, opening, retrieval, state
+from ..operators import annotations, answers, changes, chunking, corpus, listing, opening, paging, retrieval, state
 from ..operators import vectors as V
 from ..streaming import worker
 from ..sources import archives
@@ -284,6 +284,26 @@ def list_files_page(spark, folder):
     return listing.list_files(sample.files(spark, folder), prefix="SRC", glob="*doc_*", limit=25, offset=10).select("rel_path", "doc_type", "status", "size_bytes")
 
 
+@query("deep_page", f"WITH {FILES_SQL} SELECT rel_path, doc_type FROM files WHERE NOT deleted ORDER BY rel_path LIMIT 30 OFFSET (SELECT count(*) * 9 // 10 FROM files WHERE NOT deleted)")
+def deep_page(spark, folder):
+    """A page near the end of all live files, by the index of the order."""
+    pages = paging.Pages.of(listing.live(sample.files(spark, folder)).select("rel_path", "doc_type"), "rel_path")
+    return pages.page(pages.total * 9 // 10, 30)
+
+
+@query(
+    "many_patterns",
+    f"""WITH {FILES_SQL}, g AS (SELECT doc_id AS pattern_id, doc_id % 3 AS kind, split_part(rel_path, '/', 1) AS source, doc_id % 100 AS d, rel_path FROM files)
+    SELECT pattern_id, f.rel_path FROM g JOIN files f ON CASE kind WHEN 0 THEN regexp_full_match(f.rel_path, g.source || '/[^/]*/doc_' || d || '[^/]*[.]md') WHEN 1 THEN f.rel_path = g.rel_path ELSE regexp_full_match(f.rel_path, '[^/]*/[^/]*/doc_' || d || '[^/][.]go') END""",
+)
+def many_patterns(spark, folder):
+    """A pattern for every document, of three kinds, and the files that each matches."""
+    files, kind = sample.files(spark, folder), F.col("doc_id") % 3
+    number = (F.col("doc_id") % 100).cast("string")
+    glob = F.when(kind == 0, F.concat(F.split("rel_path", "/")[0], F.lit("/*/doc_"), number, F.lit("*.md"))).when(kind == 1, F.col("rel_path")).otherwise(F.concat(F.lit("*/*/doc_"), number, F.lit("?.go")))
+    return listing.matched_by(files.select("rel_path"), files.select(F.col("doc_id").alias("pattern_id"), glob.alias("glob")))
+
+
 @query("list_visible_total", f"WITH {FILES_SQL} SELECT count(*) AS total FROM files WHERE NOT deleted AND NOT starts_with(rel_path, '.') AND rel_path GLOB '*.md'")
 def list_visible_total(spark, folder):
     return listing.count_files(sample.files(spark, folder), glob="*.md", with_hidden=False)

@@ -153,6 +153,10 @@ class Store:
         now = self._latest()[1]
         return all(table in now for table in tables)
 
+    def state(self, table: str) -> str:
+        """A name of what a table holds now; another once it is written."""
+        return json.dumps(self._latest()[1].get(table), sort_keys=True)
+
     def bucketed(self, *tables: str) -> tuple[DataFrame, ...]:
         """The tables in one state, as tables of the session's catalog that Spark knows the buckets of: a join or a grouping by their
         key needs no shuffle. An entry of the catalog stands for one state of one table, and is only made once."""
