@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -233,3 +234,13 @@ def test_fingerprints_almost_equal_are_compared_too(spark):
 def test_fingerprints_far_apart_of_sets_that_are_alike(spark):
     got, plain = groups_and_plain(spark, edge_pair(1752, 12, 1))  # alike by 0.8, 59 bits differ
     assert got == plain == [[0, 1]]
+
+
+def test_runs_are_cut_by_weight_at_every_row():
+    keys = [1] * 100 + [2] * 3 + [3] * 50
+    heavy = [1] * 40 + [1000] * 5 + [1] * 55 + [1] * 3 + [400] * 50
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "n": pa.array(heavy, pa.int64())})
+    pieces = [batch.slice(a, 30) for a in range(0, len(batch), 30)]
+    found = [(r.column("key")[0].as_py(), r.column("n").to_pylist(), whole) for r, whole in simhash.runs(iter(pieces), 64, "n", 1500)]
+    assert sum((n for _, n, _ in found), []) == heavy and all(sum(n[:-1]) <= 1500 and len(n) <= 65 for _, n, _ in found)
+    assert [whole for k, _, whole in found if k == 2] == [True] and not any(whole for k, _, whole in found if k != 2)

@@ -140,7 +140,7 @@ def runs(batches: Iterator[pa.RecordBatch], most: int, weight: str | None = None
     """Runs of at least two rows with one key (column 0) of a sorted partition, and whether a run is whole.
 
     It isn't where it is the first or last of the partition, or where it was cut because it has more rows than most or a sum of
-    a column weight above most_weight, which is looked at every few rows. Runs of one row come only where they aren't whole."""
+    a column weight above most_weight, which it exceeds by its last row at most. Runs of one row come only where they aren't whole."""
     held: list[pa.RecordBatch] = []
     size, load, key, first, cut, step = 0, 0, None, True, False, min(64, most)
 
@@ -161,10 +161,12 @@ def runs(batches: Iterator[pa.RecordBatch], most: int, weight: str | None = None
                 held, size, load, key, cut = [], 0, 0, keys[a], False
             if b - a == 1 and n and b < len(keys) and not first:
                 continue  # alone, and its neighbours on both sides are here
-            for c in range(a, b, step):
-                d = min(b, c + step)
+            c = a
+            while c < b:
+                heavy = int(np.searchsorted(loads, loads[c] + most_weight - load, "right"))  # the row that makes it too heavy
+                d = min(b, c + step, max(c + 1, heavy))
                 held.append(batch.slice(c, d - c))
-                size, load = size + d - c, load + int(loads[d] - loads[c])
+                size, load, c = size + d - c, load + int(loads[d] - loads[c]), d
                 if size > most or (size > 1 and load > most_weight):
                     yield joined(), False
                     held, size, load, cut = [], 0, 0, True
