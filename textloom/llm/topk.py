@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import gathered, written
 
-#: Queries that go to the candidates at a time; rows of the sample; components of a block of candidates, and of scores at once.
+#: Queries that go to the candidates at a time (and no more than COMPONENTS have room for); rows of the sample; components of a block of candidates, and of scores at once.
 QUERIES, SAMPLE, COMPONENTS, SCORES = 4096, 4096, 1 << 22, 1 << 22
 #: The share of a block beyond which it is scored whole.
 WHOLE = 0.25
@@ -146,6 +146,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     counts = usable.groupBy("dim").agg(F.count_if("asks").alias("q"), F.coalesce(F.max(largest), F.lit(0.0)).alias("most")).filter("q > 0").collect()
     exact = {r.dim: r.most * r.most * max(1, r.dim) < 2**53 for r in counts}
     asked = sum(r.q for r in counts)
+    # of long vectors fewer queries go at a time, so that what a task makes of a block of them is bounded
+    queries = max(1, min(queries, components // max(1, max(exact, default=1))))
     blocks = -(-asked // queries)
 
     def by_dimension(rows: DataFrame) -> dict[int, pa.Table]:
