@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, globs, secrets
 from ..functions import text as T
-from ..operators import annotations, answers, changes, chunking, corpus, listing, opening, paging, retrieval, state
+from ..operators import annotations, answers, blocks, changes, chunking, corpus, listing, opening, paging, retrieval, state
 from ..operators import vectors as V
 from ..streaming import worker
 from ..sources import archives
@@ -48,6 +48,16 @@ def cosine_topk(spark, folder):
     return V.search(sample.vectors(spark, folder), sample.probe(spark, folder))
 
 
+@query(
+    "cosine_topk_blocks",
+    f"WITH {META_SQL}, {PROBE} SELECT chunk_id, {SCORE} AS score FROM vectors, q WHERE len(embedding) = len(v) AND chunk_id IN (SELECT doc_id FROM files WHERE doc_type <> 'code') ORDER BY score DESC, chunk_id LIMIT 10",
+)
+def cosine_topk_blocks(spark, folder):
+    """The best vectors whose document isn't code, by blocks of like directions."""
+    passing = sample.files(spark, folder).filter("doc_type <> 'code'").select(F.col("doc_id").alias("chunk_id"))
+    return blocks.Blocks.of(sample.vectors(spark, folder)).search(sample.probe(spark, folder), passing=passing)
+
+
 FILTERED = retrieval.Search(k=7, index="text", path_prefix="src1", file_glob="src*/*/doc_*[02468].*", doc_types=(" MD", "html"))
 
 
