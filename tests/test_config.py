@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -11,6 +12,16 @@ def test_layers(tmp_path):
     got = config.load(str(tmp_path / "c.yaml"), str(tmp_path / "e"), {"TEXTLOOM_K": "8", "TEXTLOOM_API_KEY": "s"})
     assert (got.root, got.excludes, got.max_file_bytes, got.follow_symlinks, got.k, got.allowed_origins) == ("/data", ("**/x/**", "y"), 5, True, 8, ("a", "b", "c"))
     assert json.loads(config.snapshot(got))["api_key"] == "set"
+    where = lambda env: json.loads(config.snapshot(got, config.sources(str(tmp_path / "c.yaml"), str(tmp_path / "e"), env)))["api_key"]
+    assert where({"TEXTLOOM_API_KEY": "s"}) == "env:TEXTLOOM_API_KEY" and where({}) == "unset"
+    with open(tmp_path / "c.yaml", "a") as f:
+        f.write("api_key: abc\n")
+    assert where({}) == "file"
+    with open(tmp_path / "e", "a") as f:
+        f.write("TEXTLOOM_API_KEY=d\n")
+    assert where({"TEXTLOOM_API_KEY": ""}) == "dotenv"
+    path = config.save_snapshot(got, {"api_key": "dotenv"}, str(tmp_path / "state"))
+    assert oct(os.stat(path).st_mode)[-3:] == "600" and "'s'" not in open(path).read()
     assert config.load(env={}) == config.Config()
 
 

@@ -13,6 +13,7 @@ from . import __version__, config, tools
 from .corpus import Backends, Corpus, Settings
 from .operators import corpus as operators
 from .session import build_session
+from .sources import discover
 
 
 def opened(conf: config.Config, backends: Backends | None = None) -> Corpus:
@@ -62,7 +63,7 @@ def main(argv: list[str] | None = None, backends: Backends | None = None) -> int
     conf = config.load(args.config, args.dotenv)
     if args.command == "config":
         if args.action == "print":
-            print(config.snapshot(conf))
+            print(config.snapshot(conf, config.sources(args.config, args.dotenv)))
         elif Path(args.config).exists():
             print(f"{args.config} is there already", file=sys.stderr)
             return 1
@@ -71,6 +72,9 @@ def main(argv: list[str] | None = None, backends: Backends | None = None) -> int
         return 0
     own = opened(conf, backends)
     if args.command in ("up", "reindex"):
+        state = discover.mounted(own.store.folder)
+        if state:
+            config.save_snapshot(conf, config.sources(args.config, args.dotenv), state)
         own.emit("scan_started", command=args.command)
         try:
             own.scan(force=args.command == "reindex")

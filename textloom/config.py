@@ -109,6 +109,29 @@ def load(path: str | None = None, dotenv: str | None = None, env: Mapping[str, s
     return out
 
 
-def snapshot(config: Config) -> str:
-    """The effective settings as JSON; of secrets only whether they are set."""
-    return json.dumps({k: (("set" if v else "unset") if k in SECRET else v) for k, v in asdict(config).items()}, indent=2, sort_keys=True)
+def sources(path: str | None = None, dotenv: str | None = None, env: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Where each secret comes from, of the layers of load() the last that sets it: file, dotenv, or the variable's name."""
+    found = dict.fromkeys((f.name for f in fields(Config) if f.name in SECRET), "unset")
+    if path and Path(path).is_file():
+        found |= {k: "file" for k, v in parse_yaml(Path(path).read_text(encoding="utf-8")).items() if k in found and v}
+    if dotenv and Path(dotenv).is_file():
+        given = parse_dotenv(Path(dotenv).read_text(encoding="utf-8"))
+        found |= {k: "dotenv" for k in found if given.get(PREFIX + k.upper())}
+    given = os.environ if env is None else env
+    return found | {k: f"env:{PREFIX}{k.upper()}" for k in found if given.get(PREFIX + k.upper())}
+
+
+def snapshot(config: Config, secrets: Mapping[str, str] | None = None) -> str:
+    """The effective settings as JSON; of secrets only where they come from (see sources), or whether they are set."""
+    shown = lambda name, value: (secrets or {}).get(name) or ("set" if value else "unset")
+    return json.dumps({k: (shown(k, v) if k in SECRET else v) for k, v in asdict(config).items()}, indent=2, sort_keys=True)
+
+
+def save_snapshot(config: Config, secrets: Mapping[str, str], folder: str) -> str:
+    """The snapshot as a file that its owner alone can read; its path."""
+    path = Path(folder, "config.snapshot.json")
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.touch(0o600)
+    path.chmod(0o600)
+    path.write_text(snapshot(config, secrets) + "\n", encoding="utf-8")
+    return str(path)

@@ -6,6 +6,7 @@ files. It has every document, an ignore file at its root and one in a folder.
 
 from __future__ import annotations
 
+import base64
 import os
 import uuid
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import tools
-from ..corpus import Corpus, Settings
+from ..corpus import Backends, Corpus, Settings
 from ..functions import globs
 from ..operators import corpus as operators
 from ..operators import listing
@@ -144,20 +145,32 @@ def tool_open_file(spark, folder):
     return spark.createDataFrame([(path, out["content"]) for path, out in rows if not out["truncated"]], "rel_path string, content string")
 
 
-@query(
-    "tool_ask",
-    f"""WITH {LIVE_CHUNKS}, single AS (SELECT rel_path, any_value({trimmed('text')}) AS t FROM chunks WHERE doc_type = 'text' GROUP BY rel_path HAVING count(*) = 1), first AS (SELECT rel_path, t[1:240] AS s FROM single WHERE rel_path = (SELECT min(rel_path) FROM single))
-    SELECT rel_path AS citation, 'Question: why?' || chr(10) || 'Top context:' || chr(10) || '- ' || rel_path || ': ' || s || chr(10) || chr(10) || 'Sources: [' || rel_path || ']' AS answer, true AS indexing_complete FROM first""",
-)
-def tool_ask(spark, folder):
-    """A question to the first text file of one chunk, answered without a model."""
-    own = made(spark, folder)
+ANSWER = f"""WITH {LIVE_CHUNKS}, single AS (SELECT rel_path, any_value({trimmed('text')}) AS t FROM chunks WHERE doc_type = 'text' GROUP BY rel_path HAVING count(*) = 1), first AS (SELECT rel_path, t[1:240] AS s FROM single WHERE rel_path = (SELECT min(rel_path) FROM single)),
+    given AS (SELECT rel_path AS citation, 'Question: why?' || chr(10) || 'Top context:' || chr(10) || '- ' || rel_path || ': ' || s || chr(10) || chr(10) || 'Sources: [' || rel_path || ']' AS answer FROM first)"""
+
+
+def asked(own: Corpus, tool: str) -> dict:
+    """A question to the first text file of one chunk."""
     single = listing.live(own.store.read("chunks")).filter("doc_type = 'text'").groupBy("rel_path").count().filter("count = 1")
     path = single.agg(F.min("rel_path")).first()[0]
-    out = tools.call(own, "ask", {"question": "why?", "index": "text", "file_glob": globs.escape_literal(path or "")})
+    return tools.call(own, tool, {"question": "why?", "index": "text", "file_glob": globs.escape_literal(path or "")})
+
+
+@query("tool_ask", f"{ANSWER} SELECT citation, answer, true AS indexing_complete FROM given")
+def tool_ask(spark, folder):
+    """Answered without a model."""
+    out = asked(made(spark, folder), "ask")
     return spark.createDataFrame([(c["rel_path"], out["answer"], out["indexing_complete"]) for c in out["citations"]], "citation string, answer string, indexing_complete boolean")
 
 
+@query("tool_ask_audio", f"{ANSWER} SELECT citation, answer, upper(hex(encode(answer))) AS voiced FROM given")
+def tool_ask_audio(spark, folder):
+    """Spoken by a voice that says its text's bytes."""
+    own = made(spark, folder)
+    out = asked(Corpus(spark, own.root, own.store.folder, Backends(voice=lambda text, voice: text.encode())), "ask_audio")
+    return spark.createDataFrame([(c["rel_path"], out["answer"], base64.b64decode(out["audio_base64"]).hex().upper()) for c in out["citations"]], "citation string, answer string, voiced string")
+
+
 @query(
     "tool_transcribe",
     f"""WITH {LIVE_FILES}, t AS (SELECT rel_path, {trimmed('content')} AS t FROM files WHERE doc_type = 'audio'), q AS (SELECT * FROM t WHERE rel_path = (SELECT min(rel_path) FROM t WHERE length(t) BETWEEN 1 AND 1000))
