@@ -218,7 +218,7 @@ def test_store(spark, tmp_path):
     assert sorted(r.value for r in got.collect()) == ["K2", "K2", "v1"] and misses.count() == 1
     assert store.read_snapshot(spark, f"{tmp_path}/snap", "n int") is None
     for n in (1, 2):
-        store.write_snapshot(spark.range(1).select(F.lit(n).alias("n")), f"{tmp_path}/snap")
+        store.write_snapshot(spark.range(1).select(F.lit(n).alias("n")), f"{tmp_path}/snap", keep_s=0)
     assert store.read_snapshot(spark, f"{tmp_path}/snap", "n int").n == 2 and len(list((tmp_path / "snap").iterdir())) == 1
     store.append_events(spark.range(2).select(F.lit("x").alias("event")), f"{tmp_path}/events")
     store.append_events(spark.range(1).select(F.lit("y").alias("event")), f"{tmp_path}/events")
@@ -510,7 +510,7 @@ def test_scans_go_in_rounds(spark, tmp_path, monkeypatch):
     root = tmp_path / "root"
     for n in range(12):
         put(root, f"f{n}.md", f"text of {n} " * 20)
-    own = Corpus(spark, str(root), f"file://{tmp_path}/state", settings=Settings(snapshot_s=0.05, round_bytes=900))
+    own = Corpus(spark, str(root), f"file://{tmp_path}/state", settings=Settings(snapshot_s=0.5, round_bytes=1200))
     moves, taken = [], Corpus.put
 
     def watched(self, *a, **o):

@@ -301,15 +301,17 @@ class Store:
         self.transaction(lambda read: {"settings": Change(rows.join(read("settings").select("key"), "key", "left_anti"))})
 
 
-def write_snapshot(stats: DataFrame, path: str) -> None:
-    """The statistics of a corpus as one JSON document in a folder; the one before goes when the new one is there."""
-    spark = stats.sparkSession
+def write_snapshot(stats: DataFrame, path: str, keep_s: float = 60) -> None:
+    """The statistics of a corpus as one JSON document in a folder, named by its time; others go once they are that old, so that nobody
+    is reading them."""
+    spark, now = stats.sparkSession, time.time_ns()
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     before = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
-    stats.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(f"{path}/{time.time_ns():020}")
+    stats.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(f"{path}/{now:020}")
     for old in before:
-        fs.delete(old, True)
+        if int(old.getName()) < now - keep_s * 1e9:
+            fs.delete(old, True)
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: StructType | str) -> Row | None:
