@@ -24,6 +24,8 @@ from . import vectors as V
 
 #: Blocks of a dimension, and vectors of the sample that their centres come from.
 BLOCKS, SAMPLE = 256, 8192
+#: Vectors of the sample that a block has at least on average, so that a small table has few folders.
+PER_BLOCK = 8
 #: The block of vectors without a direction (null, all zero or not finite), which is always read.
 FLAT = -1
 #: By how much scores and angles may be off: rounding to V.DIGITS, and floats.
@@ -77,7 +79,7 @@ class Blocks:
             unit = directions([v for v in some if len(v) == dim and None not in v])
             unit = unit[(unit != 0).any(axis=1)]
             if len(unit):
-                centres[dim] = first, centres_of(unit, blocks)
+                centres[dim] = first, centres_of(unit, min(blocks, max(1, len(unit) // PER_BLOCK)))
                 first += len(centres[dim][1])
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
