@@ -1,6 +1,7 @@
 import io
 import json
 import os
+import random
 import re
 import tarfile
 import time
@@ -230,9 +231,41 @@ def test_reprocessing_rule(spark):
     assert [rule("h", "h", "ok", False, False), rule("h", "i", "ok", False, False), rule("", "h", "ok", False, False), rule("h", "h", "error", False, False), rule("h", "h", "ok", True, False), rule("h", "h", "ok", False, True)] == [False, True, True, True, True, True]
 
 
-def test_flatten():
-    assert annotations.flattened('{"z": {"b": [1, 2.50, null]}, "a": " t ", "e": ""}') == "a: t\nz.b[0]: 1\nz.b[1]: 2.5\nz.b[2]: null"
-    assert annotations.flattened('"x"') == "x" and annotations.flattened("{}") == "{}" and annotations.flattened("no") is None
+def flat_lines(value, at=""):
+    if isinstance(value, dict):
+        return [x for k in sorted(value) for x in flat_lines(value[k], f"{at}.{k}" if at else k)]
+    if isinstance(value, list):
+        return [x for i, v in enumerate(value) for x in flat_lines(v, f"{at}[{i}]")]
+    shown = value.strip() if isinstance(value, str) else json.dumps(value)
+    return [f"{at}: {shown}" if at else shown] if shown else []
+
+
+def test_flatten(spark):
+    """Numbers, blanks, keys in order, what is no JSON; then random values up to six deep against plain recursion."""
+    cases = {
+        '{"z": {"b": [1, 2.50, null]}, "a": " t ", "e": ""}': "a: t\nz.b[0]: 1\nz.b[1]: 2.5\nz.b[2]: null",
+        '"x"': "x", "{}": "{}", "no": None, "": None, "null": "null", "42": "42", " [true] ": "[0]: true", '[" ", {"b": [], "a": "\\n"}]': '[" ",{"a":"\\n","b":[]}]',
+        "[1e-7, 1.5e-7, 1e25, 12345678.25, 0.000015, -3.0, 1e20]": "[0]: 1e-7\n[1]: 1.5e-7\n[2]: 1e+25\n[3]: 12345678.25\n[4]: 0.000015\n[5]: -3\n[6]: 100000000000000000000",
+        "{} x": None, "1 2": None, "[1][2]": None, '"a" "b"': None, "[NaN]": None, "{'a': 1}": None, '["]]}", "\\"[", "\\\\"]': '[0]: ]]}\n[1]: "[\n[2]: \\',
+        "[" * 300 + "7" + "]" * 300: "[0]" * 300 + ": 7", "[" * 2000 + "]" * 2000: None,
+    }
+    rng = random.Random(5)
+
+    def value(deep):
+        kind = rng.choice(["s", "n", "b", "o", "a", "o", "a"]) if deep else rng.choice("snb")
+        if kind == "o":
+            return {rng.choice(["a", "b.c", "é", "\U0001f600", "\uffee", "B", " "]): value(deep - 1) for _ in range(rng.randint(0, 4))}
+        if kind == "a":
+            return [value(deep - 1) for _ in range(rng.randint(0, 4))]
+        return rng.choice(["", " ", "x y", 'q"[\\]{', "é\n1"]) if kind == "s" else rng.choice([0, 7, -12, 2.5, 1000000, 0.125]) if kind == "n" else rng.choice([True, False, None])
+
+    for _ in range(400):
+        made = value(rng.randint(0, 6))
+        cases[json.dumps(made, ensure_ascii=rng.random() < 0.5)] = "\n".join(flat_lines(made)).strip() or json.dumps(made, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    rows = spark.createDataFrame([*cases.items(), (None, None)], "json string, want string")
+    got = rows.select("json", "want", annotations.flatten_json("json").alias("got"))
+    assert [(r.json, r.got) for r in got.collect()] == [(r.json, r.want) for r in got.collect()]
+    assert not [x for x in ("Python", "Arrow", "Exchange") if x in spark.range(3).select(annotations.flatten_json(F.col("id").cast("string")))._jdf.queryExecution().toString()]
 
 
 def test_spans(spark):

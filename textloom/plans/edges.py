@@ -27,10 +27,15 @@ def _events(spark, folder):
 
 @query(
     "flatten_nested_json",
-    r"""SELECT event_id, 'a: ' || user_id || chr(10) || 'b[0].k: ' || json_extract_string(props, '$.k') || chr(10) || 'b[1]: ' || event_type || chr(10) || 'b[2]: null' AS lines FROM events""",
+    r"""SELECT event_id, repeat('d[0].', event_id % 6 + 1) || 'e[1]: ' || regexp_replace(((event_id % 100) / 8.0)::VARCHAR, '[.]0$', '') || chr(10) || repeat('d[0].', event_id % 6 + 1) || 'e[2]: null' || chr(10) ||
+       repeat('d[0].', event_id % 6 + 1) || 'p.k: ' || json_extract_string(props, '$.k') || chr(10) || repeat('d[0].', event_id % 6 + 1) || 't: ' || event_type || chr(10) || 'u: ' || user_id AS lines FROM events""",
 )
 def flatten_nested_json(spark, folder):
-    json = F.concat(F.lit('{"b": ['), "props", F.lit(', " '), "event_type", F.lit(' ", null, " "], "a": '), "user_id", F.lit("}"))
+    """Objects in lists in objects, one to six times."""
+    times = (F.col("event_id") % 6 + 1).cast("int")
+    inner = F.concat(F.lit('{"t": " '), "event_type", F.lit(' ", "p": '), "props", F.lit(', "e": [" ", '), (F.col("event_id") % 100 / 8).cast("string"), F.lit(", null]}"))
+    nested = F.concat(F.repeat(F.lit('{"d": ['), times - 1), F.lit('{"d": ['), inner, F.lit("]}"), F.repeat(F.lit("]}"), times - 1))
+    json = F.concat(F.regexp_replace(nested, r"\}$", ', "u": '), "user_id", F.lit("}"))
     return _events(spark, folder).select("event_id", annotations.flatten_json(json).alias("lines"))
 
 

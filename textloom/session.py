@@ -30,6 +30,8 @@ def build_session(app: str = "textloom", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # tables of a store whose parts were doubled at different times still join where they lie
         "spark.sql.bucketing.coalesceBucketsInJoin.enabled": "true",
+        # of a key that a JSON object has twice the last one counts
+        "spark.sql.variant.allowDuplicateKeys": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
