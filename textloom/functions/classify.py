@@ -8,27 +8,34 @@ from pyspark.sql import functions as F
 from .text import trim
 
 #: Names and extensions of each kind of document at ingestion.
-NAMES = {"code": "dockerfile makefile jenkinsfile", "text": "readme license changelog", "data": "go.mod go.sum package.json package-lock.json yarn.lock pnpm-lock.yaml"}
+NAMES = {
+    "code": ("dockerfile", "makefile", "jenkinsfile"),
+    "text": ("readme", "license", "changelog"),
+    "data": ("go.mod", "go.sum", "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml"),
+}
 EXTENSIONS = {
-    "code": "go rs py js jsx ts tsx java c cc cpp h hpp cs rb php swift kt kts scala sh bash zsh sql",
-    "md": "md markdown mdx rst adoc",
-    "text": "txt log ini cfg conf",
-    "data": "csv tsv parquet json jsonl xml yaml yml toml",
-    "html": "html htm xhtml",
-    "pdf": "pdf",
-    "image": "png jpg jpeg gif webp bmp tif tiff svg",
-    "audio": "mp3 wav m4a flac aac ogg opus",
-    "archive": "zip tar gz tgz bz2 xz 7z rar",
+    "code": ("go", "rs", "py", "js", "jsx", "ts", "tsx", "java", "c", "cc", "cpp", "h", "hpp", "cs", "rb", "php", "swift", "kt", "kts", "scala", "sh", "bash", "zsh", "sql"),
+    "md": ("md", "markdown", "mdx", "rst", "adoc"),
+    "text": ("txt", "log", "ini", "cfg", "conf"),
+    "data": ("csv", "tsv", "parquet", "json", "jsonl", "xml", "yaml", "yml", "toml"),
+    "html": ("html", "htm", "xhtml"),
+    "pdf": ("pdf",),
+    "image": ("png", "jpg", "jpeg", "gif", "webp", "bmp", "tif", "tiff", "svg"),
+    "audio": ("mp3", "wav", "m4a", "flac", "aac", "ogg", "opus"),
+    "archive": ("zip", "tar", "gz", "tgz", "bz2", "xz", "7z", "rar"),
 }
 #: Extensions of each kind when a file is opened.
 OPENED = {
-    "code": "go js jsx ts tsx py java rb cpp c cs kt kts swift php scala rs h hpp hh m mm dart pl pm lua r jl hs erl ex exs sql sh zsh fish",
-    "html": "html htm css",
-    "md": "md",
-    "text": "txt rst",
-    "pdf": "pdf",
-    "audio": "mp3 wav m4a flac",
-    "image": "png jpg jpeg gif webp",
+    "code": (
+        "go", "js", "jsx", "ts", "tsx", "py", "java", "rb", "cpp", "c", "cs", "kt", "kts", "swift", "php", "scala", "rs", "h", "hpp", "hh",
+        "m", "mm", "dart", "pl", "pm", "lua", "r", "jl", "hs", "erl", "ex", "exs", "sql", "sh", "zsh", "fish",
+    ),
+    "html": ("html", "htm", "css"),
+    "md": ("md",),
+    "text": ("txt", "rst"),
+    "pdf": ("pdf",),
+    "audio": ("mp3", "wav", "m4a", "flac"),
+    "image": ("png", "jpg", "jpeg", "gif", "webp"),
 }
 RAW_TEXT = ("code", "text", "md", "data", "html")
 
@@ -47,9 +54,9 @@ def doc_type(path: Column) -> Column:
     ext = extension(name)
     out = F.when((name == ".env") | name.startswith(".env."), "ignore")
     for kind, names in NAMES.items():
-        out = out.when(name.isin(names.split()), kind)
+        out = out.when(name.isin(*names), kind)
     for kind, extensions in EXTENSIONS.items():
-        out = out.when(ext.isin(extensions.split()), kind)
+        out = out.when(ext.isin(*extensions), kind)
     return out.otherwise("binary_ignored")
 
 
@@ -57,7 +64,7 @@ def opened_type(path: Column) -> Column:
     ext = extension(base_name(trim(path)))
     out = F
     for kind, extensions in OPENED.items():
-        out = out.when(ext.isin(extensions.split()), kind)
+        out = out.when(ext.isin(*extensions), kind)
     return out.otherwise("unknown")
 
 
