@@ -42,3 +42,27 @@ def test_many_patterns(spark):
         want = sorted((i, x) for i, glob in enumerate(patterns) if glob is not None for rx in [re.compile(compiler(glob).replace("\\z", "\\Z"))] for x in paths if x is not None and rx.search(x))
         got = listing.matched_by(p, g, compiler)
         assert sorted((r.pattern_id, r.rel_path) for r in got.collect()) == want
+
+
+def test_cache_whose_files_are_all_of_one_second(spark):
+    """The newest that fit, by time and name; ranges stay small though two thirds of the files share a second."""
+    n = 12_000
+    rows = [(f"f{i * 7919 % n:05}", i % 13 if i % 50 else None, 1_000_000 + (i % 100 if i % 3 == 0 else 0)) for i in range(n)]
+    files = spark.createDataFrame(rows, "name string, size_bytes long, mtime_unix long").withColumn("range", F.lit("x")).repartition(5)
+    total, want = 0, set()
+    for name, size, time in sorted(rows, key=lambda r: (r[2], r[0]), reverse=True):
+        total += size or 0
+        if total <= 50_000 and time >= 1_000_050 - 60:
+            want.add(name)
+    got = listing.cache_kept(files, 1_000_050, 60, 50_000)
+    assert got.columns == files.columns
+    names = [r.name for r in got.collect()]
+    assert len(names) == len(want) and set(names) == want and len(want) > 7000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # ranges as small as these would be joined
+    try:
+        ranges = listing.in_ranges(files.filter("mtime_unix = 1000000"), F.desc("mtime_unix"), F.desc("name")).groupBy("range_").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(r["count"] for r in ranges) < n / 4 and len(ranges) >= 4
+    assert listing.cache_kept(files.limit(0), 1, 0, 5).count() == 0
+    assert listing.cache_kept(files, 1_000_050).count() == n

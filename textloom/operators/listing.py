@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import globs
 from ..functions import text as T
+from ..session import checkpointed
 from .corpus import decoded_span
 
 
@@ -172,19 +173,23 @@ def code_ratio(docs: DataFrame) -> DataFrame:
     return counts.select("total", "code", F.when(F.col("total") > 0, F.col("code") / F.col("total")).otherwise(0.0).alias("code_ratio"))
 
 
+def in_ranges(rows: DataFrame, *order: Column) -> DataFrame:
+    """Rows dealt into ranges of an order and kept in the shared folder: range_, and id_ in that order."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id_", F.monotonically_increasing_id())
+    return checkpointed(dealt).withColumn("range_", F.shiftright("id_", 33))
+
+
 def cache_kept(files: DataFrame, now: int, ttl_s: int = 0, max_bytes: int = 0) -> DataFrame:
-    """The files that stay: those within the time to live and, of these, the newest that fit the size.
+    """The files that stay: those within the time to live and, of these, the newest that fit the size; an unknown size counts as 0.
 
-    The running size goes over days first, then over the minutes of each day and then within a minute, so no task sees all files.
+    The running size goes over ranges of time and name and then within a range, so no task sees all files, were they all of one second.
     """
     kept = files.filter(F.col("mtime_unix") >= now - ttl_s) if ttl_s > 0 else files
     if max_bytes <= 0:
         return kept
-    timed = kept.withColumn("day", F.floor(F.col("mtime_unix") / 86400)).withColumn("minute", F.floor(F.col("mtime_unix") / 60))
-    minutes = timed.groupBy("day", "minute").agg(F.sum("size_bytes").alias("bytes"))
-    before = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    days = minutes.groupBy("day").agg(F.sum("bytes").alias("bytes")).select("day", before(Window.orderBy(F.desc("day"))).alias("newer_days"))
-    newer = minutes.select("day", "minute", before(Window.partitionBy("day").orderBy(F.desc("minute"))).alias("newer_minutes")).join(days, "day").drop("day")
-    order = Window.partitionBy("minute").orderBy(F.desc("mtime_unix"), F.desc("name")).rowsBetween(Window.unboundedPreceding, 0)
-    sized = timed.join(newer, "minute").withColumn("upto", F.col("newer_days") + F.col("newer_minutes") + F.sum("size_bytes").over(order))
-    return sized.filter(F.col("upto") <= max_bytes).select(*files.columns)
+    ranged = in_ranges(kept, F.desc("mtime_unix"), F.desc("name"))
+    size = F.sum(F.coalesce(F.col("size_bytes"), F.lit(0)))
+    newer = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    before = ranged.groupBy("range_").agg(size.alias("bytes_")).select("range_", F.coalesce(F.sum("bytes_").over(newer), F.lit(0)).alias("newer_"))
+    upto = F.col("newer_") + size.over(Window.partitionBy("range_").orderBy("id_").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(before, "range_").withColumn("upto_", upto).filter(F.col("upto_") <= max_bytes).select(*files.columns)
