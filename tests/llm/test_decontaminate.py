@@ -1,7 +1,9 @@
 import hashlib
 import re
+from urllib.parse import unquote
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,11 @@ def test_odd_rows(spark):
     assert got(d, b.limit(0)) == plain(docs, [])
     with pytest.raises(ValueError):
         decontaminate.digest(d, b, window=250, slop=10)
+
+
+def test_a_row_group_of_the_index_holds_one_segment(spark):
+    """A reader decodes a row group at once, so groups don't grow with what a task writes."""
+    docs = spark.range(0, 6, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('one two three four ', 500000)").alias("text"))
+    found = decontaminate.index(docs)
+    most = [pq.ParquetFile(p.removeprefix("file:")).metadata for p in map(unquote, found.inputFiles())]
+    assert found.count() >= 3 and max(m.row_group(g).num_rows for m in most for g in range(m.num_row_groups)) == 1

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, small_batches, written
+from .common import LARGE_ROWS, gathered, small_batches, written
 from .licenses import words_of
 from .words import NOT_ALPHANUMERIC, Words, gathered_batches, lists, ranges
 
@@ -57,7 +57,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"rows array<long>, ids array<{id_type.simpleString()}>, lengths array<int>, terms array<string>, sizes array<int>, places array<int>"
-    return written(own.mapInArrow(run, schema), "postings", **{"parquet.block.size": str(16 << 20)})
+    return written(own.mapInArrow(run, schema), "postings", **LARGE_ROWS)
 
 
 def pieces(bench: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text", most: int = PIECE) -> DataFrame:
