@@ -1,7 +1,9 @@
 import math
 import re
+from urllib.parse import unquote
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,11 @@ def test_radix_order():
     keys = np.random.default_rng(1).integers(0, 1 << 32, 5000).astype(np.uint32)
     keys[::3] = keys[0]
     assert (lexical.radix_order(keys) == np.argsort(keys, kind="stable")).all()
+
+
+def test_a_row_group_of_the_index_holds_one_segment(spark):
+    """A reader decodes a row group at once, so groups don't grow with what a task writes."""
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(1_200_000)), lambda i: F.hex(i + F.col("id"))))
+    found = lexical.index(spark.range(0, 6, 1, 1).select(F.col("id").alias("doc_id"), words.alias("text")))
+    most = [pq.ParquetFile(p.removeprefix("file:")).metadata for p in map(unquote, found.inputFiles())]
+    assert found.count() >= 3 and max(m.row_group(g).num_rows for m in most for g in range(m.num_row_groups)) == 1

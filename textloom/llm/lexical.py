@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, small_batches, written
+from .common import LARGE_ROWS, gathered, small_batches, written
 from .licenses import words_of
 from .words import NOT_ALPHANUMERIC, Words, gathered_batches, lists, ranges
 
@@ -54,7 +54,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     schema = f"ids array<{id_type}>, lengths array<int>, terms array<string>, sizes array<int>, docs array<int>, counts array<int>"
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return written(own.mapInArrow(run, schema), "lists", **{"parquet.block.size": str(16 << 20)})
+    return written(own.mapInArrow(run, schema), "lists", **LARGE_ROWS)
 
 
 def weight(df: Column, n: int) -> Column:
