@@ -66,3 +66,14 @@ def test_cache_whose_files_are_all_of_one_second(spark):
     assert max(r["count"] for r in ranges) < n / 4 and len(ranges) >= 4
     assert listing.cache_kept(files.limit(0), 1, 0, 5).count() == 0
     assert listing.cache_kept(files, 1_000_050).count() == n
+
+
+def test_patterns_that_are_paths_meet_one_path_each(spark):
+    """Their anchor is the path, not its folder, whose files each of them would meet; repeated patterns get the same files."""
+    assert globs.anchor("src/en/a.md") == ("path", "src/en/a.md") and globs.anchor("a.md") == ("path", "a.md")
+    assert globs.anchor("src/en/") == ("folder", "src/en") and globs.anchor("src/en/*.md") == ("folder", "src/en")
+    paths = spark.createDataFrame([(p,) for p in ("src/en/a.md", "src/en/b.md", "a.md", "a.md", None)], "rel_path string")
+    asked = [(1, "src/en/a.md"), (2, "src/en/a.md"), (3, "a.md"), (4, "src/en/*"), (5, "src/en/*"), (6, None), (7, "src\\\\en/a.md"), (8, "*.md")]
+    got = listing.matched_by(paths, spark.createDataFrame(asked, "pattern_id int, glob string"))
+    want = [(1, "src/en/a.md"), (2, "src/en/a.md"), (3, "a.md"), (3, "a.md"), *((n, f"src/en/{x}.md") for n in (4, 5) for x in "ab"), (8, "a.md"), (8, "a.md")]
+    assert sorted(map(tuple, got.collect())) == want

@@ -248,11 +248,13 @@ def ignored(path: Column, rules: list[dict], is_folder: Column | bool = False) -
 
 
 def anchor(glob: str) -> tuple[str, str]:
-    """What every path that a glob matches has in common, as (kind, value): the folders that it begins with, else how its last
-    segment ends, else nothing."""
+    """What every path that a glob matches has in common, as (kind, value): the path itself, else the folders that it begins with,
+    else how its last segment ends, else nothing."""
     if glob != _clean(glob):  # dialects differ in what they make of it
         return "any", ""
     literal = re.match(r"[^*?\[]*", glob)[0]
+    if literal == glob and not glob.endswith("/"):
+        return "path", glob
     if "/" in literal:
         return "folder", literal[: literal.rindex("/")]
     ending = re.search(r"\.([A-Za-z0-9_]+)\Z", glob.rsplit("/", 1)[-1])
@@ -260,7 +262,7 @@ def anchor(glob: str) -> tuple[str, str]:
 
 
 def anchors(path: Column) -> Column:
-    """Every (kind, value) that an anchor of a glob can have in common with a path."""
+    """Every (kind, value) that an anchor of a glob can have in common with a path, but the path itself."""
     parts = F.split(path, "/")
     pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: pair("folder", F.array_join(F.slice(parts, F.lit(1), n), "/")))

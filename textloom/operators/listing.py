@@ -36,8 +36,9 @@ def list_files(docs: DataFrame, prefix: str = "", glob: str = "", limit: int = 2
 def matched_by(paths: DataFrame, patterns: DataFrame, compiler: Callable[[str], str] = globs.path_match) -> DataFrame:
     """pattern_id with each row of paths (rel_path, …) that a pattern (pattern_id, glob) matches.
 
-    However many patterns there are, a path meets those alone that share its folders or its ending, by an equi-join; the others that
-    have neither meet every path. Null paths and patterns match nothing.
+    However many patterns there are, each different glob is looked at once: one without wildcards meets the path that it is, and of
+    the others a path meets those alone that share its folders or its ending, both by equi-joins; globs that have neither meet every
+    path. What a glob matches then goes to its patterns. Null paths and patterns match nothing.
     """
 
     @F.pandas_udf("struct<kind:string,value:string,regex:string>")
@@ -45,10 +46,14 @@ def matched_by(paths: DataFrame, patterns: DataFrame, compiler: Callable[[str],
         for part in parts:
             yield pd.DataFrame([(*globs.anchor(g), compiler(g)) for g in part], columns=["kind", "value", "regex"])
 
-    known = patterns.filter("glob IS NOT NULL").select("pattern_id", compiled("glob").alias("g")).select("pattern_id", "g.*")
-    own = paths.filter("rel_path IS NOT NULL").withColumn("a_", F.explode(globs.anchors(F.col("rel_path"))))
-    met = own.join(known, (F.col("a_.kind") == F.col("kind")) & (F.col("a_.value") == F.col("value")))
-    return met.filter(F.expr("rel_path RLIKE regex")).select("pattern_id", *paths.columns)
+    asked = patterns.filter("glob IS NOT NULL").select("pattern_id", F.col("glob").alias("glob_"))
+    known = asked.select("glob_").distinct().withColumn("g_", compiled("glob_"))
+    literal, wild = known.filter("g_.kind = 'path'"), known.filter("g_.kind <> 'path'")
+    own = paths.filter("rel_path IS NOT NULL")
+    met = own.withColumn("a_", F.explode(globs.anchors(F.col("rel_path")))).join(wild, (F.col("a_.kind") == F.col("g_.kind")) & (F.col("a_.value") == F.col("g_.value"))).drop("a_")
+    met = met.unionByName(own.join(literal, F.col("rel_path") == F.col("g_.value")))
+    found = met.filter(F.expr("rel_path RLIKE g_.regex")).drop("g_")
+    return found.join(asked, "glob_").select("pattern_id", *paths.columns)
 
 
 def count_files(docs: DataFrame, prefix: str = "", glob: str = "", with_hidden: bool = True) -> DataFrame:
