@@ -757,3 +757,21 @@ def test_commands_leave_events(spark, tmp_path, capsys):
     own = Corpus(spark, f"{tmp_path}/corpus", f"file://{tmp_path}/state")
     own.settle("k", "eip155:1", "100", "settled")
     assert spark.read.json(f"{tmp_path}/state/settlements").first().outcome == "settled"
+
+
+def test_hashed_words_that_cancel_out_have_unit_length(spark):
+    """Two words of one place and opposite signs, and a text that Python sees no word in."""
+    model = models.HashedWords()
+    first = {}
+    for word in (f"w{i}" for i in range(1000)):
+        v = model.embed([word])[0]
+        place = next(i for i, x in enumerate(v) if x)
+        other = first.setdefault((place, -v[place]), word)
+        if other != word:
+            break
+        first[place, v[place]] = word
+    lone = f"{word} {first[place, -v[place]]}"
+    frame = spark.createDataFrame([(1, "text", lone), (2, "text", "\x1c"), (3, "text", "a b")], "chunk_id long, index_kind string, text string")
+    vectors, _ = worker.embed_batch(frame, models.HashedWords)
+    norms = vectors.select(F.round(V.dot(F.col("embedding"), F.col("embedding")), 3).alias("n")).collect()
+    assert [r.n for r in norms] == [1.0, 1.0, 1.0]

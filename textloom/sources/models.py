@@ -40,7 +40,8 @@ class Transient(RuntimeError):
 
 
 class HashedWords:
-    """Stand-in: words hashed into a vector of unit length."""
+    """Stand-in: words hashed into a vector of unit length; where they cancel each other out, or there is no word, the whole text is hashed.
+    An empty text has no direction."""
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
@@ -49,13 +50,18 @@ class HashedWords:
         out = []
         for text in texts:
             v = [0.0] * self.dimension
-            for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                v[h % self.dimension] += 1.0 if h >> 63 else -1.0
+            self.add(v, text.lower().split())
+            if text and not any(v):
+                self.add(v, [text])
             norm = sum(x * x for x in v) ** 0.5 or 1.0
             out.append([x / norm for x in v])
         return out
 
+    def add(self, v: list[float], words: Sequence[str]) -> None:
+        for word in words:
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+            v[h % self.dimension] += 1.0 if h >> 63 else -1.0
+
 
 class PlainText:
     """Stand-in: the bytes as text."""
