@@ -155,3 +155,12 @@ def test_answers(spark):
     assert one(spark, answers.attributed(F.lit(" yes [a] "), paths)) == "yes [a]\n\nSources: [b]"
     assert one(spark, answers.attributed(F.lit(" "), paths)) == ""
     assert hits.limit(0).select(F.lit(1)).count() == 0 and answers.gathered(hits.limit(0)).select(answers.fallback(F.lit("q"), F.col("hits"))).first()[0] == answers.NO_CONTEXT
+
+
+def test_answers_show_a_cut_snippet_as_it_was_cut(spark):
+    """A snippet that ends in a space because it was cut there keeps it, as the SQL of the queries has it."""
+    cut = "y" * 239 + " "
+    hits = spark.createDataFrame([(1, "a.md", 0.9, cut), (2, "b.md", 0.8, " x ")], "chunk_id long, rel_path string, score double, snippet string")
+    row = answers.gathered(hits).select(answers.fallback(F.lit("q"), F.col("hits")).alias("fallback"), answers.prompt(F.lit("q"), F.col("hits"), "S").alias("prompt")).first()
+    assert row.fallback == f"Question: q\nTop context:\n- a.md: {cut}\n- b.md: x"
+    assert row.prompt == f"S\n\nQuestion:\nq\n\nContext:\n- [a.md] {cut}\n- [b.md] x\n"

@@ -35,7 +35,11 @@ def head(c: Column, n: Column | int) -> Column:
     return F.substring(c, F.lit(1), n if isinstance(n, Column) else F.lit(n))
 
 
-def snippet(c: Column, most: int = 240) -> Column:
+#: Characters of a snippet.
+SNIPPET = 240
+
+
+def snippet(c: Column, most: int = SNIPPET) -> Column:
     """The first characters of the trimmed text."""
     return head(trim(c), most)
 
