@@ -775,3 +775,23 @@ def test_hashed_words_that_cancel_out_have_unit_length(spark):
     vectors, _ = worker.embed_batch(frame, models.HashedWords)
     norms = vectors.select(F.round(V.dot(F.col("embedding"), F.col("embedding")), 3).alias("n")).collect()
     assert [r.n for r in norms] == [1.0, 1.0, 1.0]
+
+
+def test_archives_come_to_python_in_small_batches(spark):
+    """A worker holds some archives at a time, however many a task has."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+        @F.pandas_udf("binary")
+        def packed(n):
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as z:
+                z.writestr(f"of {len(n)}", "x")
+            return n.map(lambda _: buffer.getvalue())
+
+        files = spark.range(0, 300, 1, 1).select(F.concat(F.lit("p"), "id", F.lit(".zip")).alias("rel_path"), packed("id").alias("content"), F.lit(0).cast("long").alias("mtime_unix"))
+        sizes = archives.extracted(files).select(F.regexp_extract("rel_path", "of ([0-9]+)", 1).cast("int").alias("n")).collect()
+        assert len(sizes) == 300 and max(r.n for r in sizes) <= archives.ARCHIVES
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -13,7 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 MEMBER_BYTES = 10 * 1024 * 1024
+#: The most archives that a Python worker gets at a time, beside the bound on their bytes.
+ARCHIVES = 64
 #: Endings of archives that are opened.
 FORMATS = ((".tar.gz", "tar.gz"), (".tgz", "tar.gz"), (".tar.bz2", "tar.bz2"), (".tar", "tar"), (".zip", "zip"))
 
@@ -62,6 +66,7 @@ def members(kind: str, data: bytes, most_bytes: int = MEMBER_BYTES) -> Iterator[
 
 def extracted(files: DataFrame) -> DataFrame:
     """files (rel_path, content, size_bytes, mtime_unix, …) of archives -> the same columns for their members."""
+    small_batches(files.sparkSession, ARCHIVES)
     schema = "rel_path string, content binary, size_bytes long, mtime_unix long, source_type string"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
