@@ -91,6 +91,27 @@ def test_discovery(spark, tmp_path, monkeypatch):
     assert [bytes(r.content) for r in discover.with_content(stored.filter("rel_path = 'é b/c#d.md'")).collect()] == [b"y"]
 
 
+def test_files_are_read_once_and_archives_once_more(spark, tmp_path, monkeypatch):
+    root, log, read = tmp_path / "root", str(tmp_path / "opened"), discover._read
+    for n in range(2 * discover.READ_FILES + 1):
+        put(root, f"f{n}.md", f"text of {n}")
+    put(root, "bundle.zip", zipped(**{"in.md": "inside"}))
+    own = Corpus(spark, str(root), f"file://{tmp_path}/state", settings=Settings(snapshot_s=0))
+    listed = own.listed().coalesce(1).checkpoint()
+
+    def reading(path):
+        with open(log, "a") as f:
+            f.write(path.rsplit("/", 1)[-1] + "\n")
+        return read(path)
+
+    monkeypatch.setattr(discover, "_read", reading)
+    content = {r.rel_path: bytes(r.content) for r in own.files(listed).collect()}
+    plain = {f"f{n}.md": f"text of {n}".encode() for n in range(2 * discover.READ_FILES + 1)}
+    assert content.pop("bundle.zip/in.md") == b"inside" and content.pop("bundle.zip") and content == plain
+    with open(log) as f:
+        assert sorted(f.read().split()) == sorted([*plain, "bundle.zip", "bundle.zip"])
+
+
 def test_archives():
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w:gz") as t:

@@ -104,8 +104,10 @@ class Corpus:
         return found.filter(~globs.any_of(F.col("rel_path"), self.scan_excludes) | archives.format_of(F.col("rel_path")).isNotNull())
 
     def files(self, listed: DataFrame) -> DataFrame:
-        """Listed files and members of archives, with content."""
-        whole = archives.with_members(discover.with_content(listed))
+        """Listed files and members of archives, with content; only archives are read once more, for their members."""
+        packed = archives.format_of(F.col("rel_path")).isNotNull()
+        plain, found = discover.with_content(listed.filter(~packed)), discover.with_content(listed.filter(packed))
+        whole = plain.unionByName(archives.with_members(found))
         return whole.filter(~globs.any_of(F.col("rel_path"), self.scan_excludes))
 
     def recognise(self, media: DataFrame, kind: str) -> DataFrame:

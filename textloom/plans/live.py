@@ -40,19 +40,22 @@ LIVE_CHUNKS = CHUNKS_SQL.replace(FILES_SQL, LIVE_FILES)
 
 
 def write_files(files: DataFrame, root: str) -> int:
-    """rel_path, content as files below a folder; how many."""
-    at = discover.mounted(root)
+    """rel_path, content as files below a folder, written by all cores; how many."""
+    at, cores = discover.mounted(root), files.sparkSession.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = os.path.join(at, path)
-                os.makedirs(os.path.dirname(own), exist_ok=True)
+                if (parent := os.path.dirname(own)) not in made:
+                    os.makedirs(parent, exist_ok=True)
+                    made.add(parent)
                 with open(own, "w", encoding="utf-8", newline="") as f:
                     f.write(content)
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
 
-    return files.select("rel_path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return files.select("rel_path", "content").repartition(cores).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def made(spark: SparkSession, folder: str) -> Corpus:

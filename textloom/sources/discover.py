@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +31,8 @@ FILES = "rel_path string, path string, size_bytes long, mtime_unix long"
 ENTRIES = f"{FILES}, folder boolean, real string, rules string"
 #: Entries that a task returns at a time.
 ENTRY_BATCH = 4096
+#: Files, and bytes of them, that are handed on at a time once they are read.
+READ_FILES, READ_BYTES = 256, 4 << 20
 
 
 def mounted(root: str) -> str | None:
@@ -131,14 +132,26 @@ def listed(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES, use_ign
 
 
 def with_content(files: DataFrame) -> DataFrame:
-    """The content of listed files, read a file at a time in executors; files that went since are left out."""
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for row in part.itertuples(index=False):
-                content = _read(row.path)
-                if content is not None:
-                    yield pd.DataFrame([(row.rel_path, content, row.size_bytes, row.mtime_unix, "filesystem")], columns=["rel_path", "content", "size_bytes", "mtime_unix", "source_type"])
+    """The content of listed files, read in executors; files that went since are left out. A batch has READ_FILES of them, or fewer
+    where they come to READ_BYTES, which its last file exceeds at most."""
+    columns = ["rel_path", "content", "size_bytes", "mtime_unix", "source_type"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string()]
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], columns)
+        for batch in batches:
+            for rel_path, path, size_bytes, mtime in zip(*(column.to_pylist() for column in batch.columns)):
+                content = _read(path)
+                if content is None:
+                    continue
+                held.append((rel_path, content, size_bytes, mtime, "filesystem"))
+                size += len(content)
+                if len(held) >= READ_FILES or size >= READ_BYTES:
+                    yield batch_of()
+                    held, size = [], 0
+        if held:
+            yield batch_of()
 
-    spread = files.repartition(files.sparkSession.sparkContext.defaultParallelism)
-    return spread.mapInPandas(read, "rel_path string, content binary, size_bytes long, mtime_unix long, source_type string")
+    spread = files.select("rel_path", "path", "size_bytes", "mtime_unix").repartition(files.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInArrow(read, "rel_path string, content binary, size_bytes long, mtime_unix long, source_type string")
