@@ -86,6 +86,21 @@ def test_secrets(spark):
     assert not one(spark, secrets.sample_has_secret(F.lit(" " * secrets.SAMPLE_BYTES + yes[0])))
 
 
+def test_words_of_secret_patterns_are_in_every_match(spark):
+    """Looking for a pattern's words first never loses a match, whatever the case, and patterns without words are matched as they are."""
+    k, rnd = "k" * 40, random.Random(3)
+    parts = ["AKIA" + "Z" * 16, "akia" + "Z" * 16, f"sk_{k}", f"api_{k}", f"SK_{k}", f"ToKeN: {k}", f"to\u212aen: {k}", f"AWS_secret.Access_KEY={k}", f"sEcRet = {k}", f"secret access key:{k}", f"ID_Token={k}.{k}.{k}", f"Authorization: BEARER {k}.{k}.{k}", "token", "", "İ", "own"]
+    texts = [*parts, None, *(" ".join(rnd.choices(parts[-4:] + ["é", "x"], k=3)) + rnd.choice(parts) for _ in range(40))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for patterns in (secrets.PATTERNS, ("own", " ", *secrets.PATTERNS[2:]), ()):
+        plain = F.lit(False)
+        for p in patterns:
+            plain = plain | F.col("t").rlike(p) if p.strip() else plain
+        got = rows.select("t", secrets.has_secret(F.col("t"), patterns).alias("a"), plain.alias("b")).collect()
+        assert [(r.t, r.a) for r in got] == [(r.t, r.b) for r in got]
+    assert set(secrets.SIGNS) == set(secrets.PATTERNS)
+
+
 @pytest.mark.parametrize(
     ("query", "code"),
     [("func main() {", True), ("how does it work", False), ("return the value", False), ("what is `x` in main.go", True), ("```print```", True), ("class of 1999", False), ("see app.js [1]", True)],
