@@ -244,3 +244,18 @@ def test_runs_are_cut_by_weight_at_every_row():
     found = [(r.column("key")[0].as_py(), r.column("n").to_pylist(), whole) for r, whole in simhash.runs(iter(pieces), 64, "n", 1500)]
     assert sum((n for _, n, _ in found), []) == heavy and all(sum(n[:-1]) <= 1500 and len(n) <= 65 for _, n, _ in found)
     assert [whole for k, _, whole in found if k == 2] == [True] and not any(whole for k, _, whole in found if k != 2)
+
+
+def test_trees_of_wide_fingerprints_find_what_may_be_alike():
+    """The pairs within the radius, from trees that are built row by row or level by level, with equal rows and rows at one distance."""
+    rnd = np.random.default_rng(5)
+    for n, few, flips in ((1, 1, 0), (2, 2, 9), (12, 4, 40), (16, 16, 70), (17, 5, 40), (90, 9, 60), (200, 150, 45)):
+        values = rnd.integers(0, 2**63, (few, 4), dtype=np.uint64)[rnd.integers(0, few, n)]
+        for i in range(0, n, 2):
+            for bit in rnd.integers(0, 256, flips):
+                values[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        near = np.bitwise_count(values[:, None] ^ values).sum(axis=2) <= simhash.DIFFER
+        found = [pair for i, j in simhash.tree_pairs(values, simhash.DIFFER) for pair in zip(i.tolist(), j.tolist())]
+        assert len(found) == len(set(found)) and set(found) == set(zip(*(side.tolist() for side in np.nonzero(near))))
+    apart = np.array([[1 << i, 0, 0, 0] for i in range(40)], np.uint64)  # each below the one before
+    assert sum(len(i) for i, _ in simhash.tree_pairs(apart, 1)) == 40 and sum(len(i) for i, _ in simhash.tree_pairs(apart, 2)) == 1600

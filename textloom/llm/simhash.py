@@ -10,7 +10,8 @@ corpus, so it isn't used; the shards travel by a range partitioning instead, whi
   that a task boundary cuts, are linked another exact way: fingerprints within two bits of each other share one that is
   within one bit of both, and at most 65 fingerprints share it.
 * ``near_groups`` groups documents whose sets of five-word shingles are alike by 0.8 or more, through wide fingerprints of
-  the sets: the shard keys are minimum hashes, of which such sets share most.
+  the sets: the shard keys are minimum hashes, of which such sets share most. A BK-tree of a shard's wide fingerprints finds what
+  may be alike, and an exact comparison of shingles follows.
 
 Equal fingerprints are one node with the smallest id. Defined cases: a null or empty text has the fingerprint zero and is
 linked like any other by ``groups_within``; ``near_groups`` leaves it alone. Repeated rows have equal results. A null id
@@ -224,6 +225,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, most: int =
 #: Minimum hashes of a set of shingles, of which each pair is a shard key; bits of its wide fingerprint, how many of them may
 #: differ for a pair to be looked at (sets alike by 0.8 differ by 39 on average, very small ones by up to 48; their spread is 6).
 MINIMA, WIDE, DIFFER = 6, 256, 80
+#: A shard of at most so many rows gets its tree row by row, a larger one level by level.
+FEW = 16
 #: The most documents of a cell, and the most shingles that they have together (beyond the first few).
 ROWS, SHINGLES = 1024, 2_000_000
 PAIRS = tuple(combinations(range(MINIMA), 2))
@@ -247,8 +250,62 @@ def sketch(text: str | None, size: int = 5) -> tuple[bytes, int] | None:
     return majority_bits(raw) + np.array(minima, "<u4").tobytes(), len(own)
 
 
+def level_pairs(values: np.ndarray, radius: int, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of all values (n, words of 64 bits), no two equal, within the radius, by a BK-tree that is built and searched a level at
+    a time, so many values at once. The tree is the one that adding value after value makes."""
+    width = values.shape[1] * 64 + 1
+    apart = lambda a, b: np.bitwise_count(values[a] ^ values[b]).sum(axis=1, dtype=np.int64)
+    waiting, at, edges, below = np.arange(1, len(values)), np.zeros(len(values) - 1, np.int64), [], []
+    while len(waiting):
+        edge = at * width + apart(waiting, at)
+        made, first, of = np.unique(edge, return_index=True, return_inverse=True)
+        edges.append(made)
+        below.append(waiting[first])
+        rest = np.ones(len(waiting), bool)
+        rest[first] = False
+        waiting, at = waiting[rest], below[-1][of[rest]]
+    edge, child = np.concatenate([*edges, np.empty(0, np.int64)]), np.concatenate([*below, np.empty(0, np.int64)])
+    order = np.argsort(edge)
+    edge, child = edge[order], child[order]
+    for a in range(0, len(values), rows):
+        asked = np.arange(a, min(a + rows, len(values)))
+        node = np.zeros(len(asked), np.int64)
+        while len(asked):
+            d = apart(asked, node)
+            near = d <= radius
+            yield asked[near], node[near]
+            low = np.searchsorted(edge, node * width + np.maximum(d - radius, 0))
+            n = np.searchsorted(edge, node * width + np.minimum(d + radius, width - 1), "right") - low
+            steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            asked, node = np.repeat(asked, n), child[np.repeat(low, n) + steps]
+
+
+def tree_pairs(values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of all rows of values (n, words of 64 bits) within the radius, each with itself too, by a BK-tree; equal rows are one node."""
+    if len(values) > FEW:
+        own, of = np.unique(values, axis=0, return_inverse=True)
+        of = of.ravel()
+        order, n = np.argsort(of, kind="stable"), np.bincount(of)
+        start = np.cumsum(n) - n
+        for u, v in level_pairs(own, radius):
+            # the rows of u, each with the rows of v
+            pairs = n[u] * n[v]
+            step, v_n = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs), np.repeat(n[v], pairs)
+            yield order[np.repeat(start[u], pairs) + step // v_n], order[np.repeat(start[v], pairs) + step % v_n]
+        return
+    numbers = [int.from_bytes(row.tobytes(), "little") for row in values]
+    tree, rows = BKTree(), []
+    for i, number in enumerate(numbers):
+        node = tree.add(number)
+        if node == len(rows):
+            rows.append([])
+        rows[node].append(i)
+    yield tuple(np.array(side) for side in zip(*((i, j) for i, number in enumerate(numbers) for node, _ in tree.within(number, radius) for j in rows[node])))
+
+
 def with_partner(own: pa.RecordBatch, radius: int, similarity: float) -> np.ndarray:
-    """Which rows of a shard (key, pair, sketch, node, n, component) may be alike to another one of another component.
+    """Which rows of a shard (key, pair, sketch, node, n, component) may be alike to another one of another component: those that a
+    BK-tree of the shard's wide fingerprints finds within the radius, if sizes and minimum hashes allow it.
 
     Rows that share several shards are told here only in the first of them."""
     made = np.frombuffer(b"".join(own.column("sketch").to_pylist()), SKETCH)
@@ -256,14 +313,11 @@ def with_partner(own: pa.RecordBatch, radius: int, similarity: float) -> np.ndar
     n, component = (own.column(c).to_numpy(zero_copy_only=False) for c in ("n", "component"))
     a, b = PAIRS[own.column("pair")[0].as_py()]
     has = np.zeros(len(fp), bool)
-    for i in range(0, len(fp), 64):
-        here = slice(i, i + 64)
-        ok = np.bitwise_count(fp[here, None] ^ fp).sum(axis=2, dtype=np.int32) <= radius
-        ok &= np.minimum(n[here, None], n) >= similarity * np.maximum(n[here, None], n)
-        same = minima[here, None, : b + 1] == minima[:, : b + 1]
-        ok &= same[..., a] & same[..., b] & (same.sum(axis=2) == 2)
-        ok &= component[here, None] != component
-        has |= ok.any(axis=0)
+    for i, j in tree_pairs(fp, radius):
+        ok = (component[i] != component[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        same = minima[i, : b + 1] == minima[j, : b + 1]
+        has[j[same[:, a] & same[:, b] & (same.sum(axis=1) == 2)]] = True
     return has
 
 
@@ -326,7 +380,7 @@ def _links(docs: DataFrame, members: DataFrame, size: int, similarity: float) ->
 def near_groups(docs: DataFrame, radius: int = DIFFER, size: int = 5, similarity: float = 0.8, most: int = ROWS, most_weight: int = SHINGLES) -> DataFrame:
     """node, doc_id, sig, component of every row with words; sig hashes the text, node the id and the text.
 
-    Documents that share a shard and whose fingerprints are within the radius are compared by their shingles, all of them unless links
+    Documents that share a shard and whose fingerprints its BK-tree finds within the radius are compared by their shingles, all of them unless links
     that were found join them already. Shards are compared in cells of bounded size (most rows, most_weight shingles).
     """
     small_batches(docs.sparkSession)
