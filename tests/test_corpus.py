@@ -1,5 +1,6 @@
 import io
 import json
+import math
 import os
 import random
 import re
@@ -8,6 +9,7 @@ import time
 import zipfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom import rpc, schemas, session, tools
@@ -217,6 +219,26 @@ def test_vectors(spark):
     assert ranked() == ranked(most_queries=2, most_vectors=2) and len(ranked()) == 10
 
 
+def test_search_each_by_products(spark):
+    """Many queries: the rows of all pairs, over ties, halves of the last digit and vectors without a direction; no pair is a row of the plan."""
+    rng = random.Random(11)
+    kinds = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(40)] + [[0.0] * 6, [1e-170] * 6, [1e200] * 6, [float("inf")] + [1.0] * 5, [float("nan")] + [1.0] * 5, [None] + [1.0] * 5, [2.0, 1.0], [], None]
+    own = [(i, kinds[i % len(kinds)] if i % 3 else [float(rng.randint(-2, 2)) for _ in range(6)]) for i in range(700)]
+    # cosines of 0.0000005 and 0.0000015 and their neighbours, to be rounded away from zero
+    own += [(1000 + i, [math.sqrt(1 - c * c), c, 0.0]) for i, c in enumerate(x + d for x in (5e-7, 1.5e-6, 2.5e-6) for d in (-1e-16, 0.0, 1e-16))] + [(1100, [0.0, 1.0, 0.0]), (1101, [0.0, -1.0, 0.0])]
+    rows = spark.createDataFrame(own, "chunk_id long, embedding array<double>").repartition(3)
+    asked = rows.filter("chunk_id % 2 = 0 OR chunk_id > 900").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query"))
+    pairs = rows.crossJoin(asked).filter("size(embedding) = size(query)")
+    scored = pairs.select("query_id", "chunk_id", F.round(V.cosine(F.col("embedding"), F.col("query"), V.norm(F.col("embedding")), V.norm(F.col("query"))), V.DIGITS).alias("score"))
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).filter("rank <= 7")
+    listed = lambda df: sorted(map(repr, df.select("query_id", "rank", "chunk_id", "score").collect()))
+    want = listed(best)
+    assert len(want) > 2000 and listed(V.search_each(rows, asked, 7)) == want and listed(V.search_each(rows, asked, 7, most_queries=100, most_vectors=200)) == want
+    for found in (V.search_each(rows, asked, 7), V.search_each(rows, asked, 7, most_queries=100, most_vectors=200)):
+        assert "zip_with" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+    assert V.search_each(rows, asked.limit(0), 7).count() == 0 == V.search_each(rows.limit(0), asked, 7).count()
+
+
 def test_fusion_of_ids_in_both(spark):
     vectors = spark.createDataFrame([("text", 1, [1.0, 0.0]), ("text", 2, [0.8, 0.2]), ("code", 2, [0.9, 0.1]), ("code", 3, [1.0, 0.0])], schemas.VECTORS)
     span = corpus.decoded_span(F.lit("lines"), F.lit(1), F.lit(1))

@@ -8,12 +8,17 @@ ties within rounding are broken by id and the order is total.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGITS = 6
+from . import pairs
+from .pairs import DIGITS
+
+#: Of so many queries the products cost more than dealing the vectors to all cores.
+DEALT_FROM = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,26 +55,40 @@ def dimension_mismatches(vectors: DataFrame, dimension: int) -> DataFrame:
     return vectors.agg(F.count_if(F.size("embedding") != dimension).alias("mismatches"))
 
 
-def search_each(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 1024, most_vectors: int = 8192) -> DataFrame:
+def search_each(vectors: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 16384, most_vectors: int = 32768) -> DataFrame:
     """query_id, chunk_id, score, rank for a set of queries (query_id, query).
 
-    The queries are counted. Up to ``most_queries`` are sent everywhere. More are dealt into blocks, and each block of queries
-    meets each block of vectors once, in a join on the pair of blocks. Either way the best of a query are found in each task
-    before they are shuffled.
+    The queries are counted. Up to ``most_queries`` are sent everywhere, and vectors meet them where they lie (those of many
+    queries are dealt to all cores first). More are dealt into blocks, and each block of queries meets each block of vectors
+    once, in a join on the pair of blocks. Either way a task multiplies matrices and passes on the best of each query alone.
     """
     n = queries.count()
-    vectors, queries = vectors.withColumn("v_norm", norm(F.col("embedding"))), queries.withColumn("q_norm", norm(F.col("query")))
+    vectors, queries = vectors.select("chunk_id", "embedding"), queries.select("query_id", "query")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id long, score double"
     if n <= most_queries:
-        both = vectors.crossJoin(F.broadcast(queries))
+        context = vectors.sparkSession.sparkContext
+        sent = context.broadcast(queries.toArrow())
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = pairs.Search(sent.value, k)
+            for batch in batches:
+                search.meet(batch)
+            yield from search.hits().to_batches()
+
+        scored = (vectors.repartition(context.defaultParallelism, "chunk_id") if n > DEALT_FROM else vectors).mapInArrow(meet, schema)
     else:
         q_blocks, v_blocks = -(-n // most_queries), max(1, -(-vectors.count() // most_vectors))
         own = lambda key, blocks: F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
         every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         dealt = vectors.withColumn("vb", own("chunk_id", v_blocks)).withColumn("qb", every(q_blocks))
         asked = queries.withColumn("qb", own("query_id", q_blocks)).withColumn("vb", every(v_blocks))
-        both = dealt.join(asked, ["qb", "vb"]).drop("qb", "vb")
-    both = both.filter(F.size("embedding") == F.size("query"))
-    scored = both.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("query"), F.col("v_norm"), F.col("q_norm")), DIGITS).alias("score"))
+
+        def meet_block(asked: pa.Table, dealt: pa.Table) -> pa.Table:
+            search = pairs.Search(asked, k)
+            search.meet(dealt)
+            return search.hits()
+
+        scored = asked.groupBy("qb", "vb").cogroup(dealt.groupBy("qb", "vb")).applyInArrow(meet_block, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
