@@ -311,6 +311,15 @@ def test_flatten(spark):
     assert not [x for x in ("Python", "Arrow", "Exchange") if x in spark.range(3).select(annotations.flatten_json(F.col("id").cast("string")))._jdf.queryExecution().toString()]
 
 
+def test_flatten_uses_all_cores(spark, sf):
+    """The rows of one file are not one task's."""
+    import __spark_entry__ as registered
+
+    assert spark.read.parquet(f"{sf}/events.parquet").rdd.getNumPartitions() == 1
+    sizes = registered.queries()["flatten_nested_json"](spark, sf).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 150 and sum(r["count"] for r in sizes) == 1000
+
+
 def test_spans(spark):
     def coded(**f):
         s = F.struct(*(F.lit(f.get(n, 0 if n != "kind" else "")).alias(n) for n in ("kind", "start_line", "end_line", "page", "start_ms", "end_ms")))

@@ -31,12 +31,14 @@ def _events(spark, folder):
        repeat('d[0].', event_id % 6 + 1) || 'p.k: ' || json_extract_string(props, '$.k') || chr(10) || repeat('d[0].', event_id % 6 + 1) || 't: ' || event_type || chr(10) || 'u: ' || user_id AS lines FROM events""",
 )
 def flatten_nested_json(spark, folder):
-    """Objects in lists in objects, one to six times."""
+    """Objects in lists in objects, one to six times. Rows in fewer parts than there are cores are dealt first, as a row takes long."""
     times = (F.col("event_id") % 6 + 1).cast("int")
     inner = F.concat(F.lit('{"t": " '), "event_type", F.lit(' ", "p": '), "props", F.lit(', "e": [" ", '), (F.col("event_id") % 100 / 8).cast("string"), F.lit(", null]}"))
     nested = F.concat(F.repeat(F.lit('{"d": ['), times - 1), F.lit('{"d": ['), inner, F.lit("]}"), F.repeat(F.lit("]}"), times - 1))
     json = F.concat(F.regexp_replace(nested, r"\}$", ', "u": '), "user_id", F.lit("}"))
-    return _events(spark, folder).select("event_id", annotations.flatten_json(json).alias("lines"))
+    rows, cores = _events(spark, folder).select("event_id", "user_id", "event_type", "props"), spark.sparkContext.defaultParallelism
+    dealt = rows.repartition(3 * cores, "event_id") if rows.rdd.getNumPartitions() < cores else rows
+    return dealt.select("event_id", annotations.flatten_json(json).alias("lines"))
 
 
 @query(
