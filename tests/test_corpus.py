@@ -847,3 +847,93 @@ def test_archives_come_to_python_in_small_batches(spark):
         assert len(sizes) == 300 and max(r.n for r in sizes) <= archives.ARCHIVES
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def held(folder):
+    return {p for p in folder.rglob("*") if p.is_file()}
+
+
+def test_scans_leave_no_intermediate_files(spark, tmp_path):
+    """What a scan and an embedding compute on the way goes with them, and shuffles go with their queries."""
+    from pathlib import Path
+
+    shared = Path(session.shared_folder(spark).removeprefix("file:"))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    root, before, setting = tmp_path / "root", held(shared), spark.conf.get(key)
+    for n in range(12):
+        put(root, f"d/f{n}.md", f"text {n}\n" * 200)
+    put(root, "talk.mp3", "[00:00] hello")
+    put(root, "page.pdf", "a page")
+    own = Corpus(spark, str(root), f"file://{tmp_path}/state", settings=Settings(snapshot_s=0))
+    own.scan()
+    own.embed()
+    put(root, "d/f3.md", "changed")
+    own.scan()
+    own.embed()
+    assert own.store.read("chunks").filter("NOT deleted AND embedding_status = 'ok'").count() == own.store.read("vectors").join(own.store.read("chunks").filter("NOT deleted"), "chunk_id").count() >= 14
+    assert held(shared) <= before
+    assert spark.conf.get(key) == setting
+
+
+def test_brief_shuffles_of_two_threads(spark):
+    """The first to end leaves the setting to the other, the last one puts it back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    one, other = session.brief_shuffles(spark), session.brief_shuffles(spark)
+    one.__enter__()
+    other.__enter__()
+    one.__exit__(None, None, None)
+    assert spark.conf.get(key) == "true"
+    other.__exit__(None, None, None)
+    assert spark.conf.get(key) == before
+
+
+def test_results_meet_texts_in_their_parts(spark, tmp_path):
+    """What an embedding came to is put into the chunks where they lie: no text is shuffled, and parts without results stay."""
+    own = store.Store(spark, f"file://{tmp_path}")
+    blank = {"rep_id": 1, "ordinal": 0, "rel_path": "p", "doc_type": "md", "rep_type": "raw_text", "text": "t", "text_hash": "h", "tokens_est": 1, "index_kind": "text", "embedding_status": "pending", "embedding_error": "", "deleted": False}
+    rows = [{**blank, "chunk_id": n, "rep_id": n, "text": f"text {n}"} for n in range(64)]
+    own.write(chunks=spark.createDataFrame(rows, schemas.CHUNKS))
+    first, plans = places(own, "chunks"), []
+
+    def into(made, results):
+        plans.append(changes.mark_embedding(made, results.hint("shuffle_hash")))
+        return plans[-1]
+
+    results = spark.createDataFrame([(3, "ok", None), (99, "ok", None), (5, "error", "bad")], "chunk_id long, status string, error string")
+    own.transaction(lambda _: {"chunks": store.Change(results, into=into)})
+    second = places(own, "chunks")
+    touched = {r[0] for r in results.select(own._part("chunks", 8)).distinct().collect()}
+    assert {leaf for leaf in first if first[leaf] != second[leaf]} == {f"part_={n}" for n in touched}
+    found = {r.chunk_id: (r.text, r.embedding_status, r.embedding_error) for r in own.read("chunks").collect()}
+    assert found == {n: (f"text {n}", *{3: ("ok", ""), 5: ("error", "bad")}.get(n, ("pending", ""))) for n in range(64)}
+    assert {r.chunk_id for r in own.bucketed("chunks")[0].join(spark.range(64).withColumnRenamed("id", "chunk_id").hint("shuffle_hash"), "chunk_id").collect()} == set(range(64))
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "text" in line] and plan.count("Exchange hash") <= 1
+
+
+def test_parts_that_were_too_large_go_at_once(spark, tmp_path):
+    """A table that is dealt anew doesn't leave what it was dealt from, unless that was published."""
+    own = store.Store(spark, f"file://{tmp_path}", parts=2, part_bytes=6000)
+    own.write(spans=spans_of(spark, range(2000)))
+    assert own._latest()[1]["spans"]["parts"] > 2 and own.read("spans").count() == 2000
+    assert {p.name for p in (tmp_path / "spans").iterdir()} == {at.split("/")[1] for at in places(own).values()}
+    before = own.read("spans")
+    own.upsert("spans", spans_of(spark, range(2000, 30000)))
+    assert before.count() == 2000 and own.read("spans").count() == 30000
+
+
+def test_whole_texts_are_kept_in_small_row_groups(spark, tmp_path):
+    """A reader decodes a row group at once, so groups of long texts have few rows."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    long = spark.range(0, 60, 1, 1).select("id", F.expr("repeat(sha2(cast(id AS string), 512), 8000)").alias("text"), F.expr("aggregate(sequence(1, 4000), '', (a, n) -> concat(a, sha2(concat(id, ' ', n), 512)))").alias("mixed"))
+    short = spark.range(0, 1000, 1, 1).select("id", F.lit("x").alias("text"), F.lit("y").alias("mixed"))
+    with session.steps(spark) as kept:
+        for frame, most in ((long, 40), (short, 256)):
+            made = kept(frame, **session.TEXT_ROWS)
+            files = [f for at in made.inputFiles() for f in glob.glob(at.removeprefix("file://"))]
+            groups = [pq.ParquetFile(f).metadata.row_group(n).num_rows for f in files for n in range(pq.ParquetFile(f).metadata.num_row_groups)]
+            assert sum(groups) == frame.count() == made.count() and max(groups) <= most

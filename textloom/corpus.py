@@ -21,7 +21,7 @@ from . import schemas
 from .functions import classify, globs, secrets
 from .functions import text as T
 from .operators import annotations, answers, changes, corpus, listing, opening, paging, retrieval
-from .session import checkpointed, deadline
+from .session import TEXT_ROWS, checkpointed, deadline, steps
 from .sources import archives, discover, models
 from .sources.store import Change, Store, append_events, read_snapshot, write_snapshot
 from .streaming import worker
@@ -97,10 +97,10 @@ class Corpus:
 
     # scanning
 
-    def listed(self) -> DataFrame:
+    def listed(self, kept: Callable[..., DataFrame] = checkpointed) -> DataFrame:
         """The files of the corpus, without their content; archives are listed even if their own path is excluded, for their members."""
         own = self.settings
-        found = discover.listed(self.spark, self.root, own.most_bytes, own.use_ignore_files, own.follow_links)
+        found = discover.listed(self.spark, self.root, own.most_bytes, own.use_ignore_files, own.follow_links, kept)
         return found.filter(~globs.any_of(F.col("rel_path"), self.scan_excludes) | archives.format_of(F.col("rel_path")).isNotNull())
 
     def files(self, listed: DataFrame) -> DataFrame:
@@ -110,14 +110,14 @@ class Corpus:
         whole = plain.unionByName(archives.with_members(found))
         return whole.filter(~globs.any_of(F.col("rel_path"), self.scan_excludes))
 
-    def recognise(self, media: DataFrame, kind: str) -> DataFrame:
+    def recognise(self, media: DataFrame, kind: str, kept: Callable[..., DataFrame]) -> DataFrame:
         """text and error for documents (rel_path, content_hash, bytes), read through the cache: equal contents are recognised once,
         and what was recognised in an earlier scan isn't again. New texts go into the cache, which is then cut to its bounds."""
         table = CACHES[kind]
         cached = self.store.read(table).select(F.col("key").alias("content_hash"), F.col("text").alias("known"))
         wanted = media.join(cached, "content_hash", "left_anti").dropDuplicates(["content_hash"])
         model = models.recognition(self.backends.speech) if kind == "transcript" else models.recognition(self.backends.pages, models.PAGE_ENDINGS, models.PAGE_BYTES)
-        fresh = checkpointed(wanted.select("content_hash", model(F.col("rel_path"), F.col("bytes")).alias("made")))
+        fresh = kept(wanted.select("content_hash", model(F.col("rel_path"), F.col("bytes")).alias("made")), **TEXT_ROWS)
         self.remember(kind, fresh.filter("made.error IS NULL").select(F.col("content_hash").alias("key"), F.col("made.text").alias("text")))
         found = media.select("rel_path", "content_hash").join(fresh, "content_hash", "left").join(cached, "content_hash", "left")
         return found.select("rel_path", F.coalesce("known", "made.text").alias("text"), F.when(F.col("known").isNull(), F.col("made.error")).alias("error"))
@@ -139,7 +139,7 @@ class Corpus:
 
             self.store.transaction(evicted)
 
-    def text_of(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def text_of(self, docs: DataFrame, kept: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
         """(representations, failures): raw text, recognised pages and transcripts of changed documents; and the paths that a
         recogniser failed on, with its error."""
         columns = ["rep_id", "doc_id", "rep_type", "rep_hash", "created_unix", "deleted", "rel_path", "doc_type", "text"]
@@ -148,7 +148,7 @@ class Corpus:
         media = docs.filter("raw IS NOT NULL").withColumnRenamed("raw", "bytes")
         for kind in CACHES:
             own = media.filter((F.col("doc_type") == "audio") == F.lit(kind == "transcript"))
-            made = checkpointed(own.select("rel_path", "doc_id", "doc_type").join(self.recognise(own, kind), "rel_path"))
+            made = kept(own.select("rel_path", "doc_id", "doc_type").join(self.recognise(own, kind, kept), "rel_path"), **TEXT_ROWS)
             rows = made.filter("error IS NULL").select(
                 corpus.stable_id(F.col("doc_id"), F.lit(kind)).alias("rep_id"), "doc_id", F.lit(kind).alias("rep_type"), T.sha256(F.col("text")).alias("rep_hash"),
                 F.lit(0).cast("long").alias("created_unix"), F.lit(False).alias("deleted"), "rel_path", "doc_type", "text",
@@ -157,10 +157,10 @@ class Corpus:
             failures = failures.unionByName(made.filter("error IS NOT NULL").select("rel_path", "error"))
         return reps, failures
 
-    def chunked(self, reps: DataFrame) -> DataFrame:
+    def chunked(self, reps: DataFrame, kept: Callable[..., DataFrame]) -> DataFrame:
         own = lambda kind: reps.filter(F.col("rep_type") == kind)
         made = corpus.chunks(own("raw_text")).unionByName(corpus.page_chunks(own("ocr_markdown"))).unionByName(corpus.time_chunks(own("transcript")))
-        return checkpointed(made)
+        return kept(made, **TEXT_ROWS)
 
     def scan(self, force: bool = False) -> None:
         """Bring the tables up to the files.
@@ -170,50 +170,53 @@ class Corpus:
         with other patterns or limits than in the last scan, or force is set, everything is read again. What is left is taken in
         rounds of bounded size; in each, documents, representations, chunks and spans come into being together, and the last one
         marks what is missing. So the tables, and the counters in ``progress``, move while a scan runs, and one that is broken off
-        keeps its rounds. In a round the new rows are checkpointed once: the models and the reader run a single time, and a lost
-        executor doesn't start them again. A document that a recogniser fails on gets the status error and is tried again by the
+        keeps its rounds. In a round the new rows are written once: the models and the reader run a single time, and a lost
+        executor doesn't start them again. These files are compressed and go as soon as nothing is drawn from them, the contents
+        before the chunks are dealt. A document that a recogniser fails on gets the status error and is tried again by the
         next scan; the others go on.
         """
         self.running, self.progress = True, dict.fromkeys(PROGRESS, 0)
         try:
-            with self.snapshots():
-                self._scan(force)
+            with self.snapshots(), steps(self.spark) as kept:
+                self._scan(force, kept)
         finally:
             self.running = False
         self.write_snapshot()
         self.store.expire()
 
-    def _scan(self, force: bool) -> None:
+    def _scan(self, force: bool, kept: Callable[..., DataFrame]) -> None:
         began, own = int(time.time()), self.settings
         made_with = hashlib.sha256(json.dumps([self.scan_excludes, self.secret_patterns, own.most_bytes, own.use_ignore_files, own.follow_links]).encode()).hexdigest()
         since = int(self.store.get(SCANNED_AT, "0")) if not force and self.store.get(SCANNED_WITH) == made_with else 0
         stored = self.store.read("documents")
-        listed = checkpointed(self.listed())
-        still = checkpointed(changes.unmoved(stored, listed, since)) if since else stored.limit(0).select("rel_path")
-        kept = checkpointed(still.unionByName(changes.archive_members(stored, still).select("rel_path")))
+        listed = kept(self.listed(kept))
+        still = kept(changes.unmoved(stored, listed, since)) if since else stored.limit(0).select("rel_path")
+        seen = kept(still.unionByName(changes.archive_members(stored, still).select("rel_path")))
         work = listed.join(still, "rel_path", "left_anti")
         rounds = max(1, -(-(work.agg(F.sum("size_bytes")).first()[0] or 0) // own.round_bytes))
-        dealt = checkpointed(work.withColumn("round", F.pmod(F.xxhash64("rel_path"), F.lit(rounds))))
-        seen = kept
+        dealt = kept(work.withColumn("round", F.pmod(F.xxhash64("rel_path"), F.lit(rounds))))
         scanned = self.spark.createDataFrame([(SCANNED_AT, str(began)), (SCANNED_WITH, made_with)], schemas.SETTINGS)
         for n in range(rounds):
             last = n + 1 == rounds
-            seen = seen.unionByName(self._round(stored, dealt.filter(F.col("round") == n), force, seen if last else None, scanned if last else None))
+            seen = seen.unionByName(self._round(stored, dealt.filter(F.col("round") == n), force, kept, seen if last else None, scanned if last else None))
 
-    def _round(self, stored: DataFrame, listed: DataFrame, force: bool, seen: DataFrame | None, settings: DataFrame | None) -> DataFrame:
+    def _round(self, stored: DataFrame, listed: DataFrame, force: bool, kept: Callable[..., DataFrame], seen: DataFrame | None, settings: DataFrame | None) -> DataFrame:
         """Take in listed files; the paths found. With the paths seen in earlier rounds, all that is stored beyond them is missing."""
         counters = Observation()
         known = changes.clear_hashes(stored) if force else stored
-        found = checkpointed(listing.observed(corpus.documents(self.files(listed), self.secret_patterns), counters))
-        work = changes.changed(known, found, force).filter("action <> 'keep'")
-        reps, failures = self.text_of(work)
-        reps = checkpointed(reps)
-        failed = failures.select("rel_path", F.lit("error").alias("failed"))
-        docs = checkpointed(found.join(failed, "rel_path", "left").withColumn("status", F.coalesce("failed", "status")).select(*stored.columns))
-        refused = work.filter("status <> 'ok'").select("rel_path").unionByName(failures.select("rel_path"))
-        paths = found.select("rel_path")
-        gone = lambda now: now.limit(0) if seen is None else changes.missing(now, seen.unionByName(paths))
-        self.put(reps, self.chunked(reps), lambda now: (docs, gone(now), refused), settings)
+        with steps(self.spark) as rows:
+            with steps(self.spark) as texts:
+                read = listing.observed(corpus.documents(self.files(listed), self.secret_patterns), counters)
+                found = texts(changes.changed(known, read, force), **TEXT_ROWS)
+                work = found.filter("action <> 'keep'")
+                reps, failures = self.text_of(work, texts)
+                failed = failures.select("rel_path", F.lit("error").alias("failed"))
+                docs = rows(found.join(failed, "rel_path", "left").withColumn("status", F.coalesce("failed", "status")).select(*stored.columns))
+                refused = rows(work.filter("status <> 'ok'").select("rel_path").unionByName(failures.select("rel_path")))
+                made, reps = self.chunked(reps, rows), rows(reps.drop("text"))
+            paths = kept(docs.select("rel_path"))
+            gone = lambda now: now.limit(0) if seen is None else changes.missing(now, seen.unionByName(paths))
+            self.put(reps, made, lambda now: (docs, gone(now), refused), settings)
         for name in PROGRESS:
             self.progress[name] += counters.get[name]
         return paths
@@ -529,7 +532,7 @@ class Corpus:
                 F.lit(0).cast("long").alias("created_unix"), F.lit(False).alias("deleted"), "rel_path", "doc_type", F.lit(text).alias("text"),
             )
             rep = checkpointed(rep)
-            self.put(rep, self.chunked(rep), lambda stored: (docs, stored.limit(0), stored.limit(0)))
+            self.put(rep, self.chunked(rep, lambda made, **_: checkpointed(made)), lambda stored: (docs, stored.limit(0), stored.limit(0)))
         elif doc is None:
             self.store.upsert("documents", docs)
         return text, not cached, indexed

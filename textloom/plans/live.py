@@ -20,7 +20,7 @@ from ..corpus import Backends, Corpus, Settings
 from ..functions import globs
 from ..operators import corpus as operators
 from ..operators import listing
-from ..session import shared_folder
+from ..session import brief_shuffles, shared_folder
 from ..sources import discover
 from . import sample
 from .catalogue import query
@@ -55,7 +55,8 @@ def write_files(files: DataFrame, root: str) -> int:
                     f.write(content)
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
 
-    return files.select("rel_path", "content").repartition(cores).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    with brief_shuffles(files.sparkSession):
+        return files.select("rel_path", "content").repartition(cores).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def made(spark: SparkSession, folder: str) -> Corpus:
@@ -67,6 +68,7 @@ def made(spark: SparkSession, folder: str) -> Corpus:
         own = Corpus(spark, f"{base}/root", f"{base}/state", settings=Settings(snapshot_s=0))
         own.scan()
         own.embed()
+        own.store.expire(keep=1, readable_s=0)  # nobody has read what it held before it was embedded
         _MADE[key] = own
     return _MADE[key]
 

@@ -20,4 +20,6 @@ KEYS = {"documents": ["rel_path"], "representations": ["doc_id", "rep_type"], "c
 PART_KEYS = {"documents": "rel_path", "representations": "doc_id", "chunks": "chunk_id", "spans": "chunk_id", "vectors": "chunk_id", "settings": "key", "ocr_cache": "key", "transcript_cache": "key"}
 #: By what the parts of a table are divided further.
 PART_FOLDERS = {"vectors": ["index_kind"]}
+#: Tables with whole texts, which are packed tighter than the session's setting has it.
+TEXTS = ("chunks", "ocr_cache", "transcript_cache")
 TABLES = {"documents": DOCUMENTS, "representations": REPRESENTATIONS, "chunks": CHUNKS, "spans": SPANS, "vectors": VECTORS, "settings": SETTINGS, "ocr_cache": CACHE, "transcript_cache": CACHE}

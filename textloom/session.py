@@ -6,12 +6,19 @@ import os
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Of each session that has brief shuffles now: how many ask for them, and how its setting was before.
+_BRIEF: dict[str, tuple[int, str]] = {}
+_BRIEF_LOCK = threading.Lock()
+
+#: Options of steps() for rows with whole texts: row groups of bounded rows and bytes, whose size is looked at after every few rows, as a
+#: reader decodes a row group at once.
+TEXT_ROWS = {"parquet.block.row.count.limit": "256", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16"}
 
 
 def build_session(app: str = "textloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -103,6 +110,45 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The files of a shuffle go with the query that wrote them, not when the driver's garbage is collected. For queries that run once;
+    others are right too, but a second run makes its shuffles again. The last of several threads puts the setting back."""
+    key, session = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", str(spark._jsparkSession.sessionUUID())
+    with _BRIEF_LOCK:
+        n, before = _BRIEF.get(session, (0, spark.conf.get(key)))
+        _BRIEF[session] = n + 1, before
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        with _BRIEF_LOCK:
+            n, before = _BRIEF.pop(session)
+            if n > 1:
+                _BRIEF[session] = n - 1, before
+            else:
+                spark.conf.set(key, before)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Computes frames once, as checkpointed() does, but into compressed files that go when the body ends: what is drawn from them
+    has to be written by then. Options are those of the writer."""
+    folder = f"{shared_folder(spark)}/textloom/steps-{uuid.uuid4().hex}"
+
+    def kept(frame: DataFrame, **options: str) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        frame.write.options(compression="zstd", **options).parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    try:
+        with brief_shuffles(spark):
+            yield kept
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
     """Arrow batches of at most so many rows and (beyond one row) bytes, so that a batch of long texts stays small in a Python worker.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from urllib.parse import quote
 
@@ -89,8 +89,8 @@ def _read(path: str) -> bytes | None:
         return None
 
 
-def listed(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES, use_ignore_files: bool = True, follow_links: bool = False) -> DataFrame:
-    """rel_path, path, size_bytes, mtime_unix of the files of a tree; nothing but ignore files is opened."""
+def listed(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES, use_ignore_files: bool = True, follow_links: bool = False, kept: Callable[..., DataFrame] = checkpointed) -> DataFrame:
+    """rel_path, path, size_bytes, mtime_unix of the files of a tree; nothing but ignore files is opened. kept: how levels are kept."""
     local = mounted(root)
     real_root = os.path.realpath(local) if local else root
 
@@ -120,12 +120,12 @@ def listed(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES, use_ign
     level = spark.createDataFrame([("", local or root, real_root, "[]")], "rel_path string, path string, real string, rules string")
     entered, levels = level.select("real"), []
     while True:
-        found = checkpointed(level.repartition(spark.sparkContext.defaultParallelism).mapInArrow(entries, ENTRIES))
+        found = kept(level.repartition(spark.sparkContext.defaultParallelism).mapInArrow(entries, ENTRIES))
         levels.append(found.filter("NOT folder").select("rel_path", "path", "size_bytes", "mtime_unix"))
         level = found.filter("folder").select("rel_path", "path", "real", "rules")
         if follow_links and local:
             fresh = level.join(entered, "real", "left_anti").groupBy("real").agg(F.min(F.struct("rel_path", "path", "rules")).alias("f"))
-            level = checkpointed(fresh.select("f.rel_path", "f.path", "real", "f.rules"))
+            level = kept(fresh.select("f.rel_path", "f.path", "real", "f.rules"))
             entered = entered.unionByName(level.select("real"))
         if level.isEmpty():
             return reduce(DataFrame.unionByName, levels)

@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..operators import changes
-from ..session import checkpointed
+from ..session import brief_shuffles, steps
 
 #: Of each table the number of its parts, and the folder of each part by its name (part_=3, or part_=3/index_kind=text).
 Manifest = dict[str, dict[str, Any]]
@@ -45,10 +45,15 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Change:
-    """Rows that replace those of their key, and rows that go: all with a value of the table's part key in ``removed``."""
+    """Rows that replace those of their key, and rows that go: all with a value of the table's part key in ``removed``.
+
+    Or, with ``into``, rows of few columns with the table's part key, and how they are put into the rows of the parts that they touch;
+    it leaves every row in its part, so none is dealt anew.
+    """
 
     rows: DataFrame
     removed: DataFrame | None = None
+    into: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
 
 class Store:
@@ -140,7 +145,7 @@ class Store:
     def _read(self, table: str, places: Mapping[str, str]) -> DataFrame:
         empty = self.spark.createDataFrame([], schemas.TABLES[table])
         if not places:
-            return empty
+            return empty.limit(0)  # so that a plan knows: a join with it moves nothing
         paths = (f"{self.folder}/{p}" for p in sorted(places.values()))
         return self.spark.read.schema(empty.schema).option("basePath", f"{self.folder}/{table}").parquet(*paths).select(*empty.columns)
 
@@ -163,7 +168,7 @@ class Store:
         _, now = self._latest()
         return tuple(self._in_catalog(table, now[table]) if table in now else self._read(table, {}) for table in tables)
 
-    def _in_catalog(self, table: str, entry: dict[str, Any]) -> DataFrame:
+    def _in_catalog(self, table: str, entry: dict[str, Any], parts: list[int] | None = None) -> DataFrame:
         columns = self.spark.createDataFrame([], schemas.TABLES[table]).schema
         if not entry["places"]:
             return self.spark.createDataFrame([], columns)
@@ -176,7 +181,8 @@ class Store:
             spec = lambda leaf: ", ".join(f"{k} = '{v}'" for k, v in (x.split("=") for x in leaf.split("/")))
             places = " ".join(f"PARTITION ({spec(leaf)}) LOCATION '{self.folder}/{at}'" for leaf, at in sorted(entry["places"].items()))
             self.spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {places}")
-        return self.spark.table(name).select(*columns.names)
+        rows = self.spark.table(name)
+        return (rows if parts is None else rows.filter(F.col("part_").isin(parts))).select(*columns.names)
 
     def forget(self) -> None:
         """Take the store's tables out of the session's catalog; their files stay."""
@@ -184,16 +190,18 @@ class Store:
             if t.name.startswith("textloom_") and t.name.removeprefix("textloom_").rpartition("_")[0] in schemas.TABLES:
                 self.spark.sql(f"DROP TABLE IF EXISTS {t.name}")
 
-    def _written(self, table: str, frame: DataFrame, parts: int, lease: str, most: int | None = None) -> dict[str, str]:
-        """The rows in new folders, a bucket to each part. most: how many of the parts the rows are in."""
+    def _written(self, table: str, frame: DataFrame, parts: int, lease: str, most: int | None = None, dealt: bool = False) -> dict[str, str]:
+        """The rows in new folders, a bucket to each part. most: how many of the parts the rows are in; dealt: whether they lie by parts."""
         at = f"{table}/v_=x{lease}-{uuid.uuid4().hex[:8]}"
         columns = self.spark.createDataFrame([], schemas.TABLES[table]).schema
         key, by = schemas.PART_KEYS[table], ["part_", *schemas.PART_FOLDERS.get(table, [])]
         rows = frame.select(*(F.col(f.name).cast(f.dataType) for f in columns)).withColumn("part_", self._part(table, parts))
-        dealt = rows.repartition(parts, key) if most is None else rows.repartition(most, "part_")
+        if not dealt:
+            rows = rows.repartition(parts, key) if most is None else rows.repartition(most, "part_")
         name = f"textloom_writing_{uuid.uuid4().hex}"  # the catalog's writer alone makes buckets
         try:
-            dealt.write.format("parquet").partitionBy(*by).bucketBy(parts, key).option("path", f"{self.folder}/{at}").saveAsTable(name)
+            with brief_shuffles(self.spark):
+                rows.write.format("parquet").options(**({"compression": "zstd"} if table in schemas.TEXTS else {})).partitionBy(*by).bucketBy(parts, key).option("path", f"{self.folder}/{at}").saveAsTable(name)
         finally:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         leaves = [""]
@@ -210,7 +218,8 @@ class Store:
             self._commit({name: self._sized(name, {"parts": counts[name], "places": self._written(name, frame, counts[name], lease)}, lease) for name, frame in tables.items()})
 
     def _sized(self, table: str, entry: dict[str, Any], lease: str, new: set[str] | None = None) -> dict[str, Any]:
-        """The entry, dealt into twice as many parts as often as it takes if one of its new parts has become large."""
+        """The entry, dealt into twice as many parts as often as it takes if one of its new parts has become large. What was written
+        for it under this lease, and nobody has seen, goes then."""
         sizes: dict[str, int] = {}
         for leaf, at in entry["places"].items():
             if new is None or leaf in new:
@@ -221,21 +230,33 @@ class Store:
         if times <= 1:
             return entry
         parts = entry["parts"] << (times - 1).bit_length()
-        return {"parts": parts, "places": self._written(table, self._read(table, entry["places"]), parts, lease)}
+        whole = self._written(table, self._read(table, entry["places"]), parts, lease)
+        for at in {"/".join(at.split("/")[:2]) for at in entry["places"].values()}:
+            if at.startswith(f"{table}/v_=x{lease}-"):
+                path, fs = self._path(at)
+                fs.delete(path, True)
+        return {"parts": parts, "places": whole}
 
     def _changed(self, table: str, change: Change, entry: dict[str, Any], lease: str) -> dict[str, Any]:
         """The table's entry with the parts written anew that the change touches, and no others."""
-        rows = checkpointed(change.rows.select(*self.spark.createDataFrame([], schemas.TABLES[table]).columns))
         key, places, count = schemas.PART_KEYS[table], entry["places"], entry["parts"]
-        touched = rows.select(key) if change.removed is None else rows.select(key).unionByName(change.removed.select(key))
-        parts = {f"part_={r[0]}" for r in touched.select(self._part(table, count)).distinct().collect()}
-        if not parts:
-            return entry
-        touches = lambda leaf: leaf.split("/")[0] in parts
-        old = self._read(table, {leaf: at for leaf, at in places.items() if touches(leaf)})
-        if change.removed is not None:
-            old = old.join(change.removed.select(key), key, "left_anti")
-        made = self._written(table, changes.merge(old, rows, schemas.KEYS[table]), count, lease, len(parts))
+        if not places:  # nothing to meet
+            made = {} if change.into is not None else self._written(table, change.rows, count, lease)
+            return self._sized(table, {"parts": count, "places": made}, lease)
+        with steps(self.spark) as kept:
+            rows = kept(change.rows if change.into is not None else change.rows.select(*self.spark.createDataFrame([], schemas.TABLES[table]).columns))
+            touched = rows.select(key) if change.removed is None else rows.select(key).unionByName(change.removed.select(key))
+            parts = {f"part_={r[0]}": r[0] for r in touched.select(self._part(table, count)).distinct().collect()}
+            if not parts:
+                return entry
+            touches = lambda leaf: leaf.split("/")[0] in parts
+            if change.into is not None:
+                made = self._written(table, change.into(self._in_catalog(table, entry, sorted(parts.values())), rows), count, lease, dealt=True)
+            else:
+                old = self._read(table, {leaf: at for leaf, at in places.items() if touches(leaf)})
+                if change.removed is not None:
+                    old = old.join(change.removed.select(key), key, "left_anti")
+                made = self._written(table, changes.merge(old, rows, schemas.KEYS[table]), count, lease, len(parts))
         whole = {leaf: at for leaf, at in places.items() if not touches(leaf)} | made
         return self._sized(table, {"parts": count, "places": whole}, lease, set(made))
 

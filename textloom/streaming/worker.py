@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import changes
 from ..operators.state import Bucket, unlimited
-from ..session import checkpointed
+from ..session import steps
 from ..sources.models import Embedder, embedding
 from ..sources.store import Change, Conflict, Store
 
@@ -45,17 +45,14 @@ def run_once(store: Store, factory: Callable[[], Embedder], limit: int = 0) -> R
     made = rest.select("index_kind", "chunk_id", embedding(factory)("text").alias("e")).unionByName(
         known.select("index_kind", "chunk_id", F.struct("embedding", F.lit(None).cast("string").alias("error"), F.lit(False).alias("transient")).alias("e"))
     )
-    made = checkpointed(made)  # the model runs once, whatever other writers do
-    status = F.when(F.col("e.embedding").isNotNull(), "ok").when(F.col("e.transient"), "pending").otherwise("error")
-    results = made.select("chunk_id", status.alias("status"), F.col("e.error").alias("error"))
-    new = made.filter("e.embedding IS NOT NULL").select("index_kind", "chunk_id", "e.embedding")
-
-    def marked(read: Callable[[str], DataFrame]) -> dict[str, Change]:
-        return {"chunks": Change(changes.mark_embedding(read("chunks").join(results.select("chunk_id"), "chunk_id", "left_semi"), results)), "vectors": Change(new)}
-
-    n = {r.status: r["count"] for r in results.groupBy("status").count().collect()}
-    if n:
-        store.transaction(marked)
+    with steps(store.spark) as kept:
+        made = kept(made)  # the model runs once, whatever other writers do
+        status = F.when(F.col("e.embedding").isNotNull(), "ok").when(F.col("e.transient"), "pending").otherwise("error")
+        results = made.select("chunk_id", status.alias("status"), F.col("e.error").alias("error"))
+        new = made.filter("e.embedding IS NOT NULL").select("index_kind", "chunk_id", "e.embedding")
+        n = {r.status: r["count"] for r in results.groupBy("status").count().collect()}
+        if n:  # the texts stay in their parts: only the results are moved
+            store.transaction(lambda _: {"chunks": Change(results, into=lambda old, own: changes.mark_embedding(old, own.hint("shuffle_hash"))), "vectors": Change(new)})
     return Round(n.get("ok", 0), n.get("pending", 0), n.get("error", 0))
 
 
