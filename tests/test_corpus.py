@@ -937,3 +937,19 @@ def test_whole_texts_are_kept_in_small_row_groups(spark, tmp_path):
             files = [f for at in made.inputFiles() for f in glob.glob(at.removeprefix("file://"))]
             groups = [pq.ParquetFile(f).metadata.row_group(n).num_rows for f in files for n in range(pq.ParquetFile(f).metadata.num_row_groups)]
             assert sum(groups) == frame.count() == made.count() and max(groups) <= most
+
+
+def test_an_answer_without_a_model_keeps_the_space_that_its_snippet_ends_in(spark, tmp_path, monkeypatch):
+    """Its SQL takes the first 240 characters as they are; a model's answer is trimmed."""
+    snippet = "x" * 239 + " "
+    span = {"kind": "lines", "start_line": 1, "end_line": 1, "page": 0, "start_ms": 0, "end_ms": 0}
+    hits = spark.createDataFrame([(1, "a/b.txt", "text", "raw_text", 0.5, snippet, span)], schemas.HITS)
+    for generator, answer in ((None, f"Question: why?\nTop context:\n- a/b.txt: {snippet}"), (lambda: Said(), "so")):
+        own = Corpus(spark, str(tmp_path), f"file://{tmp_path}/state", Backends(generator=generator))
+        monkeypatch.setattr(own, "search", lambda search: (hits, "text"))
+        assert own.ask("why?")["answer"] == f"{answer}\n\nSources: [a/b.txt]"
+
+
+class Said:
+    def generate(self, prompt):
+        return " so "

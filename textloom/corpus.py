@@ -325,7 +325,7 @@ class Corpus:
                 pool.shutdown(wait=False, cancel_futures=True)
         if generate and found:
             paths = F.array(*(F.lit(h["rel_path"]) for h in found))
-            answer = self.spark.range(1).select(answers.attributed(F.lit(answer), paths)).first()[0]
+            answer = self.spark.range(1).select(answers.attributed(F.lit(answer), paths, as_it_is=answer == row.fallback)).first()[0]
         return {
             "question": question,
             "answer": answer,
